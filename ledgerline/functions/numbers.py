@@ -12,15 +12,14 @@ COST_TYPE = "decimal(38,12)"
 
 def counter(value: Column) -> Column:
     """A whole number 0..2^53-1 given as a number or as text; null when it is not one."""
-    number = trimmed(value).try_cast("decimal(38,18)")
+    number = value.try_cast("decimal(38,18)")
     ok = (number >= 0) & (number <= LIMITS.max_counter) & (number == F.floor(number))
     return F.when(ok, number.cast("bigint"))
 
 
 def cost(value: Column) -> Column:
     """A non-negative amount; blank text counts as zero, anything else malformed is null."""
-    text = trimmed(value)
-    amount = F.when(text == "", F.lit("0")).otherwise(text).try_cast(COST_TYPE)
+    amount = F.when(F.trim(value) == "", F.lit("0")).otherwise(value).try_cast(COST_TYPE)
     return F.when(amount >= 0, amount)
 
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 _FIVE = "inputTokens string, outputTokens string, cacheReadTokens string, cacheCreationTokens string, totalTokens string"
 _COSTS = "totalCost string, costUSD string, cost string"
-_MODEL = f"struct<modelName: string, model: string, {_FIVE.replace(' string', ': string')}, {_COSTS.replace(' string', ': string')}>"
+MODEL_ROW = f"struct<modelName: string, model: string, {_FIVE.replace(' string', ': string')}, {_COSTS.replace(' string', ': string')}>"
 _AGENT_FIELDS = (
     f"agent: string, {_FIVE.replace(' string', ': string')}, {_COSTS.replace(' string', ': string')}, "
-    f"modelBreakdowns: array<{_MODEL}>, breakdown: map<string, {_MODEL}>"
+    f"modelBreakdowns: array<{MODEL_ROW}>, breakdown: map<string, {MODEL_ROW}>"
 )
 _DAY = f"struct<period: string, date: string, {_AGENT_FIELDS}, agents: array<struct<{_AGENT_FIELDS}>>>"
 _SESSION = (
