@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -75,15 +76,39 @@ def _rows(pdf: pd.DataFrame) -> list:
     return list(zip(ordered["observed"], ordered["decided"], ordered["reset"], ordered["certain"]))
 
 
+def _followers(rule: AppendRule, rows: list) -> np.ndarray:
+    """For each position, the next one stored if this one is; the row count where there is none."""
+    observed, decided, reset, certain = (np.array(c) for c in zip(*rows))
+    n = len(rows)
+    after = np.full(n, n)
+    for i in range(n - 1):
+        low, width = i + 1, 64
+        while low < n:
+            part = slice(low, min(low + width, n))
+            age = decided[part] - observed[i]
+            stored = certain[part] | (np.abs(reset[part] - reset[i]) > rule.tolerance_seconds * MICROS)
+            stored |= age > max(rule.heartbeat_seconds, rule.cooldown_seconds or 0) * MICROS
+            if stored.any():
+                after[i] = low + int(stored.argmax())
+                break
+            low, width = part.stop, width * 2
+    return after
+
+
 def _block_exits(rule: AppendRule, block_micros: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         account, block = key
         rows = _rows(pdf)
+        after = _followers(rule, rows)
+        last = np.arange(len(rows))
+        for i in range(len(rows) - 1, -1, -1):
+            if after[i] < len(rows):
+                last[i] = last[after[i]]
         start = block * block_micros
         out = []
         for i, (observed, decided, reset, certain) in enumerate(rows):
-            _, last = _replay(rule, rows[i + 1:], (observed, reset))
-            out.append((account, block, observed, decided, reset, i, last[0], last[1], bool(certain)))
+            leaves = rows[last[i]]
+            out.append((account, block, observed, decided, reset, i, leaves[0], leaves[2], bool(certain)))
             # No reading stored before this block can leave a later one as the first stored here.
             if certain or decided - start > rule.heartbeat_seconds * MICROS:
                 break

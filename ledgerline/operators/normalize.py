@@ -247,6 +247,12 @@ def _day_mismatch(day: Column) -> Column:
     return differs
 
 
+def well_formed_object(payload: Column) -> Column:
+    """One JSON object and nothing else: wrapped in an array it is exactly one element."""
+    one = F.json_array_length(F.concat(F.lit("["), payload, F.lit("]"))) == 1
+    return F.coalesce(one & payload.rlike(r"^\s*\{") & payload.rlike(r"\}\s*$"), F.lit(False))
+
+
 def document_rows(documents: Column) -> tuple[Column, Column]:
     """The array of days of a document and the name of its shape."""
     standard = F.when(documents["type"] == "daily", documents["data"])
@@ -268,7 +274,7 @@ def parse_documents(files: DataFrame, payload: str = "payload") -> DataFrame:
     doc = F.col("_doc")
     days, shape = document_rows(doc)
     parsed = (
-        files.withColumn("_well_formed", F.try_parse_json(payload).isNotNull() & F.col(payload).rlike(r"^\s*\{"))
+        files.withColumn("_well_formed", well_formed_object(F.col(payload)))
         .withColumn("_doc", F.from_json(F.col(payload), SNAPSHOT))
         .drop(payload)
         .withColumns({
@@ -299,9 +305,12 @@ def parse_documents(files: DataFrame, payload: str = "payload") -> DataFrame:
         "_models": _first_of_each("_models_all", _model_key),
         "_session_rows": _first_of_each("_sessions_all", lambda row: row["local_key_hash"]),
     })
-    return distinct.withColumns({"reasons": _reasons(), "warnings": _warnings()}).drop(
+    checked = distinct.withColumns({"reasons": _reasons(), "warnings": _warnings()}).drop(
         "_daily_all", "_models_all", "_sessions_all", "_sessions", "_agents", "_model_parts", "_totals"
     )
+    # Exploding one struct keeps filters on the verdict above this point. Pushed
+    # below, they would repeat the whole chain of array expressions inside the filter.
+    return checked.select(F.explode(F.array(F.struct(*checked.columns))).alias("_p")).select("_p.*")
 
 
 def _reasons() -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerline.functions.dates import month_key
@@ -16,12 +17,10 @@ def without_private_columns(rows: DataFrame) -> DataFrame:
 
 def _stored(rows: DataFrame, path: str) -> DataFrame | None:
     """The table at `path`, or None while it does not exist."""
-    jvm = rows.sparkSession._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration())
-    if not files.exists(location):
+    try:
+        return rows.sparkSession.read.parquet(path)
+    except AnalysisException:
         return None
-    return rows.sparkSession.read.parquet(path)
 
 
 def append_facts(rows: DataFrame, path: str, keys: list[str], date_column: str = "usage_date") -> None:
