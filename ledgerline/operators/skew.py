@@ -54,7 +54,7 @@ def with_previous(rows: DataFrame, keys: list[str], time: str, order: list[str],
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     packed = F.struct(*fields)
     local = bucketed.withColumns({
-        "_before": F.lag(packed).over(inside),
+        "_inside": F.lag(packed).over(inside),
         "_is_tail": F.lead(F.lit(1)).over(inside).isNull(),
     })
     tails = local.filter("_is_tail").select(*keys, "_bucket", packed.alias("_tail"))
@@ -62,6 +62,6 @@ def with_previous(rows: DataFrame, keys: list[str], time: str, order: list[str],
         *keys, "_bucket", "_carried")
     return (
         local.join(carried, [*keys, "_bucket"], "left")
-        .withColumn(name, F.coalesce("_before", "_carried"))
-        .drop("_bucket", "_before", "_is_tail", "_carried")
+        .withColumn(name, F.coalesce("_inside", "_carried"))
+        .drop("_bucket", "_inside", "_is_tail", "_carried")
     )

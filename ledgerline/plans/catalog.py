@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from ledgerline.plans import ledger_queries, mirror_queries, rollup_queries  # noqa: F401
+from ledgerline.plans import ledger_queries, mirror_queries, pacing_queries, reading_queries, rollup_queries  # noqa: F401
 from ledgerline.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -291,5 +291,7 @@ def with_views(*names: str, body: str) -> str:
     if not parts:
         return body
     own = body.lstrip()
-    rest = ",\n" + own[len("WITH "):] if own.startswith("WITH ") else "\n" + body
-    return "WITH " + ",\n".join(parts) + rest
+    opening = next((o for o in ("WITH RECURSIVE ", "WITH ") if own.startswith(o)), None)
+    if opening is None:
+        return "WITH " + ",\n".join(parts) + "\n" + body
+    return opening + ",\n".join(parts) + ",\n" + own[len(opening):]
