@@ -1,17 +1,17 @@
 """The change-only append rule with a heartbeat, as a batch job over all accounts.
 
-Whether a reading is stored depends on the reading stored before it. The rule
-is replayed per block of time, not per account, so that an account with very
-many readings is worked on by many tasks:
+Whether a reading is stored depends on the reading stored before it. Nothing is
+replayed per account: an account with very many readings is worked on by many tasks.
 
 1. A reading that differs from the one before it in value or status, or that
    follows it after the heartbeat, is stored whatever came earlier. So is one
-   whose reset moved by more than twice the tolerance.
-2. Each block reports its exit (the last stored reading) for every way it can
-   be entered. The first stored reading of a block comes within one heartbeat
-   of the block start, so the ways are few.
-3. The exits are chained per account (a few rows per block), which gives every
-   block its entry, and the blocks are replayed in parallel.
+   whose reset moved by more than twice the tolerance. Most readings are settled
+   here, in plain expressions.
+2. The others are replayed in blocks of time. A block that opens with an
+   unsettled reading needs to know what was stored last before it. For the block
+   before, every reading that could be the first stored one is followed to the
+   block's end; such a reading comes within one heartbeat of the block's start.
+3. These exits, a few rows per block, are chained in time order.
 """
 
 from __future__ import annotations
@@ -54,31 +54,44 @@ class AppendRule:
 PLAIN = AppendRule()
 ATOMIC = AppendRule(cooldown_seconds=LIMITS.cooldown_seconds)
 
-_ROW = "account string, block bigint, observed bigint, decided bigint, reset bigint, certain boolean, reading_id bigint"
-_EXITS = ("account string, block bigint, observed bigint, decided bigint, reset bigint, position int, "
-          "exit_observed bigint, exit_reset bigint, fixed boolean")
+_COLUMNS = ["account", "block", "observed", "decided", "reset", "certain", "reading_id"]
+_EXITS = ("account string, block bigint, next_block bigint, position int, decided bigint, reset bigint, fixed boolean, "
+          "exit_observed bigint, exit_reset bigint")
 _ENTRY = "account string, block bigint, entry_observed bigint, entry_reset bigint"
 _STORED = "account string, reading_id bigint"
 
 
+def _frame(rows: list, schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+
+def _blocks(batches, columns: list[str]):
+    """(account, block) and its rows, across batch borders. Input is sorted by both."""
+    key, rows = None, []
+    for pdf in batches:
+        for row in zip(*(pdf[c].tolist() for c in columns)):
+            if row[:2] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:2], []
+            rows.append(row[2:])
+    if rows:
+        yield key, rows
+
+
 def _replay(rule: AppendRule, rows: list, state):
     """Positions stored from `state` on, and the last stored (observed, reset)."""
     kept = []
-    for i, (observed, decided, reset, certain) in enumerate(rows):
+    for i, (observed, decided, reset, certain, *_) in enumerate(rows):
         if state is None or certain or rule.keeps(state, decided, reset):
             kept.append(i)
             state = (observed, reset)
     return kept, state
 
 
-def _rows(pdf: pd.DataFrame) -> list:
-    ordered = pdf.sort_values(["observed", "reading_id"])
-    return list(zip(ordered["observed"], ordered["decided"], ordered["reset"], ordered["certain"]))
-
-
 def _followers(rule: AppendRule, rows: list) -> np.ndarray:
     """For each position, the next one stored if this one is; the row count where there is none."""
-    observed, decided, reset, certain = (np.array(c) for c in zip(*rows))
+    observed, decided, reset, certain = (np.array(c) for c in list(zip(*rows))[:4])
     n = len(rows)
     after = np.full(n, n)
     for i in range(n - 1):
@@ -96,51 +109,70 @@ def _followers(rule: AppendRule, rows: list) -> np.ndarray:
 
 
 def _block_exits(rule: AppendRule, block_micros: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        account, block = key
-        rows = _rows(pdf)
+    def exits(account, block, rows):
+        next_block = rows[0][-1]
+        if rows[0][3]:
+            _, last = _replay(rule, rows, None)
+            return [(account, block, next_block, 0, rows[0][1], rows[0][2], True, *last)]
         after = _followers(rule, rows)
-        last = np.arange(len(rows))
-        for i in range(len(rows) - 1, -1, -1):
+        last = list(range(len(rows)))
+        for i in reversed(range(len(rows))):
             if after[i] < len(rows):
                 last[i] = last[after[i]]
-        start = block * block_micros
         out = []
-        for i, (observed, decided, reset, certain) in enumerate(rows):
+        for i, (_, decided, reset, certain, *_) in enumerate(rows):
             leaves = rows[last[i]]
-            out.append((account, block, observed, decided, reset, i, leaves[0], leaves[2], bool(certain)))
+            out.append((account, block, next_block, i, decided, reset, bool(certain), leaves[0], leaves[2]))
             # No reading stored before this block can leave a later one as the first stored here.
-            if certain or decided - start > rule.heartbeat_seconds * MICROS:
+            if certain or decided - block * block_micros > rule.heartbeat_seconds * MICROS:
                 break
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _EXITS.split(", ")])
+        return out
+
+    def run(batches):
+        for (account, block), rows in _blocks(batches, [*_COLUMNS, "next_block"]):
+            yield _frame(exits(account, block, rows), _EXITS)
     return run
 
 
 def _chain(rule: AppendRule):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        account = key[0]
-        state, out = None, []
-        for block, ways in pdf.sort_values(["block", "position"]).groupby("block"):
-            if state is not None:
-                out.append((account, block, state[0], state[1]))
-            for way in ways.itertuples():
-                if state is None or way.fixed or rule.keeps(state, way.decided, way.reset):
-                    state = (way.exit_observed, way.exit_reset)
+    def run(batches):
+        account, state, out = None, None, []
+        for (owner, _), ways in _blocks(batches, [c.split()[0] for c in _EXITS.split(", ")]):
+            if owner != account:
+                account, state = owner, None
+            for _, _, decided, reset, fixed, *leaves in ways:
+                if state is None or fixed or rule.keeps(state, decided, reset):
+                    state = tuple(leaves)
                     break
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _ENTRY.split(", ")])
+            out.append((account, ways[0][0], *state))
+        yield _frame(out, _ENTRY)
     return run
 
 
 def _block_stored(rule: AppendRule):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        entry = pdf.iloc[0]
-        state = None if pd.isna(entry["entry_observed"]) else (int(entry["entry_observed"]), int(entry["entry_reset"]))
-        ordered = pdf.sort_values(["observed", "reading_id"])
-        kept, _ = _replay(rule, _rows(pdf), state)
-        return pd.DataFrame({"account": ordered["account"].iloc[kept], "reading_id": ordered["reading_id"].iloc[kept]})
+    """Unsettled readings that are stored; settled ones are known already."""
+    def run(batches):
+        for pdf_rows in _chunks(_blocks(batches, [*_COLUMNS, "entry_observed", "entry_reset"])):
+            out = []
+            for (account, _), rows in pdf_rows:
+                known = rows[0][-2] == rows[0][-2] and rows[0][-2] is not None
+                kept, _ = _replay(rule, rows, (int(rows[0][-2]), int(rows[0][-1])) if known else None)
+                out += [(account, rows[i][4]) for i in kept if not rows[i][3]]
+            yield _frame(out, _STORED)
     return run
 
 
+def _chunks(blocks, size: int = 1000):
+    chunk = []
+    for block in blocks:
+        chunk.append(block)
+        if len(chunk) == size:
+            yield chunk
+            chunk = []
+    if chunk:
+        yield chunk
+
+
 def mark_certain(readings: DataFrame, rule: AppendRule, decided_at: str) -> DataFrame:
     """Readings in micros with `certain`: stored whatever was stored before."""
     paired = with_previous(readings, ["account"], "observed_at", ["observed_at", "reading_id"],
@@ -150,10 +182,16 @@ def mark_certain(readings: DataFrame, rule: AppendRule, decided_at: str) -> Data
     jumped = F.abs(F.unix_micros("provider_resets_at") - F.unix_micros(before["provider_resets_at"])) > (
         2 * rule.tolerance_seconds * MICROS)
     late = F.unix_micros(decided_at) - F.unix_micros(before["observed_at"]) > rule.heartbeat_seconds * MICROS
-    return paired.select(
-        "account", F.unix_micros("observed_at").alias("observed"), F.unix_micros(decided_at).alias("decided"),
-        F.unix_micros("provider_resets_at").alias("reset"),
-        F.coalesce(before.isNull() | changed | jumped | late, F.lit(True)).alias("certain"), "reading_id")
+    return paired.withColumns({
+        "observed": F.unix_micros("observed_at"), "decided": F.unix_micros(decided_at),
+        "reset": F.unix_micros("provider_resets_at"),
+        "certain": F.coalesce(before.isNull() | changed | jumped | late, F.lit(True)),
+        "before_observed": F.unix_micros(before["observed_at"]),
+    }).drop("_before")
+
+
+def _in_blocks(rows: DataFrame, order: list[str], by: list[str]) -> DataFrame:
+    return rows.repartition(*by).sortWithinPartitions(*order)
 
 
 def stored_readings(readings: DataFrame, rule: AppendRule = ATOMIC, decided_at: str = "fetched_at",
@@ -163,13 +201,23 @@ def stored_readings(readings: DataFrame, rule: AppendRule = ATOMIC, decided_at:
     `decided_at` names the column that holds the time of the decision. Readings
     are replayed in the order they were observed.
     """
-    block_micros = block_hours * 3600 * MICROS
-    rows = mark_certain(readings, rule, decided_at).withColumn(
-        "block", F.floor(F.col("observed") / block_micros).cast("bigint"))
-    # A block that opens with a certain reading needs no entry; only the others are chained.
-    by_block = rows.groupBy("account", "block")
-    exits = by_block.applyInPandas(_block_exits(rule, block_micros), _EXITS)
-    entries = exits.groupBy("account").applyInPandas(_chain(rule), _ENTRY)
-    kept = rows.join(entries, ["account", "block"], "left").groupBy("account", "block").applyInPandas(
-        _block_stored(rule), _STORED)
-    return readings.join(kept, ["account", "reading_id"], "left_semi")
+    size = block_hours * 3600 * MICROS
+    marked = mark_certain(readings, rule, decided_at).withColumns({
+        "block": F.floor(F.col("observed") / size).cast("bigint"),
+        "before_block": F.floor(F.col("before_observed") / size).cast("bigint")})
+    key = ["account", "block"]
+    row_order = [*key, "observed", "reading_id"]
+
+    # Blocks that open with an unsettled reading, and the blocks they follow.
+    linked = marked.filter(~F.col("certain") & (F.col("before_block") != F.col("block"))).select(
+        "account", F.col("before_block").alias("block"), F.col("block").alias("next_block"))
+    exits = _in_blocks(marked.select(*_COLUMNS).join(linked, key), row_order, key).mapInPandas(
+        _block_exits(rule, size), _EXITS)
+    entries = _in_blocks(exits, [*key, "position"], ["account"]).mapInPandas(_chain(rule), _ENTRY)
+
+    unsettled = marked.filter(~F.col("certain"))
+    open_rows = marked.select(*_COLUMNS).join(unsettled.select(*key).distinct(), key, "left_semi").join(entries, key, "left")
+    replayed = _in_blocks(open_rows, row_order, key).mapInPandas(_block_stored(rule), _STORED)
+    kept = marked.filter("certain").select(*readings.columns).unionByName(
+        unsettled.join(replayed, ["account", "reading_id"], "left_semi").select(*readings.columns))
+    return kept
