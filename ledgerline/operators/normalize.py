@@ -275,7 +275,7 @@ def parse_documents(files: DataFrame, payload: str = "payload") -> DataFrame:
     days, shape = document_rows(doc)
     parsed = (
         files.withColumn("_well_formed", well_formed_object(F.col(payload)))
-        .withColumn("_doc", F.from_json(F.col(payload), SNAPSHOT))
+        .withColumn("_doc", F.from_json(F.when(F.col("_well_formed"), F.col(payload)), SNAPSHOT))
         .drop(payload)
         .withColumns({
             "source_shape": shape,

@@ -11,7 +11,7 @@ PATH_PATTERN = r"([^/]+)/([^/]+)\.json$"
 
 
 def read_snapshot_files(spark: SparkSession, path: str, pattern: str = PATH_PATTERN) -> DataFrame:
-    """One row per file; machine and import come from the path."""
+    """One row per file; machine and import come from the path. Spark's reader passes over files of length 0."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
     )
