@@ -61,13 +61,21 @@ def with_schedule(contracts: DataFrame, zone: str) -> DataFrame:
     candidates = F.transform(days, lambda d: F.struct(
         d.alias("date"), wall_to_instant(d, F.col("check_time"), zone).alias("ts")))
     inside = F.filter(candidates, lambda c: (c["ts"] > start) & (c["ts"] < reset))
-    return contracts.withColumn("_inside", inside).withColumn("checkpoints", F.transform("_inside", lambda c, i: F.struct(
+    schedule = F.transform(inside, lambda c, i: F.struct(
         c["ts"].alias("ts"), (i + 1).alias("day"), c["date"].alias("date"), F.col("check_time").alias("check_time"),
-        ceiling_at(c["ts"], start, reset, F.col("baseline"), plan).alias("ceiling")))).drop("_inside")
+        ceiling_at(c["ts"], start, reset, F.col("baseline"), plan).alias("ceiling")))
+    # Exploding a one-element array pins the schedule here: a condition on it that
+    # Spark derives further up would otherwise be worked out again for every source row.
+    return contracts.select("*", F.explode(F.array(schedule)).alias("checkpoints"))
+
+
+def exploded(contracts: DataFrame, *columns) -> DataFrame:
+    """One row per checkpoint as `_c`. An outer explode adds no condition on the array to the source."""
+    return contracts.select(*columns, F.explode_outer("checkpoints").alias("_c")).filter(F.col("_c").isNotNull())
 
 
 def checkpoints(contracts: DataFrame, *extra: str) -> DataFrame:
-    return contracts.select("contract_id", *extra, F.explode("checkpoints").alias("_c")).select("contract_id", *extra, "_c.*")
+    return exploded(contracts, "contract_id", *extra).select("contract_id", *extra, "_c.*")
 
 
 def with_actuals(contracts: DataFrame, actuals: DataFrame) -> DataFrame:

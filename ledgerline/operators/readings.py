@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.config import LIMITS
+from ledgerline.operators.pacing import exploded
 from ledgerline.operators.skew import spread_join, with_previous
 from ledgerline.schemas import READING_PAYLOAD
 
@@ -197,21 +198,22 @@ def status_label(status: Column) -> Column:
     return F.coalesce(F.try_element_at(mapping, status), status)
 
 
-def checkpoint_rows(compared: DataFrame, readings: DataFrame, now: Column) -> DataFrame:
+def checkpoint_rows(contracts: DataFrame, readings: DataFrame, now: Column) -> DataFrame:
     """One row per checkpoint: upcoming, current with live values, or history.
-
-    `compared` is the output of compare. The current row shows live values only
-    while the account's newest reading of all lies inside the contract.
+    The current row shows live values only while the account's newest reading of
+    all lies inside the contract.
     """
-    seen = first_in_window(readings, compared).groupBy("contract_id").agg(
+    compared = compare(contracts, readings, now)
+    seen = first_in_window(readings, contracts).groupBy("contract_id").agg(
         F.map_from_entries(F.collect_list(F.struct("day", F.col("fraction").cast("double")))).alias("_seen"))
     # The newest reading of an account is one value: a partial max, never a window over all readings.
     last = readings.groupBy("account").agg(F.max("observed_at").alias("_last"))
     joined = compared.join(seen, "contract_id", "left").join(last, "account", "left")
     live = (F.col("_last") >= F.col("tracking_start")) & (F.col("_last") < F.col("reset_at"))
-    opened = joined.withColumn("_live", F.coalesce(live, F.lit(False))).select(
+    opened = exploded(
+        joined.withColumn("_live", F.coalesce(live, F.lit(False))),
         "contract_id", "comparison_status", "provider_monthly", "safe_headroom", "_live", "_seen",
-        F.col("active.date").alias("_active_date"), F.explode("checkpoints").alias("_c"))
+        F.col("active.date").alias("_active_date"))
     future = F.col("_c.ts") > now
     current = ~future & F.coalesce(F.col("_c.date") == F.col("_active_date"), F.lit(False))
     found = F.try_element_at(F.col("_seen"), F.col("_c.day"))
@@ -227,7 +229,7 @@ def checkpoint_rows(compared: DataFrame, readings: DataFrame, now: Column) -> Da
 
 def chart_points(contracts: DataFrame, rows: DataFrame) -> DataFrame:
     """The checkpoint series with whatever row exists for its date."""
-    series = contracts.select("contract_id", F.explode("checkpoints").alias("_c")).select(
+    series = exploded(contracts, "contract_id").select(
         "contract_id", F.col("_c.date").alias("date"), F.col("_c.ts").alias("ts"), F.col("_c.ceiling").alias("ceiling"))
     return series.join(rows.select("contract_id", "date", "observation", "status", "headroom"), ["contract_id", "date"], "left").orderBy("contract_id", "ts")
 

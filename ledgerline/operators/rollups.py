@@ -259,10 +259,14 @@ def model_summary(rows: DataFrame) -> DataFrame:
         .otherwise(F.concat_ws(" / ", F.lit("Recovered"), "agent", month)))
     whole = rows.agg(F.sum("total_tokens").alias("t")).scalar()
     period = F.when(F.col("kind") == RECOVERED, month).otherwise(F.col("usage_date").cast("string"))
-    sums = rows.withColumns({"key": key, "label": label, "_period": period}).groupBy("key", "label", "kind").agg(
+    # Summed per agent and period first, so that the distinct counts see few rows.
+    fine = rows.withColumns({"key": key, "label": label, "_period": period}).groupBy("key", "label", "kind", "agent", "_period").agg(
+        *[F.sum(c).alias(c) for c in TOKENS[:5]], F.sum("reported_cost_usd").alias("reported_cost_usd"),
+        F.count("reported_cost_usd").alias("cost_rows"))
+    sums = fine.groupBy("key", "label", "kind").agg(
         *[F.sum(c).alias(c) for c in TOKENS[:5]],
         F.coalesce(F.sum("reported_cost_usd"), F.lit(0)).cast(COST_TYPE).alias("reported_cost_usd"),
-        F.count("reported_cost_usd").alias("cost_rows"),
+        F.sum("cost_rows").alias("cost_rows"),
         F.count_distinct("agent").alias("agents"), F.count_distinct("_period").alias("periods"))
     return sums.withColumns({
         "share": guarded_ratio(F.col("total_tokens"), whole),

@@ -187,14 +187,16 @@ def violations(spark, d):
 @query("c01_current_daily", ("current_daily",), f"""
   SELECT machine_id, agent, {day('usage_date')}, id, {FIVE}, {money('reported_cost_usd')}, usage_hash FROM current_daily""")
 def current_daily(spark, d):
-    return revisions.current_daily(v.daily_observations(spark, d), v.imports(spark, d)).select(
+    # The stored rows would carry their fingerprint; here only the surviving revisions are fingerprinted.
+    current = v.with_daily_hash(revisions.current_daily(v.observations(spark, d).drop("model"), v.imports(spark, d)))
+    return current.select(
         "machine_id", "agent", "usage_date", "id", *FIVE_COUNTERS, "reported_cost_usd", "usage_hash")
 
 
 @query("c02_current_models", ("current_models",), f"""
   SELECT machine_id, agent, model, {day('usage_date')}, id, reported_total_tokens, usage_hash FROM current_models""")
 def current_models(spark, d):
-    return revisions.current_models(v.model_observations(spark, d), v.imports(spark, d)).select(
+    return v.with_model_hash(revisions.current_models(v.observations(spark, d), v.imports(spark, d))).select(
         "machine_id", "agent", "model", "usage_date", "id", "reported_total_tokens", "usage_hash")
 
 

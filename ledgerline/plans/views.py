@@ -29,11 +29,11 @@ def _cost(value: Column) -> Column:
     return value.cast("decimal(18,2)").cast(COST)
 
 
-def _daily_hash(rows: DataFrame) -> DataFrame:
+def with_daily_hash(rows: DataFrame) -> DataFrame:
     return rows.withColumn("usage_hash", fingerprints.daily_hash(F.col))
 
 
-def _model_hash(rows: DataFrame) -> DataFrame:
+def with_model_hash(rows: DataFrame) -> DataFrame:
     return rows.withColumn("usage_hash", fingerprints.model_hash(F.col))
 
 
@@ -87,11 +87,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily_hash(observations(spark, sf_dir).drop("model"))
+    return with_daily_hash(observations(spark, sf_dir).drop("model"))
 
 
 def model_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _model_hash(observations(spark, sf_dir))
+    return with_model_hash(observations(spark, sf_dir))
 
 
 def _event_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,13 +114,13 @@ def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily_hash(_summed(_event_usage(spark, sf_dir), ["machine_id", "agent", "usage_date"]))
+    return with_daily_hash(_summed(_event_usage(spark, sf_dir), ["machine_id", "agent", "usage_date"]))
 
 
 def model_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model rows of the events; one model in six is not attributed, so residuals remain."""
     rows = _event_usage(spark, sf_dir).filter(F.col("model") != "model-5")
-    return _model_hash(_summed(rows, ["machine_id", "agent", "model", "usage_date"]))
+    return with_model_hash(_summed(rows, ["machine_id", "agent", "model", "usage_date"]))
 
 
 def incoming_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ def incoming_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = rows.filter((day % 5) != 0).withColumn(
         "usage_date", F.when(day == 29, F.date_add("usage_date", 10)).otherwise(F.col("usage_date")))
     bump = F.when(F.dayofmonth("usage_date") % 4 == 0, 7).otherwise(0).cast("bigint")
-    return _daily_hash(kept.withColumns({
+    return with_daily_hash(kept.withColumns({
         "input_tokens": F.col("input_tokens") + bump, "reported_total_tokens": F.col("reported_total_tokens") + bump}))
 
 
@@ -138,7 +138,7 @@ def incoming_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.dayofmonth("usage_date")
     rows = model_daily(spark, sf_dir).drop("usage_hash").filter((day % 5) != 0)
     bump = F.when(day % 4 == 0, 7).otherwise(0).cast("bigint")
-    return _model_hash(rows.withColumns({
+    return with_model_hash(rows.withColumns({
         "input_tokens": F.col("input_tokens") + bump, "reported_total_tokens": F.col("reported_total_tokens") + bump}))
 
 
@@ -179,7 +179,7 @@ def document_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_add(F.lit("2024-01-01").cast("date"), (length % 28).cast("int")).alias("usage_date")).agg(
         F.count(F.lit(1)).alias("input_tokens"))
     zero = F.lit(0).cast("bigint")
-    return _daily_hash(rows.withColumns({
+    return with_daily_hash(rows.withColumns({
         "output_tokens": zero, "cache_read_tokens": zero, "cache_creation_tokens": zero,
         "reported_total_tokens": F.col("input_tokens"), "accounting_delta_tokens": zero,
         "reported_cost_usd": F.lit(None).cast(COST), "is_tombstone": F.lit(False),

@@ -96,12 +96,12 @@ def test_first_in_window_ignores_other_cycles(spark):
 
 def test_checkpoint_rows_and_default_window(spark):
     frame = readings(spark, [(T(2026, 9, 3, 13), 0.1), (T(2026, 9, 5, 12, 9), 0.2)])
-    rows = r.checkpoint_rows(r.compare(contract(spark), frame, F.lit(NOW)), frame, F.lit(NOW))
+    rows = r.checkpoint_rows(contract(spark), frame, F.lit(NOW))
     got = {x.day: (x.status, x.observation) for x in rows.collect()}
     assert got[3] == ("On track", 0.1) and got[4] == ("—", None) and got[5] == ("On track", 0.2) and got[6] == ("Upcoming", None)
     assert sorted(x.day for x in r.default_rows(rows).collect()) == [2, 3, 4, 5, 6, 7, 8, 9, 10]
     later = readings(spark, [(T(2026, 9, 5, 12, 9), 0.2), (T(2026, 9, 20), 0.5)])
-    live = r.checkpoint_rows(r.compare(contract(spark), later, F.lit(NOW)), later, F.lit(NOW)).filter("is_current").collect()[0]
+    live = r.checkpoint_rows(contract(spark), later, F.lit(NOW)).filter("is_current").collect()[0]
     assert (live.status, live.observation) == ("On track", None)  # the newest reading of all lies outside the contract
 
 
