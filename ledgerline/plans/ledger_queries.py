@@ -69,6 +69,7 @@ def upserted(spark, d):
 
 # Snapshot normalisation, on exports built from the events
 
+@v.once_per_session
 def _parsed(spark, d):
     return normalize.parse_snapshots(v.exports(spark, d), ("file_id", "machine_id"))
 
@@ -200,6 +201,7 @@ def current_models(spark, d):
         "machine_id", "agent", "model", "usage_date", "id", "reported_total_tokens", "usage_hash")
 
 
+@v.once_per_session
 def _flagged(spark, d):
     return revisions.with_mirror_flag(revisions.current_daily(v.daily_observations(spark, d), v.imports(spark, d)), v.links(spark, d))
 
@@ -240,6 +242,7 @@ def session_evidence_state(spark, d):
     return imports.session_evidence_state(known, v.sessions(spark, d), files)
 
 
+@v.once_per_session
 def _promotion(spark, d):
     rows = v.daily_observations(spark, d)
     stored = rows.filter("machine_id = 'm1'")

@@ -12,11 +12,13 @@ from ledgerline.plans.registry import day, query
 MATCHES, OVERLAP = 1, 0.02
 
 
+@v.once_per_session
 def _evidence(spark, d):
     rows = v.sessions(spark, d)
     return mirrors.session_evidence(rows, rows, MATCHES, OVERLAP)
 
 
+@v.once_per_session
 def _raw(spark, d):
     """Part of the files take part as raw matches, so that both kinds of link occur."""
     files = v.raw_files(spark, d)
@@ -24,6 +26,7 @@ def _raw(spark, d):
     return found.filter(F.col("other_machine_id").isNotNull() & (F.col("import_id") % 50 == 1))
 
 
+@v.once_per_session
 def _links(spark, d):
     rows = v.document_daily(spark, d)
     return mirrors.choose_links(rows, rows, _evidence(spark, d), _raw(spark, d))

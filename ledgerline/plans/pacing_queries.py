@@ -16,10 +16,12 @@ def _now():
     return F.lit(v.NOW).cast("timestamp")
 
 
+@v.once_per_session
 def _scheduled(spark, d):
     return pacing.with_schedule(pacing.with_plan(v.contracts(spark, d)), ZONE)
 
 
+@v.once_per_session
 def _filled(spark, d):
     return pacing.with_actuals(_scheduled(spark, d), v.actuals(spark, d))
 
@@ -124,6 +126,7 @@ def first_decrease(spark, d):
     return _filled(spark, d).select("contract_id", pacing.first_decrease(points).alias("first_decrease"))
 
 
+@v.once_per_session
 def _sequence(spark, d):
     """Import n of a contract carries actuals 0.01 * day up to day 10 + 5n; some imports blank or lower one."""
     base = pacing.with_schedule(pacing.with_plan(v.contract_imports(spark, d)), ZONE)
@@ -191,6 +194,7 @@ def serial_dates(spark, d):
         dates.date_cell((serial + 10000).cast("string"), F.lit("12:00"), ZONE).alias("too_late"))
 
 
+@v.once_per_session
 def _grid(spark, d):
     cells = v.cells(spark, d)
     values = workbook.label_values(cells, workbook.SOURCE_LABELS + workbook.DERIVED_LABELS)

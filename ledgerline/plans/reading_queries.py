@@ -15,6 +15,7 @@ def _now():
     return F.lit(v.NOW).cast("timestamp")
 
 
+@v.once_per_session
 def _contracts(spark, d):
     return pacing.with_schedule(v.contracts(spark, d), v.ZONE)
 
@@ -80,6 +81,7 @@ def rollovers(spark, d):
     return r.rollovers(v.readings(spark, d)).select("reading_id", "is_rollover")
 
 
+@v.once_per_session
 def _compared(spark, d):
     return r.compare(_contracts(spark, d), v.readings(spark, d), _now())
 
@@ -174,6 +176,7 @@ _ROWS = f"""
 _ROW_VIEWS = ("placed", "compared", "checkpoints", "readings")
 
 
+@v.once_per_session
 def _rows(spark, d):
     return r.checkpoint_rows(_contracts(spark, d), v.readings(spark, d), _now())
 

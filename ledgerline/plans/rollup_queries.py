@@ -29,20 +29,33 @@ def flagship(spark, d):
     return monthly.withColumn("share", F.col("total_tokens").cast("double") / whole)
 
 
+@v.once_per_session
 def _daily(spark, d):
     return rollups.canonical_daily(v.daily(spark, d))
 
 
+@v.once_per_session
 def _models(spark, d):
     return rollups.canonical_models(v.model_daily(spark, d))
 
 
+@v.once_per_session
 def _recovered(spark, d):
     return recovery.project(v.recovered_sets(spark, d), v.recovered(spark, d))
 
 
+@v.once_per_session
+def _with_recovered(spark, d):
+    return rollups.build_projection(v.daily(spark, d), v.model_daily(spark, d), _recovered(spark, d))
+
+
+@v.once_per_session
+def _canonical_only(spark, d):
+    return rollups.build_projection(v.daily(spark, d), v.model_daily(spark, d))
+
+
 def _projection(spark, d, recovered=True):
-    return rollups.build_projection(v.daily(spark, d), v.model_daily(spark, d), _recovered(spark, d) if recovered else None)
+    return _with_recovered(spark, d) if recovered else _canonical_only(spark, d)
 
 
 @query("a09_seed_mismatches", ("recovered", "recovered_agents"), f"""

@@ -5,6 +5,8 @@ Each view states its definition once more as SQL in plans/oracles.py.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerline.functions import fingerprints
@@ -17,6 +19,20 @@ MACHINES = 8
 NOW = "2024-01-16 12:10:00"
 
 
+def once_per_session(build):
+    """Keep the plan a builder made for a session and folder; plans hold no data."""
+    made: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
+
+    @functools.wraps(build)
+    def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        key = (id(spark), sf_dir)
+        if key not in made or made[key][0] is not spark:
+            made[key] = (spark, build(spark, sf_dir))
+        return made[key][1]
+    return view
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,6 +53,7 @@ def with_model_hash(rows: DataFrame) -> DataFrame:
     return rows.withColumn("usage_hash", fingerprints.model_hash(F.col))
 
 
+@once_per_session
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     at = F.col("o_orderdate").cast("timestamp")
@@ -52,6 +69,7 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
         _long(F.col("o_totalprice")).alias("file_size_bytes"))
 
 
+@once_per_session
 def machines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One machine per nation; m0..m3 own the imports."""
     nation = table(spark, sf_dir, "nation")
@@ -60,6 +78,7 @@ def machines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_regionkey") != 2).alias("is_active"))
 
 
+@once_per_session
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revisions of daily usage: one per line item, imported by its order."""
     lines = table(spark, sf_dir, "lineitem")
@@ -86,14 +105,17 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"reported_total_tokens": total, "accounting_delta_tokens": F.lit(0).cast("bigint")})
 
 
+@once_per_session
 def daily_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_daily_hash(observations(spark, sf_dir).drop("model"))
 
 
+@once_per_session
 def model_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_model_hash(observations(spark, sf_dir))
 
 
+@once_per_session
 def _event_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     return table(spark, sf_dir, "events").select(
@@ -113,16 +135,19 @@ def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.withColumns({"reported_total_tokens": total, "is_tombstone": F.lit(False)})
 
 
+@once_per_session
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_daily_hash(_summed(_event_usage(spark, sf_dir), ["machine_id", "agent", "usage_date"]))
 
 
+@once_per_session
 def model_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model rows of the events; one model in six is not attributed, so residuals remain."""
     rows = _event_usage(spark, sf_dir).filter(F.col("model") != "model-5")
     return with_model_hash(_summed(rows, ["machine_id", "agent", "model", "usage_date"]))
 
 
+@once_per_session
 def incoming_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later export of the events: some keys missing, some revised, one more day."""
     day = F.dayofmonth("usage_date")
@@ -134,6 +159,7 @@ def incoming_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         "input_tokens": F.col("input_tokens") + bump, "reported_total_tokens": F.col("reported_total_tokens") + bump}))
 
 
+@once_per_session
 def incoming_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.dayofmonth("usage_date")
     rows = model_daily(spark, sf_dir).drop("usage_hash").filter((day % 5) != 0)
@@ -142,6 +168,7 @@ def incoming_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         "input_tokens": F.col("input_tokens") + bump, "reported_total_tokens": F.col("reported_total_tokens") + bump}))
 
 
+@once_per_session
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as uploaded files: their machine is the source, their content the whole text."""
     return table(spark, sf_dir, "documents").select(
@@ -151,6 +178,7 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 9 == 0, "processing").otherwise("processed").alias("status"))
 
 
+@once_per_session
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sessions: id from the first words, counters and days from the text."""
     docs = table(spark, sf_dir, "documents")
@@ -171,6 +199,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.withColumns(fingerprints.session_hashes(F.col)).drop("project_path")
 
 
+@once_per_session
 def document_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily usage of the documents' machines: counts per source, language and day, so that equal rows occur."""
     length = F.length("text").cast("bigint")
@@ -186,6 +215,7 @@ def document_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id": F.concat_ws("/", "machine_id", "agent", F.col("usage_date").cast("string"))}))
 
 
+@once_per_session
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").select("user_id").distinct()
     return users.select(
@@ -196,6 +226,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("user_id") % 3) * 0.05).alias("safety_reserve"))
 
 
+@once_per_session
 def contract_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three workbook imports per account's cycle and one older cycle; some break a rule."""
     base = contracts(spark, sf_dir).withColumn("user_id", F.substring("account", 2, 20).cast("bigint"))
@@ -211,6 +242,7 @@ def contract_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+@once_per_session
 def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded usage per account and day: the running maximum of the readings' fractions, some days blank."""
     events = table(spark, sf_dir, "events")
@@ -220,6 +252,7 @@ def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.when(F.dayofmonth("date") % 6 != 0, fraction).alias("actual"))
 
 
+@once_per_session
 def all_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as polled readings, valid or not: percent may exceed 100."""
     e = table(spark, sf_dir, "events")
@@ -235,11 +268,13 @@ def all_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("provider_resets_at"))
 
 
+@once_per_session
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_readings(spark, sf_dir).filter("percent <= 100").withColumn(
         "fraction", (F.col("percent").cast("decimal(9,4)") / 100).cast("decimal(9,4)")).drop("percent")
 
 
+@once_per_session
 def polled_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same readings as one dense poll per machine: many equal readings close together."""
     return readings(spark, sf_dir).withColumns({
@@ -247,6 +282,7 @@ def polled_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fraction": F.floor(F.dayofmonth("observed_at") / 6).cast("decimal(9,4)"), "status": F.lit("ok")})
 
 
+@once_per_session
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provider payloads of the events; some are malformed in one of several ways."""
     e = all_readings(spark, sf_dir)
@@ -267,6 +303,7 @@ _JSON_NAMES = {"input_tokens": "inputTokens", "output_tokens": "outputTokens", "
                "cache_creation_tokens": "cacheCreationTokens", "reported_total_tokens": "totalTokens"}
 
 
+@once_per_session
 def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON export per machine and week, built from the events; some are damaged on purpose.
 
@@ -301,6 +338,7 @@ def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
                           payload.alias("payload"))
 
 
+@once_per_session
 def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recovered months from the orders: a priority is an agent, and each month has its All row."""
     day = F.col("o_orderdate").cast("date")
@@ -321,6 +359,7 @@ def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
                              "models": F.array(F.lit("gamma"))})
 
 
+@once_per_session
 def recovered_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers summed from the All rows; even years are evidence only."""
     every = recovered(spark, sf_dir).filter("agent = 'All'")
@@ -333,6 +372,7 @@ def recovered_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
             "pricing_complete": year % 3 != 0})
 
 
+@once_per_session
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of line items on m1..m3 to the greatest id of m0 with the same agent and day, current or not."""
     rows = daily_observations(spark, sf_dir)
@@ -342,6 +382,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.lit("m0").alias("canonical_machine_id"))
 
 
+@once_per_session
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each contract as a workbook grid of text cells: labels with values, then a checkpoint table."""
     from ledgerline.operators.pacing import with_actuals, with_schedule

@@ -26,7 +26,8 @@ def _stored(rows: DataFrame, path: str) -> DataFrame | None:
 def append_facts(rows: DataFrame, path: str, keys: list[str], date_column: str = "usage_date") -> None:
     """Append rows whose natural key is not stored, partitioned by month.
 
-    Only the months the batch touches are read for the key check.
+    Only the months the batch touches are read for the key check. The rebalance
+    hint gathers a month's rows into few files and splits a month that holds most of them.
     """
     rows = without_private_columns(rows).withColumn("usage_month", month_key(F.col(date_column)))
     stored = _stored(rows, path)
@@ -35,7 +36,7 @@ def append_facts(rows: DataFrame, path: str, keys: list[str], date_column: str =
     else:
         touched = stored.join(rows.select("usage_month").distinct(), "usage_month", "left_semi")
         fresh = insert_ignore(rows, touched, keys)
-    fresh.repartition("usage_month", F.pmod(F.xxhash64(*keys), F.lit(16))).write.mode("append").partitionBy(
+    fresh.hint("rebalance", "usage_month").write.mode("append").partitionBy(
         "usage_month").parquet(path)
 
 
