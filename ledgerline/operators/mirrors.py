@@ -1,8 +1,10 @@
 """Cross-machine mirror detection: session-set overlap plus exact daily equality.
 
-No machine-by-machine or row-by-row product is formed. Sessions are first
-reduced to distinct fingerprints per machine and agent; links are searched
-from the strong evidence towards equal rows, never from all equal rows.
+Sessions are first reduced to distinct fingerprints per machine and agent.
+Links are searched from the strong mirrors towards equal rows, never from all
+equal rows. Strong mirrors, match totals and the risk flag are found without
+listing the pairs that merely share a fingerprint; only the evidence report
+lists those, because they are what it reports.
 """
 
 from __future__ import annotations
@@ -84,25 +86,83 @@ def rated(pairs: DataFrame, min_matches: int, min_overlap: float) -> DataFrame:
              "exact_overlap_ratio", "evidence_start", "evidence_end", "risk_start", "risk_end", "strong")
 
 
+def _with_others(fingerprints: DataFrame, existing: DataFrame) -> DataFrame:
+    """Add `others`: how many other machines hold the fingerprint. Counted per fingerprint, not paired."""
+    held = _fingerprints(existing).distinct()
+    holders = held.groupBy("kind", "agent", "hash").agg(F.count(F.lit(1)).alias("holders"))
+    return (
+        fingerprints.join(holders, ["kind", "agent", "hash"])
+        .join(held.withColumn("_own", F.lit(1)), ["kind", "agent", "hash", "machine_id"], "left")
+        .withColumn("others", F.col("holders") - F.coalesce("_own", F.lit(0))).drop("holders", "_own")
+        .filter("others > 0")
+    )
+
+
 def match_totals(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Exact and identity matches per machine over all other machines, without listing pairs.
+    """Exact and identity matches per machine over all other machines; machines without any are not listed.
 
     A fingerprint known to n machines adds n minus the machine itself.
     """
-    holders = _fingerprints(existing).distinct().groupBy("kind", "agent", "hash").agg(F.count(F.lit(1)).alias("holders"))
-    own = _fingerprints(existing).distinct().withColumn("_own", F.lit(1))
-    counted = (
-        _fingerprints(incoming).distinct()
-        .join(holders, ["kind", "agent", "hash"])
-        .join(own, ["kind", "agent", "hash", "machine_id"], "left")
-        .withColumn("others", F.col("holders") - F.coalesce("_own", F.lit(0)))
-    )
+    counted = _with_others(_fingerprints(incoming).distinct(), existing)
     return counted.groupBy("machine_id").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "mirror", F.col("others"))), F.lit(0)).alias("exact_matches"),
         F.coalesce(F.sum(F.when(F.col("kind") == "identity", F.col("others"))), F.lit(0)).alias("identity_matches"),
     )
 
 
+def _telling(mirrors: DataFrame, sizes: DataFrame, holders: DataFrame, min_matches: int, min_overlap: float) -> DataFrame:
+    """The mirrors of each machine that must show a match with any strong partner at least as large.
+
+    A strong partner shares t or more mirrors, so leaving out up to t - 1 of them
+    loses no partner. Those held by most machines are left out. How many can go is
+    read from a histogram of holder counts, so no machine's sessions meet in one task.
+    """
+    needed = F.greatest(F.lit(min_matches), F.ceil(F.col("sessions") * min_overlap - 1e-9))
+    counted = mirrors.join(holders, ["agent", "hash"])
+    histogram = counted.groupBy("machine_id", "agent", "holders").agg(F.count(F.lit(1)).alias("n")).join(sizes, ["machine_id", "agent"])
+    from_top = Window.partitionBy("machine_id", "agent").orderBy(F.col("holders").desc())
+    limits = histogram.withColumn("_dropped", F.sum("n").over(from_top)).groupBy("machine_id", "agent").agg(
+        F.min(F.when(F.col("_dropped") <= needed - 1, F.col("holders"))).alias("_from"))
+    return spread_join(counted, limits, ["machine_id", "agent"], ["hash"]).filter(
+        F.col("_from").isNull() | (F.col("holders") < F.col("_from"))).drop("_from", "holders")
+
+
+def strong_mirrors(incoming: DataFrame, existing: DataFrame, min_matches: int = LIMITS.min_session_matches,
+                   min_overlap: float = LIMITS.min_session_overlap) -> DataFrame:
+    """The strong pairs of session_evidence, without forming the weak ones.
+
+    Every pair is looked for and counted from its smaller side.
+    """
+    left = incoming_fingerprints(incoming).filter("kind = 'mirror'").drop("kind")
+    right = _fingerprints(existing).filter("kind = 'mirror'").drop("kind").distinct()
+    left_sizes, right_sizes = identity_counts(incoming, "sessions"), identity_counts(existing, "sessions")
+    holders = right.unionByName(left.select(right.columns)).distinct().groupBy("agent", "hash").agg(F.count(F.lit(1)).alias("holders"))
+
+    def other(rows: DataFrame) -> DataFrame:
+        return rows.withColumnRenamed("machine_id", "other_machine_id")
+
+    differ = F.col("machine_id") != F.col("other_machine_id")
+    from_left = _telling(left, left_sizes, holders, min_matches, min_overlap).select("machine_id", "agent", "hash").join(
+        other(right), ["agent", "hash"]).filter(differ)
+    from_right = other(_telling(right, right_sizes, holders, min_matches, min_overlap)).select(
+        "other_machine_id", "agent", "hash").join(left.select("machine_id", "agent", "hash"), ["agent", "hash"]).filter(differ)
+    sized = (
+        from_left.select(*PAIR).unionByName(from_right.select(*PAIR)).distinct()
+        .join(left_sizes.withColumnRenamed("sessions", "incoming_sessions"), ["machine_id", "agent"])
+        .join(other(right_sizes).withColumnRenamed("sessions", "existing_sessions"), ["other_machine_id", "agent"])
+    )
+    by_left = sized.filter("incoming_sessions <= existing_sessions").join(left, ["machine_id", "agent"]).join(
+        other(right), ["other_machine_id", "agent", "hash"])
+    by_right = sized.filter("incoming_sessions > existing_sessions").join(other(right), ["other_machine_id", "agent"]).join(
+        left, ["machine_id", "agent", "hash"])
+    unknown = F.lit(None).cast("date")
+    pairs = by_left.unionByName(by_right).groupBy(*PAIR, "incoming_sessions", "existing_sessions").agg(
+        F.count(F.lit(1)).alias("exact_matches"), F.min("starts").alias("evidence_start"), F.max("ends").alias("evidence_end"),
+    ).withColumns({"identity_matches": F.lit(None).cast("bigint"), "_risk_start": unknown, "_risk_end": unknown})
+    return rated(pairs, min_matches, min_overlap).filter("strong").select(
+        *PAIR, "incoming_sessions", "existing_sessions", "exact_matches", "exact_overlap_ratio", "evidence_start", "evidence_end", "strong")
+
+
 def _canonical(existing: DataFrame) -> DataFrame:
     rows = existing.filter(~F.col("is_tombstone"))
     if "global_duplicate" in existing.columns:
@@ -125,7 +185,7 @@ def exact_daily_holders(daily: DataFrame) -> DataFrame:
 
 def choose_links(incoming: DataFrame, existing: DataFrame, evidence: DataFrame,
                  raw_matches: DataFrame | None = None) -> DataFrame:
-    """At most one canonical row per incoming row.
+    """At most one canonical row per incoming row. `evidence` is strong_mirrors or session_evidence.
 
     A machine with the same raw file comes first; then the strongest evidence
     whose window covers the day and whose machine holds an equal row. Ties go to
@@ -162,18 +222,39 @@ def choose_links(incoming: DataFrame, existing: DataFrame, evidence: DataFrame,
     )
 
 
-def partial_mirror_risk(incoming: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per machine: is there an unlinked row whose day lies in a window of shared sessions?"""
-    rows = incoming.filter(~F.col("is_tombstone")).select(*ROW_KEY)
-    unlinked = rows.join(links.select(*ROW_KEY), ROW_KEY, "left_anti")
-    # The windows of one machine and agent are merged first, so a day meets each stretch once.
-    windows = merged_windows(evidence.filter("exact_matches > 0 or identity_matches > 0"))
-    risky = spread_join(unlinked, windows, ["machine_id", "agent"], ["usage_date"], "inner").filter(
-        F.col("risk_start").isNull() | F.col("risk_end").isNull()
-        | F.col("usage_date").between(F.col("risk_start"), F.col("risk_end")))
-    flagged = risky.select("machine_id").distinct().withColumn("_risk", F.lit(True))
-    return rows.select("machine_id").distinct().join(flagged, "machine_id", "left").select(
-        "machine_id", F.coalesce("_risk", F.lit(False)).alias("partial_mirror_risk"))
+def partial_mirror_risk(rows: DataFrame, links: DataFrame, incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """Per machine: is there an unlinked row whose day lies in a window of sessions shared with one other machine?
+
+    The days of a single shared session settle most machines. Pairs are formed
+    only for machines and agents left open: a row between two shared sessions
+    counts if the same other machine holds both.
+    """
+    side = ["machine_id", "agent"]
+    live = rows.filter(~F.col("is_tombstone")).select(*ROW_KEY)
+    unlinked = live.join(links.select(*ROW_KEY, F.lit(True).alias("_linked")), ROW_KEY, "left")
+    shared = _with_others(incoming_fingerprints(incoming).filter("kind = 'identity'"), existing)
+    dated = shared.filter("starts is not null and ends is not null").select(
+        *side, F.col("starts").alias("risk_start"), F.col("ends").alias("risk_end"))
+    stretches = merged_windows(dated).groupBy(*side).agg(F.collect_list(F.struct("risk_start", "risk_end")).alias("_stretches"))
+    spans = shared.groupBy(*side).agg(
+        F.min("starts").alias("_first"), F.max("ends").alias("_last"),
+        F.bool_or(F.col("starts").isNull() | F.col("ends").isNull()).alias("_undated")).join(stretches, side, "left")
+    day = F.col("usage_date")
+    sure = F.exists("_stretches", lambda w: day.between(w["risk_start"], w["risk_end"]))
+    possible = F.col("_undated") | day.between(F.col("_first"), F.col("_last"))
+    free = F.col("_linked").isNull()
+    # One row per machine and agent; the open days of a side are at most the days of its calendar.
+    verdict = spread_join(unlinked, spans, side, ["usage_date"]).groupBy(*side).agg(
+        F.coalesce(F.bool_or(free & sure), F.lit(False)).alias("_sure"),
+        F.collect_set(F.when(free & possible, day)).alias("_open"))
+    undecided = verdict.filter(~F.col("_sure") & (F.size("_open") > 0))
+    pairs = session_evidence(incoming.join(undecided.select(*side), side, "left_semi"), existing)
+    windows = merged_windows(pairs).groupBy(*side).agg(F.collect_list(F.struct("risk_start", "risk_end")).alias("_windows"))
+    in_window = F.exists("_open", lambda d: F.exists("_windows", lambda w: (
+        w["risk_start"].isNull() | w["risk_end"].isNull() | d.between(w["risk_start"], w["risk_end"]))))
+    settled = verdict.join(windows, side, "left").withColumn(
+        "_risk", F.col("_sure") | ((F.size("_open") > 0) & F.coalesce(in_window, F.lit(False))))
+    return settled.groupBy("machine_id").agg(F.bool_or("_risk").alias("partial_mirror_risk"))
 
 
 def merged_windows(evidence: DataFrame) -> DataFrame:
@@ -229,16 +310,14 @@ def validate_links(links: DataFrame, current: DataFrame, observations: DataFrame
     )
 
 
-def match_flags(evidence: DataFrame, raw_matches: DataFrame | None = None) -> DataFrame:
-    """Per machine: did anything match another machine, and which mirrors are strong."""
+def match_flags(totals: DataFrame, strong: DataFrame, raw_matches: DataFrame | None = None) -> DataFrame:
+    """Per machine: did anything match another machine, and which mirrors are strong.
+
+    `totals` is match_totals, `strong` is strong_mirrors.
+    """
+    matched = totals.filter("exact_matches > 0 or identity_matches > 0").select("machine_id")
+    if raw_matches is not None:
+        matched = matched.union(raw_matches.filter(F.col("other_machine_id").isNotNull()).select("machine_id"))
     mirror = F.struct("other_machine_id", "agent", "exact_matches", "exact_overlap_ratio", "evidence_start", "evidence_end")
-    by_machine = evidence.groupBy("machine_id").agg(
-        F.bool_or((F.col("exact_matches") > 0) | (F.col("identity_matches") > 0)).alias("_sessions"),
-        F.array_sort(F.collect_list(F.when(F.col("strong"), mirror))).alias("strong_mirrors"))
-    if raw_matches is None:
-        return by_machine.withColumnRenamed("_sessions", "cross_machine_match")
-    files = raw_matches.filter(F.col("other_machine_id").isNotNull()).select("machine_id").distinct().withColumn("_file", F.lit(True))
-    return by_machine.join(files, "machine_id", "full_outer").select(
-        "machine_id",
-        (F.coalesce("_sessions", F.lit(False)) | F.coalesce("_file", F.lit(False))).alias("cross_machine_match"),
-        F.coalesce("strong_mirrors", F.filter("strong_mirrors", lambda _: F.lit(False))).alias("strong_mirrors"))
+    listed = strong.groupBy("machine_id").agg(F.array_sort(F.collect_list(mirror)).alias("strong_mirrors"))
+    return matched.distinct().join(listed, "machine_id", "left").withColumn("cross_machine_match", F.lit(True))

@@ -18,6 +18,12 @@ def _evidence(spark, d):
     return mirrors.session_evidence(rows, rows, MATCHES, OVERLAP)
 
 
+@v.once_per_session
+def _strong(spark, d):
+    rows = v.sessions(spark, d)
+    return mirrors.strong_mirrors(rows, rows, MATCHES, OVERLAP)
+
+
 @v.once_per_session
 def _raw(spark, d):
     """Part of the files take part as raw matches, so that both kinds of link occur."""
@@ -29,7 +35,7 @@ def _raw(spark, d):
 @v.once_per_session
 def _links(spark, d):
     rows = v.document_daily(spark, d)
-    return mirrors.choose_links(rows, rows, _evidence(spark, d), _raw(spark, d))
+    return mirrors.choose_links(rows, rows, _strong(spark, d), _raw(spark, d))
 
 
 @query("m01_exact_daily_holders", ("document_daily",), f"""
@@ -49,17 +55,24 @@ def session_evidence(spark, d):
 
 @query("m02_match_totals", ("evidence",), """
   SELECT machine_id, sum(exact_matches)::BIGINT AS exact_matches, sum(identity_matches)::BIGINT AS identity_matches
-  FROM (SELECT machine_id, exact_matches, identity_matches FROM evidence
-    UNION ALL SELECT DISTINCT source, 0, 0 FROM documents) GROUP BY 1""")
+  FROM evidence GROUP BY 1""")
 def match_totals(spark, d):
     rows = v.sessions(spark, d)
     return mirrors.match_totals(rows, rows)
 
 
+@query("m05_strong_pairs_of_two", ("evidence",), """
+  SELECT machine_id, other_machine_id, agent, exact_matches, round(exact_overlap_ratio, 6) AS exact_overlap_ratio FROM evidence
+  WHERE exact_matches >= 2 AND exact_overlap_ratio >= 0.05 AND evidence_start IS NOT NULL""")
+def strong_pairs_of_two(spark, d):
+    rows = v.sessions(spark, d)
+    return mirrors.strong_mirrors(rows, rows, 2, 0.05).select("machine_id", "other_machine_id", "agent", "exact_matches", "exact_overlap_ratio")
+
+
 @query("m05_strong_pairs", ("evidence",), f"""
   SELECT machine_id, other_machine_id, agent FROM evidence WHERE exact_matches >= {MATCHES} AND exact_overlap_ratio >= {OVERLAP} AND evidence_start IS NOT NULL""")
 def strong_pairs(spark, d):
-    return _evidence(spark, d).filter("strong").select("machine_id", "other_machine_id", "agent")
+    return _strong(spark, d).select("machine_id", "other_machine_id", "agent")
 
 
 @query("m06_links", ("chosen_links",), f"""
@@ -77,9 +90,8 @@ def links(spark, d):
       AND NOT EXISTS (SELECT 1 FROM chosen_links k WHERE k.machine_id = a.machine_id AND k.agent = a.agent AND k.usage_date = a.usage_date) AS risky
     FROM document_daily a) GROUP BY 1""")
 def partial_mirror_risk(spark, d):
-    rows = v.document_daily(spark, d)
-    evidence = _evidence(spark, d)
-    return mirrors.partial_mirror_risk(rows, mirrors.choose_links(rows, rows, evidence, _raw(spark, d)), evidence)
+    rows = v.sessions(spark, d)
+    return mirrors.partial_mirror_risk(v.document_daily(spark, d), _links(spark, d), rows, rows)
 
 
 @query("m08_tokens_prevented", ("chosen_links",), """
@@ -107,5 +119,5 @@ def validated_links(spark, d):
 def match_flags(spark, d):
     files = v.raw_files(spark, d)
     raw = imports.same_content_elsewhere(files.select("import_id", "machine_id", "raw_sha256"), files)
-    return mirrors.match_flags(_evidence(spark, d), raw).select(
+    return mirrors.match_flags(match_totals(spark, d), _strong(spark, d), raw).select(
         "machine_id", "cross_machine_match", F.coalesce(F.size("strong_mirrors"), F.lit(0)).alias("strong_mirrors"))
