@@ -180,14 +180,16 @@ def promote(imports: DataFrame, now: Column, rows: DataFrame, stored_rows: DataF
     """Promote every import in processing at once.
 
     Rows of imports in another state are ignored; a row already stored for its
-    import is not stored again.
+    import is not stored again. Stored rows carry the processing time, so that
+    current_daily reads them without joining the imports.
     """
     pending = imports.filter(F.col("status") == "processing").select("import_id")
 
     def fresh(incoming, stored, keys):
         if incoming is None:
             return None
-        return insert_ignore(incoming.join(pending, "import_id", "left_semi"), stored, keys)
+        rows = insert_ignore(incoming.join(pending, "import_id", "left_semi"), stored, keys)
+        return rows.withColumn("processed_at", now)
 
     daily = fresh(rows, stored_rows, ["import_id", "agent", "usage_date"])
     models = fresh(model_rows, stored_models, ["import_id", "agent", "model", "usage_date"])

@@ -8,12 +8,19 @@ DAILY_KEYS = ["machine_id", "agent", "usage_date"]
 MODEL_KEYS = ["machine_id", "agent", "model", "usage_date"]
 
 
-def accepted_revisions(observations: DataFrame, imports: DataFrame) -> DataFrame:
+def accepted_revisions(observations: DataFrame, imports: DataFrame | None) -> DataFrame:
+    """Revisions of processed imports with their processing time.
+
+    Promotion stores the time on each row (see imports.promote). Such facts hold
+    processed rows only and need no join, which saves a shuffle of the whole table.
+    """
+    if imports is None:
+        return observations
     accepted = imports.filter(F.col("status") == "processed").select("import_id", "processed_at")
     return observations.join(accepted, "import_id")
 
 
-def latest_revision(observations: DataFrame, imports: DataFrame, keys: list[str] = DAILY_KEYS) -> DataFrame:
+def latest_revision(observations: DataFrame, imports: DataFrame | None, keys: list[str] = DAILY_KEYS) -> DataFrame:
     """Latest processed revision per key, tombstones hidden.
 
     Ranking by rank = 1 lets Spark keep one row per key in every task before the
@@ -30,11 +37,11 @@ def latest_revision(observations: DataFrame, imports: DataFrame, keys: list[str]
     )
 
 
-def current_daily(observations: DataFrame, imports: DataFrame) -> DataFrame:
+def current_daily(observations: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     return latest_revision(observations, imports, DAILY_KEYS)
 
 
-def current_models(observations: DataFrame, imports: DataFrame) -> DataFrame:
+def current_models(observations: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     return latest_revision(observations, imports, MODEL_KEYS)
 
 

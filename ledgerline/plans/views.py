@@ -255,7 +255,10 @@ def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @once_per_session
 def all_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as polled readings, valid or not: percent may exceed 100."""
-    e = table(spark, sf_dir, "events")
+    return _polled(table(spark, sf_dir, "events"))
+
+
+def _polled(e: DataFrame) -> DataFrame:
     at = F.col("ts").cast("timestamp")
     return e.select(
         F.concat(F.lit("u"), "user_id").alias("account"), F.col("event_id").alias("reading_id"), at.alias("observed_at"),
@@ -270,10 +273,19 @@ def all_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @once_per_session
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_readings(spark, sf_dir).filter("percent <= 100").withColumn(
+    return _valid(all_readings(spark, sf_dir))
+
+
+def _valid(rows: DataFrame) -> DataFrame:
+    return rows.filter("percent <= 100").withColumn(
         "fraction", (F.col("percent").cast("decimal(9,4)") / 100).cast("decimal(9,4)")).drop("percent")
 
 
+def as_readings(events: DataFrame) -> DataFrame:
+    """The readings view of any events frame, streams included."""
+    return _valid(_polled(events))
+
+
 @once_per_session
 def polled_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same readings as one dense poll per machine: many equal readings close together."""

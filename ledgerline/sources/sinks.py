@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerline.functions.dates import month_key
 from ledgerline.operators.imports import insert_ignore
@@ -23,6 +23,17 @@ def _stored(rows: DataFrame, path: str) -> DataFrame | None:
         return None
 
 
+def read_facts(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None,
+               date_column: str = "usage_date") -> DataFrame:
+    """Stored facts of a range of days. The range also names the months, so other months are not listed or read."""
+    rows = spark.read.parquet(path)
+    if first_day is not None:
+        rows = rows.filter((F.col("usage_month") >= first_day[:7]) & (F.col(date_column) >= F.lit(first_day).cast("date")))
+    if last_day is not None:
+        rows = rows.filter((F.col("usage_month") <= last_day[:7]) & (F.col(date_column) <= F.lit(last_day).cast("date")))
+    return rows
+
+
 def append_facts(rows: DataFrame, path: str, keys: list[str], date_column: str = "usage_date") -> None:
     """Append rows whose natural key is not stored, partitioned by month.
 

@@ -165,6 +165,8 @@ def test_promotion_is_idempotent(spark):
     first = imports.promote(made, F.lit(T(2026, 8, 9)), rows, facts.limit(0))
     assert [(r.import_id, r.inserted_rows) for r in first.counts.collect()] == [("i3", 1)]
     assert first.imports.filter("status = 'processed'").count() == 4
+    stored = first.daily.withColumn("created_at", F.lit(T(2026, 8, 9)))
+    assert [(r.agent, r.reported_total_tokens) for r in revisions.current_daily(stored).collect()] == [("a", 99)]
     again = imports.promote(made, F.lit(T(2026, 8, 9)), rows, first.daily)
     assert again.counts.collect()[0].inserted_rows == 0
     assert imports.promote(first.imports, F.lit(T(2026, 8, 9)), rows, facts.limit(0)).daily.count() == 0
@@ -214,6 +216,9 @@ def test_append_twice_stores_once(spark, tmp_path):
     stored = spark.read.parquet(path)
     assert stored.count() == 3 and "project_path" not in stored.columns
     assert stored.select("usage_month").distinct().collect()[0][0] == "2026-08"
+    assert sinks.read_facts(spark, path, "2026-08-02", "2026-08-02").count() == 1
+    plan = sinks.read_facts(spark, path, "2026-08-02")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(usage_month" in plan
 
 
 @pytest.mark.parametrize("value, expected", [(1, 1), (LIMITS.max_counter, LIMITS.max_counter)])
