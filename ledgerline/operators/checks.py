@@ -10,7 +10,13 @@ from ledgerline.functions.fingerprints import COUNTERS, FIVE_COUNTERS
 from ledgerline.functions.text import CONTROL_CHARACTERS, is_sha256, trimmed
 from ledgerline.operators.skew import spread_join
 
-MACHINE_ID = r"^[a-z0-9][a-z0-9-]{0,62}[a-z0-9]$|^[a-z0-9]$"
+# What the registry and the commands accept.
+MACHINE_ID = r"^[a-z0-9][a-z0-9-]{1,63}$"
+MAX_NAME_CHARS = 100
+MAX_COMMAND_CHARS = 2048
+COMMAND_CONTROL_CHARACTERS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+MAX_STATUS_CHARS = 64
+MAX_FETCH_MILLIS = 600_000
 
 
 def future_dated(imports: DataFrame, now: Column, zone: str) -> DataFrame:
@@ -34,7 +40,14 @@ def registry_rejects(commands: DataFrame, machines: DataFrame) -> DataFrame:
     return checked.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_known")
 
 
-def name_violation(name: Column, max_chars: int = 80) -> Column:
+def command_violation(command: Column) -> Column:
+    """Collection commands may hold tabs and line ends, but no other control characters."""
+    clean = trimmed(command)
+    return F.when(F.length(clean) > MAX_COMMAND_CHARS, "command too long").when(
+        clean.rlike(COMMAND_CONTROL_CHARACTERS), "control characters in command")
+
+
+def name_violation(name: Column, max_chars: int = MAX_NAME_CHARS) -> Column:
     clean = trimmed(name)
     return F.when(clean == "", "empty name").when(F.length(clean) > max_chars, "name too long").when(
         clean.rlike(CONTROL_CHARACTERS), "control characters in name")
@@ -138,6 +151,14 @@ def recovered_set_rules() -> dict[str, Column]:
     }
 
 
+def recovered_origin_rules() -> dict[str, Column]:
+    return {
+        "source machine count": _col("source_machine_count") > 0,
+        "confidence": _col("confidence") == "exact_monthly_aggregate",
+        "granularity": _col("granularity") == "monthly_agent",
+    }
+
+
 def contract_rules() -> dict[str, Column]:
     plan = [_col(n) for n in ("baseline", "hard_limit", "safety_reserve", "planned_ceiling")]
     known = plan[0].isNotNull() & plan[1].isNotNull() & plan[2].isNotNull() & plan[3].isNotNull()
@@ -157,7 +178,8 @@ def contract_rules() -> dict[str, Column]:
 def reading_rules() -> dict[str, Column]:
     return {
         "fraction in range": _col("fraction").between(0, 1),
-        "duration not negative": _col("fetch_duration_ms") >= 0,
+        "status length": F.length("status").between(1, MAX_STATUS_CHARS),
+        "fetch duration": _col("fetch_duration_ms").between(0, MAX_FETCH_MILLIS),
     }
 
 

@@ -62,15 +62,18 @@ def collection_hints(machines: DataFrame, watermark: DataFrame, evidence: DataFr
 def mark_exact_duplicates(files: DataFrame, keys: list[str]) -> DataFrame:
     """The first file per key stays; later equal files become exact duplicates of it.
 
-    `files(import_id, created_at, keys...)`. Groups with one file are never
-    looked up, and a group holding most files is spread over many tasks.
+    `files(import_id, created_at, keys...)`. Where a status is given, only files
+    in processing or processed take part: a failed import may be delivered again.
+    Groups with one file are never looked up, and a group holding most files is
+    spread over many tasks.
     """
-    groups = files.groupBy(*keys).agg(
+    counts = F.col("status").isin(*ACTIVE) if "status" in files.columns else F.lit(True)
+    groups = files.filter(counts).groupBy(*keys).agg(
         F.min(F.struct("created_at", "import_id"))["import_id"].alias("_first"),
         F.count(F.lit(1)).alias("_copies"),
     ).filter("_copies > 1")
     looked_up = hot_lookup(files, groups, keys, "_copies", ["import_id"])
-    is_copy = F.col("_first").isNotNull() & (F.col("_first") != F.col("import_id"))
+    is_copy = counts & F.col("_first").isNotNull() & (F.col("_first") != F.col("import_id"))
     return looked_up.withColumns({
         "is_exact_duplicate": is_copy,
         "duplicate_of_import_id": F.when(is_copy, F.col("_first")),

@@ -163,10 +163,11 @@ def in_scope(rows: DataFrame, filters: Filters) -> DataFrame:
 
 
 def within_range(rows: DataFrame, anchor: DataFrame, span: str) -> DataFrame:
-    """Last n days counted back from the newest day of `anchor`; all rows for the open range."""
+    """Last n days counted back from the newest day of `anchor`; all rows for the open range or without an anchor."""
     if span == ALL:
         return rows
-    start = F.date_sub(anchor.agg(F.max("usage_date").alias("d")).scalar(), RANGES[span] - 1)
+    first = F.lit("0001-01-01").cast("date")
+    start = F.coalesce(F.date_sub(anchor.agg(F.max("usage_date").alias("d")).scalar(), RANGES[span] - 1), first)
     return rows.filter(F.col("usage_date") >= start)
 
 

@@ -140,6 +140,20 @@ def test_exact_duplicates_of_one_hot_file(spark):
     assert {v for v in got.values() if v} == {"f001"} and sum(v is not None for v in got.values()) == 199
 
 
+def test_failed_file_may_be_delivered_again(spark):
+    made = files(spark, [("1", "m", "h"), ("2", "m", "h"), ("3", "m", "h")]).withColumn(
+        "status", F.when(F.col("import_id") == "1", "failed").otherwise("processed"))
+    got = {r.import_id: r.duplicate_of_import_id for r in imports.mark_exact_duplicates(made, ["machine_id", "raw_sha256"]).collect()}
+    assert got == {"1": None, "2": None, "3": "2"}
+
+
+@pytest.mark.parametrize("machine, known", [("m1", True), ("m", False), ("M1", False), ("-m1", False), ("off", False), ("gone", False)])
+def test_registry(spark, machine, known):
+    machines = spark.createDataFrame([("m1", True), ("m", True), ("off", False)], "machine_id string, is_active boolean")
+    commands = spark.createDataFrame([("1", machine)], "import_id string, machine_id string")
+    assert (checks.registry_rejects(commands, machines).count() == 0) is known
+
+
 def test_same_content_elsewhere_takes_the_earliest_other_machine(spark):
     made = files(spark, [("1", "a", "h"), ("2", "a", "h"), ("3", "b", "h"), ("4", "c", "h"), ("5", "c", "k")])
     got = {r.import_id: r.other_import_id for r in imports.same_content_elsewhere(made.select("import_id", "machine_id", "raw_sha256"), made).collect()}
