@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.config import LIMITS
 from ledgerline.operators.skew import with_previous
+from ledgerline.session import materialized
 
 MICROS = 1_000_000
 
@@ -202,9 +203,9 @@ def stored_readings(readings: DataFrame, rule: AppendRule = ATOMIC, decided_at:
     are replayed in the order they were observed.
     """
     size = block_hours * 3600 * MICROS
-    marked = mark_certain(readings, rule, decided_at).withColumns({
+    marked = materialized(mark_certain(readings, rule, decided_at).withColumns({
         "block": F.floor(F.col("observed") / size).cast("bigint"),
-        "before_block": F.floor(F.col("before_observed") / size).cast("bigint")})
+        "before_block": F.floor(F.col("before_observed") / size).cast("bigint")}), "marked")
     key = ["account", "block"]
     row_order = [*key, "observed", "reading_id"]
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ledgerline.config import LIMITS
 from ledgerline.functions.fingerprints import FIVE_COUNTERS
 from ledgerline.operators.skew import spread_join
+from ledgerline.session import materialized
 
 ROW_KEY = ["machine_id", "agent", "usage_date"]
 PAIR = ["machine_id", "other_machine_id", "agent"]
@@ -131,11 +132,13 @@ def strong_mirrors(incoming: DataFrame, existing: DataFrame, min_matches: int =
                    min_overlap: float = LIMITS.min_session_overlap) -> DataFrame:
     """The strong pairs of session_evidence, without forming the weak ones.
 
-    Every pair is looked for and counted from its smaller side.
+    Every pair is looked for and counted from its smaller side. The distinct
+    fingerprints and the session counts are read many times and are written once.
     """
-    left = incoming_fingerprints(incoming).filter("kind = 'mirror'").drop("kind")
-    right = _fingerprints(existing).filter("kind = 'mirror'").drop("kind").distinct()
-    left_sizes, right_sizes = identity_counts(incoming, "sessions"), identity_counts(existing, "sessions")
+    left = materialized(incoming_fingerprints(incoming).filter("kind = 'mirror'").drop("kind"), "mirrors")
+    right = materialized(_fingerprints(existing).filter("kind = 'mirror'").drop("kind").distinct(), "mirrors")
+    left_sizes = materialized(identity_counts(incoming, "sessions"), "sizes")
+    right_sizes = materialized(identity_counts(existing, "sessions"), "sizes")
     holders = right.unionByName(left.select(right.columns)).distinct().groupBy("agent", "hash").agg(F.count(F.lit(1)).alias("holders"))
 
     def other(rows: DataFrame) -> DataFrame:
@@ -247,6 +250,7 @@ def partial_mirror_risk(rows: DataFrame, links: DataFrame, incoming: DataFrame,
     verdict = spread_join(unlinked, spans, side, ["usage_date"]).groupBy(*side).agg(
         F.coalesce(F.bool_or(free & sure), F.lit(False)).alias("_sure"),
         F.collect_set(F.when(free & possible, day)).alias("_open"))
+    verdict = materialized(verdict, "verdict")
     undecided = verdict.filter(~F.col("_sure") & (F.size("_open") > 0))
     pairs = session_evidence(incoming.join(undecided.select(*side), side, "left_semi"), existing)
     windows = merged_windows(pairs).groupBy(*side).agg(F.collect_list(F.struct("risk_start", "risk_end")).alias("_windows"))

@@ -10,6 +10,7 @@ from ledgerline.operators import checks, diff, imports, normalize, revisions
 from ledgerline.plans import views as v
 from ledgerline.plans.oracles import DAILY_HASH
 from ledgerline.plans.registry import day, moment, money, query
+from ledgerline.session import materialized
 from ledgerline.sources import sinks, snapshots, tables
 
 FIVE = ", ".join(FIVE_COUNTERS)
@@ -201,9 +202,10 @@ def current_models(spark, d):
         "machine_id", "agent", "model", "usage_date", "id", "reported_total_tokens", "usage_hash")
 
 
-@v.once_per_session
 def _flagged(spark, d):
-    return revisions.with_mirror_flag(revisions.current_daily(v.daily_observations(spark, d), v.imports(spark, d)), v.links(spark, d))
+    """The current rows are read from both ends of a link, so they are ranked once and written."""
+    current = materialized(revisions.current_daily(v.observations(spark, d).drop("model"), v.imports(spark, d)), "current")
+    return revisions.with_mirror_flag(current, v.links(spark, d))
 
 
 @query("c03_mirror_flag", ("flagged_daily",), f"""

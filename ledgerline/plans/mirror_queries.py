@@ -18,7 +18,6 @@ def _evidence(spark, d):
     return mirrors.session_evidence(rows, rows, MATCHES, OVERLAP)
 
 
-@v.once_per_session
 def _strong(spark, d):
     rows = v.sessions(spark, d)
     return mirrors.strong_mirrors(rows, rows, MATCHES, OVERLAP)
@@ -32,7 +31,6 @@ def _raw(spark, d):
     return found.filter(F.col("other_machine_id").isNotNull() & (F.col("import_id") % 50 == 1))
 
 
-@v.once_per_session
 def _links(spark, d):
     rows = v.document_daily(spark, d)
     return mirrors.choose_links(rows, rows, _strong(spark, d), _raw(spark, d))

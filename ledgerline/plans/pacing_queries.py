@@ -8,6 +8,7 @@ from ledgerline.functions import dates, numbers
 from ledgerline.operators import imports, pacing, workbook
 from ledgerline.plans import views as v
 from ledgerline.plans.registry import day, moment, query
+from ledgerline.session import materialized
 
 ZONE = v.ZONE
 
@@ -194,9 +195,9 @@ def serial_dates(spark, d):
         dates.date_cell((serial + 10000).cast("string"), F.lit("12:00"), ZONE).alias("too_late"))
 
 
-@v.once_per_session
 def _grid(spark, d):
-    cells = v.cells(spark, d)
+    """The grid is looked up for labels, headers and rows, so it is built once and written."""
+    cells = materialized(v.cells(spark, d), "cells")
     values = workbook.label_values(cells, workbook.SOURCE_LABELS + workbook.DERIVED_LABELS)
     return cells, values, workbook.read_plans(values, ZONE)
 
@@ -210,7 +211,7 @@ def label_values(spark, d):
 
 @query("w19_missing_labels", ("contracts",), "SELECT contract_id AS workbook_id, 'Safety reserve' AS missing_labels, 'Tracking starts' AS labels_without_value FROM contracts")
 def missing_labels(spark, d):
-    cells = v.cells(spark, d).filter("not (row = 8 and col = 1) and not (row = 3 and col = 3)")
+    cells = materialized(v.cells(spark, d), "cells").filter("not (row = 8 and col = 1) and not (row = 3 and col = 3)")
     return workbook.missing_labels(cells, workbook.label_values(cells, workbook.SOURCE_LABELS + workbook.DERIVED_LABELS))
 
 

@@ -9,6 +9,7 @@ from ledgerline.operators.revisions import current_daily
 from ledgerline.operators.rollups import Filters
 from ledgerline.plans import views as v
 from ledgerline.plans.registry import day, money, query
+from ledgerline.session import materialized
 
 TOKENS = ", ".join(rollups.TOKENS)
 ROW = [*rollups.TOKENS, "reported_cost_usd", "pricing_complete"]
@@ -39,12 +40,16 @@ def _models(spark, d):
     return rollups.canonical_models(v.model_daily(spark, d))
 
 
-@v.once_per_session
+def _evidence(spark, d):
+    """Recovered sets and rows. The orders are summed once per query, not once per check."""
+    rows = materialized(v.recovered(spark, d), "recovered")
+    return v.recovered_sets(rows), rows
+
+
 def _recovered(spark, d):
-    return recovery.project(v.recovered_sets(spark, d), v.recovered(spark, d))
+    return recovery.project(*_evidence(spark, d))
 
 
-@v.once_per_session
 def _with_recovered(spark, d):
     return rollups.build_projection(v.daily(spark, d), v.model_daily(spark, d), _recovered(spark, d))
 
@@ -72,7 +77,7 @@ def seed_mismatches(spark, d):
 @query("a09_corrected_header", ("recovered_sets",), """
   SELECT set_id, CASE WHEN set_id = 'set-1996' THEN 'additive_recovered' ELSE accounting_mode END AS accounting_mode FROM recovered_sets""")
 def corrected_header(spark, d):
-    return recovery.correct_header(v.recovered_sets(spark, d), "set-1996").select("set_id", "accounting_mode")
+    return recovery.correct_header(v.recovered_sets(v.recovered(spark, d)), "set-1996").select("set_id", "accounting_mode")
 
 
 @query("u01_canonical_daily", ("flagged_daily",), f"""
@@ -80,7 +85,8 @@ def corrected_header(spark, d):
   FROM flagged_daily WHERE NOT global_duplicate""")
 def canonical_daily(spark, d):
     from ledgerline.operators.revisions import with_mirror_flag
-    flagged = with_mirror_flag(current_daily(v.daily_observations(spark, d), v.imports(spark, d)), v.links(spark, d))
+    current = materialized(current_daily(v.observations(spark, d).drop("model"), v.imports(spark, d)), "current")
+    flagged = with_mirror_flag(current, v.links(spark, d))
     return rollups.canonical_daily(flagged).select("usage_date", "machine_id", "agent", "total_tokens", "reported_cost_usd", "pricing_complete")
 
 
@@ -109,8 +115,8 @@ def monthly_checks(spark, d):
   SELECT set_id, 0::BIGINT AS months_without_one_all, set_id <> 'set-1998' AS header_matches FROM recovered_sets""")
 def set_checks(spark, d):
     off = F.when(F.col("set_id") == "set-1998", 1).otherwise(0)
-    sets = v.recovered_sets(spark, d).withColumn("total_tokens", F.col("total_tokens") + off)
-    return recovery.set_checks(sets, recovery.monthly_checks(v.recovered(spark, d)))
+    sets, rows = _evidence(spark, d)
+    return recovery.set_checks(sets.withColumn("total_tokens", F.col("total_tokens") + off), recovery.monthly_checks(rows))
 
 
 @query("u05_u08_recovered_projection", ("recovered_rows",), f"SELECT {day('month')}, machine_id, agent, {ROW_SQL} FROM recovered_rows")

@@ -371,10 +371,9 @@ def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
                              "models": F.array(F.lit("gamma"))})
 
 
-@once_per_session
-def recovered_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers summed from the All rows; even years are evidence only."""
-    every = recovered(spark, sf_dir).filter("agent = 'All'")
+def recovered_sets(rows: DataFrame) -> DataFrame:
+    """Headers of recovered rows, summed from their All rows; even years are evidence only."""
+    every = rows.filter("agent = 'All'")
     names = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")
     year = F.substring("set_id", 5, 4).cast("int")
     return every.groupBy("set_id").agg(
@@ -387,7 +386,7 @@ def recovered_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @once_per_session
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of line items on m1..m3 to the greatest id of m0 with the same agent and day, current or not."""
-    rows = daily_observations(spark, sf_dir)
+    rows = observations(spark, sf_dir)
     target = rows.filter("machine_id = 'm0'").groupBy("agent", "usage_date").agg(F.max("id").alias("canonical_observation_id"))
     return rows.filter("machine_id <> 'm0' and cache_read_tokens % 2 = 0").select("id", "agent", "usage_date").join(
         target, ["agent", "usage_date"]).select(F.col("id").alias("observation_id"), "canonical_observation_id",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "ledgerline", master: str | None = None) -> SparkSession:
@@ -41,3 +42,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def materialized(rows: DataFrame, name: str = "step") -> DataFrame:
+    """Write rows once as a new table in the shared checkpoint folder and read them back.
+
+    For results that later steps read several times: each of them would otherwise
+    work the whole plan out again. The table survives the loss of executors, and
+    readers prune its columns and push filters into it.
+    """
+    path = f"{ensure_checkpoint_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
