@@ -133,12 +133,14 @@ def strong_mirrors(incoming: DataFrame, existing: DataFrame, min_matches: int =
     """The strong pairs of session_evidence, without forming the weak ones.
 
     Every pair is looked for and counted from its smaller side. The distinct
-    fingerprints and the session counts are read many times and are written once.
+    fingerprints are read many times and are written once.
     """
-    left = materialized(incoming_fingerprints(incoming).filter("kind = 'mirror'").drop("kind"), "mirrors")
-    right = materialized(_fingerprints(existing).filter("kind = 'mirror'").drop("kind").distinct(), "mirrors")
-    left_sizes = materialized(identity_counts(incoming, "sessions"), "sizes")
-    right_sizes = materialized(identity_counts(existing, "sessions"), "sizes")
+    ours = materialized(incoming_fingerprints(incoming), "fingerprints")
+    theirs = ours if existing is incoming else materialized(_fingerprints(existing).distinct(), "fingerprints")
+    left = ours.filter("kind = 'mirror'").drop("kind")
+    right = theirs.filter("kind = 'mirror'").select("agent", "hash", "machine_id")
+    left_sizes, right_sizes = (
+        side.filter("kind = 'identity'").groupBy("machine_id", "agent").agg(F.count(F.lit(1)).alias("sessions")) for side in (ours, theirs))
     holders = right.unionByName(left.select(right.columns)).distinct().groupBy("agent", "hash").agg(F.count(F.lit(1)).alias("holders"))
 
     def other(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ledgerline.config import ALL, RECOVERED_MACHINE, RECOVERED_MACHINE_NAME
 from ledgerline.functions.dates import month_start, week_start
 from ledgerline.functions.numbers import COST_TYPE, guarded_ratio
 from ledgerline.operators.recovery import ALL_AGENT
+from ledgerline.session import materialized
 
 TOKENS = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens",
           "total_tokens", "accounting_delta_tokens")
@@ -234,8 +235,8 @@ def by_period(rows: DataFrame, period: str) -> DataFrame:
 
 def by_dimension(rows: DataFrame, dimension: str) -> DataFrame:
     """Totals per agent or machine, largest first, with the share of the whole."""
-    whole = rows.agg(F.sum("total_tokens").alias("t")).scalar()
-    sums = rows.groupBy(dimension).agg(F.sum("total_tokens").alias("total_tokens"))
+    sums = materialized(rows.groupBy(dimension).agg(F.sum("total_tokens").alias("total_tokens")), "sums")
+    whole = sums.agg(F.sum("total_tokens").alias("t")).scalar()
     return sums.withColumn("share", guarded_ratio(F.col("total_tokens"), whole)).orderBy(
         F.col("total_tokens").desc(), dimension)
 
@@ -258,7 +259,6 @@ def model_summary(rows: DataFrame) -> DataFrame:
         F.when(attributed, F.col("model"))
         .when(open_rows, F.concat(F.lit("Canonical / "), F.col("agent"), F.lit(" / model attribution unavailable")))
         .otherwise(F.concat_ws(" / ", F.lit("Recovered"), "agent", month)))
-    whole = rows.agg(F.sum("total_tokens").alias("t")).scalar()
     period = F.when(F.col("kind") == RECOVERED, month).otherwise(F.col("usage_date").cast("string"))
     # Summed per agent and period first, so that the distinct counts see few rows.
     fine = rows.withColumns({"key": key, "label": label, "_period": period}).groupBy("key", "label", "kind", "agent", "_period").agg(
@@ -269,6 +269,8 @@ def model_summary(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum("reported_cost_usd"), F.lit(0)).cast(COST_TYPE).alias("reported_cost_usd"),
         F.sum("cost_rows").alias("cost_rows"),
         F.count_distinct("agent").alias("agents"), F.count_distinct("_period").alias("periods"))
+    sums = materialized(sums, "sums")
+    whole = sums.agg(F.sum("total_tokens").alias("t")).scalar()
     return sums.withColumns({
         "share": guarded_ratio(F.col("total_tokens"), whole),
         "cache_share": guarded_ratio(F.col("cache_read_tokens"), F.col("total_tokens")),
