@@ -184,6 +184,37 @@ def violations(spark, d):
     return found.select(F.explode("violations").alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("b24_daily_violations", ("daily",), """
+  SELECT violation, count(*) AS rows FROM (
+    SELECT 'counters not negative' AS violation FROM daily WHERE day(usage_date) % 7 = 0
+    UNION ALL SELECT 'tombstone is zero' FROM daily WHERE agent = 'view'
+    UNION ALL SELECT 'agent length' FROM daily WHERE agent = 'signup'
+    UNION ALL SELECT 'hash format' FROM daily WHERE agent = 'click') GROUP BY 1""")
+def daily_violations(spark, d):
+    """The daily rows with some of them damaged, by day and agent."""
+    agent = F.col("agent")
+    damaged = v.daily(spark, d).withColumns({
+        "input_tokens": F.when(F.dayofmonth("usage_date") % 7 == 0, -1).otherwise(F.col("input_tokens") + 1),
+        "is_tombstone": agent == "view", "usage_hash": F.when(agent == "click", F.upper("usage_hash")).otherwise(F.col("usage_hash")),
+        "agent": F.when(agent == "signup", "  ").otherwise(agent)})
+    found = checks.violations(damaged, checks.daily_rules())
+    return found.select(F.explode("violations").alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("b24_contract_violations", ("contracts",), """
+  SELECT contract_id, 'plan relations' AS violations FROM contracts WHERE baseline + 0.925 > hard_limit - safety_reserve""")
+def contract_violations(spark, d):
+    raised = v.contracts(spark, d).withColumns({
+        "baseline": F.col("baseline") + 0.925, "planned_ceiling": F.col("hard_limit") - F.col("safety_reserve"), "status": F.lit("processed")})
+    return checks.violations(raised, checks.contract_rules()).select("contract_id", "violations")
+
+
+@query("b24_duplicate_keys", ("line_usage",), """
+  SELECT machine_id, agent, usage_date::VARCHAR AS usage_date, count(*) AS rows FROM line_usage GROUP BY machine_id, agent, line_usage.usage_date HAVING count(*) > 1""")
+def duplicate_keys(spark, d):
+    return checks.duplicate_keys(v.observations(spark, d), revisions.DAILY_KEYS)
+
+
 # Revisions and audit
 
 @query("c01_current_daily", ("current_daily",), f"""

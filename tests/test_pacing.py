@@ -33,7 +33,7 @@ def points(frame):
     return pacing.checkpoints(frame).orderBy("day").collect()
 
 
-def test_reference_cycle_has_29_checkpoints(spark):
+def test_monthly_cycle_has_29_checkpoints(spark):
     rows = points(scheduled(spark))
     assert [r.day for r in rows] == list(range(1, 30))
     assert (rows[0].date, rows[-1].date) == (D(2026, 8, 31), D(2026, 9, 28))
