@@ -192,7 +192,13 @@ def mark_certain(readings: DataFrame, rule: AppendRule, decided_at: str) -> Data
 
 
 def _in_blocks(rows: DataFrame, order: list[str], by: list[str]) -> DataFrame:
-    return rows.repartition(*by).sortWithinPartitions(*order)
+    """Rows of one key in one task, sorted.
+
+    The shuffle is on a hash of the key. On the key itself Spark would drop it
+    after a join on the same key, and a join that turns into a broadcast at run
+    time no longer keeps the rows of a key together.
+    """
+    return rows.repartition(F.xxhash64(*by)).sortWithinPartitions(*order)
 
 
 def stored_readings(readings: DataFrame, rule: AppendRule = ATOMIC, decided_at: str = "fetched_at",
