@@ -148,6 +148,26 @@ def test_append_rule_equals_the_direct_fold(spark, step, values, rule, hours):
     assert got == brute(rows, rule)
 
 
+def test_block_replays_keep_their_shuffle(spark):
+    """Without its own exchange a replay could see a block in pieces once a join becomes a broadcast at run time."""
+    frame = spark.createDataFrame(random_readings(1, 50, 900, 1), READING)
+    plan = append.stored_readings(frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == plan.count("Exchange hashpartitioning(xxhash64") == 3
+
+
+def test_append_rule_on_many_partitions(spark):
+    rows = random_readings(17, 6000, 400, 1, accounts=3)
+    frame = spark.createDataFrame(rows, READING)
+    kept = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in kept}
+    for k, value in kept.items():
+        spark.conf.set(k, value)
+    got = {x.reading_id for x in append.stored_readings(frame).select("reading_id").collect()}
+    for k, value in before.items():
+        spark.conf.set(k, value)
+    assert got == brute(rows, append.ATOMIC)
+
+
 def test_append_rule_cases(spark):
     base = T(2026, 9, 5, 12)
     minutes = lambda m: base + dt.timedelta(minutes=m)
