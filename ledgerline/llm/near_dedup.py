@@ -20,16 +20,21 @@ class Settings(NamedTuple):
     """`rows` * `bands` MinHash samples. With 5 and 50 a pair at similarity 0.75 shares no band once in 700,000.
 
     An odd sketch of `bits` bits holds the parity of all samples; its estimate has a
-    standard error of about 0.04 at 0.75. Pairs estimated below `floor` aren't confirmed.
+    standard error of about 0.03 at 0.75. Pairs estimated below `floor` aren't confirmed.
+    Members of buckets that hold several components get fine sketches of more samples, with
+    a standard error of 0.015, and a floor of their own.
     """
 
     percent: int = 75
     size: int = 5
     rows: int = 5
     bands: int = 50
-    bits: int = 512
-    floor: float = 0.55
+    bits: int = 1024
+    floor: float = 0.63
     block: int = 1000
+    fine_samples: int = 1000
+    fine_bits: int = 4096
+    fine_floor: float = 0.69
 
 
 def sketches(docs: DataFrame, s: Settings) -> DataFrame:
@@ -62,6 +67,25 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
         run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
 
 
+def fine_sketches(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """id and an odd sketch of more samples for the documents whose doc_id is in `wanted` (id)."""
+    rng = np.random.Generator(np.random.PCG64(23))
+    factors = rng.integers(0, 2**31, s.fine_samples, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    salts = rng.integers(1, 2**63, s.fine_samples, dtype=np.uint64)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in kernel.slices(batch, "text", 4 << 20):
+                out = []
+                for own in sets_of(part.column("text"), s.size):
+                    with np.errstate(over="ignore"):
+                        out.append(folded(kernel.mixed(samples(own, factors).astype(np.uint64) + salts), s.fine_bits))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], names=["id", "sketch"])
+
+    return texts.mapInArrow(run, "id long, sketch binary").dropDuplicates(["id"])
+
+
 def sets_of(texts: pa.Array, size: int) -> list[np.ndarray]:
     data, bounds = kernel.flat(texts)
     starts, ends = kernel.word_spans(data, bounds)
@@ -136,8 +160,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def across(members: DataFrame, marks: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of one bucket that lie in different components and look similar.
+def across(members: DataFrame, marks: DataFrame, s: Settings, best_only: bool) -> DataFrame:
+    """Pairs of one bucket that lie in different components and look similar; if so asked, only each member's best one.
 
     members: key, id, component, n (size of the bucket). A bucket of more than `block`
     members is cut into blocks; each pair of blocks is one group, so every pair of
@@ -153,11 +177,14 @@ def across(members: DataFrame, marks: DataFrame, s: Settings) -> DataFrame:
         i, j = group["i"].iloc[0], group["j"].iloc[0]
         left = group[group["own"] == i]
         right = group[group["own"] == j] if i != j else left
-        signs = lambda x: np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(-1, s.bits // 64)
+        signs = lambda x: np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(-1, s.fine_bits // 64)
         rights, names, own = signs(right), right["id"].to_numpy(), right["component"].to_numpy()
         a, b = [], []
         for id_, component, sign in zip(left["id"].to_numpy(), left["component"].to_numpy(), signs(left)):
-            good = (estimate(_unlike(sign[None, :], rights), s.bits, s.rows * s.bands) >= s.floor) & (own != component) & ((names > id_) | (i != j))
+            look = estimate(_unlike(sign[None, :], rights), s.fine_bits, s.fine_samples)
+            good = (look >= s.fine_floor) & (own != component) & ((names > id_) | (i != j) | best_only)
+            if best_only and good.any():
+                good = np.array([np.argmax(np.where(good, look, -1.0))])
             b.append(names[good])
             a.append(np.full(len(b[-1]), id_))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -173,10 +200,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     Documents with equal sets are one class from the start, so copies meet once; repeated
     rows share a component. Other columns are not read; an empty table gives no rows.
 
-    Candidates are confirmed in two rounds. First each class of a bucket against the
-    bucket's smallest: this settles groups of near copies with as many pairs as members.
-    Then, in buckets that still hold several components, classes of different components
-    are compared by odd sketch in bounded blocks, and what looks similar is confirmed.
+    Candidates are confirmed in three rounds. First each class of a bucket against the
+    bucket's smallest, then, in buckets that still hold several components, each class and
+    the one of another component that looks most similar to it: this settles groups of near
+    copies with about as many pairs as members. Last, in buckets that are mixed even then,
+    all classes of different components are compared by odd sketch, in bounded blocks, and
+    every pair that looks similar and wasn't tried is confirmed.
     """
     s = settings
     rows = materialized(sketches(docs, s), "sketches")
@@ -190,15 +219,25 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         F.col("key").alias("_key"), "lead", "n"), "leads")
     buckets = materialized(banded.join(leads, F.col("key") == F.col("_key")).drop("_key"), "buckets")
     stars = buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialized(confirmed(materialized(screened(stars, marks, s), "stars"), docs, s), "links")
+    tried = materialized(screened(stars, marks, s), "stars")
+    links = materialized(confirmed(tried, docs, s), "links")
     found = components(links)
-    named = found.select(F.col("node").alias("_node"), "component")
-    labelled = materialized(buckets.join(named, F.col("id") == F.col("_node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select(F.col("key").alias("_key"))
-    mixed = materialized(mixed, "mixed")
-    again = materialized(across(labelled.join(mixed, F.col("key") == F.col("_key")).drop("_key"), marks, s), "across")
-    if not again.isEmpty():
-        found = components(links.unionByName(confirmed(again, docs, s)))
+    for best_only in (True, False):
+        named = found.select(F.col("node").alias("_node"), "component")
+        labelled = materialized(buckets.join(named, F.col("id") == F.col("_node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select(F.col("key").alias("_key"))
+        members = materialized(labelled.join(materialized(mixed, "mixed"), F.col("key") == F.col("_key")).drop("_key"), "mixed-members")
+        if best_only:
+            fine = materialized(fine_sketches(docs, members.select("id").distinct(), s), "fine")
+        pairs = across(members, fine, s, best_only)
+        pairs = materialized(pairs.join(tried, ["a", "b"], "left_anti"), "across")
+        if pairs.isEmpty():
+            break
+        tried = materialized(tried.unionByName(pairs), "tried")
+        more = materialized(confirmed(pairs, docs, s), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
     found = found.select(F.col("node").alias("_node"), "component")
     members = rows.select("doc_id", "n_shingles", "set_key").join(classes.withColumnRenamed("set_key", "_key"), (F.col("set_key") == F.col("_key")) & F.col("doc_id").isNotNull(), "left")
     members = materialized(members.select("doc_id", "n_shingles", "id"), "members")
