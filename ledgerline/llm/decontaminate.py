@@ -31,7 +31,7 @@ def shingled(rows: DataFrame, id_: str, text: str = "text") -> DataFrame:
     """id, n_words and the hashes of all 5-word shingles in order, of lower-cased texts."""
     words = rows.select(F.col(id_).alias("id"), F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), 0).alias("words"))
     hashed = words.select("id", F.size("words").alias("n_words"), F.expr("transform(words, w -> xxhash64(w))").alias("h"))
-    hashed = hashed.filter(F.col("n_words") >= SIZE)
+    hashed = hashed.withColumn("h", F.when(F.col("n_words") >= SIZE, F.col("h")))
     step = lambda name, expr: hashed.withColumn(name, F.expr(expr))
     hashed = step("two", "zip_with(slice(h, 1, n_words - 1), slice(h, 2, n_words - 1), (a, b) -> xxhash64(a, b))")
     hashed = step("four", "zip_with(slice(two, 1, n_words - 3), slice(two, 3, n_words - 3), (a, b) -> xxhash64(a, b))")
@@ -79,17 +79,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     broadcasts it while it is small.
     """
     s = settings
-    items = materialized(shingled(benchmark.filter("item_id IS NOT NULL").dropDuplicates(["item_id"]), "item_id"), "items")
+    items = shingled(benchmark.filter("item_id IS NOT NULL").dropDuplicates(["item_id"]), "item_id")
+    items = materialized(items.filter("shingles IS NOT NULL"), "items")
     places = items.select("id", "n_words", F.posexplode("shingles").alias("place", "h"))
     weights = places.groupBy("h").agg(F.countDistinct("id").alias("df")).select(F.col("h").alias("_h"), F.expr(f"greatest(1, {WEIGHT} div df)").alias("_w"))
     weights = materialized(weights, "weights")
     index = materialized(places.select(F.col("h").alias("_h"), F.col("n_words").alias("n"), "place").distinct(), "places")
     real = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = shingled(real, "doc_id").select("id", "n_words", F.posexplode("shingles").alias("at", "h")).join(index, F.col("h") == F.col("_h"))
+    # The outer form, as for the other one Spark would work the shingles out again in a filter before it.
+    anchors = shingled(real, "doc_id").select("id", "n_words", F.posexplode_outer("shingles").alias("at", "h")).join(index, F.col("h") == F.col("_h"))
     begin = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n_words") - F.col("n")))
     windows = materialized(anchors.select("id", "n", begin.alias("start")).distinct().groupBy("id").agg(F.collect_list(F.struct("n", "start")).alias("windows")), "windows")
     hit = real.join(windows.withColumnRenamed("id", "_id"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "windows")
-    texts = shingled(hit.select(F.struct("doc_id", "windows").alias("both"), "text"), "both").select("id.doc_id", "n_words", "shingles", F.explode("id.windows").alias("w"))
+    texts = shingled(hit.select(F.struct("doc_id", "windows").alias("both"), "text"), "both").select("id.doc_id", "n_words", "shingles", F.explode("id.windows").alias("w")).filter("shingles IS NOT NULL")
     cut = texts.select("doc_id", "w.n", "w.start", F.expr("slice(shingles, w.start + 1, least(w.n, n_words) - 4)").alias("shingles"))
     cut = materialized(cut.withColumn("key", F.concat_ws(":", "n", F.sha2(F.to_json("shingles"), 256))), "cut")
     contents = cut.select("key", "n", "shingles").dropDuplicates(["key"])
