@@ -37,9 +37,15 @@ def local_date(instant: Column, zone: str) -> Column:
     return F.from_utc_timestamp(instant, zone).cast("date")
 
 
+def dated_instant(value: Column) -> Column:
+    """Text that names a day, and perhaps a time of it, as an instant; a clock alone or a bare number is null."""
+    text = trimmed(value.cast("string"))
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T\x20]|$)"), F.try_to_timestamp(text))
+
+
 def instant_millis(value: Column) -> Column:
     """An activity time as an instant in whole milliseconds."""
-    return F.timestamp_millis(F.unix_millis(F.try_to_timestamp(value)))
+    return F.timestamp_millis(F.unix_millis(dated_instant(value)))
 
 
 def wall_to_instant(day: Column, time: Column, zone: str) -> Column:

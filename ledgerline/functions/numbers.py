@@ -30,8 +30,11 @@ def safe_number(value: Column) -> Column:
 
 
 def plain_decimal(value: Column) -> Column:
-    """Decimal text without trailing zeros, as fingerprints use it."""
-    return F.regexp_replace(value.cast(COST_TYPE).cast("string"), r"\.?0+$", "")
+    """Decimal text of a non-negative amount without trailing zeros, as fingerprints use it; no setting changes it."""
+    amount = value.cast(COST_TYPE)
+    whole = F.floor(amount)
+    places = ((amount % F.lit(1).cast("decimal(1,0)")).cast("decimal(13,12)") * F.lit(10**12)).cast("bigint")
+    return F.regexp_replace(F.concat(whole.cast("decimal(38,0)").cast("string"), F.lit("."), F.lpad(places.cast("string"), 12, "0")), r"\.?0+$", "")
 
 
 def fraction_cell(value: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -163,7 +165,9 @@ def import_summary(changes: DataFrame, model_changes: DataFrame, parsed: DataFra
 
 def insert_ignore(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose natural key is not stored yet, one per key."""
-    return incoming.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    known = stored.select(*[F.col(k).alias("_stored_" + k) for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col("_stored_" + k)) for k in keys])
+    return incoming.dropDuplicates(keys).join(known, same, "left_anti")
 
 
 @dataclass(frozen=True)

@@ -186,7 +186,8 @@ def _finished_session(row: Column) -> Column:
 
 
 def _sum_of(rows: Column, name: str) -> Column:
-    return F.aggregate(rows, F.lit(0).cast("bigint"), lambda acc, row: acc + row[name])
+    """As decimal, so that a sum beyond a bigint is a mismatch of its document and not the end of the job."""
+    return F.aggregate(rows, F.lit(0).cast("decimal(38,0)"), lambda acc, row: (acc + row[name]).cast("decimal(38,0)"))
 
 
 def _any(rows: Column, test) -> Column:
@@ -248,8 +249,12 @@ def _day_mismatch(day: Column) -> Column:
 
 
 def well_formed_object(payload: Column) -> Column:
-    """One JSON object and nothing else: wrapped in an array it is exactly one element."""
-    one = F.json_array_length(F.concat(F.lit("["), payload, F.lit("]"))) == 1
+    """One JSON object and nothing else.
+
+    The parser stops behind the first whole value. Wrapped as an array, the payload may end
+    early only by a bracket; wrapped as a member, only by a brace; nothing passes both.
+    """
+    one = (F.json_array_length(F.concat(F.lit("["), payload, F.lit("]"))) == 1) & F.try_parse_json(F.concat(F.lit('{"x":'), payload, F.lit("}"))).isNotNull()
     return F.coalesce(one & payload.rlike(r"^\s*\{") & payload.rlike(r"\}\s*$"), F.lit(False))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.config import LIMITS
+from ledgerline.functions.dates import dated_instant
+from ledgerline.functions.text import trimmed
 from ledgerline.operators.pacing import exploded
 from ledgerline.operators.skew import spread_join, with_previous
 from ledgerline.schemas import READING_PAYLOAD
@@ -32,7 +34,7 @@ def same_reset_window(a: Column, b: Column, tolerance: int = LIMITS.reset_tolera
 
 
 def is_rate_limited(status: Column) -> Column:
-    text = F.translate(F.lower(F.trim(status)), "_", "-")
+    text = F.translate(F.lower(trimmed(status)), "_", "-")
     return text.isin("rate-limited", "exhausted", "limited", "exceeded") | text.contains("rate-limited")
 
 
@@ -50,19 +52,20 @@ def parse_payloads(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     monthly = F.col("_p.usage.monthly")
     percent, status, resets = monthly["percent"], monthly["status"], monthly["resetsAt"]
-    reset_at = F.try_to_timestamp(resets)
+    reset_at = dated_instant(resets)
     # A number quoted as text, and a status given as a number, are malformed; the document keeps its types.
     doc = F.try_parse_json("payload")
     kind = lambda path: F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
     quoted = F.coalesce(kind("$.usage.monthly.percent") == "STRING", F.lit(False))
+    reset_text = F.coalesce(kind("$.usage.monthly.resetsAt") == "STRING", F.lit(False))
     status_text = F.coalesce(kind("$.usage.monthly.status") == "STRING", F.lit(False))
     reason = (
         F.when(doc.isNull(), "malformed document")
         .when(monthly.isNull(), "missing usage.monthly")
         .when(percent.isNull() | quoted | F.isnan(percent) | (percent < 0) | (percent == float("inf")), "malformed percent")
         .when(percent > 100, "percent out of range")
-        .when(status.isNull() | (F.trim(status) == "") | ~status_text, "malformed status")
-        .when(reset_at.isNull(), "malformed reset"))
+        .when(status.isNull() | (trimmed(status) == "") | ~status_text, "malformed status")
+        .when(reset_at.isNull() | ~reset_text, "malformed reset"))
     checked = raw.withColumn("_p", F.from_json("payload", READING_PAYLOAD)).withColumn("reason", reason)
     valid = checked.filter(F.col("reason").isNull()).select(
         "account", "reading_id",

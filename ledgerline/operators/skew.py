@@ -28,11 +28,12 @@ def hot_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str,
                how: str = "left", salts: int = 256, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Join rows to a lookup as large as the rows, salting only its heaviest keys.
 
-    The heaviest keys are at most `hot_keys` rows, whatever the data, so that
-    list is safe to broadcast. Every other key holds at most one part in
-    `hot_keys` of the rows and needs no salt.
+    A key is hot when it holds more than one part in `hot_keys` of the total weight.
+    Fewer than `hot_keys` keys can, whatever the data, so their list is safe to
+    broadcast; keys of equal weight are all hot or none is, so both branches agree.
     """
-    hot = F.broadcast(lookup.orderBy(F.col(weight).desc()).limit(hot_keys).select(*keys).withColumn("_hot", F.lit(True)))
+    total = lookup.agg(F.sum(weight)).scalar()
+    hot = F.broadcast(lookup.filter(F.col(weight) * hot_keys > total).select(*keys).withColumn("_hot", F.lit(True)))
     zero = F.lit(0).cast("bigint")
     salted_rows = rows.join(hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt_of(spread_by, salts)).otherwise(zero)).drop("_hot")

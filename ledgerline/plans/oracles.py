@@ -100,7 +100,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
       FROM documents"""),
     "session_rows": ((), """
       SELECT doc_id AS import_id, source AS machine_id, lang AS agent,
-        regexp_replace(left(text, 40), '[\\s|]', '_', 'g') AS session_id, length(text)::BIGINT AS n,
+        sha256(text) AS session_id, length(text)::BIGINT AS n,
         make_timestamp((1704067200 + (length(text) % 28) * 86400) * 1000000) AS first_activity,
         make_timestamp((1704067200 + (length(text) % 28) * 86400 + (length(text) % 3) * 86400) * 1000000) AS last_activity,
         make_timestamp((1704067200 + doc_id * 60) * 1000000) AS created_at
@@ -149,7 +149,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
             CASE WHEN r.machine_id IS NOT NULL THEN 1.0 ELSE v.exact_overlap_ratio END DESC, b.machine_id) AS rn
         FROM document_daily a JOIN document_daily b ON a.agent = b.agent AND a.usage_date = b.usage_date
           AND a.input_tokens = b.input_tokens AND a.machine_id <> b.machine_id
-        LEFT JOIN (SELECT DISTINCT machine_id, other_machine_id FROM raw_elsewhere WHERE import_id % 50 = 1) r
+        LEFT JOIN (SELECT DISTINCT machine_id, other_machine_id FROM raw_elsewhere) r
           ON r.machine_id = a.machine_id AND r.other_machine_id = b.machine_id
         LEFT JOIN evidence v ON v.machine_id = a.machine_id AND v.other_machine_id = b.machine_id AND v.agent = a.agent
           AND v.exact_matches >= 1 AND v.exact_overlap_ratio >= 0.02 AND a.usage_date BETWEEN v.evidence_start AND v.evidence_end

@@ -30,24 +30,42 @@ def run_to_table(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{folder}/table")
 
 
+def _daily_table(spark, d):
+    folder = f"{ensure_checkpoint_dir(spark)}/daily-{uuid.uuid4().hex}"
+    rollups.append_daily_parts(read_table_stream(spark, d, "events"), f"{folder}/table", f"{folder}/state", ["event_type"],
+                               {"events": "cast(1 as bigint)", "tokens": "cast(floor(value) as bigint)"}).awaitTermination()
+    return rollups.daily_from_parts(spark, f"{folder}/table", ["event_type"], ["events", "tokens"])
+
+
 @query("j01_j05_daily_stream", sql="""
-  SELECT ts::DATE::VARCHAR AS usage_date, event_type, count(*) AS events, sum(floor(value)::BIGINT)::BIGINT AS tokens FROM events
-  WHERE ts::DATE + 1 <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY GROUP BY 1, 2""")
+  SELECT ts::DATE::VARCHAR AS usage_date, event_type, count(*) AS events, sum(floor(value)::BIGINT)::BIGINT AS tokens FROM events GROUP BY 1, 2""")
 def daily_stream(spark, d):
-    """Days that no late event can change any more; the last three are still open."""
-    events = rollups.watermarked(read_table_stream(spark, d, "events"))
-    daily = rollups.daily_observations(events, ["event_type"], {"events": "cast(1 as bigint)", "tokens": "cast(floor(value) as bigint)"})
-    return run_to_table(daily, "daily")
+    """All days, open ones too."""
+    return _daily_table(spark, d)
+
+
+@query("j05_weekly_stream", sql="""
+  SELECT date_trunc('week', ts)::DATE::VARCHAR AS week, event_type, count(*) AS events, sum(floor(value)::BIGINT)::BIGINT AS tokens FROM events GROUP BY 1, 2""")
+def weekly_stream(spark, d):
+    return rollups.weekly_from_daily(_daily_table(spark, d), ["event_type"], ["events", "tokens"])
+
+
+@query("j05_monthly_stream", sql="""
+  SELECT date_trunc('month', ts)::DATE::VARCHAR AS month, event_type, count(*) AS events, sum(floor(value)::BIGINT)::BIGINT AS tokens FROM events GROUP BY 1, 2""")
+def monthly_stream(spark, d):
+    return rollups.monthly_from_daily(_daily_table(spark, d), ["event_type"], ["events", "tokens"])
 
 
 @query("j03_redelivery_stream", ("raw_files",), """
   SELECT machine_id, raw_sha256 FROM raw_files GROUP BY 1, 2""")
 def redelivery_stream(spark, d):
-    """Files by machine and content; every copy arrives within the look-back."""
+    """Files by machine and content, with their own times of delivery."""
     files = read_table_stream(spark, d, "documents").select(
         F.col("source").alias("machine_id"), F.sha2("text", 256).alias("raw_sha256"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 1000).alias("created_at"))
-    return run_to_table(ingest.without_redelivery(files), "files").select("machine_id", "raw_sha256")
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("created_at"))
+    folder = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    ingest.append_new_files(files, f"{folder}/table", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("machine_id", "raw_sha256")
 
 
 @query("j04_reading_stream", ("readings",), _fold_sql("readings", _COOLDOWN))

@@ -180,13 +180,13 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @once_per_session
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as sessions: id from the first words, counters and days from the text."""
+    """Documents as sessions: id from the whole text, counters and days from the text."""
     docs = table(spark, sf_dir, "documents")
     length = F.length("text").cast("bigint")
     first = F.timestamp_seconds(F.lit(1704067200) + (length % 28) * 86400)
     rows = docs.select(
         F.col("doc_id").alias("import_id"), F.col("source").alias("machine_id"), F.col("lang").alias("agent"),
-        F.regexp_replace(F.left("text", F.lit(40)), r"[\s|]", "_").alias("session_id"), first.alias("first_activity"),
+        F.sha2("text", 256).alias("session_id"), first.alias("first_activity"),
         F.timestamp_seconds(F.unix_seconds(first) + (length % 3) * 86400).alias("last_activity"),
         length.alias("input_tokens"), (length % 97).alias("output_tokens"), (length % 31).alias("cache_read_tokens"),
         (length % 5).alias("cache_creation_tokens"),

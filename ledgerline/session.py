@@ -34,9 +34,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process, so that they share local folders."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or a new local one where none is set."""
+    """The cluster's shared checkpoint folder; a new local one only where one process is the whole cluster."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.getCheckpointDir() and not is_local(spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not configured:
         configured = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:

@@ -19,7 +19,9 @@ def _stored(rows: DataFrame, path: str) -> DataFrame | None:
     """The table at `path`, or None while it does not exist."""
     try:
         return rows.sparkSession.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -45,12 +47,20 @@ def append_facts(rows: DataFrame, path: str, keys: list[str], date_column: str =
     if stored is None:
         fresh = rows.dropDuplicates(keys)
     else:
-        touched = stored.join(rows.select("usage_month").distinct(), "usage_month", "left_semi")
+        months = rows.select(F.col("usage_month").alias("_month")).distinct()
+        touched = stored.join(months, F.col("usage_month").eqNullSafe(F.col("_month")), "left_semi")
         fresh = insert_ignore(rows, touched, keys)
     fresh.hint("rebalance", "usage_month").write.mode("append").partitionBy(
         "usage_month").parquet(path)
 
 
+def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Append rows whose key is not stored, to a table without partitions; of equal keys in one call one row is kept."""
+    stored = _stored(rows, path)
+    fresh = rows.dropDuplicates(keys) if stored is None else insert_ignore(rows, stored, keys)
+    fresh.write.mode("append").parquet(path)
+
+
 def upserted(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows with changed ones replaced and new ones added.
 

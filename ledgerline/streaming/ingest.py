@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerline.config import LIMITS
-from ledgerline.sources.sinks import append_facts
+from ledgerline.sources.sinks import append_facts, append_new
 
 
-def without_redelivery(files: DataFrame, time: str = "created_at", keys: tuple[str, ...] = ("machine_id", "raw_sha256")) -> DataFrame:
-    """A file seen before within the look-back is not promoted twice."""
-    return files.withWatermark(time, f"{LIMITS.lookback_days} days").dropDuplicatesWithinWatermark(list(keys))
+def append_new_files(files: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("machine_id", "raw_sha256")) -> StreamingQuery:
+    """Append every file whose content its machine never delivered before, however late it comes, then stop.
+
+    Each batch is compared with what is stored, so the rule has no expiry and a
+    backlog file is as welcome as a new one. A repeated batch adds nothing.
+    """
+    def write(batch: DataFrame, _: int) -> None:
+        append_new(batch, path, list(keys))
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_revisions(rows: DataFrame, path: str, checkpoint: str, keys: list[str], date_column: str = "usage_date") -> StreamingQuery:

@@ -204,29 +204,37 @@ def test_reading_stream_equals_the_batch(spark, tmp_path):
 
 def test_daily_stream_equals_the_batch(spark, tmp_path):
     events = spark.createDataFrame([(T(2024, 1, 1 + n % 9, n % 24), f"k{n % 3}", n) for n in range(300)], "ts timestamp_ntz, k string, v bigint")
+    late = spark.createDataFrame([(T(2024, 3, 1), "k0", 5), (T(2023, 1, 1), "k1", 7)], "ts timestamp_ntz, k string, v bigint")
     events.coalesce(1).write.parquet(str(tmp_path / "ev"))
-    last = spark.createDataFrame([(T(2024, 3, 1), "end", 0)], "ts timestamp_ntz, k string, v bigint")
-    last.coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
+    for row in late.collect():
+        spark.createDataFrame([row], late.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev"))
-    daily = stream_rollups.daily_observations(stream_rollups.watermarked(stream), ["k"], {"v": "v"})
-    query = daily.writeStream.format("memory").queryName("days").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    batch = events.groupBy(F.col("ts").cast("date").alias("usage_date"), "k").agg(F.sum("v").alias("v"))
-    got = spark.table("days").filter("k <> 'end'")
+    stream_rollups.append_daily_parts(stream, str(tmp_path / "days"), str(tmp_path / "cp"), ["k"], {"v": "v"}).awaitTermination(120)
+    got = stream_rollups.daily_from_parts(spark, str(tmp_path / "days"), ["k"], ["v"])
+    both = events.unionByName(late)
+    batch = both.groupBy(F.col("ts").cast("date").alias("usage_date"), "k").agg(F.sum("v").alias("v"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
     monthly = stream_rollups.monthly_from_daily(got, ["k"], ["v"])
-    assert {x.k: x.v for x in monthly.collect()} == {x.k: x.v for x in events.groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    assert sum(x.v for x in monthly.collect()) == sum(x.v for x in both.collect())
 
 
-def test_redelivered_file_is_dropped_and_facts_are_appended_once(spark, tmp_path):
-    schema = "machine_id string, raw_sha256 string, created_at timestamp, import_id string, agent string, usage_date date"
-    rows = [("m", "h1", T(2026, 9, 1), "i1", "a", dt.date(2026, 9, 1)), ("m", "h1", T(2026, 9, 2), "i2", "a", dt.date(2026, 9, 1)),
-            ("n", "h1", T(2026, 9, 2), "i3", "a", dt.date(2026, 9, 1))]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    def run(name):
+def test_backlog_file_is_kept_and_redelivery_dropped(spark, tmp_path):
+    schema = "machine_id string, raw_sha256 string, created_at timestamp"
+    def deliver(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        ingest.append_revisions(ingest.without_redelivery(stream), str(tmp_path / "out"), str(tmp_path / name),
-                                ["machine_id", "agent", "usage_date"]).awaitTermination(120)
-    run("cp1")
-    run("cp2")  # a second collector sees the same files again
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+        ingest.append_new_files(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    deliver(("m", "a", T(2026, 1, 10)))
+    deliver(("m", "b", T(2026, 1, 20)))
+    deliver(("m", "lost-pc", T(2026, 1, 5)), ("m", "a", T(2026, 1, 10)))
+    assert sorted(x.raw_sha256 for x in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "lost-pc"]
+
+
+def test_revision_of_a_later_import_is_appended(spark, tmp_path):
+    schema = "machine_id string, agent string, usage_date date, import_id string, v int"
+    for n, day in enumerate([dt.date(2026, 9, 1), dt.date(2026, 9, 1), None]):
+        spark.createDataFrame([("m", "a", day, f"i{n}", n)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for name in ("cp1", "cp2"):  # a second collector sees the same files again
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        ingest.append_revisions(stream, str(tmp_path / "out"), str(tmp_path / name), ["machine_id", "agent", "usage_date", "import_id"]).awaitTermination(120)
+    assert sorted(x.v for x in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
