@@ -32,7 +32,7 @@ class Rule(NamedTuple):
 RULES = (
     Rule("word_length", "word_chars", "n_words", 200, 1500),
     Rule("symbols", "n_symbols", "n_words", None, 10),
-    Rule("stop_words", "n_stop_kinds", "n_stop_listed", 3, None),
+    Rule("stop_words", "n_stop_kinds", "n_stop_listed", 2, None),
     Rule("exclamations", "n_exclamations", "n_words", None, 30),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 50),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 90),
