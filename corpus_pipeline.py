@@ -48,7 +48,7 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: Tokens can't be made in SQL; the tests hold the pipeline against a brute-force version.
+#: Tokens can't be made in SQL.
 ORACLE_SQL = None
 
 
