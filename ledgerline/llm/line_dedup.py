@@ -23,6 +23,8 @@ from ledgerline.session import materialized
 #: Cells of the rarity table, which has one byte per cell and this size at any input size, in as many parts.
 CELLS, PARTS = 1 << 24, 256
 SLICE = 1 << 20
+#: Keys of up to so many lines are compared many at a time, in batches of at least so many rows.
+SHORT, WAIT = 64, 1 << 17
 
 
 class Settings(NamedTuple):
@@ -132,17 +134,18 @@ def rarity(scan: DataFrame) -> bytes:
             yield done()
 
     parts = scan.filter("part IS NOT NULL").select("part", F.col("line").alias("n"), F.col("set_key").alias("raw"))
-    found = {x["part"]: bytes(x["counts"]) for x in parts.repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(run, "part int, counts binary").collect()}
+    n_tasks = min(PARTS, int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = {x["part"]: bytes(x["counts"]) for x in parts.repartition(n_tasks, "part").sortWithinPartitions("part").mapInArrow(run, "part int, counts binary").collect()}
     return b"".join(found.get(k, bytes(CELLS // PARTS)) for k in range(PARTS))
 
 
 def indexed(docs: DataFrame, table: bytes, heavy: dict[bytes, tuple[int, int]], s: Settings) -> DataFrame:
     """Second pass: an index row for each prefix token, or pair of tokens where one is common, that more than one line may have.
 
-    key, doc_id, line, set_key, size, place (of the token in the line's order) and the parity bitmap of the set.
+    key, doc_id, line, same (a hash of the set), size, place (of the token in the line's order, else -1) and the parity bitmap of the set.
     """
     counts_ = docs.sparkSession.sparkContext.broadcast((table, heavy))
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("set_key", pa.binary()), ("size", pa.int32()), ("place", pa.int32()),
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("same", pa.int64()), ("size", pa.int32()), ("place", pa.int32()),
                         ("even", pa.int64()), ("odd", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,20 +172,24 @@ def indexed(docs: DataFrame, table: bytes, heavy: dict[bytes, tuple[int, int]],
                 place = np.arange(len(rank)) - np.repeat(lines.first, lines.size)
                 prefix = lines.size - _needed(lines.size, s.percent) + 1
                 use = (place < prefix[lines.owner]) & (count > 1) & shown[lines.owner]
-                alone = np.flatnonzero(use & (count < s.common))
-                keys_, owner, places = [kernel.mixed(token[alone])], [lines.owner[alone]], [place[alone]]
-                for at in np.flatnonzero(use & (count >= s.common)).tolist():
-                    line, p = int(lines.owner[at]), int(place[at])
-                    a = int(lines.first[line])
-                    others = np.concatenate([token[a:at], token[at + 1:a + int(prefix[line]) + 1]])[:int(prefix[line])]
-                    keys_.append(kernel.mixed(kernel.mixed(np.minimum(others, token[at])) + np.maximum(others, token[at])))
-                    owner.append(np.full(len(others), line)), places.append(np.full(len(others), -1))
-                keys_, owner, places = np.concatenate(keys_), np.concatenate(owner), np.concatenate(places)
+                alone, dense = np.flatnonzero(use & (count < s.common)), np.flatnonzero(use & (count >= s.common))
+                line = lines.owner[dense]
+                n = np.minimum(prefix[line], lines.size[line] - 1)
+                at, line = np.repeat(dense, n), np.repeat(line, n)
+                beside = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                beside += beside >= place[at]
+                other = lines.first[line] + beside
+                once = ~((beside < place[at]) & (count[other] >= s.common))
+                at, other, line = at[once], other[once], line[once]
+                paired = kernel.mixed(kernel.mixed(np.minimum(token[other], token[at])) + np.maximum(token[other], token[at]))
+                keys_, owner = np.concatenate([kernel.mixed(token[alone]), paired]), np.concatenate([lines.owner[alone], line])
+                places = np.concatenate([place[alone], np.full(len(line), -1)])
+                same = np.frombuffer(b"".join(keys), np.int64)[::2]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys_.view(np.int64)), pa.array(docs_[owner]), pa.array(lines.number[owner], pa.int32()), pa.array(keys, pa.binary()).take(pa.array(owner)),
+                    pa.array(keys_.view(np.int64)), pa.array(docs_[owner]), pa.array(lines.number[owner], pa.int32()), pa.array(same[owner]),
                     pa.array(lines.size[owner], pa.int32()), pa.array(places, pa.int32()), pa.array(even[owner].view(np.int64)), pa.array(odd[owner].view(np.int64))], schema=schema)
 
-    return _columns(docs).mapInArrow(run, "key long, doc_id long, line int, set_key binary, size int, place int, even long, odd long")
+    return _columns(docs).mapInArrow(run, "key long, doc_id long, line int, same long, size int, place int, even long, odd long")
 
 
 def _may_match(size, place, even, odd, size2, place2, even2, odd2, percent: int):
@@ -201,65 +208,73 @@ def candidates(index: DataFrame, s: Settings) -> DataFrame:
     """
     schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("doc_id2", pa.int64()), ("line2", pa.int32()), ("more", pa.bool_())])
 
-    def pairs(key_rows: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        doc, line, size, place, even, odd = key_rows
-        even, odd, n = even.view(np.uint64), odd.view(np.uint64), len(doc)
-        later, earlier, more = [], [], []
-        for a in range(1, n, 512):
-            b = min(n, a + 512)
-            first, total = np.full(b - a, -1), np.zeros(b - a, np.int64)
-            for c in range(0, b, 4096):
-                d = min(b, c + 4096)
-                own = lambda x: x[a:b, None]
-                good = _may_match(own(size), own(place), own(even), own(odd), size[None, c:d], place[None, c:d], even[None, c:d], odd[None, c:d], s.percent)
-                good &= np.arange(c, d)[None, :] < np.arange(a, b)[:, None]
-                found = good.any(axis=1)
-                first = np.where((first < 0) & found, c + good.argmax(axis=1), first)
-                total += good.sum(axis=1)
-            hit = np.flatnonzero(first >= 0)
-            later.append(hit + a), earlier.append(first[hit]), more.append(total[hit] > 1)
-        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later, earlier, more))
+    def near(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _may_match(*(x[a] for x in rows), *(x[b] for x in rows), s.percent)
+
+    def in_short(rows: list[np.ndarray], at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Earliest match and number of matches for rows of many short keys at once: each is compared with the one so many places before it."""
+        first, total = np.full(len(at), -1), np.zeros(len(at), np.int64)
+        live = np.arange(len(at))
+        for back in range(1, SHORT):
+            live = live[place[live] >= back]
+            if not len(live):
+                break
+            hit = live[near(rows, at[live], at[live] - back)]
+            first[hit] = at[hit] - back
+            total[hit] += 1
+        return first, total
+
+    def in_long(rows: list[np.ndarray], start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one long key, block by block."""
+        first, total = np.full(end - start, -1), np.zeros(end - start, np.int64)
+        for a in range(start, end, 512):
+            own = np.arange(a, min(end, a + 512))
+            for c in range(start, int(own[-1]) + 1, 4096):
+                others = np.arange(c, min(int(own[-1]) + 1, c + 4096))
+                good = near(rows, own[:, None], others[None, :]) & (others[None, :] < own[:, None])
+                lead = c + good.argmax(axis=1)
+                seen = first[own - start]
+                first[own - start] = np.where((seen < 0) & good.any(axis=1), lead, seen)
+                total[own - start] += good.sum(axis=1)
+        return first, total
+
+    def settled(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, doc, line, same, *rows = [np.concatenate(x) for x in zip(*held)]
+        order = np.lexsort((same, key))
+        again = (key[order][1:] == key[order][:-1]) & (same[order][1:] == same[order][:-1])
+        lead = np.sort(order[np.concatenate([[True], ~again])])
+        key, doc, line, rows = key[lead], doc[lead], line[lead], [x[lead] for x in rows]
+        rows[2:] = [x.view(np.uint64) for x in rows[2:]]
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(cuts, len(key)))
+        place = np.arange(len(key)) - np.repeat(cuts, n)
+        first, total = np.full(len(key), -1), np.zeros(len(key), np.int64)
+        at = np.flatnonzero((place > 0) & (np.repeat(n, n) <= SHORT))
+        first[at], total[at] = in_short(rows, at, place[at])
+        for a, k in zip(cuts[n > SHORT].tolist(), n[n > SHORT].tolist()):
+            first[a:a + k], total[a:a + k] = in_long(rows, a, a + k)
+        hit = np.flatnonzero(first >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((doc[hit], line[hit], doc[first[hit]], line[first[hit]], total[hit] > 1), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def settled(rows: list[list[np.ndarray]]) -> pa.RecordBatch | None:
-            keys, *rest = [np.concatenate(x) for x in zip(*rows)]
-            cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            ends = np.append(cuts[1:], len(keys))
-            out = []
-            for a, b in zip(cuts[ends - cuts > 1].tolist(), ends[ends - cuts > 1].tolist()):
-                _, lead = np.unique(rest[2][a:b], return_index=True)
-                lead = np.sort(lead) + a
-                if len(lead) > 1:
-                    later, earlier, more = pairs([rest[k][lead] for k in (0, 1, 3, 4, 5, 6)])
-                    if len(later):
-                        out.append((rest[0][lead[later]], rest[1][lead[later]], rest[0][lead[earlier]], rest[1][lead[earlier]], more.astype(bool)))
-            if out:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*out), schema)], schema=schema)
-            return None
-
+        held, n_held = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2)]
-            columns.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), "S16") if batch.num_rows else np.zeros(0, "S16"))
-            columns += [batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5, 6, 7)]
-            open_ = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1 if (columns[0] != columns[0][-1]).any() else 0
-            if open_ or held and held[-1][0][-1] != columns[0][0]:
-                if open_ == 0:
-                    done, held = held, [columns]
-                else:
-                    done, held = held + [[c[:open_] for c in columns]], [[c[open_:] for c in columns]]
-                if (made := settled(done)) is not None:
-                    yield made
-            else:
-                held.append(columns)
-        if held and (made := settled(held)) is not None:
-            yield made
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            changes = np.flatnonzero(columns[0][1:] != columns[0][:-1])
+            begins = int(changes[-1]) + 1 if len(changes) else 0
+            if n_held >= WAIT and (begins or held[-1][0][-1] != columns[0][0]):
+                yield from settled(held + [[c[:begins] for c in columns]])
+                held, n_held = [], 0
+                columns = [c[begins:] for c in columns]
+            held.append(columns)
+            n_held += len(columns[0])
+        if held:
+            yield from settled(held)
 
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = index.select("key", "doc_id", "line", "set_key", "size", "place", "even", "odd").repartition(n, "key").sortWithinPartitions("key", "doc_id", "line")
+    ordered = index.select("key", "doc_id", "line", "same", "size", "place", "even", "odd").repartition(n, "key").sortWithinPartitions("key", "doc_id", "line")
     return ordered.mapInArrow(run, "doc_id long, line int, doc_id2 long, line2 int, more boolean")
 
 
