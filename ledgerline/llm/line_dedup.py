@@ -29,7 +29,7 @@ SHORT, WAIT = 64, 1 << 17
 
 class Settings(NamedTuple):
     """Lines with fewer than `least` distinct words are left alone. Tokens rarer than `common` occurrences are indexed
-    alone; a more common one only together with another token, which splits its lists. A class of more than one in
+    alone; a more common one only together with another common token, which splits its lists. A class of more than one in
     `heavy` lines is indexed by its first line only."""
 
     percent: int = 75
@@ -140,10 +140,15 @@ def rarity(scan: DataFrame) -> bytes:
 
 
 def indexed(docs: DataFrame, table: bytes, heavy: dict[bytes, tuple[int, int]], s: Settings) -> DataFrame:
-    """Second pass: an index row for each prefix token, or pair of tokens where one is common, that more than one line may have.
+    """Second pass: an index row for each rare prefix token and each chosen pair of common ones that more than one line may have.
+
+    If the first token that two similar lines share is rare, both index it. Else all tokens they share are common,
+    and at least c + 1 of them stand in both prefixes if these are c tokens longer. Tokens fall into c classes by
+    hash, so two of them share a class: pairs within a class are enough.
 
     key, doc_id, line, same (a hash of the set), size, place (of the token in the line's order, else -1) and the parity bitmap of the set.
     """
+    n_classes = min(8, int(_needed(np.array(s.least), s.percent)) - 1)
     counts_ = docs.sparkSession.sparkContext.broadcast((table, heavy))
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("same", pa.int64()), ("size", pa.int32()), ("place", pa.int32()),
                         ("even", pa.int64()), ("odd", pa.int64())])
@@ -171,16 +176,17 @@ def indexed(docs: DataFrame, table: bytes, heavy: dict[bytes, tuple[int, int]],
                 token, count = rank & np.uint64((1 << 40) - 1), (rank >> np.uint64(40)) & np.uint64(255)
                 place = np.arange(len(rank)) - np.repeat(lines.first, lines.size)
                 prefix = lines.size - _needed(lines.size, s.percent) + 1
-                use = (place < prefix[lines.owner]) & (count > 1) & shown[lines.owner]
-                alone, dense = np.flatnonzero(use & (count < s.common)), np.flatnonzero(use & (count >= s.common))
-                line = lines.owner[dense]
-                n = np.minimum(prefix[line], lines.size[line] - 1)
-                at, line = np.repeat(dense, n), np.repeat(line, n)
-                beside = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                beside += beside >= place[at]
-                other = lines.first[line] + beside
-                once = ~((beside < place[at]) & (count[other] >= s.common))
-                at, other, line = at[once], other[once], line[once]
+                open_ = (count > 1) & shown[lines.owner]
+                frequent = (count >= s.common) & (n_classes > 0)
+                alone = np.flatnonzero(open_ & ~frequent & (place < prefix[lines.owner]))
+                dense = np.flatnonzero(open_ & frequent & (place < (prefix + n_classes)[lines.owner]))
+                class_ = lines.owner[dense] * max(1, n_classes) + (kernel.mixed(token[dense]) % np.uint64(max(1, n_classes))).astype(np.int64)
+                order = np.argsort(class_, kind="stable")
+                dense, class_ = dense[order], class_[order]
+                n = np.arange(len(dense)) - np.searchsorted(class_, class_)
+                own = np.repeat(np.arange(len(dense)), n)
+                at, other = dense[own], dense[own - 1 - (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))]
+                line = lines.owner[at]
                 paired = kernel.mixed(kernel.mixed(np.minimum(token[other], token[at])) + np.maximum(token[other], token[at]))
                 keys_, owner = np.concatenate([kernel.mixed(token[alone]), paired]), np.concatenate([lines.owner[alone], line])
                 places = np.concatenate([place[alone], np.full(len(line), -1)])
