@@ -259,3 +259,15 @@ def test_encoder_equals_the_library():
     e = encoder(tokenizer_path())
     for t in ["Don't STOP's 12ab", "ÄÖ ß µ ª²", "a\x0bb \x1c c", "日本 text", "x" * 300, "<|endoftext|> y", "café́"]:
         assert e.ids(t) == np.array(e.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_keys_of_many_lines_equal_brute_force(spark):
+    """Variants of one line share their keys: lists longer than `SHORT`, alone and in pairs of common tokens."""
+    draw = random.Random(5)
+    common = [f"w{k}" for k in range(24)]
+    lines = [" ".join([w for w in common if draw.random() < 0.85] + [f"v{draw.randrange(40)}" for _ in range(draw.randrange(4))]) for _ in range(3 * line_dedup.SHORT)]
+    sets = [frozenset(line.split()) for line in lines]
+    want = {(k, 0) for k, own in enumerate(sets) if any(100 * len(own & x) >= 75 * len(own | x) for x in sets[:k])}
+    data = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    for settings in (line_dedup.Settings(common=255), line_dedup.Settings(common=2)):
+        assert {(r.doc_id, r.line) for r in line_dedup.repeated_lines(data, settings).collect()} == want
