@@ -25,6 +25,8 @@ CELLS, PARTS = 1 << 24, 256
 SLICE = 1 << 20
 #: Keys of up to so many lines are compared many at a time, in batches of at least so many rows.
 SHORT, WAIT = 64, 1 << 17
+#: A key with more other lines is dealt out in the second round.
+BLOCK = 1000
 
 
 class Settings(NamedTuple):
@@ -249,6 +251,9 @@ def candidates(index: DataFrame, s: Settings) -> DataFrame:
         order = np.lexsort((same, key))
         again = (key[order][1:] == key[order][:-1]) & (same[order][1:] == same[order][:-1])
         lead = np.sort(order[np.concatenate([[True], ~again])])
+        # Repeated rows of a doc_id are one document: a line is not its own match.
+        twice = (key[lead][1:] == key[lead][:-1]) & (doc[lead][1:] == doc[lead][:-1]) & (line[lead][1:] == line[lead][:-1])
+        lead = lead[np.concatenate([[True], ~twice])]
         key, doc, line, rows = key[lead], doc[lead], line[lead], [x[lead] for x in rows]
         rows[2:] = [x.view(np.uint64) for x in rows[2:]]
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -284,10 +289,9 @@ def candidates(index: DataFrame, s: Settings) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id long, line int, doc_id2 long, line2 int, more boolean")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (doc_id, line, doc_id2, line2) whose full sets reach the threshold; `pairs` is a written table."""
-    ends = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("line2").alias("line"))).distinct()
-    wanted = materialized(ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "wanted-lines")
+def members_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """doc_id, line and members (sorted 64-bit word hashes) of the lines `ends` (doc_id, line); written."""
+    wanted = materialized(ends.distinct().groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "wanted-lines")
     texts = _columns(docs).join(wanted.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc")).dropDuplicates(["doc_id"]).select("doc_id", "text", "lines")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,13 +301,20 @@ def confirmed(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
                 chosen = part.column("lines").to_pylist()
                 own = [x.split(b"\n") for x in part.column("text").cast(pa.binary()).to_pylist()]
                 for doc, lines, numbers in zip(names, own, chosen):
+                    numbers = [k for k in numbers if k < len(lines)]
                     data, bounds = kernel.flat(pa.array([lines[k] for k in numbers], pa.binary()))
                     starts, ends = kernel.word_spans(data, bounds)
                     hashes, firsts = kernel.word_hashes(data, starts, ends), kernel.rows_of(starts, bounds)
                     rows += [(doc, n, kernel.distinct(hashes[a:b]).tobytes()) for n, a, b in zip(numbers, firsts[:-1].tolist(), firsts[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "line", "members"])
+                columns = list(zip(*rows)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "line", "members"])
+
+    return materialized(texts.mapInArrow(make, "doc_id long, line int, members binary"), "line-sets")
 
-    sets = materialized(texts.mapInArrow(make, "doc_id long, line int, members binary"), "line-sets")
+
+def confirmed(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (doc_id, line, doc_id2, line2) whose full sets reach the threshold; `pairs` is a written table."""
+    sets = members_of(docs, pairs.select("doc_id", "line").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("line2").alias("line"))))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,6 +330,74 @@ def confirmed(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     return joined.select("doc_id", "line", "doc_id2", "line2", "m1", "m2").mapInArrow(compare, "doc_id long, line int, doc_id2 long, line2 int")
 
 
+def matched_in_place(docs: DataFrame, index: DataFrame, left: DataFrame, s: Settings) -> DataFrame:
+    """doc_id and line of those of `left` (doc_id, line) that any earlier line matches, by all keys of the index.
+
+    A semi-join keeps the index rows that may match some line of `left` at their key, so rows
+    in are rows out at most. Full sets then meet key by key: the lines of `left` are held, the
+    others stream by, and only verdicts leave the task. A key with many others is dealt
+    out in parts of about `BLOCK`, each of which sees all its lines of `left`.
+    """
+    probes = materialized(index.join(left, ["doc_id", "line"], "left_semi"), "line-probes")
+    asked = probes.select(*[F.col(c).alias("p_" + c) for c in ("key", "doc_id", "line", "size", "even", "odd")])
+    least = F.ceil(s.percent * (F.col("size") + F.col("p_size")) / (100 + s.percent))
+    earlier = (F.col("doc_id") < F.col("p_doc_id")) | ((F.col("doc_id") == F.col("p_doc_id")) & (F.col("line") < F.col("p_line")))
+    near = (100 * F.least("size", "p_size") >= s.percent * F.greatest("size", "p_size")) & (
+        F.col("size") + F.col("p_size") - 2 * least >= F.bit_count(F.col("even").bitwiseXOR(F.col("p_even"))) + F.bit_count(F.col("odd").bitwiseXOR(F.col("p_odd"))))
+    others = materialized(index.join(asked, (F.col("key") == F.col("p_key")) & earlier & near, "left_semi"), "line-others")
+    parts = materialized(others.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "line-parts")
+    named = ["key", "part", "doc_id", "line", "size", "even", "odd", "mine"]
+    dealt = lambda rows, part, mine: rows.join(parts, F.col("key") == F.col("_key")).withColumn("part", part).withColumn("mine", F.lit(mine)).select(*named)
+    rows = dealt(probes, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), True).unionByName(
+        dealt(others, F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")).cast("int"), False))
+    sets = members_of(docs, left.unionByName(others.select("doc_id", "line")))
+    sets = sets.select(F.col("doc_id").alias("_doc"), F.col("line").alias("_line"), "members")
+    rows = rows.join(sets, (F.col("doc_id") == F.col("_doc")) & (F.col("line") == F.col("_line"))).select(*named, "members")
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32())])
+
+    def met(own: list[np.ndarray], open_: np.ndarray, batch: list[np.ndarray]) -> None:
+        doc, line, *rest, members = batch
+        for k in np.flatnonzero(open_):
+            doc_, line_, *rest_, mine = (x[k] for x in own)
+            mine = np.frombuffer(mine, np.uint64)
+            before = (doc < doc_) | ((doc == doc_) & (line < line_))
+            some = np.flatnonzero(before & _may_match(rest_[0], -1, *rest_[1:], rest[0], np.int64(-1), *rest[1:], s.percent))
+            for at in range(0, len(some), 64):
+                sets = [np.frombuffer(members[i], np.uint64) for i in some[at:at + 64]]
+                n = np.array([len(x) for x in sets])
+                all_ = np.concatenate(sets)
+                spot = np.searchsorted(mine, all_)
+                spot[spot == len(mine)] = 0
+                both = np.add.reduceat(mine[spot] == all_, np.cumsum(n) - n, dtype=np.int64)
+                if (100 * both >= s.percent * (len(mine) + n - both)).any():
+                    open_[k] = False
+                    break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, open_ = None, None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array(x[~open_], f.type) for x, f in zip(own, schema)], schema=schema)
+        for batch in batches:
+            key, part, doc, line, size, even, odd, mine, members = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            columns = [doc, line, size.astype(np.int64), even.view(np.uint64), odd.view(np.uint64), members]
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (mine[1:] != mine[:-1])])) if len(key) else []
+            for a, b in zip(cuts, [*cuts[1:], len(key)]):
+                here, own_part = (key[a], part[a]), [x[a:b] for x in columns]
+                if here != now:
+                    if now is not None and not open_.all():
+                        yield done()
+                    now, own, open_ = here, [x[:0] for x in columns], np.zeros(0, bool)
+                if mine[a]:
+                    own, open_ = [np.concatenate(x) for x in zip(own, own_part)], np.concatenate([open_, np.ones(b - a, bool)])
+                else:
+                    met(own, open_, own_part)
+        if now is not None and not open_.all():
+            yield done()
+
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(n, "key", "part").sortWithinPartitions("key", "part", F.desc("mine"))
+    return ordered.mapInArrow(run, "doc_id long, line int").distinct()
+
+
 def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id and line (from 0) of every line that an earlier one matches, for documents (doc_id, text).
 
@@ -328,7 +407,7 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
 
     Round one verifies for each line the earliest candidate of each of its keys; a line
     that one of them confirms is done. Only lines with further candidates and no match so
-    far are compared with all their candidates, by a join on the keys.
+    far are compared with all their candidates, whose sets they meet key by key.
     """
     s = settings
     scan = materialized(scanned(docs, s), "lines")
@@ -343,16 +422,7 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     left = found.groupBy("doc_id", "line").agg(F.max("more").alias("more"), F.countDistinct("doc_id2", "line2").alias("k")).filter("more OR k > 1").select("doc_id", "line")
     left = materialized(left.join(matched, ["doc_id", "line"], "left_anti"), "line-rest")
     if not left.isEmpty():
-        probes = index.join(left, ["doc_id", "line"], "left_semi")
-        probes = materialized(probes, "line-probes")
-        other = index.select(*[F.col(c).alias("o_" + c) for c in index.columns])
-        least = F.ceil(s.percent * (F.col("size") + F.col("o_size")) / (100 + s.percent))
-        earlier = (F.col("o_doc_id") < F.col("doc_id")) | ((F.col("o_doc_id") == F.col("doc_id")) & (F.col("o_line") < F.col("line")))
-        near = (100 * F.least("size", "o_size") >= s.percent * F.greatest("size", "o_size")) & (
-            F.col("size") + F.col("o_size") - 2 * least >= F.bit_count(F.col("even").bitwiseXOR(F.col("o_even"))) + F.bit_count(F.col("odd").bitwiseXOR(F.col("o_odd"))))
-        rest = probes.join(other, (F.col("key") == F.col("o_key")) & earlier & near).select("doc_id", "line", F.col("o_doc_id").alias("doc_id2"), F.col("o_line").alias("line2")).distinct()
-        rest = materialized(rest.join(tried, ["doc_id", "line", "doc_id2", "line2"], "left_anti"), "line-pairs")
-        matched = matched.unionByName(confirmed(docs, rest, s).select("doc_id", "line"))
+        matched = matched.unionByName(matched_in_place(docs, index, left, s))
     later = lines.join(firsts.filter("n > 1").select(F.col("set_key").alias("_key"), "first"), F.col("set_key") == F.col("_key")).filter(
         (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.line") != F.col("line"))).select("doc_id", "line")
     return later.unionByName(matched).distinct()

@@ -271,3 +271,18 @@ def test_keys_of_many_lines_equal_brute_force(spark):
     data = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     for settings in (line_dedup.Settings(common=255), line_dedup.Settings(common=2)):
         assert {(r.doc_id, r.line) for r in line_dedup.repeated_lines(data, settings).collect()} == want
+
+
+def test_second_round_deals_out_long_keys(spark, monkeypatch):
+    """Keys cut into many parts give the verdicts of brute force; repeated rows of a doc_id don't match themselves."""
+    draw = random.Random(9)
+    common = [f"w{k}" for k in range(24)]
+    lines = [" ".join([w for w in common if draw.random() < 0.85] + [f"v{draw.randrange(40)}" for _ in range(draw.randrange(4))]) for _ in range(120)]
+    data = spark.createDataFrame([(k, text) for k, text in enumerate(lines)] + [(0, lines[0])], "doc_id long, text string")
+    sets = [set(x.split()) for x in lines]
+    want = {k for k in range(len(lines)) if any(4 * len(sets[k] & sets[j]) >= 3 * len(sets[k] | sets[j]) for j in range(k))}
+    monkeypatch.setattr(line_dedup, "BLOCK", 3)
+    for s in (line_dedup.Settings(common=255), line_dedup.Settings(common=2)):
+        index = line_dedup.materialized(line_dedup.indexed(data, line_dedup.rarity(line_dedup.scanned(data, s)), {}, s))
+        left = index.select("doc_id", "line").distinct()
+        assert {r.doc_id for r in line_dedup.matched_in_place(data, index, left, s).collect()} == want
