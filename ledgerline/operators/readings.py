@@ -15,6 +15,7 @@ from ledgerline.operators.pacing import exploded
 from ledgerline.operators.skew import spread_join, with_previous
 from ledgerline.schemas import READING_PAYLOAD
 
+# The texts of the statuses.
 LABELS = {"ON_TRACK": "On track", "NEAR_PLAN": "Near plan", "OVER_PACE": "Over pace", "LIMIT_EXCEEDED": "Limit exceeded",
           "SYNC_STALE": "Stale", "RESET_REQUIRED": "Reset required"}
 NO_OBSERVATION = "—"

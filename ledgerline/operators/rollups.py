@@ -18,6 +18,7 @@ PARTS = TOKENS[:4]
 VALUES = (*TOKENS, "reported_cost_usd", "pricing_complete")
 DAY = ["usage_date", "machine_id", "agent"]
 
+# The tags of model rows.
 ATTRIBUTED = "canonical-attributed"
 UNATTRIBUTED = "canonical-unattributed"
 RECOVERED = "recovered-unattributed"
@@ -185,6 +186,7 @@ def select_usage(projection: Projection, filters: Filters) -> Selection:
     if recovered is not None:
         found = in_scope(recovered, filters).limit(1).agg((F.count(F.lit(1)) > 0).alias("f")).scalar()
     in_play = found & F.lit(every_model)
+    # The two reasons.
     reason = (
         F.when(in_play & F.lit(filters.grain != "month"), F.lit("recovered-month-only"))
         .when(in_play & F.lit(filters.range != ALL), F.lit("recovered-all-time-only"))
@@ -248,26 +250,27 @@ def grouped_totals(rows: DataFrame, period: str) -> DataFrame:
 
 
 def model_summary(rows: DataFrame) -> DataFrame:
-    """Tagged model rows per model or per unattributed source, largest first."""
+    """Tagged model rows per model or per unattributed source, largest first.
+
+    known_models lists the models that recovered rows name; it is empty for the other kinds.
+    """
     month = F.date_format("month", "yyyy-MM")
     attributed, open_rows = F.col("kind") == ATTRIBUTED, F.col("kind") == UNATTRIBUTED
     key = (
         F.when(attributed, F.concat(F.lit("canonical:"), F.col("model")))
         .when(open_rows, F.concat_ws(":", F.lit(UNATTRIBUTED), "machine_id", "agent"))
         .otherwise(F.concat_ws(":", F.lit("recovered"), "agent", month)))
-    label = (
-        F.when(attributed, F.col("model"))
-        .when(open_rows, F.concat(F.lit("Canonical / "), F.col("agent"), F.lit(" / model attribution unavailable")))
-        .otherwise(F.concat_ws(" / ", F.lit("Recovered"), "agent", month)))
     period = F.when(F.col("kind") == RECOVERED, month).otherwise(F.col("usage_date").cast("string"))
     # Summed per agent and period first, so that the distinct counts see few rows.
-    fine = rows.withColumns({"key": key, "label": label, "_period": period}).groupBy("key", "label", "kind", "agent", "_period").agg(
+    names = F.col("known_models") if "known_models" in rows.columns else F.lit(None).cast("array<string>")
+    fine = rows.withColumns({"key": key, "_known": names, "_period": period}).groupBy("key", "kind", "agent", "_period").agg(
         *[F.sum(c).alias(c) for c in TOKENS[:5]], F.sum("reported_cost_usd").alias("reported_cost_usd"),
-        F.count("reported_cost_usd").alias("cost_rows"))
-    sums = fine.groupBy("key", "label", "kind").agg(
+        F.count("reported_cost_usd").alias("cost_rows"), F.flatten(F.collect_set("_known")).alias("_known"))
+    sums = fine.groupBy("key", "kind").agg(
         *[F.sum(c).alias(c) for c in TOKENS[:5]],
         F.coalesce(F.sum("reported_cost_usd"), F.lit(0)).cast(COST_TYPE).alias("reported_cost_usd"),
         F.sum("cost_rows").alias("cost_rows"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_known")))).alias("known_models"),
         F.count_distinct("agent").alias("agents"), F.count_distinct("_period").alias("periods"))
     sums = materialized(sums, "sums")
     whole = sums.agg(F.sum("total_tokens").alias("t")).scalar()

@@ -165,3 +165,17 @@ def test_machine_names(spark):
     rows = spark.createDataFrame([("m",), (RECOVERED_MACHINE,), ("x",)], "machine_id string")
     assert {r.machine_id: r.machine_name for r in rollups.with_machine_name(rows, machines).collect()} == {
         "m": "Desk", RECOVERED_MACHINE: "Recovered machine", "x": "x"}
+
+
+def test_model_summary_keeps_known_models(spark):
+    """Recovered rows of one month add up and list every model they name once; other kinds list none."""
+    values = ", ".join(f"{c} long" for c in rollups.TOKENS[:5])
+    rows = spark.createDataFrame(
+        [(rollups.RECOVERED, None, "m1", "all", dt.date(2026, 1, 1), None, *[1] * 5, None, ["b", "a"]),
+         (rollups.RECOVERED, None, "m2", "all", dt.date(2026, 1, 1), None, *[2] * 5, None, ["a", "c"]),
+         (rollups.ATTRIBUTED, "a", "m1", "x", None, dt.date(2026, 1, 2), *[3] * 5, None, None)],
+        f"kind string, model string, machine_id string, agent string, month date, usage_date date, {values}, reported_cost_usd decimal(20,12), known_models array<string>")
+    found = {r.key: (r.total_tokens, r.known_models) for r in rollups.model_summary(rows).collect()}
+    assert found == {"recovered:all:2026-01": (3, ["a", "b", "c"]), "canonical:a": (3, [])}
+    bare = rollups.model_summary(rows.drop("known_models")).collect()
+    assert all(r.known_models == [] for r in bare)
