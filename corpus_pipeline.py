@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one matches; one of which no word is left goes. n_chars follows the text."""
-    cut = line_dedup.without_repeated(docs.select(*COLUMNS))
+    cut = line_dedup.without_repeated(docs.select(*COLUMNS), line_dedup.EVERY)
     counted = cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return counted.filter(F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select(*COLUMNS)
 

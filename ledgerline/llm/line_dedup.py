@@ -5,11 +5,15 @@ few tokens share one (prefix filter), so an index of these tokens finds all cand
 Length, position and parity-bitmap bounds screen them, full sets verify them. A line
 goes when an earlier one matches it. All bounds are lossless: the order of tokens
 changes the number of candidates, never the result.
+
+Lines of a few words have too short prefixes for that. They match by the sets of words
+they share: each is a key, and the earliest line of each size at a key settles the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -27,10 +31,12 @@ SLICE = 1 << 20
 SHORT, WAIT = 64, 1 << 17
 #: A key with more other lines is dealt out in the second round.
 BLOCK = 1000
+#: Pairs of lines that both have so many distinct words are found by the join, all others by the sets of words they share.
+JOINED = 6
 
 
 class Settings(NamedTuple):
-    """Lines with fewer than `least` distinct words are left alone. Tokens rarer than `common` occurrences are indexed
+    """Lines with fewer than `least` distinct words are left alone (`EVERY` leaves none alone that has a word). Tokens rarer than `common` occurrences are indexed
     alone; a more common one only together with another common token, which splits its lists. A class of more than one in
     `heavy` lines is indexed by its first line only."""
 
@@ -40,8 +46,12 @@ class Settings(NamedTuple):
     heavy: int = 10_000
 
 
+EVERY = Settings(least=1)
+
+
 class Lines(NamedTuple):
-    """Lines of a slice that take part: place of the row, line number, set size, and their tokens in order of (line, token)."""
+    """Lines of a slice that take part: place of the row, line number, set size, their tokens in order of (line, token), and
+    the 64-bit words of lines of few words: there one clash of shorter hashes would make a match."""
 
     row: np.ndarray
     number: np.ndarray
@@ -49,13 +59,20 @@ class Lines(NamedTuple):
     first: np.ndarray
     owner: np.ndarray
     token: np.ndarray
+    words: dict[int, bytes]
 
 
-def lines_of(texts: pa.Array, least: int) -> Lines:
-    """Distinct 40-bit token hashes of each line with at least `least` distinct words."""
+def most_few(percent: int) -> int:
+    """The most distinct words of a line that may match one of less than `JOINED`."""
+    return 100 * (JOINED - 1) // percent
+
+
+def lines_of(texts: pa.Array, least: int, few: int = 0) -> Lines:
+    """Distinct 40-bit token hashes of each line with at least `least` distinct words; 64-bit ones too of lines with at most `few`."""
     data, bounds = kernel.flat(texts)
     starts, ends = kernel.word_spans(data, bounds)
-    hashes = kernel.word_hashes(data, starts, ends) >> np.uint64(24)
+    wide = kernel.word_hashes(data, starts, ends)
+    hashes = wide >> np.uint64(24)
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, starts)
     row = np.searchsorted(bounds, starts, side="right") - 1
@@ -75,12 +92,23 @@ def lines_of(texts: pa.Array, least: int) -> Lines:
     spot = np.cumsum(enough) - 1
     inside = enough[owner] if len(owner) else np.zeros(0, bool)
     size_ = size[enough]
-    return Lines(rows[enough], numbers[enough], size_, np.cumsum(size_) - size_, spot[owner[inside]], keys[inside] & np.uint64((1 << 40) - 1))
+    words = {}
+    if few and len(size):
+        of = renumbered[own[keep]]
+        short = (enough & (size <= few))[of]
+        of, word = spot[of[short]], wide[keep][short]
+        order = np.lexsort((word, of))
+        of, word = of[order], word[order]
+        once = np.concatenate([[True], (of[1:] != of[:-1]) | (word[1:] != word[:-1])]) if len(of) else np.zeros(0, bool)
+        of, raw = of[once], word[once].tobytes()
+        leads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        words = {k: raw[8 * a:8 * b] for k, a, b in zip(of[leads].tolist(), leads.tolist(), [*leads[1:].tolist(), len(of)])}
+    return Lines(rows[enough], numbers[enough], size_, np.cumsum(size_) - size_, spot[owner[inside]], keys[inside] & np.uint64((1 << 40) - 1), words)
 
 
 def set_keys(lines: Lines) -> list[bytes]:
     raw = lines.token.tobytes()
-    return [xxhash.xxh3_128_digest(raw[8 * a:8 * (a + n)]) for a, n in zip(lines.first.tolist(), lines.size.tolist())]
+    return [xxhash.xxh3_128_digest(lines.words.get(k) or raw[8 * a:8 * (a + n)]) for k, (a, n) in enumerate(zip(lines.first.tolist(), lines.size.tolist()))]
 
 
 def cell(token: np.ndarray) -> np.ndarray:
@@ -97,25 +125,29 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def scanned(docs: DataFrame, s: Settings) -> DataFrame:
-    """First pass: part null: doc_id, line and set_key of every line; else a task's occurrences of the tokens of that part of the rarity table."""
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("set_key", pa.binary())])
+    """First pass: part null: doc_id, line and set_key of every line, and the words of one of few words that may match a different one;
+    else a task's occurrences of the tokens of that part of the rarity table."""
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("set_key", pa.binary()), ("words", pa.binary())])
+    few = most_few(s.percent)
+    alone = [n for n in range(1, few + 1) if 100 * n < s.percent * (n + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.uint16)
         for batch in batches:
             for part in kernel.slices(batch, "text", SLICE):
-                lines = lines_of(part.column("text"), s.least)
-                cells, n = np.unique(cell(lines.token), return_counts=True)
+                lines = lines_of(part.column("text"), s.least, few)
+                cells, n = np.unique(cell(lines.token[lines.size[lines.owner] >= JOINED]), return_counts=True)
                 counts[cells] = np.minimum(counts[cells].astype(np.int64) + n, 255)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(lines.row), pa.int32()), part.column("doc_id").take(pa.array(lines.row)),
-                                                  pa.array(lines.number, pa.int32()), pa.array(set_keys(lines), pa.binary())], schema=schema)
+                                                  pa.array(lines.number, pa.int32()), pa.array(set_keys(lines), pa.binary()),
+                                                  pa.array([w if w and len(w) // 8 not in alone else None for w in map(lines.words.get, range(len(lines.row)))], pa.binary())], schema=schema)
         for k in range(PARTS):
             own = counts[k * CELLS // PARTS:(k + 1) * CELLS // PARTS]
             seen = np.flatnonzero(own)
             raw = seen.astype("<u2").tobytes() + own[seen].astype("<u1").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(seen)], pa.int32()), pa.array([raw], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(seen)], pa.int32()), pa.array([raw], pa.binary()), pa.nulls(1, pa.binary())], schema=schema)
 
-    return _columns(docs).mapInArrow(run, "part int, doc_id long, line int, set_key binary")
+    return _columns(docs).mapInArrow(run, "part int, doc_id long, line int, set_key binary, words binary")
 
 
 def rarity(scan: DataFrame) -> bytes:
@@ -150,7 +182,8 @@ def indexed(docs: DataFrame, table: bytes, heavy: dict[bytes, tuple[int, int]],
 
     key, doc_id, line, same (a hash of the set), size, place (of the token in the line's order, else -1) and the parity bitmap of the set.
     """
-    n_classes = min(8, int(_needed(np.array(s.least), s.percent)) - 1)
+    least, few = max(s.least, JOINED), most_few(s.percent)
+    n_classes = min(8, int(_needed(np.array(least), s.percent)) - 1)
     counts_ = docs.sparkSession.sparkContext.broadcast((table, heavy))
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("same", pa.int64()), ("size", pa.int32()), ("place", pa.int32()),
                         ("even", pa.int64()), ("odd", pa.int64())])
@@ -160,7 +193,7 @@ def indexed(docs: DataFrame, table: bytes, heavy: dict[bytes, tuple[int, int]],
         counts = np.frombuffer(table, np.uint8)
         for batch in batches:
             for part in kernel.slices(batch, "text", SLICE):
-                lines = lines_of(part.column("text"), s.least)
+                lines = lines_of(part.column("text"), least, few)
                 if not len(lines.row):
                     continue
                 docs_ = part.column("doc_id").to_numpy(zero_copy_only=False)[lines.row]
@@ -289,6 +322,34 @@ def candidates(index: DataFrame, s: Settings) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id long, line int, doc_id2 long, line2 int, more boolean")
 
 
+def matched_few(firsts: DataFrame, s: Settings) -> DataFrame:
+    """doc_id and line of those of `firsts` (doc_id, line and words of the first line of each set) that an earlier one of another
+    set matches, in pairs of which one has less than `JOINED` words.
+
+    Similar lines share a set of words that is large enough for either. The sets that a line of
+    `most_few` words or less can share are its keys, a bounded number; whether two lines of a key match follows from
+    their sizes and the key's, so the earliest line of each size is all that a key has to tell.
+    """
+    schema = pa.schema([("key", pa.binary()), ("shared", pa.int32()), ("size", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, line, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                words = [raw[a:a + 8] for a in range(0, len(raw), 8)]
+                for k in range(int(_needed(np.array(len(words)), s.percent)), min(len(words), JOINED - 1) + 1):
+                    rows += [(xxhash.xxh3_128_digest(b"".join(c)), k, len(words), doc, line) for c in combinations(words, k)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 5, schema)], schema=schema)
+
+    shown = firsts.filter("words IS NOT NULL").select("doc_id", "line", "words")
+    keyed = materialized(shown.mapInArrow(run, "key binary, shared int, size int, doc_id long, line int"), "line-shared")
+    earliest = keyed.groupBy(F.col("key").alias("_key"), "size").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
+    earliest = earliest.groupBy("_key").agg(F.collect_list(F.struct("size", "first")).alias("others"), F.sum("n").alias("n")).filter("n > 1").select("_key", "others")
+    own = F.struct("doc_id", "line")
+    fits = lambda x: (100 * F.col("shared") >= s.percent * (F.col("size") + x["size"] - F.col("shared"))) & (x["first"] < own)
+    return keyed.join(earliest, F.col("key") == F.col("_key")).filter(F.exists("others", fits)).select("doc_id", "line").distinct()
+
+
 def members_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
     """doc_id, line and members (sorted 64-bit word hashes) of the lines `ends` (doc_id, line); written."""
     wanted = materialized(ends.distinct().groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "wanted-lines")
@@ -407,12 +468,13 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
 
     Round one verifies for each line the earliest candidate of each of its keys; a line
     that one of them confirms is done. Only lines with further candidates and no match so
-    far are compared with all their candidates, whose sets they meet key by key.
+    far are compared with all their candidates, whose sets they meet key by key. Pairs of
+    which one has less than `JOINED` words are settled by `matched_few`.
     """
     s = settings
     scan = materialized(scanned(docs, s), "lines")
-    lines = scan.filter("part IS NULL").select("doc_id", "line", "set_key")
-    firsts = materialized(lines.groupBy("set_key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "line-classes")
+    lines = scan.filter("part IS NULL").select("doc_id", "line", "set_key", "words")
+    firsts = materialized(lines.groupBy("set_key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.min("words").alias("words")), "line-classes")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     heavy = {bytes(x["set_key"]): (x["first"]["doc_id"], x["first"]["line"]) for x in firsts.filter((F.col("n") > 1) & (F.col("n") * s.heavy > total)).collect()}
     index = materialized(indexed(docs, rarity(scan), heavy, s), "line-index")
@@ -423,6 +485,8 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     left = materialized(left.join(matched, ["doc_id", "line"], "left_anti"), "line-rest")
     if not left.isEmpty():
         matched = matched.unionByName(matched_in_place(docs, index, left, s))
+    if s.least < JOINED:
+        matched = matched.unionByName(matched_few(firsts.select("first.doc_id", "first.line", "words"), s))
     later = lines.join(firsts.filter("n > 1").select(F.col("set_key").alias("_key"), "first"), F.col("set_key") == F.col("_key")).filter(
         (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.line") != F.col("line"))).select("doc_id", "line")
     return later.unionByName(matched).distinct()

@@ -72,7 +72,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many of them go, and their numbers from 0, joined."""
     docs = _table(spark, sf_dir, "documents")
-    gone = materialized(line_dedup.repeated_lines(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set("line")).alias("_gone")), "gone")
+    gone = materialized(line_dedup.repeated_lines(docs, line_dedup.EVERY).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set("line")).alias("_gone")), "gone")
     lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     return lines.join(gone, F.col("doc_id") == F.col("_doc"), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("_gone").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))

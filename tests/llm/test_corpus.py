@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import archives, decontaminate, graph, kernel, language, line_dedup, near_dedup, packing, personal, quality, sharding, token_files
+import corpus_pipeline
+from ledgerline.llm import archives, decontaminate, graph, kernel, language, line_dedup, near_dedup, packing, personal, quality, queries, sharding, token_files
 from ledgerline.llm.tokens import encoder, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, component string, kept string"
@@ -286,3 +287,30 @@ def test_second_round_deals_out_long_keys(spark, monkeypatch):
         index = line_dedup.materialized(line_dedup.indexed(data, line_dedup.rarity(line_dedup.scanned(data, s)), {}, s))
         left = index.select("doc_id", "line").distinct()
         assert {r.doc_id for r in line_dedup.matched_in_place(data, index, left, s).collect()} == want
+
+
+def test_lines_of_any_length_equal_brute_force(spark):
+    """Lines of one word and more take part, as copies and as near matches, across the bound between the two methods too."""
+    draw = random.Random(11)
+    rows = [(doc, "\n".join([" ".join(draw.sample(WORDS[:9], draw.randint(0, 9))) for _ in range(8)] + ["  ", "same short line", "w1 w1 w1"])) for doc in range(40)]
+    rows.append((40, "\n".join(" ".join(WORDS[100:100 + n]) for n in range(10, 0, -1))))
+    rows.append((41, "\n".join(" ".join(WORDS[200:200 + n]) for n in range(1, 11))))
+    seen, want = [], set()
+    for doc, text in rows:
+        for k, line in enumerate(text.split("\n")):
+            words = frozenset(line.split())
+            if words:
+                if any(100 * len(words & x) >= 75 * len(words | x) for x in seen):
+                    want.add((doc, k))
+                seen.append(words)
+    data = spark.createDataFrame([*rows, rows[0], (None, rows[0][1])], "doc_id long, text string")
+    for settings in (line_dedup.EVERY, line_dedup.EVERY._replace(common=2, heavy=10)):
+        assert {(r.doc_id, r.line) for r in line_dedup.repeated_lines(data, settings).collect()} == want
+
+
+def test_line_query_and_pipeline_leave_no_line_out(spark, tmp_path):
+    rows = [(1, "one two\nfirst text of the page", "en", "s", 32), (2, "one two\nother words stand here now", "en", "s", 34), (3, "two one", "en", "s", 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.removed_lines for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()} == {1: "", 2: "0", 3: "0"}
+    cut = corpus_pipeline.without_repeated_lines(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {r.doc_id: r.text for r in cut.collect()} == {1: rows[0][1], 2: "other words stand here now"}
