@@ -23,10 +23,16 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators of further spans: what a little less strict a reader might take for one.
 PROPOSED = {
-    "email": r"[^\s@<>\"'(),;:]{1,64}(?:@|\s?[\[({](?:at|AT)[\])}]\s?)[^\s@<>\"'(),;:]{1,64}",
+    "email": r"(?:(?<![^\s@<>\"'(),;:])|\G)(?:[^\s@<>\"'(),;:\[{]|[\[{](?!(?:at|AT)[\])}]))++(?:@|\s?[\[({](?:at|AT)[\])}]\s?)"
+             r"(?:[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|[^\s@<>\"'(),;:]++)",
     "number": r"[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9])++",
     "secret": r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9+/_.=-]{6,}[\"']?",
 }
+#: Forms of spans that count as right where no certain kind says so: an address with a written-out sign and a domain.
+WRITTEN_AT = r"^[A-Za-z0-9._%+-]++\s?[\[({](?:at|AT)[\])}]\s?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}$"
+#: What directly before a number of 8 to 15 digits makes it a phone number, unless it reads as a date or time.
+CALLED = r"\b(?:tel|telephone|phone|call|mobile|cell|fax)\b(?:[^a-z0-9]|\b(?:number|no|me|us|him|her|them|at|on|is|or|now|today)\b)*$"
+DATED = r"[:/]|^(?:19|20)[0-9]{2}[-.\x20][0-9]{2}[-.\x20][0-9]{2}|^[0-9]{1,2}[-.\x20][0-9]{1,2}[-.\x20](?:19|20)[0-9]{2}$"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
@@ -79,7 +85,7 @@ def _named(kind: str, spans: Column) -> Column:
 
 
 #: Features of a proposed span and how many values each has, from 0.
-FEATURES = {"generator": 3, "digits": 6, "plus": 2, "dots": 5, "luhn": 2, "octets": 2, "gaps": 4, "domain": 2, "long": 4, "before": 7}
+FEATURES = {"generator": 3, "digits": 6, "plus": 2, "dots": 5, "luhn": 2, "octets": 2, "gaps": 4, "domain": 2, "long": 4, "before": 7, "dated": 2}
 #: Words that may stand before a span, by value of the feature `before`; 0 is none.
 CONTEXT = (r"e-?mail|mailto|contact", r"tel|phone|call|mobile|fax", r"card|visa|credit|payment", r"\bip\b|host|server|addr", r"password|passwd|pwd", r"token|secret|key")
 
@@ -87,7 +93,8 @@ CONTEXT = (r"e-?mail|mailto|contact", r"tel|phone|call|mobile|fax", r"card|visa|
 def proposed(rows: DataFrame) -> DataFrame:
     """One row per proposed span of `certain` rows: row key (128 bits of the text), text positions, features and `label`, whether it is a certain span.
 
-    A secret counts as certain when its value mixes letters and digits.
+    A secret counts as certain when its value mixes letters and digits, an address with a written-out sign when a domain
+    follows, and a number of 8 to 15 digits that is no date when a word for phones stands directly before it.
     """
     might = F.col("_text").rlike(r"(?i)password|passwd|pwd|token|secret|api[_-]?key")
     offered = lambda k, name, needs: F.transform(found("_text", PROPOSED[name], needs), lambda s: F.struct(
@@ -102,6 +109,7 @@ def proposed(rows: DataFrame) -> DataFrame:
     before = F.lit(0)
     for k, words in reversed(list(enumerate(CONTEXT, 1))):
         before = F.when(F.col("left").rlike(words), k).otherwise(before)
+    before = F.when(F.col("left").rlike(CALLED), 2).otherwise(before)
     number = F.col("generator") == 1
     long_ = F.length("match")
     made = one.withColumn("n", n).select(
@@ -113,7 +121,10 @@ def proposed(rows: DataFrame) -> DataFrame:
         F.least(F.lit(3), long_ - F.length(F.regexp_replace("match", r"[\x20()-]", ""))).cast("int").alias("gaps"),
         F.col("match").rlike(r"(?:@|[\])}]\s?)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$").cast("int").alias("domain"),
         F.when(long_ < 8, 0).when(long_ < 16, 1).when(long_ < 32, 2).otherwise(3).alias("long"), before.alias("before"),
+        (number & F.col("match").rlike(DATED)).cast("int").alias("dated"),
         (F.exists("_known", lambda k: (k["start"] == F.col("start")) & (k["stop"] == F.col("stop")))
+         | (F.col("generator") == 0) & F.col("match").rlike(WRITTEN_AT)
+         | number & F.col("n").between(8, 15) & F.col("left").rlike(CALLED) & ~F.col("match").rlike(DATED) & ~F.col("match").rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")
          | (F.col("generator") == 2) & F.col("match").rlike(r"[=:].*[0-9]") & F.col("match").rlike("[=:].*[A-Za-z]")).alias("label"))
     return made
 
@@ -167,6 +178,16 @@ def boosted(cells: list[dict], trees: int = 24, rate: float = 0.4, ridge: float
     return out
 
 
+def kind_of(cell: dict[str, int]) -> int:
+    """The kind that a proposed span of these feature values would have."""
+    if cell["generator"] != 1:
+        return 0 if cell["generator"] == 0 else 4
+    if cell["octets"]:
+        return 1
+    called = cell["before"] == 2 and cell["digits"] in (2, 3) and not cell["dated"]
+    return 2 if cell["luhn"] and not called else 3
+
+
 def threshold(cells: list[dict], trees: list[Tree], precision: float) -> float:
     """The least margin above which spans of rows kept apart are right in at least this share; infinite if none is."""
     scored = sorted(((sum(t.leaf(c) for t in trees), c["apart_yes"], c["apart_no"]) for c in cells), reverse=True)
@@ -180,11 +201,30 @@ def threshold(cells: list[dict], trees: list[Tree], precision: float) -> float:
     return best
 
 
+def admitted(cells: list[dict], trees: list[Tree], precision: float) -> dict[int, tuple[float, list[int]]]:
+    """By kind: the threshold of its own spans, and the codes of its cells that hold a right span; no other cell is open to it."""
+    out = {}
+    for kind in range(len(KINDS)):
+        own = [c for c in cells if kind_of(c) == kind and c["yes"] + c["apart_yes"]]
+        least = threshold(own, trees, precision) if trees else math.inf
+        if math.isfinite(least):
+            out[kind] = (least, [code(c) for c in own])
+    return out
+
+
+def code(cell):
+    """One number for all feature values of a cell, of a dictionary as of columns."""
+    total = 0
+    for f, n in FEATURES.items():
+        total = total * n + cell[f]
+    return total
+
+
 def personal_spans(docs: DataFrame, precision: float = 0.98) -> DataFrame:
     """For documents (doc_id, text): doc_id, text, `known` and `spans`, arrays of kind (number in KINDS), start and stop.
 
     `known` are the certain spans; `spans` adds those proposed spans whose score reaches
-    the calibrated threshold and that overlap no certain one, one of several that overlap
+    the threshold calibrated for their kind, whose feature values some right span has, and that overlap no certain one, one of several that overlap
     each other. Every row gives one row; null text has no spans; other columns are not read.
     Half of the rows, by hash of their text, fit the trees, the other half sets the threshold.
     """
@@ -201,12 +241,14 @@ def personal_spans(docs: DataFrame, precision: float = 0.98) -> DataFrame:
         count(F.col("label") & F.col("apart")).alias("apart_yes"), count(~F.col("label") & F.col("apart")).alias("apart_no")).collect()]
     cells.sort(key=lambda c: tuple(c[f] for f in FEATURES))
     trees = boosted(cells)
-    least = threshold(cells, trees, precision) if trees else math.inf
     margin = F.lit(0.0)
     for t in trees:
         margin = margin + t.expression()
-    kind = F.when(F.col("generator") == 0, 0).when(F.col("generator") == 2, 4).when(F.col("octets") == 1, 1).when(F.col("luhn") == 1, 2).otherwise(3)
-    chosen = offers.filter(margin >= least if math.isfinite(least) else F.lit(False)).select("_row", F.struct(kind.alias("kind"), "start", "stop").alias("s"))
+    kind = F.lit(None).cast("int")
+    for k, (least, codes) in admitted(cells, trees, precision).items():
+        # Python's sum may round otherwise than Spark's.
+        kind = F.when((margin >= least - 1e-9) & code({f: F.col(f).cast("long") for f in FEATURES}).isin(codes), k).otherwise(kind)
+    chosen = offers.withColumn("kind", kind).filter("kind IS NOT NULL").select("_row", F.struct("kind", "start", "stop").alias("s"))
     more = materialized(chosen.groupBy("_row").agg(F.sort_array(F.collect_set("s")).alias("_more")).withColumnRenamed("_row", "_of"), "chosen")
     joined = rows.select("doc_id", "_row", "_known").join(more, F.col("_row") == F.col("_of"), "left")
     apart = lambda a, b: (a["stop"] <= b["start"]) | (b["stop"] <= a["start"])

@@ -314,3 +314,27 @@ def test_line_query_and_pipeline_leave_no_line_out(spark, tmp_path):
     assert {r.doc_id: r.removed_lines for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()} == {1: "", 2: "0", 3: "0"}
     cut = corpus_pipeline.without_repeated_lines(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
     assert {r.doc_id: r.text for r in cut.collect()} == {1: rows[0][1], 2: "other words stand here now"}
+
+
+def test_personal_data_beyond_the_certain_kinds(spark):
+    """Numbers behind a word for phones and addresses with a written-out sign are found; other numbers and dates are not taken for them."""
+    draw = random.Random(12)
+    number = lambda: f"{draw.randint(200, 999)}-{draw.randint(200, 999)}-{draw.randint(1000, 9999)}"
+    rows, want = [], {}
+    for k in range(300):
+        phone, mail = number(), f"user{k} [at] example{k % 7}.com"
+        text = f"a{k}@b.com and +1 {number()} here. Write {mail}! or call us at {phone}, item {draw.randint(10**8, 10**9)} of 2024-05-01"
+        rows.append((k, text))
+        want[k] = {f"{kind}:{text.index(x)}:{text.index(x) + len(x)}" for kind, x in (("phone", phone), ("email", mail))}
+    # A source full of true addresses leaves no room for wrong spans of other kinds.
+    rows += [(1000 + k, " ".join(f"x{k}y{j}@host.org" for j in range(50)) + f" order {draw.randint(10**8, 10**9)}") for k in range(100)]
+    told = personal.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", personal.written(F.col("known")).alias("known"), personal.written(F.col("spans")).alias("spans"))
+    for r in told.collect():
+        assert set(r.spans.split(",")) - set(r.known.split(",")) == want.get(r.doc_id, set())
+
+
+def test_long_runs_are_proposed_whole(spark):
+    texts_ = ["x" * 100 + "@" + "y" * 90 + ".com", "bob[at]" + "z" * 70 + ".org now", "q" * 200_000, "a[b {c@d.e"]
+    rows = spark.createDataFrame(enumerate(texts_), "k long, t string")
+    got = {r.k: [s["match"] for s in r.x] for r in rows.select("k", personal.found("t", personal.PROPOSED["email"], F.lit(True)).alias("x")).collect()}
+    assert got == {0: [texts_[0]], 1: [texts_[1][:-4]], 2: [], 3: ["{c@d.e"]}
