@@ -338,3 +338,19 @@ def test_long_runs_are_proposed_whole(spark):
     rows = spark.createDataFrame(enumerate(texts_), "k long, t string")
     got = {r.k: [s["match"] for s in r.x] for r in rows.select("k", personal.found("t", personal.PROPOSED["email"], F.lit(True)).alias("x")).collect()}
     assert got == {0: [texts_[0]], 1: [texts_[1][:-4]], 2: [], 3: ["{c@d.e"]}
+
+
+def test_encoder_equals_an_unaltered_library():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
+    for t in ["a <|endoftext|> b", "<|startoftext|>x<|ENDOFTEXT|>", "<| endoftext |>", "plain words", "ünï <|endoftext|>"]:
+        assert encoder(tokenizer_path()).ids(t) == np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert np.frombuffer(encoder(tokenizer_path()).ids("a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
+
+
+def test_token_files_keep_special_tokens(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "a <|endoftext|> b"), (1, "c")], "doc_id long, text string")
+    token_files.write_token_files(rows, str(tmp_path / "t"))
+    got = {r.doc_id: (r.start, np.frombuffer(bytes(r.ids), "<u4").tolist()[:3]) for r in token_files.read_token_files(spark, str(tmp_path / "t"), with_ids=True).collect()}
+    assert got[0] == (0, [320, 49407, 321]) and got[1][0] == 4
