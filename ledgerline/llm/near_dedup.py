@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         pairs = across(members, fine, s, best_only)
         pairs = materialized(pairs.join(tried, ["a", "b"], "left_anti"), "across")
         if pairs.isEmpty():
-            break
+            # Best ones that were all tried leave the second best to the full pass.
+            continue
         tried = materialized(tried.unionByName(pairs), "tried")
         more = materialized(confirmed(pairs, docs, s), "links")
         if not more.isEmpty():

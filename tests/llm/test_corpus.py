@@ -354,3 +354,14 @@ def test_token_files_keep_special_tokens(spark, tmp_path):
     token_files.write_token_files(rows, str(tmp_path / "t"))
     got = {r.doc_id: (r.start, np.frombuffer(bytes(r.ids), "<u4").tolist()[:3]) for r in token_files.read_token_files(spark, str(tmp_path / "t"), with_ids=True).collect()}
     assert got[0] == (0, [320, 49407, 321]) and got[1][0] == 4
+
+
+def test_best_pairs_all_tried_leave_the_full_pass(spark, monkeypatch):
+    """One bucket, whose lead two linked documents both just miss and yet look most similar to."""
+    draw = random.Random(0)
+    words = [f"k{draw.randrange(10**9)}" for _ in range(140)]
+    data = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((words[:104], words[16:120], words[17:124]))], "doc_id long, text string")
+    across = near_dedup.across
+    monkeypatch.setattr(near_dedup, "across", lambda members, marks, s, best_only: across(members, marks, s, False).filter("a = 0 OR NOT " + str(best_only)))
+    got = near_dedup.near_duplicates(data, near_dedup.Settings(bands=1, rows=1, floor=-9.0)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 1}
