@@ -12,13 +12,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.judged(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+    """Documents that the quality rules keep; null, empty and wordless texts go, repeated rows are judged alike.
+
+    The verdicts are written before they are filtered: pushed down, the filter would repeat every expression that it rests on.
+    """
+    return materialized(quality.judged(docs.select(*COLUMNS)).select(*COLUMNS, "kept"), "judged").filter("kept").select(*COLUMNS)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one matches; one of which no word is left goes. n_chars follows the text."""
-    cut = line_dedup.without_repeated(docs.select(*COLUMNS), line_dedup.EVERY)
+    cut = line_dedup.without_repeated(docs.select(*COLUMNS))
     counted = cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return counted.filter(F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select(*COLUMNS)
 
@@ -30,12 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; rows without doc_id or text stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of what is left, with their sequences and offsets."""
+    """Token pieces of what is left, with their sequences and offsets; a null or empty text is one piece of its end id."""
     pieces = materialized(packing.pieces(docs), "pieces")
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
