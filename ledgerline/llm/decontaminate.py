@@ -90,7 +90,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     anchors = shingled(real, "doc_id").select("id", "n_words", F.posexplode_outer("shingles").alias("at", "h")).join(index, F.col("h") == F.col("_h"))
     begin = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n_words") - F.col("n")))
     windows = materialized(anchors.select("id", "n", begin.alias("start")).distinct().groupBy("id").agg(F.collect_list(F.struct("n", "start")).alias("windows")), "windows")
-    hit = real.join(windows.withColumnRenamed("id", "_id"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "windows")
+    # Written, as a filter on the shingles would else be worked out for all documents, below the join.
+    hit = materialized(real.join(windows.withColumnRenamed("id", "_id"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "windows"), "hit")
     texts = shingled(hit.select(F.struct("doc_id", "windows").alias("both"), "text"), "both").select("id.doc_id", "n_words", "shingles", F.explode("id.windows").alias("w")).filter("shingles IS NOT NULL")
     cut = texts.select("doc_id", "w.n", "w.start", F.expr("slice(shingles, w.start + 1, least(w.n, n_words) - 4)").alias("shingles"))
     cut = materialized(cut.withColumn("key", F.concat_ws(":", "n", F.sha2(F.to_json("shingles"), 256))), "cut")
