@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.llm import kernel
+from ledgerline.llm import kernel, settle
 from ledgerline.llm.graph import components
 from ledgerline.session import materialized
 
@@ -21,8 +20,8 @@ class Settings(NamedTuple):
 
     An odd sketch of `bits` bits holds the parity of all samples; its estimate has a
     standard error of about 0.03 at 0.75. Pairs estimated below `floor` aren't confirmed.
-    Members of buckets that hold several components get fine sketches of more samples, with
-    a standard error of 0.015, and a floor of their own.
+    Members of buckets that hold several components get odd sketches of their whole sets, whose
+    bound is lossless. `block` bounds the members of a bucket that a task holds.
     """
 
     percent: int = 75
@@ -31,10 +30,7 @@ class Settings(NamedTuple):
     bands: int = 50
     bits: int = 1024
     floor: float = 0.63
-    block: int = 1000
-    fine_samples: int = 1000
-    fine_bits: int = 4096
-    fine_floor: float = 0.69
+    block: int = 4000
 
 
 def sketches(docs: DataFrame, s: Settings) -> DataFrame:
@@ -49,7 +45,7 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             for part in kernel.slices(batch, "text", 4 << 20):
                 sizes, keys, bands, bits = [], [], [], []
-                for own in sets_of(part.column("text"), s.size):
+                for own in settle.sets_of(part.column("text"), s.size):
                     sizes.append(len(own))
                     if not len(own):
                         keys.append(None), bands.append(None), bits.append(None)
@@ -67,31 +63,6 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
         run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
 
 
-def fine_sketches(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """id and an odd sketch of more samples for the documents whose doc_id is in `wanted` (id)."""
-    rng = np.random.Generator(np.random.PCG64(23))
-    factors = rng.integers(0, 2**31, s.fine_samples, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    salts = rng.integers(1, 2**63, s.fine_samples, dtype=np.uint64)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in kernel.slices(batch, "text", 4 << 20):
-                out = []
-                for own in sets_of(part.column("text"), s.size):
-                    with np.errstate(over="ignore"):
-                        out.append(folded(kernel.mixed(samples(own, factors).astype(np.uint64) + salts), s.fine_bits))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], names=["id", "sketch"])
-
-    return texts.mapInArrow(run, "id long, sketch binary").dropDuplicates(["id"])
-
-
-def sets_of(texts: pa.Array, size: int) -> list[np.ndarray]:
-    data, bounds = kernel.flat(texts)
-    starts, ends = kernel.word_spans(data, bounds)
-    return kernel.shingles(kernel.word_hashes(data, starts, ends), kernel.rows_of(starts, bounds), size)
-
-
 def samples(own: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """MinHash samples of a set: the least of its members under each multiplier."""
     values = (own >> np.uint64(32)).astype(np.uint32)
@@ -141,7 +112,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernel.slices(batch, "text", 4 << 20):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in sets_of(part.column("text"), s.size)], pa.binary())], names=["id", "members"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in settle.sets_of(part.column("text"), s.size)], pa.binary())], names=["id", "members"])
 
     sets = materialized(texts.mapInArrow(make, "id long, members binary").dropDuplicates(["id"]), "sets")
     named = lambda c: sets.select(F.col("id").alias("_" + c), F.col("members").alias("set_" + c))
@@ -161,36 +132,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def across(members: DataFrame, marks: DataFrame, s: Settings, best_only: bool) -> DataFrame:
-    """Pairs of one bucket that lie in different components and look similar; if so asked, only each member's best one.
-
-    members: key, id, component, n (size of the bucket). A bucket of more than `block`
-    members is cut into blocks; each pair of blocks is one group, so every pair of
-    members meets and no group holds more than two blocks.
-    """
-    n_blocks = F.ceil(F.col("n") / s.block).cast("int")
-    cut = members.withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
-    marked = dealt.join(marks.select(F.col("id").alias("_id"), "sketch"), F.col("id") == F.col("_id")).drop("_id")
-
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        left = group[group["own"] == i]
-        right = group[group["own"] == j] if i != j else left
-        signs = lambda x: np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(-1, s.fine_bits // 64)
-        rights, names, own = signs(right), right["id"].to_numpy(), right["component"].to_numpy()
-        a, b = [], []
-        for id_, component, sign in zip(left["id"].to_numpy(), left["component"].to_numpy(), signs(left)):
-            look = estimate(_unlike(sign[None, :], rights), s.fine_bits, s.fine_samples)
-            good = (look >= s.fine_floor) & (own != component) & ((names > id_) | (i != j) | best_only)
-            if best_only and good.any():
-                good = np.array([np.argmax(np.where(good, look, -1.0))])
-            b.append(names[good])
-            a.append(np.full(len(b[-1]), id_))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return marked.groupBy("key", "i", "j").applyInPandas(pairs, "a long, b long").distinct()
+    """Pairs of one bucket that lie in different components and may be similar; if so asked, only each member's likeliest one."""
+    return settle.across(members, marks, s.percent, s.block, best_only)
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -204,8 +147,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     bucket's smallest, then, in buckets that still hold several components, each class and
     the one of another component that looks most similar to it: this settles groups of near
     copies with about as many pairs as members. Last, in buckets that are mixed even then,
-    all classes of different components are compared by odd sketch, in bounded blocks, and
-    every pair that looks similar and wasn't tried is confirmed.
+    all classes of different components are compared by the odd sketches of their whole sets,
+    in bounded blocks, and every pair that passes their bound and wasn't tried is confirmed.
     """
     s = settings
     rows = materialized(sketches(docs, s), "sketches")
@@ -223,12 +166,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     links = materialized(confirmed(tried, docs, s), "links")
     found = components(links)
     for best_only in (True, False):
-        named = found.select(F.col("node").alias("_node"), "component")
-        labelled = materialized(buckets.join(named, F.col("id") == F.col("_node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select(F.col("key").alias("_key"))
-        members = materialized(labelled.join(materialized(mixed, "mixed"), F.col("key") == F.col("_key")).drop("_key"), "mixed-members")
+        members = settle.mixed_groups(buckets, found)
         if best_only:
-            fine = materialized(fine_sketches(docs, members.select("id").distinct(), s), "fine")
+            fine = materialized(settle.whole_sketches(docs, members.select("id").distinct(), s.size), "fine")
         pairs = across(members, fine, s, best_only)
         pairs = materialized(pairs.join(tried, ["a", "b"], "left_anti"), "across")
         if pairs.isEmpty():
