@@ -36,19 +36,16 @@ JOINED = 6
 
 
 class Settings(NamedTuple):
-    """Lines with fewer than `least` distinct words are left alone (`EVERY` leaves none alone that has a word). Tokens rarer than `common` occurrences are indexed
-    alone; a more common one only together with another common token, which splits its lists. A class of more than one in
-    `heavy` lines is indexed by its first line only."""
+    """Lines with fewer than `least` distinct words are left alone; by default every line with a word takes part. Tokens rarer than
+    `common` occurrences are indexed alone; a more common one only together with another common token, which splits its lists. A class
+    of more than one in `heavy` lines is indexed by its first line only."""
 
     percent: int = 75
-    least: int = 8
+    least: int = 1
     common: int = 200
     heavy: int = 10_000
 
 
-EVERY = Settings(least=1)
-
-
 class Lines(NamedTuple):
     """Lines of a slice that take part: place of the row, line number, set size, their tokens in order of (line, token), and
     the 64-bit words of lines of few words: there one clash of shorter hashes would make a match."""
@@ -82,9 +79,16 @@ def lines_of(texts: pa.Array, least: int, few: int = 0) -> Lines:
     fit = counts >= least
     keep = fit[own] if len(own) else np.zeros(0, bool)
     renumbered = np.cumsum(fit) - 1
-    keys = np.sort((renumbered[own[keep]].astype(np.uint64) << np.uint64(40)) | hashes[keep])
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-    owner = (keys >> np.uint64(40)).astype(np.int64)
+    owner, token = renumbered[own[keep]], hashes[keep]
+    if int(fit.sum()) < 1 << 24:
+        # The line's number fits above the token: one sort of plain numbers.
+        keys = np.sort((owner.astype(np.uint64) << np.uint64(40)) | token)
+        owner, token = (keys >> np.uint64(40)).astype(np.int64), keys & np.uint64((1 << 40) - 1)
+    else:
+        order = np.lexsort((token, owner))
+        owner, token = owner[order], token[order]
+    once = np.concatenate([[True], (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])]) if len(owner) else np.zeros(0, bool)
+    owner, token = owner[once], token[once]
     size = np.bincount(owner, minlength=int(fit.sum()))
     lead = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
     rows, numbers = row[lead][fit], (line[lead] - np.searchsorted(breaks, bounds[row[lead]]))[fit]
@@ -103,7 +107,7 @@ def lines_of(texts: pa.Array, least: int, few: int = 0) -> Lines:
         of, raw = of[once], word[once].tobytes()
         leads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
         words = {k: raw[8 * a:8 * b] for k, a, b in zip(of[leads].tolist(), leads.tolist(), [*leads[1:].tolist(), len(of)])}
-    return Lines(rows[enough], numbers[enough], size_, np.cumsum(size_) - size_, spot[owner[inside]], keys[inside] & np.uint64((1 << 40) - 1), words)
+    return Lines(rows[enough], numbers[enough], size_, np.cumsum(size_) - size_, spot[owner[inside]], token[inside], words)
 
 
 def set_keys(lines: Lines) -> list[bytes]:
@@ -206,9 +210,13 @@ def indexed(docs: DataFrame, table: bytes, heavy: dict[bytes, tuple[int, int]],
                 half = place_bit >= 64
                 even = np.bitwise_xor.reduceat(np.where(half, np.uint64(0), bit), lines.first)
                 odd = np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), lines.first)
-                rank = (lines.owner.astype(np.uint64) << np.uint64(48)) | (counts[cell(lines.token)].astype(np.uint64) << np.uint64(40)) | lines.token
-                rank = np.sort(rank)
-                token, count = rank & np.uint64((1 << 40) - 1), (rank >> np.uint64(40)) & np.uint64(255)
+                rank = (counts[cell(lines.token)].astype(np.uint64) << np.uint64(40)) | lines.token
+                if len(lines.row) <= 1 << 16:
+                    # The line's number fits above the token's rank: one sort of plain numbers.
+                    rank = np.sort((lines.owner.astype(np.uint64) << np.uint64(48)) | rank) & np.uint64((1 << 48) - 1)
+                else:
+                    rank = rank[np.lexsort((rank, lines.owner))]
+                token, count = rank & np.uint64((1 << 40) - 1), rank >> np.uint64(40)
                 place = np.arange(len(rank)) - np.repeat(lines.first, lines.size)
                 prefix = lines.size - _needed(lines.size, s.percent) + 1
                 open_ = (count > 1) & shown[lines.owner]

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import archives, decontaminate, language, line_dedup, near_dedup, packing, personal, quality, sharding, token_files
+from ledgerline.llm import alignment, archives, conversations, decontaminate, language, line_dedup, near_dedup, ngram_join, packing, personal, quality, sharding, token_files
 from ledgerline.session import ensure_checkpoint_dir, materialized
 
 
@@ -72,14 +72,32 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many of them go, and their numbers from 0, joined."""
     docs = _table(spark, sf_dir, "documents")
-    gone = materialized(line_dedup.repeated_lines(docs, line_dedup.EVERY).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set("line")).alias("_gone")), "gone")
+    gone = materialized(line_dedup.repeated_lines(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set("line")).alias("_gone")), "gone")
     lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     return lines.join(gone, F.col("doc_id") == F.col("_doc"), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("_gone").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_table(spark, sf_dir, "documents"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    told = conversations.repair(conversations.damaged(rows)).withColumnRenamed("conv_id", "_conv")
+    every = rows.select(F.col("conv_id").cast("string")).distinct()
+    joined = every.join(told, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    n = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *n, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_best_fit_packing, op3_quality_rules, op4_language_id, op5_personal_data, op6_segmented_archives,
-                                   op7_lpt_shards, op8_decontamination, op9_token_files, op10_line_dedup)}
+                                   op7_lpt_shards, op8_decontamination, op9_token_files, op10_line_dedup,
+                                   op11_tokenizer_alignment, op12_ngram_join, op13_conversation_repair)}
 
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 
@@ -109,18 +127,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-NEAR_SQL = rf"""
+_LINKED = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 link AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
-  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
-reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
-FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= PERCENT * (na.n + nb.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+told AS (SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN n USING (doc_id))
 """
+NEAR_SQL = _LINKED.replace("PERCENT", "75") + "SELECT *, doc_id = component_id AS kept FROM told"
+NGRAM_SQL = _LINKED.replace("PERCENT", "80") + "SELECT * FROM told"
 
 ARCHIVE_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -150,4 +169,4 @@ good AS (SELECT doc_id, item_id, start, 100 * common // (wsum.total + isum.total
 SELECT doc_id, item_id, max(sim)::BIGINT AS similarity, arg_max(start, (sim, -start))::BIGINT AS start FROM good GROUP BY doc_id, item_id
 """
 
-ORACLES = {"op1_near_dedup": NEAR_SQL, "op3_quality_rules": QUALITY_SQL, "op6_segmented_archives": ARCHIVE_SQL, "op8_decontamination": LEAKS_SQL}
+ORACLES = {"op1_near_dedup": NEAR_SQL, "op3_quality_rules": QUALITY_SQL, "op6_segmented_archives": ARCHIVE_SQL, "op8_decontamination": LEAKS_SQL, "op12_ngram_join": NGRAM_SQL}
