@@ -163,11 +163,17 @@ def import_summary(changes: DataFrame, model_changes: DataFrame, parsed: DataFra
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
 
 
-def insert_ignore(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose natural key is not stored yet, one per key."""
+def first_per_key(rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row per key: the first by `order`, then by a hash of the whole row, so that every run keeps the same one."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or []), F.xxhash64(*rows.columns)))
+    return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+
+
+def insert_ignore(incoming: DataFrame, stored: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows whose natural key is not stored yet, one per key (see first_per_key)."""
     known = stored.select(*[F.col(k).alias("_stored_" + k) for k in keys])
     same = reduce(and_, [F.col(k).eqNullSafe(F.col("_stored_" + k)) for k in keys])
-    return incoming.dropDuplicates(keys).join(known, same, "left_anti")
+    return first_per_key(incoming, keys, order).join(known, same, "left_anti")
 
 
 @dataclass(frozen=True)

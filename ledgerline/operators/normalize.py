@@ -23,6 +23,7 @@ from ledgerline.schemas import MODEL_ROW, SNAPSHOT
 UNIFIED_SHAPE = "unified-daily"
 STANDARD_SHAPE = "standard-daily"
 NO_SESSIONS = "no session section"
+MAX_SUM = (1 << 63) - 1
 
 _JSON_COUNTERS = dict(zip(FIVE_COUNTERS, ("inputTokens", "outputTokens", "cacheReadTokens", "cacheCreationTokens", "totalTokens")))
 _COST_KEYS = ("totalCost", "costUSD", "cost")
@@ -322,7 +323,9 @@ def _reasons() -> Column:
     days, agents, models, sessions = (F.col(c) for c in ("_days", "_agents", "_model_parts", "_sessions"))
     totals_missing = F.lit(False)
     totals_differ = F.lit(False)
+    too_large = F.lit(False)
     for name in FIVE_COUNTERS:
+        too_large = too_large | (_sum_of(F.col("_daily"), name) > F.lit(MAX_SUM).cast("decimal(38,0)"))
         totals_missing = totals_missing | F.col("_totals")[name].isNull()
         totals_differ = totals_differ | (_sum_of(F.col("_daily"), name) != F.col("_totals")[name])
     checks = {
@@ -331,7 +334,7 @@ def _reasons() -> Column:
         "empty report": F.size("_days") == 0,
         "invalid date": _any(days, lambda day: day["usage_date"].isNull()),
         "invalid agent": _any(agents, lambda row: row["agent"].isNull()),
-        "invalid counter": _any(agents, _counter_missing) | _any(days, _counter_missing),
+        "invalid counter": _any(agents, _counter_missing) | _any(days, _counter_missing) | too_large,
         "invalid cost": _any(agents, _cost_malformed),
         "invalid model": _any(models, lambda m: m["model"].isNull() | _counter_missing(m) | _cost_malformed(m)),
         "conflicting daily rows": _conflict(F.col("_daily_all"), _daily_key, "usage_hash"),
@@ -378,7 +381,8 @@ def split_documents(parsed: DataFrame, carry: tuple[str, ...] = ("file_id",)) ->
         "model_rows": F.size("_models"),
         "session_rows": F.greatest(F.coalesce(F.size("_session_rows"), F.lit(0)), F.lit(0)),
     }
-    facets.update({name: _sum_of(F.col("_daily"), name) for name in FIVE_COUNTERS})
+    # Documents whose sums exceed a bigint are refused.
+    facets.update({name: _sum_of(F.col("_daily"), name).try_cast("bigint") for name in FIVE_COUNTERS})
     return Snapshots(
         daily=rows("_daily"),
         models=rows("_models"),

@@ -11,7 +11,8 @@ from ledgerline.plans import views as v
 from ledgerline.plans.reading_queries import _COOLDOWN, _fold_sql
 from ledgerline.plans.registry import query
 from ledgerline.session import ensure_checkpoint_dir, prepare
-from ledgerline.streaming import ingest, rollups
+from ledgerline.sources.versioned import VersionedStore
+from ledgerline.streaming import current, ingest, rollups
 from ledgerline.streaming.readings import stored_stream
 
 
@@ -32,9 +33,10 @@ def run_to_table(rows: DataFrame, name: str) -> DataFrame:
 
 def _daily_table(spark, d):
     folder = f"{ensure_checkpoint_dir(spark)}/daily-{uuid.uuid4().hex}"
-    rollups.append_daily_parts(read_table_stream(spark, d, "events"), f"{folder}/table", f"{folder}/state", ["event_type"],
-                               {"events": "cast(1 as bigint)", "tokens": "cast(floor(value) as bigint)"}).awaitTermination()
-    return rollups.daily_from_parts(spark, f"{folder}/table", ["event_type"], ["events", "tokens"])
+    store = VersionedStore(spark, f"{folder}/store")
+    current.maintain_sums(read_table_stream(spark, d, "events"), store, f"{folder}/state", ["event_type"],
+                          {"events": "cast(1 as bigint)", "tokens": "cast(floor(value) as bigint)"}).awaitTermination()
+    return current.day_sums(store)
 
 
 @query("j01_j05_daily_stream", sql="""

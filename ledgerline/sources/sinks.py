@@ -6,7 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerline.functions.dates import month_key
-from ledgerline.operators.imports import insert_ignore
+from ledgerline.operators.imports import first_per_key, insert_ignore
+from ledgerline.sources.versioned import Version, VersionedStore, changes_win
 
 PRIVATE_COLUMNS = ("project_path", "payload", "content")
 
@@ -45,7 +46,7 @@ def append_facts(rows: DataFrame, path: str, keys: list[str], date_column: str =
     rows = without_private_columns(rows).withColumn("usage_month", month_key(F.col(date_column)))
     stored = _stored(rows, path)
     if stored is None:
-        fresh = rows.dropDuplicates(keys)
+        fresh = first_per_key(rows, keys)
     else:
         months = rows.select(F.col("usage_month").alias("_month")).distinct()
         touched = stored.join(months, F.col("usage_month").eqNullSafe(F.col("_month")), "left_semi")
@@ -57,16 +58,22 @@ def append_facts(rows: DataFrame, path: str, keys: list[str], date_column: str =
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Append rows whose key is not stored, to a table without partitions; of equal keys in one call one row is kept."""
     stored = _stored(rows, path)
-    fresh = rows.dropDuplicates(keys) if stored is None else insert_ignore(rows, stored, keys)
+    fresh = first_per_key(rows, keys) if stored is None else insert_ignore(rows, stored, keys)
     fresh.write.mode("append").parquet(path)
 
 
 def upserted(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows with changed ones replaced and new ones added.
+    """Stored rows with changed ones replaced and new ones added; of several changes of a key every run keeps the same one.
 
-    Plain Parquet has no row-level update: write the result to a new path, or
-    use DataFrame.mergeInto where the table format supports it.
+    The result is a whole table. `upsert` rewrites only the partitions that change.
     """
-    newest = Window.partitionBy(*keys).orderBy(F.col("_new").desc())
+    newest = Window.partitionBy(*keys).orderBy(F.col("_new").desc(), F.xxhash64(*changes.columns))
     both = stored.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
     return both.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank", "_new")
+
+
+def upsert(store: VersionedStore, table: str, changes: DataFrame, keys: list[str], by: list[str], order: list[str] | None = None) -> Version:
+    """Replace changed rows and add new ones, as one commit that rewrites the touched partitions. `by` must be among the keys or follow from them."""
+    changes = without_private_columns(changes)
+    win = changes_win(keys, [*[F.col(c) for c in order or []], F.xxhash64(*changes.columns)])
+    return store.update(lambda base: [store.merge(table, changes, by, win, base)])
