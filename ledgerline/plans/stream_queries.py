@@ -6,14 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.operators import append
 from ledgerline.plans import views as v
 from ledgerline.plans.reading_queries import _COOLDOWN, _fold_sql
 from ledgerline.plans.registry import query
 from ledgerline.session import ensure_checkpoint_dir, prepare
 from ledgerline.sources.versioned import VersionedStore
-from ledgerline.streaming import current, ingest, rollups
-from ledgerline.streaming.readings import stored_stream
+from ledgerline.streaming import current, ingest, readings as live, rollups
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,16 +19,6 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run_to_table(rows: DataFrame, name: str) -> DataFrame:
-    """Drain the stream into a new Parquet table and read it back."""
-    spark = rows.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    job = rows.writeStream.format("parquet").option("path", f"{folder}/table").option(
-        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    job.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/table")
-
-
 def _daily_table(spark, d):
     folder = f"{ensure_checkpoint_dir(spark)}/daily-{uuid.uuid4().hex}"
     store = VersionedStore(spark, f"{folder}/store")
@@ -72,5 +60,7 @@ def redelivery_stream(spark, d):
 
 @query("j04_reading_stream", ("readings",), _fold_sql("readings", _COOLDOWN))
 def reading_stream(spark, d):
-    readings = v.as_readings(read_table_stream(spark, d, "events"))
-    return run_to_table(stored_stream(readings, append.ATOMIC), "readings").select("account", "reading_id")
+    folder = f"{ensure_checkpoint_dir(spark)}/readings-{uuid.uuid4().hex}"
+    store = VersionedStore(spark, f"{folder}/store")
+    live.store_readings(v.as_readings(read_table_stream(spark, d, "events")), store, f"{folder}/state").awaitTermination()
+    return live.stored(store).select("account", "reading_id")
