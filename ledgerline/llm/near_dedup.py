@@ -131,11 +131,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def across(members: DataFrame, marks: DataFrame, s: Settings, best_only: bool) -> DataFrame:
-    """Pairs of one bucket that lie in different components and may be similar; if so asked, only each member's likeliest one."""
-    return settle.across(members, marks, s.percent, s.block, best_only)
-
-
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, for documents (doc_id, text).
 
@@ -143,12 +138,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     Documents with equal sets are one class from the start, so copies meet once; repeated
     rows share a component. Other columns are not read; an empty table gives no rows.
 
-    Candidates are confirmed in three rounds. First each class of a bucket against the
-    bucket's smallest, then, in buckets that still hold several components, each class and
-    the one of another component that looks most similar to it: this settles groups of near
-    copies with about as many pairs as members. Last, in buckets that are mixed even then,
-    all classes of different components are compared by the odd sketches of their whole sets,
-    in bounded blocks, and every pair that passes their bound and wasn't tried is confirmed.
+    Candidates are confirmed in rounds. First each class of a bucket against the bucket's
+    smallest, if their odd sketches look similar. Then, in buckets that still hold several components,
+    the odd sketches of whole sets are compared in bounded blocks: of the pairs between two components that
+    pass their bound the likeliest is confirmed, and all others where that one fails (`settle.settled`).
     """
     s = settings
     rows = materialized(sketches(docs, s), "sketches")
@@ -165,20 +158,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     tried = materialized(screened(stars, marks, s), "stars")
     links = materialized(confirmed(tried, docs, s), "links")
     found = components(links)
-    for best_only in (True, False):
-        members = settle.mixed_groups(buckets, found)
-        if best_only:
-            fine = materialized(settle.whole_sketches(docs, members.select("id").distinct(), s.size), "fine")
-        pairs = across(members, fine, s, best_only)
-        pairs = materialized(pairs.join(tried, ["a", "b"], "left_anti"), "across")
-        if pairs.isEmpty():
-            # Best ones that were all tried leave the second best to the full pass.
-            continue
-        tried = materialized(tried.unionByName(pairs), "tried")
-        more = materialized(confirmed(pairs, docs, s), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
+    found = settle.settled(buckets, found, tried, links, lambda ids: settle.whole_sketches(docs, ids, s.size), lambda pairs: confirmed(pairs, docs, s), s.percent, s.block)
     found = found.select(F.col("node").alias("_node"), "component")
     members = rows.select("doc_id", "n_shingles", "set_key").join(classes.withColumnRenamed("set_key", "_key"), (F.col("set_key") == F.col("_key")) & F.col("doc_id").isNotNull(), "left")
     members = materialized(members.select("doc_id", "n_shingles", "id"), "members")

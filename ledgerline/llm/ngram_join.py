@@ -93,7 +93,8 @@ def rarity(scan: DataFrame) -> bytes:
     return b"".join(bytes(x["code"]) for x in sorted(found, key=lambda x: x["part"])) or bytes(CELLS)
 
 
-_ENTRY = np.dtype([("token", "<u8"), ("id", "<i8"), ("n", "<u4"), ("place", "<u4")])
+#: Tokens are told apart by 32 bits inside a part; a clash only adds a candidate.
+_ENTRY = np.dtype([("token", "<u4"), ("id", "<i8"), ("n", "<u4"), ("place", "<u4")])
 
 
 def indexed(heads: DataFrame, table: bytes, n_parts: int, s: Settings) -> DataFrame:
@@ -102,11 +103,10 @@ def indexed(heads: DataFrame, table: bytes, n_parts: int, s: Settings) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer(shared.value, np.uint8)
-        held, n_held = [], 0
+        held, parts, n_held = [], [], 0
 
         def dealt() -> pa.RecordBatch:
-            all_ = np.concatenate(held)
-            part = (kernel.mixed(all_["token"]) % np.uint64(n_parts)).astype(np.int64)
+            all_, part = np.concatenate(held), np.concatenate(parts)
             order = np.argsort(part, kind="stable")
             all_, part = all_[order], part[order]
             leads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -118,13 +118,14 @@ def indexed(heads: DataFrame, table: bytes, n_parts: int, s: Settings) -> DataFr
             for some in kernel.slices(batch, "text", 4 << 20):
                 for doc, own in zip(some.column("doc_id").to_pylist(), settle.sets_of(some.column("text"), s.size)):
                     first = ranked(own, codes, 0, prefix_length(len(own), s.percent))
-                    rows = np.empty(len(first), _ENTRY)
-                    rows["token"], rows["id"], rows["n"], rows["place"] = first, doc, len(own), np.arange(len(first))
+                    rows, first = np.empty(len(first), _ENTRY), kernel.mixed(first)
+                    rows["token"], rows["id"], rows["n"], rows["place"] = first >> np.uint64(32), doc, len(own), np.arange(len(first))
                     held.append(rows)
+                    parts.append((first % np.uint64(n_parts)).astype(np.int64))
                     n_held += len(rows)
                 if n_held >= s.part:
                     yield dealt()
-                    held, n_held = [], 0
+                    held, parts, n_held = [], [], 0
         if n_held:
             yield dealt()
 
@@ -152,7 +153,7 @@ def live(index: DataFrame, s: Settings) -> DataFrame:
     """
     large = materialized(index.groupBy(F.col("part").alias("_part")).agg(F.sum("n").alias("total")).filter(F.col("total") > s.most).select("_part"), "large-parts")
 
-    def sorted_(held: list[np.ndarray]) -> pa.RecordBatch:
+    def sorted_(part: int, held: list[np.ndarray]) -> pa.RecordBatch:
         all_ = np.concatenate(held)
         token = np.sort(all_["token"])
         again = np.unique(token[1:][token[1:] == token[:-1]])
@@ -162,7 +163,7 @@ def live(index: DataFrame, s: Settings) -> DataFrame:
         all_ = all_[np.lexsort((all_["id"], all_["token"]))]
         new = np.concatenate([[True], all_["token"][1:] != all_["token"][:-1]]) if len(all_) else np.zeros(0, bool)
         lead = all_[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(all_) else all_
-        columns = [all_["token"].view(np.int64) if len(all_) else [], all_["id"], all_["n"], all_["place"], lead["id"], lead["n"], lead["place"]]
+        columns = [(part << 32) + all_["token"].astype(np.int64), all_["id"], all_["n"], all_["place"], lead["id"], lead["n"], lead["place"]]
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).astype(np.int64), pa.int64()) for x in columns], schema=_LIVE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,29 +172,59 @@ def live(index: DataFrame, s: Settings) -> DataFrame:
             for part, raw, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 if part != now:
                     if held:
-                        yield sorted_(held)
+                        yield sorted_(now, held)
                     now, held = part, []
                 held.append(_entries(raw.as_buffer(), n))
         if held:
-            yield sorted_(held)
+            yield sorted_(now, held)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, n in zip(batch.column(0), batch.column(1).to_pylist()):
+            for part, raw, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 x = _entries(raw.as_buffer(), n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["token"]).view(np.int64))] + [pa.array(x[c].astype(np.int64)) for c in ("id", "n", "place")], names=["key", "id", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array((part << 32) + x["token"].astype(np.int64))] + [pa.array(x[c].astype(np.int64)) for c in ("id", "n", "place")], names=["key", "id", "n", "place"])
 
     n_tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = index.join(large, F.col("part") == F.col("_part"), "left_anti").select("part", "entries", "n")
     told = small.repartition(n_tasks, "part").sortWithinPartitions("part").mapInArrow(run, LIVE)
     if large.isEmpty():
         return told
-    apart = materialized(index.join(large, F.col("part") == F.col("_part"), "left_semi").select("entries", "n").mapInArrow(rows, "key long, id long, n long, place long"), "large-rows")
+    apart = materialized(index.join(large, F.col("part") == F.col("_part"), "left_semi").select("part", "entries", "n").mapInArrow(rows, "key long, id long, n long, place long"), "large-rows")
     leads = apart.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("id", "n", "place")).alias("lead"), F.max("id").alias("last")).filter("lead.id < last")
     joined = apart.join(leads, F.col("key") == F.col("_key")).select("key", "id", "n", "place", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.place").alias("lead_place"))
     return told.unionByName(joined)
 
 
+def _beside(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b and the columns of both documents."""
+    side = lambda c: rows.select(F.col("id").alias("_" + c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
+    joined = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    return joined.select("a", "b", *[f"{x}_a" for x in columns], *[f"{x}_b" for x in columns])
+
+
+def screened(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) that the odd sketches of whole sets, folded to 1024 bits at most, can't exclude. `pairs` is a written table."""
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = [settle.folded_to(np.frombuffer(x.as_buffer(), np.uint64)[None, :], 16).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["id", "size", "sketch"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for n, x, m, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                x, y = np.frombuffer(x, np.uint64)[None, :], np.frombuffer(y, np.uint64)[None, :]
+                words = min(x.shape[1], y.shape[1])
+                apart = int(np.bitwise_count(settle.folded_to(x, words) ^ settle.folded_to(y, words)).sum())
+                good.append(n + m + 2 * (-s.percent * (n + m) // (100 + s.percent)) >= apart)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    marks = materialized(settle.whole_sketches(docs, wanted, s.size).mapInArrow(fold, "id long, size long, sketch binary"), "folded")
+    return _beside(pairs, marks, ["size", "sketch"]).mapInArrow(near, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, table: bytes, s: Settings) -> DataFrame:
     """Pairs (a, b) that reach the threshold: first their prefixes must meet under each further order, then full sets are compared. `pairs` is a written table."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -227,13 +258,8 @@ def verified(pairs: DataFrame, docs: DataFrame, table: bytes, s: Settings) -> Da
                 good.append(100 * both >= s.percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    def with_both(some: DataFrame, columns: list[str]) -> DataFrame:
-        side = lambda c: sets.select(F.col("id").alias("_" + c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
-        joined = some.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
-        return joined.select("a", "b", *[f"{x}_a" for x in columns], *[f"{x}_b" for x in columns])
-
-    near = materialized(with_both(pairs, names).mapInArrow(meet, "a long, b long"), "met")
-    return with_both(near, ["members"]).mapInArrow(compare, "a long, b long")
+    near = materialized(_beside(pairs, sets, names).mapInArrow(meet, "a long, b long"), "met")
+    return _beside(near, sets, ["members"]).mapInArrow(compare, "a long, b long")
 
 
 def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -244,9 +270,9 @@ def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     A doc_id stands for one text. Other columns are not read; an empty table gives no rows.
 
     Each token's documents are first paired with the smallest of them. Tokens whose documents
-    then still lie in several components form groups by that smallest one; in these, first each
-    document and its likeliest partner of another component, then all that the odd sketches of
-    whole sets can't exclude are verified. No link between different texts is lost.
+    then still lie in several components form groups by that smallest one; in these, the likeliest pair
+    between any two components is verified, and all others that the odd sketches of whole sets can't exclude
+    where that one fails (`settle.settled`). No link between different texts is lost.
     """
     s = settings
     scan = materialized(scanned(docs, s), "ngram-scan")
@@ -262,22 +288,11 @@ def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     fits = (F.least("place", "lead_place") + 1 + F.least(F.col("n") - F.col("place") - 1, F.col("lead_n") - F.col("lead_place") - 1)) >= least
     sizes = 100 * F.least("n", "lead_n") >= s.percent * F.greatest("n", "lead_n")
     tried = materialized(entries.filter((F.col("id") != F.col("lead")) & sizes & fits).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = materialized(verified(tried, docs, table, s), "links")
+    near = materialized(screened(tried, docs, s), "screened")
+    links = materialized(verified(near, docs, table, s), "links")
     found = components(links)
     buckets = entries.select("key", "id", "lead")
-    marks = None
-    for best_only in (True, False):
-        members = settle.mixed_groups(buckets, found)
-        if marks is None:
-            marks = materialized(settle.whole_sketches(docs, members.select("id").distinct(), s.size), "whole-sketches")
-        pairs = materialized(settle.across(members, marks, s.percent, s.block, best_only).join(tried, ["a", "b"], "left_anti"), "across")
-        if pairs.isEmpty():
-            continue
-        tried = materialized(tried.unionByName(pairs), "tried")
-        more = materialized(verified(pairs, docs, table, s), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
+    found = settle.settled(buckets, found, tried, links, lambda ids: settle.whole_sketches(docs, ids, s.size), lambda pairs: verified(pairs, docs, table, s), s.percent, s.block)
     named = found.select(F.col("node").alias("_node"), "component")
     members = rows.join(classes.select(F.col("set_key").alias("_key"), "id"), (F.col("set_key") == F.col("_key")) & F.col("doc_id").isNotNull(), "left")
     told = members.select("doc_id", "n_shingles", "id").join(named, F.col("id") == F.col("_node"), "left")

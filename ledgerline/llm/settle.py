@@ -7,17 +7,19 @@ is lossless; with four cells a member it drops nearly all pairs that are below t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.llm import kernel
+from ledgerline.llm.graph import components
 from ledgerline.session import materialized
 
 LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: A task looks through groups of so many rows together at least, and so many pairs and words of their sketches at once.
+WAIT, PAIRS, WORDS = 1 << 13, 1 << 20, 1 << 21
 
 
 def sets_of(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -72,8 +74,11 @@ def mixed_groups(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(sizes, F.col("key") == F.col("_key")).drop("_key")
 
 
-def across(members: DataFrame, marks: DataFrame, percent: int, block: int, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of one group that lie in different components and may reach the threshold; if so asked, only each member's likeliest one.
+def across(members: DataFrame, marks: DataFrame, percent: int, block: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of one group that lie in different components and may reach the threshold, and how many further ones they stand for (more).
+
+    Of the pairs between two components, only the likeliest one of a block pair, or every one if so asked. If that one
+    turns out to link, the others say nothing new; if it doesn't and stands for others, these have to be asked for.
 
     members: key, id, component, n (size of the group). A group of more than `block` members
     is cut into blocks; each pair of blocks is one task's group, so every pair of members
@@ -84,43 +89,124 @@ def across(members: DataFrame, marks: DataFrame, percent: int, block: int, best_
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
     marked = dealt.join(marks.select(F.col("id").alias("_id"), "size", "sketch"), F.col("id") == F.col("_id")).drop("_id")
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        own = group["own"].to_numpy()
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j) if i != j else left
-        ids, component, sizes = (group[c].to_numpy() for c in ("id", "component", "size"))
-        words = np.array([len(x) // 8 for x in group["sketch"]])
-        sketch = group["sketch"].to_numpy()
-        classes = {(side, w): (at, np.frombuffer(b"".join(sketch[at]), np.uint64).reshape(-1, w)) for side, chosen in ((0, left), (1, right))
-                   for w in np.unique(words[chosen]).tolist() for at in [chosen[words[chosen] == w]]}
-        best, a, b = {}, [], []
-        for (side, w), (at, ours) in classes.items():
-            for (other, v), (to, theirs) in classes.items():
-                if side or not other or max(w, v) > 2 * min(w, v):
-                    continue
-                m = min(w, v)
-                theirs = folded_to(theirs, m)
-                for k, mine in zip(at.tolist(), folded_to(ours, m)):
-                    both = sizes[k] + sizes[to]
-                    apart = np.bitwise_count(mine[None, :] ^ theirs).sum(axis=1, dtype=np.int64)
-                    least = -(-percent * both // (100 + percent))
-                    good = np.flatnonzero((both - 2 * least >= apart) & (100 * np.minimum(sizes[k], sizes[to]) >= percent * np.maximum(sizes[k], sizes[to]))
-                                          & (component[to] != component[k]) & ((ids[to] > ids[k]) | (i != j) | best_only))
-                    if not len(good):
-                        continue
-                    if best_only:
-                        share = apart[good] / both[good]
-                        x = int(np.argmin(share))
-                        if share[x] < best.get(k, (2.0, 0))[0]:
-                            best[k] = (float(share[x]), int(to[good[x]]))
-                    else:
-                        a.append(np.full(len(good), ids[k]))
-                        b.append(ids[to[good]])
-        if best_only:
-            a, b = ids[list(best)], ids[[x for _, x in best.values()]]
-        else:
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return marked.groupBy("key", "i", "j").applyInPandas(pairs, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            place = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
+            new = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0))
+            if n_held >= WAIT:
+                begins = held[-1][1] is not None and len(place.T) and (held[-1][1] != place[:, 0]).any()
+                cut = 0 if begins else int(new[0]) + 1 if len(new) else None
+                if cut is not None:
+                    yield _looked_through(pa.concat_tables([t for t, _ in held] + [rows.slice(0, cut)]), percent, every)
+                    rows, held, n_held = rows.slice(cut), [], 0
+            if rows.num_rows:
+                held.append((rows, place[:, -1]))
+                n_held += rows.num_rows
+        if held:
+            yield _looked_through(pa.concat_tables([t for t, _ in held]), percent, every)
+
+    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = marked.select("key", "i", "j", "own", "id", "component", "size", "sketch").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return ordered.mapInArrow(run, "a long, b long, more long").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def _unlike(a: np.ndarray, b: np.ndarray, words: np.ndarray, folded: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """In how many cells the sketches of rows a and b differ, at the width of the narrower one."""
+    out, width_of = np.zeros(len(a), np.int64), np.minimum(words[a], words[b])
+    for m in np.unique(width_of).tolist():
+        some = np.flatnonzero(width_of == m)
+        place, table = folded[m]
+        for at in range(0, len(some), max(1, WORDS // m)):
+            part = some[at:at + max(1, WORDS // m)]
+            out[part] = np.bitwise_count(table[place[a[part]]] ^ table[place[b[part]]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _looked_through(rows: pa.Table, percent: int, every: bool) -> pa.RecordBatch:
+    """The pairs of `across` for whole groups, all at once. Rows go by group and size, so that those a row's size allows are one stretch."""
+    key, i, j, own, ids, component, size = (rows.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "component", "size"))
+    new = np.concatenate([[False], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    order = np.lexsort((ids, size, np.cumsum(new)))
+    group, i, j, own, ids, component, size = (x[order] for x in (np.cumsum(new), i, j, own, ids, component, size))
+    sketch = rows.column("sketch").take(pa.array(order)).to_pylist()
+    words = np.array([len(x) // 8 for x in sketch])
+    folded = {}
+    for m in np.unique(words).tolist():
+        some = np.flatnonzero((words == m) | (words == 2 * m))
+        place = np.zeros(len(words), np.int64)
+        place[some] = np.arange(len(some))
+        parts = np.empty((len(some), m), np.uint64)
+        for w in (m, 2 * m):
+            at = words[some] == w
+            if at.any():
+                parts[at] = folded_to(np.frombuffer(b"".join([sketch[k] for k in some[at]]), np.uint64).reshape(-1, w), m)
+        folded[m] = place, parts
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    tall = (group[right].astype(np.int64) << 40) | size[right]
+    base = group[left].astype(np.int64) << 40
+    low, high = np.searchsorted(tall, base | -(-percent * size[left] // 100)), np.searchsorted(tall, base | (100 * size[left] // percent), side="right")
+    alone = i[left] == j[left]
+    low = np.where(alone, np.maximum(low, np.searchsorted(right, left) + 1), low)
+    many = np.maximum(high - low, 0)
+    begins = np.cumsum(many) - many
+    held = [np.zeros(0, np.int64)] * 6 + [np.zeros(0)]
+    at = 0
+    while at < len(left):
+        end = max(at + 1, int(np.searchsorted(begins, begins[at] + PAIRS)))
+        n = many[at:end]
+        a = np.repeat(left[at:end], n)
+        b = right[np.repeat(low[at:end] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        at = end
+        keep = (component[a] != component[b]) & (np.maximum(words[a], words[b]) <= 2 * np.minimum(words[a], words[b]))
+        a, b = a[keep], b[keep]
+        apart, both = _unlike(a, b, words, folded), size[a] + size[b]
+        keep = both + 2 * (-percent * both // (100 + percent)) >= apart
+        a, b, share = a[keep], b[keep], (apart / np.maximum(both, 1))[keep]
+        found = [group[a], np.minimum(component[a], component[b]), np.maximum(component[a], component[b]), np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]),
+                 np.zeros(len(a), np.int64) if every else np.ones(len(a), np.int64), share]
+        held = [np.concatenate(x) for x in zip(held, found)]
+        if not every:
+            held = _likeliest(held)
+    a, b, more = held[3], held[4], held[5] if every else held[5] - 1
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, more)], names=["a", "b", "more"])
+
+
+def _likeliest(pairs: list[np.ndarray]) -> list[np.ndarray]:
+    """Of the pairs (group, two components, a, b, count, share) of one group and two components the one of least share, with the sum of the counts."""
+    group, one, two, a, b, count, share = pairs
+    order = np.lexsort((b, a, share, two, one, group))
+    group, one, two, a, b, count, share = (x[order] for x in pairs)
+    if not len(order):
+        return pairs
+    leads = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+    return [group[leads], one[leads], two[leads], a[leads], b[leads], np.add.reduceat(count, leads), share[leads]]
+
+
+def settled(buckets: DataFrame, found: DataFrame, tried: DataFrame, links: DataFrame, marks_of: Callable[[DataFrame], DataFrame],
+            confirm: Callable[[DataFrame], DataFrame], percent: int, block: int) -> DataFrame:
+    """The components (node, component) of all links between members of one bucket, from those that `tried` pairs (a, b) have shown.
+
+    buckets: key, id, lead (the bucket's smallest id); links: a, b, of which `found` are the components. `marks_of` makes
+    the whole sketches of some ids, `confirm` keeps the pairs of a written table that link. First the likeliest pair between any two
+    components of a group is confirmed; only if one of these fails that stands for others, all pairs that the bound leaves are.
+    """
+    marks, every = None, False
+    while True:
+        members = mixed_groups(buckets, found)
+        if marks is None:
+            marks = materialized(marks_of(members.select("id").distinct()), "whole-sketches")
+        proposed = materialized(across(members, marks, percent, block, every), "across")
+        pairs = materialized(proposed.join(tried, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+        if not pairs.isEmpty():
+            more = materialized(confirm(pairs), "links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                found = components(links)
+        if every:
+            return found
+        # A tried pair that isn't a link may stand for others too.
+        if proposed.filter("more > 0").join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").isEmpty():
+            return found
+        tried, every = tried.unionByName(pairs), True

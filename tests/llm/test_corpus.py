@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerline.llm import archives, decontaminate, graph, kernel, language, line_dedup, near_dedup, packing, personal, quality, queries, sharding, token_files
+from ledgerline.llm import archives, decontaminate, graph, kernel, language, line_dedup, near_dedup, packing, personal, quality, queries, settle, sharding, token_files
 from ledgerline.llm.tokens import encoder, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, component string, kept string"
@@ -356,15 +356,21 @@ def test_token_files_keep_special_tokens(spark, tmp_path):
     assert got[0] == (0, [320, 49407, 321]) and got[1][0] == 4
 
 
-def test_best_pairs_all_tried_leave_the_full_pass(spark, monkeypatch):
-    """One bucket, whose lead two linked documents both just miss and yet look most similar to."""
+def test_a_tried_best_pair_leaves_the_others_to_the_full_pass(spark, monkeypatch):
+    """One bucket of three: the likeliest pair of two components was tried and refused, and stands for one that links."""
     draw = random.Random(0)
     words = [f"k{draw.randrange(10**9)}" for _ in range(140)]
     data = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((words[:104], words[16:120], words[17:124]))], "doc_id long, text string")
-    across = near_dedup.across
-    monkeypatch.setattr(near_dedup, "across", lambda members, marks, s, best_only: across(members, marks, s, False).filter("a = 0 OR NOT " + str(best_only)))
+    across, asked = settle.across, []
+
+    def wrong_first(members, marks, percent, block, every):
+        asked.append(every)
+        told = across(members, marks, percent, block, every)
+        return told if every else spark.createDataFrame([(0, 1, 2)], told.schema)
+
+    monkeypatch.setattr(settle, "across", wrong_first)
     got = near_dedup.near_duplicates(data, near_dedup.Settings(bands=1, rows=1, floor=-9.0)).collect()
-    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 1}
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 1} and asked == [False, True]
 
 
 def test_more_lines_than_sixteen_bits_number(spark):
