@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ledgerline.config import ACCOUNTING_MODES, IMPORT_STATUSES, LIMITS, LINK_REASONS
 from ledgerline.functions.dates import local_date
 from ledgerline.functions.fingerprints import COUNTERS, FIVE_COUNTERS
 from ledgerline.functions.text import CONTROL_CHARACTERS, is_sha256, trimmed
 from ledgerline.operators.skew import spread_join
+from ledgerline.session import ensure_checkpoint_dir
 
 # What the registry and the commands accept.
 MACHINE_ID = r"^[a-z0-9][a-z0-9-]{1,63}$"
@@ -59,6 +62,19 @@ def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rows.withColumn("violations", named).filter(F.size("violations") > 0)
 
 
+def verdict_rules(verdict: Column, names: tuple[str, ...]) -> dict[str, Column]:
+    """The outcomes of a verdict column (null where nothing is wrong) as one rule each."""
+    return {name: F.coalesce(verdict != name, F.lit(True)) for name in names}
+
+
+def audited(rows: DataFrame, rules: dict[str, Column], name: str = "audited") -> dict[str, int]:
+    """Violations of each rule, counted in the pass that writes the rows; the rules are one projection. An unknown outcome is none."""
+    watch = Observation(name)
+    counts = [F.count(F.when(~rule, 1)).alias(f"r{k}") for k, rule in enumerate(rules.values())]
+    rows.observe(watch, *counts).write.parquet(f"{ensure_checkpoint_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    return {rule: watch.get[f"r{k}"] for k, rule in enumerate(rules)}
+
+
 def _col(name: str) -> Column:
     return F.col(name)
 
