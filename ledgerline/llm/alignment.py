@@ -8,10 +8,12 @@ irregular groups hold, are summed up in each task before they are shuffled.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import os
 import re
-import uuid
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -24,6 +26,7 @@ from ledgerline.session import materialized
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE, PARTS = 2 << 20, 32
+_LOW = (1 << 32) - 1
 
 
 class Settings(NamedTuple):
@@ -91,7 +94,9 @@ class Aligner:
         self.shift = (len(pieces) - 1).bit_length()
         self.same = np.array([real.get(x, -1) for x in self.bytes_a], np.int64)
         self.length_a, self.length_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
+        self.raw_a, self.raw_b = (np.frombuffer(b"".join(y), np.uint8) for y in (self.bytes_a, self.bytes_b))
         self.names = [str(k) for k in range(max(size_a, len(pieces)))]
+        self.encode_a = self._by_ranks(first) or (lambda chunks: [x.ids for x in self.a.encode_batch(chunks, add_special_tokens=False)])
         # A chunk may begin with a blank that no piece has behind another sign.
         inside = {c for k, p in enumerate(pieces) if not self.b.is_byte(k) for c in p.replace("▁", " ").lstrip(" ")[1:]}
         if " " in inside:
@@ -100,6 +105,21 @@ class Aligner:
         self.cut = re.compile(rf"\s*\S+(?:[^\S{safe}]\s*\S+)*(?:[^\S{safe}]\s*\Z)?|\s+").findall
         self.clear()
 
+    def _by_ranks(self, first: str):
+        """A faster encoder for the first tokenizer, if a file of the same vocabulary as ranks lies beside it."""
+        ranks = os.path.splitext(first)[0] + ".tiktoken"
+        if not os.path.exists(ranks):
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        with open(ranks, "rb") as lines:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if any(k >= len(self.bytes_a) or self.bytes_a[k] != x for x, k in known.items()):
+            return None
+        encode = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={}).encode_ordinary
+        return lambda chunks: list(map(encode, chunks))
+
     def clear(self) -> None:
         self.places, self.signs = _Places(), 0
         self.texts: list[str] = []
@@ -107,7 +127,6 @@ class Aligner:
         #: Distinct pairs of chunk k and their occurrences: places first[k] to first[k + 1].
         self.first, self.pairs, self.times = _Grown(np.int64), _Grown(np.int64), _Grown(np.int64)
         self.first.extend([0])
-        self.valued, self.values = None, []
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The chunks of all texts, and where each text's begin; the caches are ready for them."""
@@ -118,21 +137,22 @@ class Aligner:
             self.learn(self.places.waiting)
             self.places.waiting = []
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
-        return np.fromiter((k for x in found for k in x), np.int64, int(bounds[-1])), bounds
+        return np.array(list(chain.from_iterable(found)), np.int64), bounds
 
     def learn(self, chunks: list[str]) -> None:
         """Tokenise and align new chunks, all at once: their bytes make one stream, cut where both sides have a token's end."""
-        ids_a = [x.ids for x in self.a.encode_batch(chunks, add_special_tokens=False)]
+        ids_a = self.encode_a(chunks)
         # A letter before each chunk keeps the second tokenizer from putting its blank there; it is a token of its own.
         ids_b = [x[1:] for x in self.b.encode(["a" + c for c in chunks], num_threads=1)]
         raw = [c.encode() for c in chunks]
-        fine = [b"".join([self.bytes_a[k] for k in x]) == r == b"".join([self.bytes_b[k] for k in y]) for x, y, r in zip(ids_a, ids_b, raw)]
-        for k, good in enumerate(fine):
-            if not good:
-                ids_a[k], ids_b[k] = [], []
+        size = np.array(list(map(len, raw)), np.int64)
+        n_a, n_b = (np.array(list(map(len, y)), np.int64) for y in (ids_a, ids_b))
+        a, b = (np.array(list(chain.from_iterable(y)), np.int64) for y in (ids_a, ids_b))
+        fine = _equal(a, n_a, self.length_a, self.raw_a, raw, size) & _equal(b, n_b, self.length_b, self.raw_b, raw, size)
+        if not fine.all():
+            a, b = a[np.repeat(fine, n_a)], b[np.repeat(fine, n_b)]
+            n_a, n_b = np.where(fine, n_a, 0), np.where(fine, n_b, 0)
         self.signs += sum(map(len, chunks))
-        n_a, n_b = (np.array([len(x) for x in y], np.int64) for y in (ids_a, ids_b))
-        a, b = (np.fromiter((k for x in y for k in x), np.int64, int(n.sum())) for y, n in ((ids_a, n_a), (ids_b, n_b)))
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
@@ -151,17 +171,18 @@ class Aligner:
         np.add.at(links, chunk_of_group, many_a * many_b)
         self.fine.extend(fine), self.n_a.extend(n_a), self.n_b.extend(n_b), self.n_groups.extend(n_groups), self.n_links.extend(links)
         self.first.extend(self.pairs.n + np.cumsum(counts)), self.pairs.extend(keys & ((1 << 32) - 1)), self.times.extend(times)
-        names, at = self.names, 0
+        names = self.names
+        left, right = [names[k] for k in a.tolist()], [names[k] for k in b.tolist()]
         parts, x, y = [], 0, 0
         for i, j in zip(many_a.tolist(), many_b.tolist()):
-            if i == 1 and j == 1:
-                parts.append(f"{names[a[x]]}|{names[b[y]]}")
+            if i == 1 == j:
+                parts.append(f"{left[x]}|{right[y]}")
             else:
-                parts.append(",".join([names[k] for k in a[x:x + i]]) + "|" + ",".join([names[k] for k in b[y:y + j]]))
-            x, y = x + i, y + j
-        for n in n_groups.tolist():
-            self.texts.append(";".join(parts[at:at + n]))
-            at += n
+                parts.append(f"{','.join(left[x:x + i])}|{','.join(right[y:y + j])}")
+            x += i
+            y += j
+        cuts = np.cumsum(n_groups).tolist()
+        self.texts += [";".join(parts[i:j]) for i, j in zip([0, *cuts], cuts)]
 
     def spread(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of all pairs of these chunks, and the place in `chunks` each comes from."""
@@ -169,20 +190,21 @@ class Aligner:
         own = np.repeat(np.arange(len(chunks)), n)
         return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), own
 
-    def worth(self, name: str, table: "Table") -> list[np.ndarray]:
-        """Of every chunk known, its links that are their first id's best and the sum of its links' counts, under a table of that name."""
-        if self.valued != name:
-            self.valued, self.values = name, [_Grown(np.int64), _Grown(np.int64)]
-        done = self.values[0].n
-        if done < self.fine.n:
-            at, own = self.spread(np.arange(done, self.fine.n))
-            pairs, times = self.pairs[at], self.times[at]
-            counts, best = table.look(pairs, self.same, self.shift)
-            for values, x in zip(self.values, (np.where(best, times, 0), counts * times)):
-                out = np.zeros(self.fine.n - done, np.int64)
-                np.add.at(out, own, x)
-                values.extend(out)
-        return [v[:] for v in self.values]
+
+def _equal(ids: np.ndarray, n: np.ndarray, lengths: np.ndarray, bytes_: np.ndarray, raw: list[bytes], size: np.ndarray) -> np.ndarray:
+    """Which chunks their tokens give back byte by byte."""
+    owner = np.repeat(np.arange(len(n)), n)
+    long = lengths[ids]
+    good = np.bincount(owner, long, len(n)).astype(np.int64) == size
+    keep = good[owner]
+    ids, long = ids[keep], long[keep]
+    begins = (np.cumsum(lengths) - lengths)[ids]
+    at = np.repeat(begins - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
+    told = np.frombuffer(b"".join([r for r, g in zip(raw, good.tolist()) if g]), np.uint8)
+    differ = np.flatnonzero(bytes_[at] != told)
+    if len(differ):
+        good[np.flatnonzero(good)[np.searchsorted(np.cumsum(size[good]), differ, side="right")]] = False
+    return good
 
 
 class Table(NamedTuple):
@@ -229,46 +251,70 @@ def _fits(known: Aligner, chunks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (broken[bounds[1:]] == broken[bounds[:-1]]) & (bounds[1:] > bounds[:-1])
 
 
-def counted(docs: DataFrame, first: str, second: str, s: Settings = Settings()) -> DataFrame:
-    """How many documents link a pair: task by task, key (first id shifted, or-ed with the second) and n; key null: a vector, part by part, of
-    the pairs with the same bytes."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("vector", pa.binary())])
+_LINKED = [("row", "long"), ("doc_id", "long"), *[(c, "long") for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", "string"), ("pairs", "binary"), ("times", "binary"),
+           ("key", "long"), ("n", "long"), ("vector", "binary")]
+_ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def linked(docs: DataFrame, first: str, second: str, s: Settings = Settings()) -> DataFrame:
+    """The one pass over texts. A row per document with its digests, its distinct pairs of ids (first id shifted, or-ed with the second) and their
+    occurrences; and, task by task, how many documents hold a pair: key and n, or a part n of a vector of the pairs with the same bytes."""
+    schema = pa.schema([(c, _ARROW[k]) for c, k in _LINKED])
+
+    def rows(many: int, /, **columns) -> pa.RecordBatch:
+        arrays = [columns.get(f.name) for f in schema]
+        return pa.RecordBatch.from_arrays([pa.nulls(many, f.type) if x is None else x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(arrays, schema)], schema=schema)
 
     def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
         return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
-    def rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.nulls(len(keys), pa.binary())], schema=schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = aligner(first, second)
         vector, held, n_held = np.zeros(len(known.same), np.int64), [], 0
         for batch in batches:
             for part in kernel.slices(batch, "text", SLICE):
                 chunks, bounds = known.numbers(part.column("text").to_pylist())
+                fits = _fits(known, chunks, bounds)
+                sums = {}
+                for name in ("n_a", "n_b", "n_groups", "n_links"):
+                    running = np.concatenate([[0], np.cumsum(getattr(known, name)[chunks])])
+                    sums[name] = np.where(fits, running[bounds[1:]] - running[bounds[:-1]], 0)
+                listed, texts = chunks.tolist(), known.texts
+                digests = [hashlib.sha256(";".join([texts[k] for k in listed[a:b]]).encode()).hexdigest() if good else ""
+                           for good, a, b in zip(fits.tolist(), bounds[:-1].tolist(), bounds[1:].tolist())]
                 doc = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                keep = _fits(known, chunks, bounds)[doc]
-                once = np.unique((doc[keep] << 32) | chunks[keep])
-                at, own = known.spread(once & ((1 << 32) - 1))
-                linked = np.unique(((once >> 32)[own] << 32) | known.pairs[at]) & ((1 << 32) - 1)
-                a, b = linked >> known.shift, linked & ((1 << known.shift) - 1)
+                keep = fits[doc]
+                once, often = np.unique((doc[keep] << 32) | chunks[keep], return_counts=True)
+                at, own = known.spread(once & _LOW)
+                told = ((once >> 32)[own] << 32) | known.pairs[at]
+                order = np.argsort(told)
+                told, times = told[order], (known.times[at] * often[own])[order]
+                lead = np.flatnonzero(np.concatenate([[True], told[1:] != told[:-1]])) if len(told) else np.zeros(0, np.int64)
+                times = np.add.reduceat(times, lead) if len(lead) else times
+                of, pairs = told[lead] >> 32, told[lead] & _LOW
+                cuts = np.searchsorted(of, np.arange(part.num_rows + 1)).tolist()
+                small, counts = pairs.astype("<u4"), times.astype("<u4")
+                yield rows(part.num_rows, row=part.column("row"), doc_id=part.column("doc_id"), groups_sha256=digests, **sums,
+                           pairs=[small[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], times=[counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
+                a, b = pairs >> known.shift, pairs & ((1 << known.shift) - 1)
                 equal = known.same[a] == b
                 vector += np.bincount(a[equal], minlength=len(vector))
-                held.append(np.unique(linked[~equal], return_counts=True))
+                held.append(np.unique(pairs[~equal], return_counts=True))
                 n_held += len(held[-1][0])
                 if n_held > s.held:
                     held = [summed(held)]
                     n_held = len(held[0][0])
                     if n_held > s.held // 2:
-                        yield rows(*held[0])
+                        yield rows(n_held, key=held[0][0], n=held[0][1])
                         held, n_held = [], 0
         if n_held:
-            yield rows(*summed(held))
+            keys, n = summed(held)
+            yield rows(len(keys), key=keys, n=n)
         if vector.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int64()), pa.array([x.tobytes() for x in np.array_split(vector, PARTS)], pa.binary())], schema=schema)
+            yield rows(PARTS, n=range(PARTS), vector=[x.tobytes() for x in np.array_split(vector, PARTS)])
 
-    return _texts(docs).mapInArrow(run, "key long, n long, vector binary")
+    return _texts(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in _LINKED))
 
 
 class Counts(NamedTuple):
@@ -279,11 +325,9 @@ class Counts(NamedTuple):
     shift: int
 
 
-def pair_counts(docs: DataFrame, first: str | None = None, second: str | None = None, s: Settings = Settings()) -> Counts:
-    """Over all documents (doc_id, text), how many link each pair of ids."""
-    first, second = first or tokenizer_path(BYTE_BPE), second or tokenizer_path(PIECE_BPE)
-    known = aligner(first, second)
-    told = materialized(counted(docs, first, second, s), "pair-counts")
+def pair_counts(told: DataFrame, first: str | None = None, second: str | None = None) -> Counts:
+    """Over all documents, how many link each pair of ids; `told` is a written table of `linked`."""
+    known = aligner(first or tokenizer_path(BYTE_BPE), second or tokenizer_path(PIECE_BPE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -293,7 +337,7 @@ def pair_counts(docs: DataFrame, first: str | None = None, second: str | None =
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "vector"])
 
-    parts = told.filter("key IS NULL").select(F.col("n").alias("part"), "vector").repartition(PARTS, "part").mapInArrow(run, "part long, vector binary").collect()
+    parts = told.filter("vector IS NOT NULL").select(F.col("n").alias("part"), "vector").repartition(PARTS, "part").mapInArrow(run, "part long, vector binary").collect()
     same = np.concatenate([np.frombuffer(bytes(x["vector"]), np.int64) for x in sorted(parts, key=lambda x: x["part"])]) if parts else np.zeros(len(known.same), np.int64)
     pairs = told.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("documents"))
     pairs = pairs.select(F.expr(f"key div {1 << known.shift}").cast("int").alias("a"), (F.col("key") % (1 << known.shift)).cast("int").alias("b"), "documents")
@@ -321,31 +365,28 @@ def tables(counts: Counts, s: Settings = Settings()) -> Iterator[Table]:
         low = high
 
 
-_TOLD = [("doc_id", "long"), *[(c, "long") for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], ("groups_sha256", "string")]
+_SUMS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+COLUMNS = [x.split()[0] for x in _SUMS.split(", ")][1:]
 
 
-def _documents(docs: DataFrame, table: Table, first: str, second: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    name = uuid.uuid4().hex
-    schema = pa.schema([(c, pa.int64() if k == "long" else pa.string()) for c, k in _TOLD])
+def _weighed(told: DataFrame, table: Table, same_bytes: np.ndarray, shift: int) -> DataFrame:
+    """Documents with the sums over their links of first ids that the table covers."""
+    shared = told.sparkSession.sparkContext.broadcast((table, same_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = aligner(first, second)
+        table, same_bytes = shared.value
         for batch in batches:
-            for part in kernel.slices(batch, "text", SLICE):
-                chunks, bounds = known.numbers(part.column("text").to_pylist())
-                fits = _fits(known, chunks, bounds)
-                columns = [known.n_a[:], known.n_b[:], known.n_groups[:], known.n_links[:], *known.worth(name, shared.value)]
-                sums = []
-                for values in columns:
-                    running = np.concatenate([[0], np.cumsum(values[chunks])])
-                    sums.append(pa.array(np.where(fits, running[bounds[1:]] - running[bounds[:-1]], 0)))
-                listed, texts = chunks.tolist(), known.texts
-                digests = [hashlib.sha256(";".join([texts[k] for k in listed[a:b]]).encode()).hexdigest() if good else ""
-                           for good, a, b in zip(fits.tolist(), bounds[:-1].tolist(), bounds[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *sums, pa.array(digests, pa.string())], schema=schema)
+            for some in kernel.slices(batch, "pairs", SLICE):
+                pairs, times = (np.frombuffer(b"".join(some.column(c).to_pylist()), "<u4").astype(np.int64) for c in ("pairs", "times"))
+                bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in some.column("pairs").to_pylist()], dtype=np.int64)])
+                counts, best = table.look(pairs, same_bytes, shift)
+                sums = {}
+                for name, values in (("n_best", np.where(best, times, 0)), ("count_sum", counts * times)):
+                    running = np.concatenate([[0], np.cumsum(values)])
+                    sums[name] = pa.array(running[bounds[1:]] - running[bounds[:-1]])
+                yield pa.RecordBatch.from_arrays([sums[c] if c in sums else some.column(c) for c in ["row", *COLUMNS]], names=["row", *COLUMNS])
 
-    return _texts(docs).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in _TOLD))
+    return told.filter("row IS NOT NULL").select("row", *[c for c in COLUMNS if c not in ("n_best", "count_sum")], "pairs", "times").mapInArrow(run, _SUMS)
 
 
 def aligned(docs: DataFrame, first: str | None = None, second: str | None = None, s: Settings = Settings()) -> DataFrame:
@@ -355,20 +396,20 @@ def aligned(docs: DataFrame, first: str | None = None, second: str | None = None
     and an empty hash. Every row gives one row, repeated ones and those without doc_id too; each counts as a
     document. Other columns are not read; an empty table gives no rows.
 
-    The count table is shared with all tasks while it has at most `table` pairs. A larger one is taken in
-    ranges of first ids, one after the other; the sums of all ranges meet by the groups' hash, on which they
-    depend alone.
+    Texts are read once; each document's pairs are written. The count table is shared with all tasks while it has at
+    most `table` pairs. A larger one is taken in ranges of first ids, one after the other, and the sums of all ranges are added up.
     """
     first, second = first or tokenizer_path(BYTE_BPE), second or tokenizer_path(PIECE_BPE)
-    counts = pair_counts(docs, first, second, s)
-    told, sums = None, None
+    told = materialized(linked(docs, first, second, s), "linked")
+    counts, known = pair_counts(told, first, second), aligner(first, second)
+    parts = []
     for table in tables(counts, s):
-        some = _documents(docs, table, first, second)
+        some = _weighed(told, table, known.same, known.shift)
         if table.low == 0 and table.high == len(counts.same):
-            return some
-        some = materialized(some, "aligned")
-        told = some if told is None else told
-        part = some.select("groups_sha256", "n_best", "count_sum").distinct()
-        sums = part if sums is None else sums.unionByName(part)
-    sums = sums.groupBy(F.col("groups_sha256").alias("_of")).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    return told.drop("n_best", "count_sum").join(sums, F.col("groups_sha256") == F.col("_of")).select(*[c for c, _ in _TOLD])
+            return some.select(*COLUMNS)
+        parts.append(materialized(some, "aligned"))
+    sums = parts[0].select("row", "n_best", "count_sum")
+    for part in parts[1:]:
+        sums = sums.unionByName(part.select("row", "n_best", "count_sum"))
+    sums = sums.groupBy(F.col("row").alias("_row")).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return parts[0].drop("n_best", "count_sum").join(sums, F.col("row") == F.col("_row")).select(*COLUMNS)
