@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 from ledgerline.functions.numbers import safe_number
 from ledgerline.functions.text import trimmed
 
+# The days that a date cell may name.
 EARLIEST_DATE = "2020-01-01"
 LATEST_DATE = "2035-01-01"
 
@@ -48,11 +49,22 @@ def instant_millis(value: Column) -> Column:
     return F.timestamp_millis(F.unix_millis(dated_instant(value)))
 
 
-def wall_to_instant(day: Column, time: Column, zone: str) -> Column:
-    """The instant a wall clock in the zone shows day and HH:mm; null inside a gap."""
+def wall_to_instant(day: Column, time: Column, zone: str, later: bool = False) -> Column:
+    """The instant a wall clock in the zone shows day and HH:mm; null inside a gap.
+
+    A wall time that a clock shows twice has two instants: the earlier one counts, which is Spark's choice too, or the later
+    one if so asked. Zones change their offset less than once a day, so that one has the offset of a day after.
+    """
     wall = F.try_to_timestamp(F.concat(day.cast("string"), F.lit(" "), time, F.lit(":00")))
-    instant = F.to_utc_timestamp(wall, zone)
-    return F.when(F.from_utc_timestamp(instant, zone) == wall, instant)
+
+    def shown(instant: Column) -> Column:
+        return F.when(F.from_utc_timestamp(instant, zone) == wall, instant)
+
+    earlier = shown(F.to_utc_timestamp(wall, zone))
+    if not later:
+        return earlier
+    after = wall + F.expr("interval 24 hours")
+    return F.greatest(earlier, shown(wall - (F.from_utc_timestamp(after, zone) - after)))
 
 
 def day_sequence(first: Column, last: Column) -> Column:

@@ -140,27 +140,32 @@ def latest_processed(imports: DataFrame) -> DataFrame:
         F.col("_n.import_id").alias("import_id"), F.col("_n.processed_at").alias("processed_at"))
 
 
-def import_summary(changes: DataFrame, model_changes: DataFrame, parsed: DataFrame, links: DataFrame) -> DataFrame:
-    """One summary record per import: change counts, totals, facets and suppression.
+def import_summary(changes: DataFrame, model_changes: DataFrame, parsed: DataFrame, links: DataFrame, risk: DataFrame | None = None) -> DataFrame:
+    """One summary record per import: change counts, totals before and after with their difference, facets, suppression and risk.
 
-    `changes` and `model_changes` are classified rows with import_id and
-    change_type; `parsed` is the parser's summary; `links` carry import_id and tokens.
+    `changes` and `model_changes` are classified rows with import_id, change_type and, for `changes`, tokens before and
+    after; `parsed` is the parser's summary; `links` carry import_id and tokens; `risk` has import_id and partial_mirror_risk.
     """
-    def counts(rows: DataFrame, prefix: str) -> DataFrame:
+    def counts(rows: DataFrame, prefix: str, *more: Column) -> DataFrame:
         kinds = ("new", "revised", "removed", "unchanged")
         return rows.groupBy("import_id").agg(
-            *[F.count(F.when(F.col("change_type") == k, 1)).alias(f"{prefix}{k}") for k in kinds])
+            *[F.count(F.when(F.col("change_type") == k, 1)).alias(f"{prefix}{k}") for k in kinds], *more)
 
+    sums = [F.sum(f"{c}_tokens").alias(f"{c}_total") for c in ("before", "after")]
     suppressed = links.groupBy("import_id").agg(
         F.count(F.lit(1)).alias("rows_suppressed"), F.sum("reported_total_tokens").alias("duplicate_tokens_prevented"))
     joined = (
-        parsed.join(counts(changes, ""), "import_id", "left")
+        parsed.join(counts(changes, "", *sums), "import_id", "left")
         .join(counts(model_changes, "model_"), "import_id", "left")
         .join(suppressed, "import_id", "left")
     )
+    if risk is not None:
+        joined = joined.join(risk.select("import_id", "partial_mirror_risk"), "import_id", "left").withColumn(
+            "partial_mirror_risk", F.coalesce("partial_mirror_risk", F.lit(False)))
     numbers = [c for c in joined.columns if c.startswith("model_") or c in (
-        "new", "revised", "removed", "unchanged", "rows_suppressed", "duplicate_tokens_prevented")]
-    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
+        "new", "revised", "removed", "unchanged", "before_total", "after_total", "rows_suppressed", "duplicate_tokens_prevented")]
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers}).withColumns({
+        "net_change": F.col("after_total") - F.col("before_total"), "cross_machine_match": F.col("rows_suppressed") > 0})
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -222,7 +227,7 @@ def promote(imports: DataFrame, now: Column, rows: DataFrame, stored_rows: DataF
 
 
 def backfill(imports: DataFrame, incoming: DataFrame, stored: DataFrame, keys: list[str],
-             machine_id: str | None = None) -> DataFrame:
+             machine_id: str | None = None, order: list[str] | None = None) -> DataFrame:
     """Rows to add to imports that are already processed; running it again adds nothing.
 
     Backfilled rows are present rows, never tombstones.
@@ -230,5 +235,5 @@ def backfill(imports: DataFrame, incoming: DataFrame, stored: DataFrame, keys: l
     accepted = imports.filter(F.col("status") == "processed")
     if machine_id is not None:
         accepted = accepted.filter(F.col("machine_id") == machine_id)
-    rows = insert_ignore(incoming.join(accepted.select("import_id"), "import_id", "left_semi"), stored, keys)
+    rows = insert_ignore(incoming.join(accepted.select("import_id"), "import_id", "left_semi"), stored, keys, order)
     return rows.withColumn("is_tombstone", F.lit(False)) if "is_tombstone" in rows.columns else rows

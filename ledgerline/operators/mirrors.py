@@ -44,6 +44,34 @@ def identity_counts(sessions: DataFrame, name: str) -> DataFrame:
     return sessions.groupBy("machine_id", "agent").agg(F.count_distinct("identity_hash").alias(name))
 
 
+def in_agent_scope(sessions: DataFrame, daily: DataFrame) -> DataFrame:
+    """Sessions of the agents that their machine's daily rows name: only these are compared with other machines."""
+    named = daily.filter(~F.col("is_tombstone")).select("machine_id", "agent").distinct()
+    return sessions.join(named, ["machine_id", "agent"], "left_semi")
+
+
+def session_classes(ours: DataFrame, theirs: DataFrame | None = None) -> DataFrame:
+    """Shared fingerprints put together by who holds them: kind, agent, class, machine_id, ours, theirs, n, holders, starts, ends.
+
+    All fingerprints of a class are held by the same machines, so a pair of machines meets once a class and not once a
+    fingerprint, and the class tells their number (n) and each machine's first and last day. `ours` and `theirs` are distinct
+    fingerprints, the first with days; without the second both sides are one.
+    """
+    if theirs is None:
+        rows = ours.withColumns({"ours": F.lit(True), "theirs": F.lit(True)})
+    else:
+        none = F.lit(None).cast("date")
+        rows = ours.withColumns({"ours": F.lit(True), "theirs": F.lit(False)}).unionByName(theirs.withColumns({
+            "starts": none, "ends": none, "ours": F.lit(False), "theirs": F.lit(True)})).groupBy("kind", "agent", "hash", "machine_id").agg(
+                F.bool_or("ours").alias("ours"), F.bool_or("theirs").alias("theirs"), F.min("starts").alias("starts"), F.max("ends").alias("ends"))
+    held = rows.groupBy("kind", "agent", "hash").agg(F.sort_array(F.collect_list(F.struct("machine_id", "ours", "theirs", "starts", "ends"))).alias("_held")).filter(F.size("_held") > 1)
+    who = F.to_json(F.transform("_held", lambda h: F.struct(h["machine_id"].alias("m"), h["ours"].alias("o"), h["theirs"].alias("t"))))
+    named = held.select("kind", "agent", F.sha2(who, 256).alias("class"), F.size("_held").alias("holders"), F.explode("_held").alias("_h")).select(
+        "kind", "agent", "class", "holders", "_h.*")
+    return named.groupBy("kind", "agent", "class", "machine_id", "ours", "theirs").agg(
+        F.count(F.lit(1)).alias("n"), F.max("holders").alias("holders"), F.min("starts").alias("starts"), F.max("ends").alias("ends"))
+
+
 def session_evidence(incoming: DataFrame, existing: DataFrame,
                      min_matches: int = LIMITS.min_session_matches,
                      min_overlap: float = LIMITS.min_session_overlap) -> DataFrame:
@@ -53,13 +81,14 @@ def session_evidence(incoming: DataFrame, existing: DataFrame,
     is exact / the smaller identity count. Pairs that share nothing carry no
     evidence and are not listed.
     """
-    left = incoming_fingerprints(incoming)
-    right = _fingerprints(existing).distinct().withColumnRenamed("machine_id", "other_machine_id")
-    shared = left.join(right, ["kind", "agent", "hash"]).filter(F.col("machine_id") != F.col("other_machine_id"))
+    classes = materialized(session_classes(incoming_fingerprints(incoming), None if existing is incoming else _fingerprints(existing).distinct()), "classes")
+    left = classes.filter("ours").select("kind", "agent", "class", "machine_id", "n", "starts", "ends")
+    right = classes.filter("theirs").select("kind", "agent", "class", F.col("machine_id").alias("other_machine_id"))
+    shared = left.join(right, ["kind", "agent", "class"]).filter(F.col("machine_id") != F.col("other_machine_id"))
     exact = F.col("kind") == "mirror"
     pairs = shared.groupBy(*PAIR).agg(
-        F.count(F.when(exact, 1)).alias("exact_matches"),
-        F.count(F.when(~exact, 1)).alias("identity_matches"),
+        F.coalesce(F.sum(F.when(exact, F.col("n"))), F.lit(0)).alias("exact_matches"),
+        F.coalesce(F.sum(F.when(~exact, F.col("n"))), F.lit(0)).alias("identity_matches"),
         F.min(F.when(exact, F.col("starts"))).alias("evidence_start"),
         F.max(F.when(exact, F.col("ends"))).alias("evidence_end"),
         F.min(F.when(~exact, F.col("starts"))).alias("_risk_start"),
@@ -111,58 +140,57 @@ def match_totals(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def _telling(mirrors: DataFrame, sizes: DataFrame, holders: DataFrame, min_matches: int, min_overlap: float) -> DataFrame:
-    """The mirrors of each machine that must show a match with any strong partner at least as large.
+def _telling(classes: DataFrame, sizes: DataFrame, min_matches: int, min_overlap: float) -> DataFrame:
+    """The classes of mirrors of each machine that must show a match with any strong partner at least as large.
 
     A strong partner shares t or more mirrors, so leaving out up to t - 1 of them
     loses no partner. Those held by most machines are left out. How many can go is
     read from a histogram of holder counts, so no machine's sessions meet in one task.
     """
     needed = F.greatest(F.lit(min_matches), F.ceil(F.col("sessions") * min_overlap - 1e-9))
-    counted = mirrors.join(holders, ["agent", "hash"])
-    histogram = counted.groupBy("machine_id", "agent", "holders").agg(F.count(F.lit(1)).alias("n")).join(sizes, ["machine_id", "agent"])
+    histogram = classes.groupBy("machine_id", "agent", "holders").agg(F.sum("n").alias("n")).join(sizes, ["machine_id", "agent"])
     from_top = Window.partitionBy("machine_id", "agent").orderBy(F.col("holders").desc())
     limits = histogram.withColumn("_dropped", F.sum("n").over(from_top)).groupBy("machine_id", "agent").agg(
         F.min(F.when(F.col("_dropped") <= needed - 1, F.col("holders"))).alias("_from"))
-    return spread_join(counted, limits, ["machine_id", "agent"], ["hash"]).filter(
-        F.col("_from").isNull() | (F.col("holders") < F.col("_from"))).drop("_from", "holders")
+    return spread_join(classes, limits, ["machine_id", "agent"], ["class"]).filter(
+        F.col("_from").isNull() | (F.col("holders") < F.col("_from"))).select("machine_id", "agent", "class")
 
 
 def strong_mirrors(incoming: DataFrame, existing: DataFrame, min_matches: int = LIMITS.min_session_matches,
                    min_overlap: float = LIMITS.min_session_overlap) -> DataFrame:
     """The strong pairs of session_evidence, without forming the weak ones.
 
-    Every pair is looked for and counted from its smaller side. The distinct
-    fingerprints are read many times and are written once.
+    Every pair is looked for and counted from its smaller side, over classes of mirrors with the same holders. The distinct
+    fingerprints and their classes are read many times and are written once.
     """
     ours = materialized(incoming_fingerprints(incoming), "fingerprints")
-    theirs = ours if existing is incoming else materialized(_fingerprints(existing).distinct(), "fingerprints")
-    left = ours.filter("kind = 'mirror'").drop("kind")
-    right = theirs.filter("kind = 'mirror'").select("agent", "hash", "machine_id")
+    theirs = None if existing is incoming else materialized(_fingerprints(existing).distinct(), "fingerprints")
+    classes = materialized(session_classes(ours.filter("kind = 'mirror'"), None if theirs is None else theirs.filter("kind = 'mirror'")), "classes")
+    left, right = classes.filter("ours"), classes.filter("theirs")
     left_sizes, right_sizes = (
-        side.filter("kind = 'identity'").groupBy("machine_id", "agent").agg(F.count(F.lit(1)).alias("sessions")) for side in (ours, theirs))
-    holders = right.unionByName(left.select(right.columns)).distinct().groupBy("agent", "hash").agg(F.count(F.lit(1)).alias("holders"))
+        side.filter("kind = 'identity'").groupBy("machine_id", "agent").agg(F.count(F.lit(1)).alias("sessions")) for side in (ours, ours if theirs is None else theirs))
 
     def other(rows: DataFrame) -> DataFrame:
         return rows.withColumnRenamed("machine_id", "other_machine_id")
 
     differ = F.col("machine_id") != F.col("other_machine_id")
-    from_left = _telling(left, left_sizes, holders, min_matches, min_overlap).select("machine_id", "agent", "hash").join(
-        other(right), ["agent", "hash"]).filter(differ)
-    from_right = other(_telling(right, right_sizes, holders, min_matches, min_overlap)).select(
-        "other_machine_id", "agent", "hash").join(left.select("machine_id", "agent", "hash"), ["agent", "hash"]).filter(differ)
-    sized = (
-        from_left.select(*PAIR).unionByName(from_right.select(*PAIR)).distinct()
+    found = _telling(left, left_sizes, min_matches, min_overlap).join(other(right).select("agent", "class", "other_machine_id"), ["agent", "class"]).filter(differ).select(*PAIR)
+    if theirs is None:
+        # Both sides are one: what is found from the left is found from the right with the names exchanged.
+        found = found.unionByName(found.select(F.col("other_machine_id").alias("machine_id"), F.col("machine_id").alias("other_machine_id"), "agent"))
+    else:
+        found = found.unionByName(other(_telling(right, right_sizes, min_matches, min_overlap)).join(
+            left.select("agent", "class", "machine_id"), ["agent", "class"]).filter(differ).select(*PAIR))
+    sized = materialized(
+        found.distinct()
         .join(left_sizes.withColumnRenamed("sessions", "incoming_sessions"), ["machine_id", "agent"])
-        .join(other(right_sizes).withColumnRenamed("sessions", "existing_sessions"), ["other_machine_id", "agent"])
-    )
-    by_left = sized.filter("incoming_sessions <= existing_sessions").join(left, ["machine_id", "agent"]).join(
-        other(right), ["other_machine_id", "agent", "hash"])
-    by_right = sized.filter("incoming_sessions > existing_sessions").join(other(right), ["other_machine_id", "agent"]).join(
-        left, ["machine_id", "agent", "hash"])
+        .join(other(right_sizes).withColumnRenamed("sessions", "existing_sessions"), ["other_machine_id", "agent"]), "sized")
+    held = other(right).select("agent", "class", "other_machine_id")
+    counted = spread_join(left.select("machine_id", "agent", "class", "n", "starts", "ends"), sized, ["machine_id", "agent"], ["class"], "inner").join(
+        held, ["other_machine_id", "agent", "class"])
     unknown = F.lit(None).cast("date")
-    pairs = by_left.unionByName(by_right).groupBy(*PAIR, "incoming_sessions", "existing_sessions").agg(
-        F.count(F.lit(1)).alias("exact_matches"), F.min("starts").alias("evidence_start"), F.max("ends").alias("evidence_end"),
+    pairs = counted.groupBy(*PAIR, "incoming_sessions", "existing_sessions").agg(
+        F.sum("n").alias("exact_matches"), F.min("starts").alias("evidence_start"), F.max("ends").alias("evidence_end"),
     ).withColumns({"identity_matches": F.lit(None).cast("bigint"), "_risk_start": unknown, "_risk_end": unknown})
     return rated(pairs, min_matches, min_overlap).filter("strong").select(
         *PAIR, "incoming_sessions", "existing_sessions", "exact_matches", "exact_overlap_ratio", "evidence_start", "evidence_end", "strong")
@@ -227,6 +255,24 @@ def choose_links(incoming: DataFrame, existing: DataFrame, evidence: DataFrame,
     )
 
 
+def days_in_windows(days: DataFrame, windows: DataFrame) -> DataFrame:
+    """The days (machine_id, agent, usage_date) that lie in some window (machine_id, agent, risk_start, risk_end).
+
+    Windows are dealt over the months they touch, so a day meets the windows of its month only. A window without a start or
+    an end holds every day of its machine and agent.
+    """
+    side = ["machine_id", "agent"]
+    month = F.trunc("usage_date", "month").alias("_month")
+    closed = windows.filter("risk_start IS NOT NULL AND risk_end IS NOT NULL")
+    dealt = closed.withColumn("_month", F.explode(F.sequence(F.trunc("risk_start", "month"), F.trunc("risk_end", "month"), F.expr("interval 1 month"))))
+    dated = days.withColumn("_month", month)
+    inside = dated.join(dealt.select(F.col("machine_id").alias("_m"), F.col("agent").alias("_a"), F.col("_month").alias("_of"), "risk_start", "risk_end"),
+                        (F.col("machine_id") == F.col("_m")) & (F.col("agent") == F.col("_a")) & (F.col("_month") == F.col("_of"))
+                        & F.col("usage_date").between(F.col("risk_start"), F.col("risk_end")), "left_semi").drop("_month")
+    open_ = windows.filter("risk_start IS NULL OR risk_end IS NULL").select(*side).distinct()
+    return inside.unionByName(days.join(open_, side, "left_semi")).distinct()
+
+
 def partial_mirror_risk(rows: DataFrame, links: DataFrame, incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Per machine: is there an unlinked row whose day lies in a window of sessions shared with one other machine?
 
@@ -235,32 +281,21 @@ def partial_mirror_risk(rows: DataFrame, links: DataFrame, incoming: DataFrame,
     counts if the same other machine holds both.
     """
     side = ["machine_id", "agent"]
-    live = rows.filter(~F.col("is_tombstone")).select(*ROW_KEY)
-    unlinked = live.join(links.select(*ROW_KEY, F.lit(True).alias("_linked")), ROW_KEY, "left")
-    shared = _with_others(incoming_fingerprints(incoming).filter("kind = 'identity'"), existing)
+    live = rows.filter(~F.col("is_tombstone")).select(*ROW_KEY).distinct()
+    free = materialized(live.join(links.select(*ROW_KEY).distinct(), ROW_KEY, "left_anti"), "unlinked")
+    shared = materialized(_with_others(incoming_fingerprints(incoming).filter("kind = 'identity'"), existing), "shared")
     dated = shared.filter("starts is not null and ends is not null").select(
         *side, F.col("starts").alias("risk_start"), F.col("ends").alias("risk_end"))
-    stretches = merged_windows(dated).groupBy(*side).agg(F.collect_list(F.struct("risk_start", "risk_end")).alias("_stretches"))
+    sure = days_in_windows(free, merged_windows(dated)).select(*side).distinct()
     spans = shared.groupBy(*side).agg(
         F.min("starts").alias("_first"), F.max("ends").alias("_last"),
-        F.bool_or(F.col("starts").isNull() | F.col("ends").isNull()).alias("_undated")).join(stretches, side, "left")
-    day = F.col("usage_date")
-    sure = F.exists("_stretches", lambda w: day.between(w["risk_start"], w["risk_end"]))
-    possible = F.col("_undated") | day.between(F.col("_first"), F.col("_last"))
-    free = F.col("_linked").isNull()
-    # One row per machine and agent; the open days of a side are at most the days of its calendar.
-    verdict = spread_join(unlinked, spans, side, ["usage_date"]).groupBy(*side).agg(
-        F.coalesce(F.bool_or(free & sure), F.lit(False)).alias("_sure"),
-        F.collect_set(F.when(free & possible, day)).alias("_open"))
-    verdict = materialized(verdict, "verdict")
-    undecided = verdict.filter(~F.col("_sure") & (F.size("_open") > 0))
-    pairs = session_evidence(incoming.join(undecided.select(*side), side, "left_semi"), existing)
-    windows = merged_windows(pairs).groupBy(*side).agg(F.collect_list(F.struct("risk_start", "risk_end")).alias("_windows"))
-    in_window = F.exists("_open", lambda d: F.exists("_windows", lambda w: (
-        w["risk_start"].isNull() | w["risk_end"].isNull() | d.between(w["risk_start"], w["risk_end"]))))
-    settled = verdict.join(windows, side, "left").withColumn(
-        "_risk", F.col("_sure") | ((F.size("_open") > 0) & F.coalesce(in_window, F.lit(False))))
-    return settled.groupBy("machine_id").agg(F.bool_or("_risk").alias("partial_mirror_risk"))
+        F.bool_or(F.col("starts").isNull() | F.col("ends").isNull()).alias("_undated"))
+    possible = F.col("_undated") | F.col("usage_date").between(F.col("_first"), F.col("_last"))
+    undecided = materialized(spread_join(free.join(sure, side, "left_anti"), spans, side, ["usage_date"], "inner").filter(possible).select(*ROW_KEY), "undecided")
+    pairs = session_evidence(incoming.join(undecided.select(*side).distinct(), side, "left_semi"), existing)
+    risky = sure.unionByName(days_in_windows(undecided, merged_windows(pairs)).select(*side)).select("machine_id").distinct()
+    return live.select("machine_id").distinct().join(risky.withColumn("_risk", F.lit(True)), "machine_id", "left").select(
+        "machine_id", F.coalesce("_risk", F.lit(False)).alias("partial_mirror_risk"))
 
 
 def merged_windows(evidence: DataFrame) -> DataFrame:

@@ -299,21 +299,27 @@ def promoted_imports(spark, d):
     return _promotion(spark, d).imports.groupBy("status", F.col("processed_at").isNull().alias("open")).agg(F.count(F.lit(1)).alias("imports"))
 
 
-@query("c10_backfill_models", ("model_observations", "imports"), """
-  SELECT machine_id, count(DISTINCT (import_id, agent, model, usage_date)) AS inserted FROM model_observations
-  WHERE import_id IN (SELECT import_id FROM imports WHERE status = 'processed') AND machine_id <> 'm1' GROUP BY 1""")
+@query("c10_backfill_models", ("model_observations", "imports"), f"""
+  SELECT import_id, agent, model, {day('usage_date')}, min(id) AS id, FALSE AS is_tombstone FROM model_observations o
+  WHERE import_id IN (SELECT import_id FROM imports WHERE status = 'processed') AND machine_id <> 'm1' GROUP BY import_id, agent, model, o.usage_date""")
 def backfill_models(spark, d):
+    """The rows to add, of which the least id of a key stays."""
     rows = v.model_observations(spark, d)
-    added = imports.backfill(v.imports(spark, d), rows, rows.filter("machine_id = 'm1'"), ["import_id", "agent", "model", "usage_date"])
-    return added.groupBy("machine_id").agg(F.count(F.lit(1)).alias("inserted"))
+    added = imports.backfill(v.imports(spark, d), rows, rows.filter("machine_id = 'm1'"), ["import_id", "agent", "model", "usage_date"], order=["id"])
+    return added.select("import_id", "agent", "model", "usage_date", "id", "is_tombstone")
 
 
 @query("c11_backfill_sessions", ("sessions", "raw_files"), """
-  SELECT s.import_id, s.local_key_hash FROM sessions s JOIN raw_files f USING (import_id) WHERE f.status = 'processed' AND f.machine_id = 'src3'""")
+  SELECT import_id, local_key_hash, CASE WHEN import_id % 3 = 0 THEN 'stored' ELSE 'first run' END AS added FROM sessions JOIN raw_files f USING (import_id)
+  WHERE import_id % 3 = 0 OR f.status = 'processed' AND f.machine_id = 'src3'""")
 def backfill_sessions(spark, d):
-    rows = v.sessions(spark, d)
-    return imports.backfill(v.raw_files(spark, d), rows, rows.limit(0), ["import_id", "local_key_hash"], machine_id="src3").select(
-        "import_id", "local_key_hash")
+    """A third of the sessions is stored; one machine's others are added, and a second run adds nothing."""
+    rows = v.sessions(spark, d).select("import_id", "local_key_hash")
+    stored = rows.filter("import_id % 3 = 0").withColumn("added", F.lit("stored"))
+    for run in ("first run", "second run"):
+        more = imports.backfill(v.raw_files(spark, d), rows, stored, ["import_id", "local_key_hash"], machine_id="src3")
+        stored = materialized(stored.unionByName(more.withColumn("added", F.lit(run))), "sessions")
+    return stored
 
 
 @query("c12_exact_duplicates", ("raw_files",), """
@@ -365,22 +371,29 @@ def collection_hints(spark, d):
 
 
 @query("c18_import_summary", ("daily", "incoming_daily", "model_daily", "incoming_models"), """
-  WITH ch AS (SELECT i.machine_id, CASE WHEN d.usage_hash IS NULL THEN 'new' WHEN d.usage_hash <> i.usage_hash THEN 'revised' ELSE 'unchanged' END AS t, i.reported_total_tokens
-      FROM incoming_daily i LEFT JOIN daily d USING (machine_id, agent, usage_date)),
+  WITH ch AS (SELECT coalesce(i.machine_id, d.machine_id) AS machine_id, CASE WHEN i.usage_hash IS NULL THEN 'preserved' WHEN d.usage_hash IS NULL THEN 'new' WHEN d.usage_hash <> i.usage_hash THEN 'revised' ELSE 'unchanged' END AS t,
+      coalesce(d.reported_total_tokens, 0) AS before, coalesce(i.reported_total_tokens, d.reported_total_tokens) AS after, i.reported_total_tokens AS incoming
+      FROM incoming_daily i FULL JOIN daily d ON i.machine_id = d.machine_id AND i.agent = d.agent AND i.usage_date = d.usage_date),
     mc AS (SELECT i.machine_id, CASE WHEN d.usage_hash IS NULL THEN 'new' WHEN d.usage_hash <> i.usage_hash THEN 'revised' ELSE 'unchanged' END AS t
-      FROM incoming_models i LEFT JOIN model_daily d USING (machine_id, agent, model, usage_date))
-  SELECT machine_id AS import_id, a.n AS "new", a.r AS revised, a.u AS unchanged, b.n AS model_new, b.r AS model_revised, a.total AS reported_total_tokens, 0::BIGINT AS rows_suppressed
-  FROM (SELECT machine_id, count(*) FILTER (t = 'new') n, count(*) FILTER (t = 'revised') r, count(*) FILTER (t = 'unchanged') u, sum(reported_total_tokens)::BIGINT AS total FROM ch GROUP BY 1) a
-  JOIN (SELECT machine_id, count(*) FILTER (t = 'new') n, count(*) FILTER (t = 'revised') r FROM mc GROUP BY 1) b USING (machine_id)""")
+      FROM incoming_models i LEFT JOIN model_daily d USING (machine_id, agent, model, usage_date)),
+    hidden AS (SELECT machine_id, count(*) AS n, sum(reported_total_tokens)::BIGINT AS tokens FROM incoming_daily WHERE agent = 'view' AND day(usage_date) % 3 = 0 GROUP BY 1)
+  SELECT a.machine_id AS import_id, a.n AS "new", a.r AS revised, a.u AS unchanged, b.n AS model_new, b.r AS model_revised, a.total AS reported_total_tokens,
+    coalesce(h.n, 0) AS rows_suppressed, coalesce(h.tokens, 0) AS duplicate_tokens_prevented, a.before AS before_total, a.after AS after_total, a.after - a.before AS net_change,
+    h.n IS NOT NULL AS cross_machine_match, a.machine_id IN ('m1', 'm4') AS partial_mirror_risk
+  FROM (SELECT machine_id, count(*) FILTER (t = 'new') n, count(*) FILTER (t = 'revised') r, count(*) FILTER (t = 'unchanged') u, sum(incoming)::BIGINT AS total,
+      sum(before)::BIGINT AS before, sum(after)::BIGINT AS after FROM ch GROUP BY 1) a
+  JOIN (SELECT machine_id, count(*) FILTER (t = 'new') n, count(*) FILTER (t = 'revised') r FROM mc GROUP BY 1) b USING (machine_id) LEFT JOIN hidden h USING (machine_id)""")
 def import_summary(spark, d):
-    """Each machine's later export as one import."""
+    """Each machine's later export as one import; some of its rows are hidden by links, some machines are at risk."""
     incoming = v.incoming_daily(spark, d)
     changes = diff.classify_changes(incoming, v.daily(spark, d)).withColumn("import_id", F.col("machine_id"))
     models = diff.classify_changes(v.incoming_models(spark, d), v.model_daily(spark, d), revisions.MODEL_KEYS).withColumn("import_id", F.col("machine_id"))
     parsed = incoming.groupBy(F.col("machine_id").alias("import_id")).agg(F.sum("reported_total_tokens").alias("reported_total_tokens"))
-    links = parsed.select("import_id", "reported_total_tokens").limit(0)
-    return imports.import_summary(changes, models, parsed, links).select(
-        "import_id", "new", "revised", "unchanged", "model_new", "model_revised", "reported_total_tokens", "rows_suppressed")
+    links = incoming.filter("agent = 'view' AND dayofmonth(usage_date) % 3 = 0").select(F.col("machine_id").alias("import_id"), "reported_total_tokens")
+    risk = parsed.select("import_id", F.col("import_id").isin("m1", "m4").alias("partial_mirror_risk"))
+    return imports.import_summary(changes, models, parsed, links, risk).select(
+        "import_id", "new", "revised", "unchanged", "model_new", "model_revised", "reported_total_tokens", "rows_suppressed", "duplicate_tokens_prevented",
+        "before_total", "after_total", "net_change", "cross_machine_match", "partial_mirror_risk")
 
 
 @query("c19_visible_imports", ("imports",), f"""

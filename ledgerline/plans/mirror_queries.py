@@ -51,6 +51,17 @@ def session_evidence(spark, d):
     return _evidence(spark, d).drop("strong")
 
 
+@query("m02_agent_scope", ("evidence",), f"""
+  SELECT machine_id, other_machine_id, agent, exact_matches, identity_matches, round(exact_overlap_ratio, 6) AS exact_overlap_ratio, {day('evidence_start')}, {day('evidence_end')}
+  FROM evidence WHERE agent <> 'de'""")
+def agent_scope(spark, d):
+    """Daily rows without one of the agents: sessions of that agent are compared with nothing."""
+    rows = v.sessions(spark, d)
+    scoped = mirrors.in_agent_scope(rows, v.document_daily(spark, d).filter("agent <> 'de'"))
+    return mirrors.session_evidence(scoped, rows, MATCHES, OVERLAP).select(
+        "machine_id", "other_machine_id", "agent", "exact_matches", "identity_matches", "exact_overlap_ratio", "evidence_start", "evidence_end")
+
+
 @query("m02_match_totals", ("evidence",), """
   SELECT machine_id, sum(exact_matches)::BIGINT AS exact_matches, sum(identity_matches)::BIGINT AS identity_matches
   FROM evidence GROUP BY 1""")

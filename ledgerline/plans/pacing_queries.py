@@ -49,18 +49,21 @@ def day_list(spark, d):
         F.col("tracking_start").cast("date"), F.col("reset_at").cast("date"))).alias("date"))
 
 
-@query("w03_wall_clock", sql="""
-  SELECT event_id, strftime(timezone('UTC', timezone('America/New_York', wall)), '%Y-%m-%d %H:%M:%S') AS instant FROM (
-    SELECT event_id, (ts::DATE - 90)::TIMESTAMP + to_minutes(event_id % 1440) AS wall FROM events)
-  WHERE NOT (wall >= TIMESTAMP '2023-11-05 01:00:00' AND wall < TIMESTAMP '2023-11-05 02:00:00')""")
+_WALL_SQL = """SELECT event_id, wall, wall >= TIMESTAMP '2023-11-05 01:00:00' AND wall < TIMESTAMP '2023-11-05 02:00:00' AS twice FROM (
+    SELECT event_id, (ts::DATE - 90)::TIMESTAMP + to_minutes(event_id % 1440) AS wall FROM events)"""
+
+
+@query("w03_wall_clock", sql=f"""
+  SELECT event_id, strftime(CASE WHEN twice THEN wall + INTERVAL 4 HOUR ELSE timezone('UTC', timezone('America/New_York', wall)) END, '%Y-%m-%d %H:%M:%S') AS instant,
+    strftime(CASE WHEN twice THEN wall + INTERVAL 5 HOUR ELSE timezone('UTC', timezone('America/New_York', wall)) END, '%Y-%m-%d %H:%M:%S') AS later FROM ({_WALL_SQL})""")
 def wall_clock(spark, d):
-    """Wall times around a clock change; the repeated hour is left out because its instant is a matter of choice."""
+    """Wall times around a clock change, with both instants of the repeated hour."""
     minute = F.col("event_id") % 1440
     e = v.table(spark, d, "events").select(
         "event_id", F.date_sub(F.col("ts").cast("date"), 90).alias("day"),
         dates.hours_minutes(F.floor(minute / 60).cast("int"), (minute % 60).cast("int")).alias("time"))
-    repeated = (F.col("day") == F.lit("2023-11-05").cast("date")) & F.col("time").startswith("01:")
-    return e.filter(~repeated).select("event_id", dates.wall_to_instant(F.col("day"), F.col("time"), "America/New_York").alias("instant"))
+    instant = lambda later: dates.wall_to_instant(F.col("day"), F.col("time"), "America/New_York", later)
+    return e.select("event_id", instant(False).alias("instant"), instant(True).alias("later"))
 
 
 @query("w04_w05_checkpoints", ("checkpoints",), f"SELECT contract_id, day, {day('date')}, {moment('ts')}, round(ceiling, 6) AS ceiling FROM checkpoints")

@@ -122,13 +122,34 @@ def test_strong_mirrors_equal_the_full_evidence(spark):
 
 
 def test_a_session_every_machine_holds_forms_no_candidates(spark):
-    rows = [(f"m{m}", f"i{m}-{n}", f"h{m}-{n}", 5, 5) for m in range(30) for n in range(4)] + [(f"m{m}", "ihot", "hhot", 5, 5) for m in range(30)]
+    """One fingerprint on 2,000 machines is one class; it tells nothing, so it forms none of its four million pairs."""
+    rows = [(f"m{m}", f"i{m}-{n}", f"h{m}-{n}", 5, 5) for m in range(2000) for n in range(4)] + [(f"m{m}", "ihot", "hhot", 5, 5) for m in range(2000)]
+    rows += [(f"m{m}", f"both{n}", f"hboth{n}", 3, 6) for m in (3, 4) for n in range(30)]
     frame = sessions(spark, rows)
-    left = mirrors.incoming_fingerprints(frame).filter("kind = 'mirror'").drop("kind")
-    holders = left.groupBy("agent", "hash").agg(F.count(F.lit(1)).alias("holders"))
-    telling = mirrors._telling(left, mirrors.identity_counts(frame, "sessions"), holders, 2, 0.8)
-    assert telling.filter("hash = 'hhot'").count() == 0 and telling.count() > 0
-    assert mirrors.strong_mirrors(frame, frame).count() == 0
+    classes = mirrors.session_classes(mirrors.incoming_fingerprints(frame).filter("kind = 'mirror'"))
+    assert classes.select("class").distinct().count() == 2 and classes.filter("holders = 2000").count() == 2000
+    telling = mirrors._telling(classes, mirrors.identity_counts(frame, "sessions"), 2, 0.8).collect()
+    assert {x.machine_id for x in telling} == {"m3", "m4"} and len({x["class"] for x in telling}) == 1
+    strong = mirrors.strong_mirrors(frame, frame).collect()
+    assert {(x.machine_id, x.other_machine_id, x.exact_matches) for x in strong} == {("m3", "m4", 31), ("m4", "m3", 31)}
+
+
+def test_only_agents_of_the_daily_rows_are_compared(spark):
+    frame = sessions(spark, [("m1", "i", "h", 1, 1), ("m2", "i", "h", 1, 1)])
+    days = daily(spark, [("m1", 1, 1)])
+    assert {x.machine_id for x in mirrors.in_agent_scope(frame, days).collect()} == {"m1"}
+    assert mirrors.in_agent_scope(frame, days.withColumn("agent", F.lit("another"))).count() == 0
+
+
+def test_days_meet_only_windows_of_their_months(spark):
+    draw = random.Random(4)
+    base = dt.date(2026, 1, 1)
+    days = [("m", draw.choice("ab"), base + dt.timedelta(days=draw.randrange(400))) for _ in range(80)]
+    windows = [("m", "a", base + dt.timedelta(days=k), base + dt.timedelta(days=k + draw.randrange(70))) for k in range(0, 400, 97)]
+    got = mirrors.days_in_windows(spark.createDataFrame(days, "machine_id string, agent string, usage_date date"),
+                                  spark.createDataFrame([*windows, ("m", "b", None, base)], "machine_id string, agent string, risk_start date, risk_end date"))
+    want = {x for x in days if x[1] == "b" or any(w[2] <= x[2] <= w[3] for w in windows)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_risk_equals_the_windows_of_the_full_evidence(spark):
