@@ -7,29 +7,31 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerline.session import materialized
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, which has none itself."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("top")).unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("top")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("top").alias("top")).filter("up > 1 OR up = 1 AND top = 1").isEmpty()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) for edges (a, b) of long nodes; nodes without an edge are absent.
 
     Every round hangs the larger neighbours of a node, then the smaller ones, on the
-    smallest of its neighbourhood; it ends when a round changes nothing, after about as
+    smallest of its neighbourhood; it ends when all nodes hang on the smallest of their component, after about as
     many rounds as the logarithm of the longest chain.
     """
-    spark = edges.sparkSession
     now = materialized(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
     for _ in range(most_rounds):
+        if _is_settled(now):
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialized(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialized(large.filter("a <> b").distinct(), "large")
-        small = materialized(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), "small")
+        small = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         hung = large.join(small, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = materialized(hung.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state:
-            break
-        state = tuple(seen)
     else:
         raise RuntimeError("the components didn't settle")
-    members = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return materialized(members.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+    return materialized(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")

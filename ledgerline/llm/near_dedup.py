@@ -107,11 +107,12 @@ def screened(pairs: DataFrame, marks: DataFrame, s: Settings) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b) of doc_ids whose full shingle sets reach the threshold. `pairs` is a written table."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    bits = docs.sparkSession.sparkContext.broadcast(settle.id_bits(wanted))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernel.slices(batch, "text", 4 << 20):
+            for part in kernel.slices(settle.asked(batch, bits.value), "text", 4 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in settle.sets_of(part.column("text"), s.size)], pa.binary())], names=["id", "members"])
 
     sets = materialized(texts.mapInArrow(make, "id long, members binary").dropDuplicates(["id"]), "sets")

@@ -97,12 +97,15 @@ def rarity(scan: DataFrame) -> bytes:
 _ENTRY = np.dtype([("token", "<u4"), ("id", "<i8"), ("n", "<u4"), ("place", "<u4")])
 
 
-def indexed(heads: DataFrame, table: bytes, n_parts: int, s: Settings) -> DataFrame:
-    """The index of the first order: part, entries and their number. Entries of many documents make one row of each part."""
-    shared = heads.sparkSession.sparkContext.broadcast(table)
+def indexed(docs: DataFrame, heads: DataFrame, table: bytes, n_parts: int, s: Settings) -> DataFrame:
+    """The index of the first order: part, entries and their number. Entries of many documents make one row of each part.
+
+    It covers the documents in `heads` (id), one of each class; few of the others pass the bitmap, and are treated like any document.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((table, settle.id_bits(heads)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = np.frombuffer(shared.value, np.uint8)
+        codes, bits = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
         held, parts, n_held = [], [], 0
 
         def dealt() -> pa.RecordBatch:
@@ -115,7 +118,7 @@ def indexed(heads: DataFrame, table: bytes, n_parts: int, s: Settings) -> DataFr
                                                pa.array(np.diff([*leads, len(part)]), pa.int64())], names=["part", "entries", "n"])
 
         for batch in batches:
-            for some in kernel.slices(batch, "text", 4 << 20):
+            for some in kernel.slices(settle.asked(batch, bits), "text", 4 << 20):
                 for doc, own in zip(some.column("doc_id").to_pylist(), settle.sets_of(some.column("text"), s.size)):
                     first = ranked(own, codes, 0, prefix_length(len(own), s.percent))
                     rows, first = np.empty(len(first), _ENTRY), kernel.mixed(first)
@@ -129,7 +132,7 @@ def indexed(heads: DataFrame, table: bytes, n_parts: int, s: Settings) -> DataFr
         if n_held:
             yield dealt()
 
-    return heads.mapInArrow(run, "part long, entries binary, n long")
+    return _columns(docs).mapInArrow(run, "part long, entries binary, n long")
 
 
 def _entries(raw: bytes, n: int) -> np.ndarray:
@@ -206,11 +209,6 @@ def screened(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b) that the odd sketches of whole sets, folded to 1024 bits at most, can't exclude. `pairs` is a written table."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            small = [settle.folded_to(np.frombuffer(x.as_buffer(), np.uint64)[None, :], 16).tobytes() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["id", "size", "sketch"])
-
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -221,45 +219,40 @@ def screened(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
                 good.append(n + m + 2 * (-s.percent * (n + m) // (100 + s.percent)) >= apart)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    marks = materialized(settle.whole_sketches(docs, wanted, s.size).mapInArrow(fold, "id long, size long, sketch binary"), "folded")
+    marks = materialized(settle.whole_sketches(docs, wanted, s.size, 16), "folded")
     return _beside(pairs, marks, ["size", "sketch"]).mapInArrow(near, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, table: bytes, s: Settings) -> DataFrame:
     """Pairs (a, b) that reach the threshold: first their prefixes must meet under each further order, then full sets are compared. `pairs` is a written table."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = _columns(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    shared = docs.sparkSession.sparkContext.broadcast((table, settle.id_bits(wanted)))
     further = range(1, len(ORDERS))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = np.frombuffer(shared.value, np.uint8)
+        codes, bits = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
         for batch in batches:
-            for part in kernel.slices(batch, "text", 4 << 20):
+            for part in kernel.slices(settle.asked(batch, bits), "text", 4 << 20):
                 sets = settle.sets_of(part.column("text"), s.size)
                 firsts = [pa.array([np.sort(ranked(x, codes, k, prefix_length(len(x), s.percent))).tobytes() for x in sets], pa.binary()) for k in further]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *firsts, pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", *[f"first{k}" for k in further], "members"])
 
     names = [f"first{k}" for k in further]
-    sets = materialized(texts.mapInArrow(make, f"id long, {', '.join(f'{x} binary' for x in names)}, members binary"), "sets")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [all(kernel.common(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(row[:len(names)], row[len(names):]))
-                    for row in zip(*(batch.column(k).to_pylist() for k in range(2, 2 + 2 * len(names))))]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+    sets = materialized(_columns(docs).mapInArrow(make, f"id long, {', '.join(f'{x} binary' for x in names)}, members binary").dropDuplicates(["id"]), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = kernel.common(x, y)
-                good.append(100 * both >= s.percent * (len(x) + len(y) - both))
+            for row in zip(*(batch.column(k) for k in range(2, 4 + 2 * len(names)))):
+                *row, x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in row)
+                met = all(kernel.common(p, q) for p, q in zip(row[:len(names)], row[len(names):]))
+                both = kernel.common(x, y) if met else 0
+                good.append(met and 100 * both >= s.percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    near = materialized(_beside(pairs, sets, names).mapInArrow(meet, "a long, b long"), "met")
-    return _beside(near, sets, ["members"]).mapInArrow(compare, "a long, b long")
+    beside = _beside(pairs, sets, [*names, "members"])
+    ordered = beside.select("a", "b", *[f"{x}_a" for x in names], *[f"{x}_b" for x in names], "members_a", "members_b")
+    return ordered.mapInArrow(compare, "a long, b long")
 
 
 def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -280,9 +273,8 @@ def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = scan.filter("part IS NULL").select("doc_id", "n_shingles", "set_key")
     real = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialized(real.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("head")).select("set_key", F.col("head.doc_id").alias("id"), F.col("head.n_shingles").alias("n")), "classes")
-    heads = _columns(docs).join(classes.select(F.col("id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
     total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * s.percent / 100) + 1)).first()[0] or 0
-    index = materialized(indexed(heads, table, -(-total // s.part) or 1, s), "ngram-index")
+    index = materialized(indexed(docs, classes.select("id"), table, -(-total // s.part) or 1, s), "ngram-index")
     entries = materialized(live(index, s), "ngram-live")
     least = F.ceil(s.percent * (F.col("n") + F.col("lead_n")) / (100 + s.percent))
     fits = (F.least("place", "lead_place") + 1 + F.least(F.col("n") - F.col("place") - 1, F.col("lead_n") - F.col("lead_place") - 1)) >= least

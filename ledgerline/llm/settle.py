@@ -18,6 +18,8 @@ from ledgerline.llm.graph import components
 from ledgerline.session import materialized
 
 LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: The bitmap of ids has 2 ** BITS bits and is made in parts of PART_BITS, which Spark's bitmap functions fix.
+BITS, PART_BITS = 26, 32768
 #: A task looks through groups of so many rows together at least, and so many pairs and words of their sketches at once.
 WAIT, PAIRS, WORDS = 1 << 13, 1 << 20, 1 << 21
 
@@ -48,16 +50,41 @@ def folded_to(sketches: np.ndarray, words: int) -> np.ndarray:
     return sketches
 
 
-def whole_sketches(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id, size and whole sketch of the documents whose doc_id is in `wanted` (id)."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+def id_bits(ids: DataFrame) -> bytes:
+    """A bitmap of fixed size with a bit for each id's hash: lets tasks pass over most documents that nobody asked for, so that texts need not be
+    shuffled to be joined. It tells of no asked id wrongly; the fuller it is, the more others pass with them, which costs time but changes nothing."""
+    id_ = F.col(ids.columns[0]).cast("long")
+    folded = id_.bitwiseXOR(F.shiftrightunsigned(id_, BITS)).bitwiseXOR(F.shiftrightunsigned(id_, 2 * BITS)).bitwiseAND(F.lit((1 << BITS) - 1)) + 1
+    found = ids.select(folded.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    held = {x["part"]: bytes(x["bits"]) for x in found}
+    return b"".join(held.get(k, bytes(PART_BITS >> 3)) for k in range(1, (1 << BITS) // PART_BITS + 1))
+
+
+def _bit_of(ids: pa.Array) -> np.ndarray:
+    ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return ((ids ^ (ids >> np.uint64(BITS)) ^ (ids >> np.uint64(2 * BITS))) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+def asked(batch: pa.RecordBatch, bits: bytes) -> pa.RecordBatch:
+    """The rows of a batch (doc_id, ...) whose id may be one of the bitmap's; null ids never are."""
+    at = _bit_of(batch.column("doc_id"))
+    hit = (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+    return batch.filter(pa.array(hit.astype(bool) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)))
+
+
+def whole_sketches(docs: DataFrame, wanted: DataFrame, size: int, most_words: int = MOST_BITS // 64) -> DataFrame:
+    """id, size and whole sketch, folded to `most_words` 64-bit words, of the documents whose doc_id is in `wanted` (id), and of some others."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_bits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = asked(batch, shared.value)
             for part in kernel.slices(batch, "text", 4 << 20):
                 sets = sets_of(part.column("text"), size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([whole_sketch(x) for x in sets], pa.binary())], names=["id", "size", "sketch"])
+                sketches = [folded_to(np.frombuffer(whole_sketch(x), np.uint64)[None, :], most_words).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sketches, pa.binary())], names=["id", "size", "sketch"])
 
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return texts.mapInArrow(run, "id long, size long, sketch binary").dropDuplicates(["id"])
 
 

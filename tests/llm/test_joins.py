@@ -162,6 +162,15 @@ def test_whole_sketches_bound_the_difference():
         assert np.bitwise_count(settle.folded_to(x, m) ^ settle.folded_to(y, m)).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_id_bits_pass_every_asked_id(spark):
+    import pyarrow as pa
+    ids = [0, 1, -1, 5, 1 << 40, -(1 << 62), (1 << 63) - 1, 77]
+    bits = settle.id_bits(spark.createDataFrame([(k,) for k in ids[:7]], "id long"))
+    assert len(bits) == 1 << (settle.BITS - 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([*ids, None], pa.int64()), pa.array(["t"] * 9)], names=["doc_id", "text"])
+    assert settle.asked(batch, bits).column("doc_id").to_pylist() == ids[:7]
+
+
 def cheapest(rows):
     """All edits of rows (initial, has to go, truncated), by exhaustive search in order of cost."""
     best = None
