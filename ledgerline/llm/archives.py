@@ -20,8 +20,8 @@ CRLF = "\r\n"
 VERSION = "WARC/1.1"
 IDENTICAL_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32_DIGITS = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-#: Bytes of a segment and of a transfer chunk; records of a file.
-SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 64 << 10, 16 << 10, 2048
+#: Bytes of a segment and of a transfer chunk; records of a file. A record is one segment at most, so a file has about 32 MB at most.
+SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 64 << 10, 16 << 10, 512
 
 RECORD = "record_id string, record_type string, uri string, payload_digest string, refers_to string, origin_id string, segment int, total_length long, block binary"
 WHOLE = "record_id string, record_type string, uri string, payload_digest string, refers_to string, payload binary, payload_bytes long, problem string"
@@ -44,13 +44,16 @@ def to_records(pages: DataFrame, least_bytes: int = 0, segment_bytes: int = SEGM
     rows = pages.select("page_id", F.col("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn(
         "record_id", F.format_string("urn:page:%s:%d", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.monotonically_increasing_id()))
-    firsts = rows.filter(F.length("payload") >= least_bytes).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "record_id")).alias("first"))
+    # Only payloads that occur again: the smaller this is, the less the payloads have to move for it.
+    firsts = rows.filter(F.length("payload") >= least_bytes).groupBy("digest").agg(
+        F.min(F.struct(F.col("page_id").isNull(), "page_id", "record_id")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     firsts = firsts.select(F.col("digest").alias("_digest"), F.col("first.record_id").alias("first_id"))
     told = rows.join(firsts, F.col("digest") == F.col("_digest"), "left")
     revisit = F.coalesce((F.length("payload") >= least_bytes) & (F.col("first_id") != F.col("record_id")), F.lit(False))
     size = F.length("payload")
-    chunks = F.expr(f"""CASE WHEN length(payload) = 0 THEN cast('' AS binary) ELSE aggregate(sequence(0, cast((length(payload) - 1) div {chunk_bytes} AS int)), cast('' AS binary),
-        (b, i) -> concat(b, cast(lower(hex(least({chunk_bytes}, length(payload) - i * {chunk_bytes}))) AS binary), cast('\\r\\n' AS binary), substring(payload, i * {chunk_bytes} + 1, {chunk_bytes}), cast('\\r\\n' AS binary))) END""")
+    # Pieces are joined as strings, which keeps their bytes and takes time in proportion.
+    chunks = F.expr(f"""CASE WHEN length(payload) = 0 THEN cast('' AS binary) ELSE cast(array_join(transform(sequence(0, cast((length(payload) - 1) div {chunk_bytes} AS int)),
+        i -> concat(lower(hex(least({chunk_bytes}, length(payload) - i * {chunk_bytes}))), '\r\n', cast(substring(payload, i * {chunk_bytes} + 1, {chunk_bytes}) AS string), '\r\n')), '') AS binary) END""")
     head = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"
     block = F.when(F.col("revisit"), F.lit((head + CRLF).encode())).otherwise(
         F.concat(F.lit((head + f"Transfer-Encoding: chunked{CRLF}{CRLF}").encode()), F.col("chunks"), F.lit(f"0{CRLF}{CRLF}".encode())))
@@ -116,6 +119,8 @@ def records_in(content: memoryview) -> Iterator[dict]:
             raise ValueError(f"no record begins at byte {at}")
         end = data.find(b"\r\n\r\n", at)
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split(CRLF)[1:])}
+        if not fields.get("content-length", "").isdigit():
+            raise ValueError(f"the record at byte {at} tells no length")
         length = int(fields["content-length"])
         if end < 0 or end + 4 + length > len(data):
             raise ValueError(f"the record at byte {at} is cut short")

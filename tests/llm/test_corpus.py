@@ -388,3 +388,16 @@ def test_the_quality_stage_filters_what_it_has_written(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
+
+
+def test_archives_of_very_long_pages_and_of_none(spark, tmp_path):
+    """30 MB of signs of several bytes, cut anywhere; an empty table; records without a length."""
+    page = "é€𝄞x" * 3_000_000
+    schema = "page_id long, url string, html string"
+    archives.write_archives(archives.to_records(spark.createDataFrame([(1, "u", page), (2, "v", page), (3, None, None)], schema)), str(tmp_path / "a"))
+    got = {r.record_id.split(":")[2]: r for r in archives.put_together(archives.read_archives(spark, str(tmp_path / "a"))).collect()}
+    assert bytes(got["1"].payload) == page.encode() and got["2"].record_type == "revisit" and got["3"].payload_bytes == 0 and all(r.problem is None for r in got.values())
+    archives.write_archives(archives.to_records(spark.createDataFrame([], schema)), str(tmp_path / "none"))
+    assert archives.put_together(archives.read_archives(spark, str(tmp_path / "none"))).count() == 0
+    with pytest.raises(ValueError, match="tells no length"):
+        list(archives.records_in(memoryview(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n")))
