@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.config import ALL, RECOVERED_MACHINE, RECOVERED_MACHINE_NAME
 from ledgerline.functions.dates import month_start, week_start
 from ledgerline.functions.numbers import COST_TYPE, guarded_ratio
 from ledgerline.operators.recovery import ALL_AGENT
-from ledgerline.session import materialized
 
 TOKENS = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens",
           "total_tokens", "accounting_delta_tokens")
@@ -235,11 +234,15 @@ def by_period(rows: DataFrame, period: str) -> DataFrame:
     return rows.groupBy(period).agg(F.sum("total_tokens").alias("total_tokens")).orderBy(period)
 
 
+def whole_of(name: str) -> Column:
+    """The sum over all rows of a report, on each of them. For rows per agent, machine, model or month: a few, however many rows they sum up."""
+    return F.sum(name).over(Window.partitionBy(F.lit(1)))
+
+
 def by_dimension(rows: DataFrame, dimension: str) -> DataFrame:
     """Totals per agent or machine, largest first, with the share of the whole."""
-    sums = materialized(rows.groupBy(dimension).agg(F.sum("total_tokens").alias("total_tokens")), "sums")
-    whole = sums.agg(F.sum("total_tokens").alias("t")).scalar()
-    return sums.withColumn("share", guarded_ratio(F.col("total_tokens"), whole)).orderBy(
+    sums = rows.groupBy(dimension).agg(F.sum("total_tokens").alias("total_tokens"))
+    return sums.withColumn("share", guarded_ratio(F.col("total_tokens"), whole_of("total_tokens"))).orderBy(
         F.col("total_tokens").desc(), dimension)
 
 
@@ -262,20 +265,25 @@ def model_summary(rows: DataFrame) -> DataFrame:
         .otherwise(F.concat_ws(":", F.lit("recovered"), "agent", month)))
     period = F.when(F.col("kind") == RECOVERED, month).otherwise(F.col("usage_date").cast("string"))
     # Summed per agent and period first, so that the distinct counts see few rows.
-    names = F.col("known_models") if "known_models" in rows.columns else F.lit(None).cast("array<string>")
-    fine = rows.withColumns({"key": key, "_known": names, "_period": period}).groupBy("key", "kind", "agent", "_period").agg(
+    keyed = rows.withColumns({"key": key, "_period": period})
+    fine = keyed.groupBy("key", "kind", "agent", "_period").agg(
         *[F.sum(c).alias(c) for c in TOKENS[:5]], F.sum("reported_cost_usd").alias("reported_cost_usd"),
-        F.count("reported_cost_usd").alias("cost_rows"), F.flatten(F.collect_set("_known")).alias("_known"))
+        F.count("reported_cost_usd").alias("cost_rows"))
     sums = fine.groupBy("key", "kind").agg(
         *[F.sum(c).alias(c) for c in TOKENS[:5]],
         F.coalesce(F.sum("reported_cost_usd"), F.lit(0)).cast(COST_TYPE).alias("reported_cost_usd"),
         F.sum("cost_rows").alias("cost_rows"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_known")))).alias("known_models"),
         F.count_distinct("agent").alias("agents"), F.count_distinct("_period").alias("periods"))
-    sums = materialized(sums, "sums")
-    whole = sums.agg(F.sum("total_tokens").alias("t")).scalar()
+    none = F.array().cast("array<string>")
+    if "known_models" in rows.columns:
+        # Only the recovered rows, a few per month, name models.
+        named = keyed.filter(F.col("kind") == RECOVERED).select(F.col("key").alias("_key"), F.explode("known_models").alias("_name")).groupBy("_key").agg(
+            F.array_sort(F.collect_set("_name")).alias("_names"))
+        sums = sums.join(named, F.col("key") == F.col("_key"), "left").withColumn("known_models", F.coalesce("_names", none)).drop("_key", "_names")
+    else:
+        sums = sums.withColumn("known_models", none)
     return sums.withColumns({
-        "share": guarded_ratio(F.col("total_tokens"), whole),
+        "share": guarded_ratio(F.col("total_tokens"), whole_of("total_tokens")),
         "cache_share": guarded_ratio(F.col("cache_read_tokens"), F.col("total_tokens")),
     }).orderBy(F.col("total_tokens").desc(), "key")
 

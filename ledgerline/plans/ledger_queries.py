@@ -221,7 +221,7 @@ def duplicate_keys(spark, d):
   SELECT machine_id, agent, {day('usage_date')}, id, {FIVE}, {money('reported_cost_usd')}, usage_hash FROM current_daily""")
 def current_daily(spark, d):
     # The stored rows would carry their fingerprint; here only the surviving revisions are fingerprinted.
-    current = v.with_daily_hash(revisions.current_daily(v.observations(spark, d).drop("model"), v.imports(spark, d)))
+    current = v.with_daily_hash(revisions.current_daily(v.promoted(spark, d)))
     return current.select(
         "machine_id", "agent", "usage_date", "id", *FIVE_COUNTERS, "reported_cost_usd", "usage_hash")
 
@@ -235,7 +235,7 @@ def current_models(spark, d):
 
 def _flagged(spark, d):
     """The current rows are read from both ends of a link, so they are ranked once and written."""
-    current = materialized(revisions.current_daily(v.observations(spark, d).drop("model"), v.imports(spark, d)), "current")
+    current = materialized(revisions.current_daily(v.promoted(spark, d)).select("id", "machine_id", "agent", "usage_date"), "current")
     return revisions.with_mirror_flag(current, v.links(spark, d))
 
 

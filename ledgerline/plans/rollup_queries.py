@@ -23,9 +23,9 @@ SUMS = ", ".join(f"sum({t})::BIGINT AS {t}" for t in rollups.TOKENS)
   FROM current_daily GROUP BY 1, 2""")
 def flagship(spark, d):
     """Current truth per machine, agent and day, rolled up to months with each agent's share of the whole."""
-    current = rollups.canonical_daily(current_daily(v.observations(spark, d).drop("model"), v.imports(spark, d)))
-    monthly = materialized(current.withColumn("month", F.trunc("usage_date", "month")).groupBy("month", "agent").agg(
-        F.sum("total_tokens").alias("total_tokens")), "months")
+    current = rollups.canonical_daily(current_daily(v.promoted(spark, d)))
+    monthly = current.withColumn("month", F.trunc("usage_date", "month")).groupBy("month", "agent").agg(F.sum("total_tokens").alias("total_tokens"))
+    # The exchange below both sums is one: Spark works it out once and reuses it.
     whole = monthly.agg(F.sum("total_tokens").alias("t")).scalar()
     return monthly.withColumn("share", F.col("total_tokens").cast("double") / whole)
 

@@ -81,8 +81,18 @@ def machines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @once_per_session
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revisions of daily usage: one per line item, imported by its order."""
-    lines = table(spark, sf_dir, "lineitem")
-    owners = table(spark, sf_dir, "orders").select(
+    return _revisions(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+
+
+@once_per_session
+def promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revisions of processed imports as promotion stores them: with their processing time, so that reading them needs no join of the imports."""
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
+    return _revisions(table(spark, sf_dir, "lineitem"), done).withColumn("processed_at", F.col("created_at")).drop("model")
+
+
+def _revisions(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    owners = orders.select(
         F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("m"), F.col("o_custkey") % 4).alias("machine_id"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"))
     tombstone = (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 45)
