@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.config import LIMITS
 from ledgerline.functions.dates import day_sequence, local_date, wall_to_instant
+from ledgerline.functions.text import trimmed
+from ledgerline.operators import workbook
 from ledgerline.operators.skew import with_previous
 
 CYCLE = ["account", "tracking_start", "reset_at"]
@@ -269,3 +271,37 @@ def tracker_view(documents: DataFrame, now: Column) -> DataFrame:
         F.col("required.date").alias("required_date"), F.col("required.ceiling").alias("required_ceiling"),
         "headroom", "latest", "remaining_budget", "pre_first_checkpoint",
         F.size("checkpoints").alias("checkpoint_count"), F.col("diagnostics.formula_mismatch_count").alias("formula_mismatch_count"))
+
+
+#: The code of each broken rule of schedule_violation.
+_SCHEDULE_CODES = {"duplicate checkpoint": "duplicate", "checkpoints do not increase": "non_increasing"}
+
+
+def workbook_verdicts(cells: DataFrame, title: str, zone: str) -> DataFrame:
+    """One row per workbook: the code of the first check it fails, in the order of the sheet, or null if it is accepted.
+
+    `cells` is read many times, so it should be a written table.
+    """
+    values = workbook.label_values(cells, workbook.SOURCE_LABELS + workbook.DERIVED_LABELS)
+    plans = workbook.read_plans(values, zone)
+    headers = workbook.header_columns(cells)
+    rows = workbook.read_checkpoints(workbook.table_rows(cells, headers), plans, zone)
+    full = with_schedule(workbook.assemble(plans, rows), zone)
+    supplied = F.coalesce("supplied", F.array().cast(full.schema["supplied"].dataType))
+    number = lambda name: F.col(name).isNull()
+    broken = schedule_violation(supplied, F.coalesce("checkpoints", F.array().cast(full.schema["checkpoints"].dataType)), F.col("check_time"))
+    code = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in _SCHEDULE_CODES.items() for x in pair]), broken), F.when(broken.isNotNull(), F.lit("schedule")))
+    judged = full.select("workbook_id", F.when(number("baseline"), "invalid_plan").when(number("check_time") | number("tracking_start") | number("reset_at"), "invalid_datetime").when(
+        number("hard_limit") | number("safety_reserve"), "invalid_plan").when(F.col("reset_at") <= F.col("tracking_start"), "invalid_datetime").when(
+        plan_violation(F.col("baseline"), F.col("hard_limit"), F.col("safety_reserve")).isNotNull(), "invalid_plan").alias("_plan"),
+        F.when(F.exists(supplied, lambda c: c["date"].isNull()), "invalid_datetime").when(F.exists(supplied, lambda c: c["actual_malformed"]), "invalid_actual").alias("_rows"),
+        F.coalesce(code, F.when(first_decrease(_points(supplied)).isNotNull(), "monotonic")).alias("_table"))
+    titled = cells.filter(trimmed(F.col("value")) == title).select("workbook_id").distinct().withColumn("_titled", F.lit(True))
+    unlabelled = workbook.missing_labels(cells, values).select("workbook_id").withColumn("_unlabelled", F.lit(True))
+    named = headers.select("workbook_id").withColumn("_headed", F.lit(True))
+    joined = cells.select("workbook_id").distinct()
+    for part in (titled, unlabelled, named, judged):
+        joined = joined.join(part, "workbook_id", "left")
+    return joined.select("workbook_id", F.coalesce(
+        F.when(F.col("_titled").isNull(), "title"), F.when(F.col("_unlabelled"), "missing_label"), F.col("_plan"), F.when(F.col("_headed").isNull(), "missing_headers"),
+        F.col("_rows"), F.col("_table")).alias("verdict"))
