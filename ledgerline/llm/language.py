@@ -21,7 +21,8 @@ UNKNOWN = "und"
 
 
 class Settings(NamedTuple):
-    """`most_rows` bounds the rows that the weights are fitted on, in expectation; document counts cover all rows."""
+    """`most_rows` bounds the rows that the weights are fitted on, in expectation: each language has the same share of them, and one with fewer rows all
+    of its own. Languages and document counts are those of all rows."""
 
     most_rows: int = 4000
     epochs: int = 3
@@ -109,10 +110,13 @@ def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
 def trained(docs: DataFrame, s: Settings = Settings()) -> Model:
     """A model of rows (doc_id, text, lang) with text and lang. Document counts of n-grams are taken over all of them."""
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    total = rows.count()
+    counts = {x["lang"]: x["count"] for x in rows.groupBy("lang").count().collect()}
+    total = sum(counts.values())
     if not total:
         return Model([], np.zeros((DIMENSIONS, 0)), np.zeros(DIMENSIONS, np.float32), 1.0)
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < int(min(1.0, s.most_rows / total) * (1 << 30))
+    # Drawn by a hash of the row, so that every run and every number of tasks draws the same rows.
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, s.most_rows / len(counts) / n) * (1 << 30)))])
+    chosen = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 30)) < F.element_at(share, F.col("lang"))
     schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("doc_id", pa.string()), ("cells", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +147,8 @@ def trained(docs: DataFrame, s: Settings = Settings()) -> Model:
     parts = read.filter("part IS NOT NULL").select("part", "counts").repartition(PARTS, "part").mapInArrow(summed, "part int, counts binary").collect()
     frequency = np.concatenate([np.frombuffer(bytes(x["counts"]), "<i8") for x in sorted(parts, key=lambda x: x["part"])])
     idf = np.log((1 + total) / (1 + frequency)).astype(np.float32) + 1
-    sample = sorted(read.filter("part IS NULL").select("doc_id", "lang", "cells", "counts").limit(4 * s.most_rows).collect(), key=lambda x: (x["doc_id"] or "", bytes(x["cells"])))
-    names = sorted({x["lang"] for x in sample})
+    sample = sorted(read.filter("part IS NULL").select("doc_id", "lang", "cells", "counts").dropDuplicates(["doc_id", "lang", "cells"]).collect(), key=lambda x: (x["doc_id"] or "", bytes(x["cells"])))
+    names = sorted(counts)
     place = {n: k for k, n in enumerate(names)}
     examples = []
     for x in sample:

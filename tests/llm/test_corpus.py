@@ -401,3 +401,14 @@ def test_archives_of_very_long_pages_and_of_none(spark, tmp_path):
     assert archives.put_together(archives.read_archives(spark, str(tmp_path / "none"))).count() == 0
     with pytest.raises(ValueError, match="tells no length"):
         list(archives.records_in(memoryview(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n")))
+
+
+def test_a_rare_language_is_learned_at_any_size(spark):
+    """Three rows of one language among 600 of another, with 40 rows to fit on."""
+    draw = random.Random(2)
+    text = lambda signs: " ".join("".join(draw.choices(signs, k=5)) for _ in range(40))
+    rows = [(k, text("abcde"), "common") for k in range(600)] + [(1000 + k, text("vwxyz"), "rare") for k in range(3)]
+    model = language.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language.Settings(most_rows=40))
+    assert model.names == ["common", "rare"]
+    told = language.predicted(spark.createDataFrame([(1, text("vwxyz")), (2, text("abcde"))], "doc_id long, text string"), model)
+    assert {r.doc_id: r.lang_pred for r in told.collect()} == {1: "rare", 2: "common"}
