@@ -72,7 +72,9 @@ def test_near_duplicates_equal_brute_force(docs, none):
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 101)], "a long, b long")
-    assert {r.node: r.component for r in graph.components(edges).collect()} == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+    for per_task in (graph.EDGES, 9, 1):
+        assert {r.node: r.component for r in graph.components(edges, per_task=per_task).collect()} == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+    assert graph.components(edges.limit(0)).count() == 0
 
 
 def test_an_odd_sketch_estimates_similarity():
