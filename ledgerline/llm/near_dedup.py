@@ -104,8 +104,8 @@ def screened(pairs: DataFrame, marks: DataFrame, s: Settings) -> DataFrame:
     return joined.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of doc_ids whose full shingle sets reach the threshold. `pairs` is a written table."""
+def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, unique: bool = False) -> DataFrame:
+    """Pairs (a, b) of doc_ids whose full shingle sets reach the threshold. `pairs` is a written table; `unique` says that no doc_id repeats."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bits = docs.sparkSession.sparkContext.broadcast(settle.id_bits(wanted))
@@ -115,7 +115,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
             for part in kernel.slices(settle.asked(batch, bits.value), "text", 4 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in settle.sets_of(part.column("text"), s.size)], pa.binary())], names=["id", "members"])
 
-    sets = materialized(texts.mapInArrow(make, "id long, members binary").dropDuplicates(["id"]), "sets")
+    sets = texts.mapInArrow(make, "id long, members binary")
+    sets = materialized(sets if unique else sets.dropDuplicates(["id"]), "sets")
     named = lambda c: sets.select(F.col("id").alias("_" + c), F.col("members").alias("set_" + c))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +158,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     buckets = materialized(banded.join(leads, F.col("key") == F.col("_key")).drop("_key"), "buckets")
     stars = buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tried = materialized(screened(stars, marks, s), "stars")
-    links = materialized(confirmed(tried, docs, s), "links")
+    # Where doc_ids repeat, what is made of their texts is reduced to one row each, which moves it once more.
+    unique = real.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    links = materialized(confirmed(tried, docs, s, unique), "links")
     found = components(links)
-    found = settle.settled(buckets, found, tried, links, lambda ids: settle.whole_sketches(docs, ids, s.size), lambda pairs: confirmed(pairs, docs, s), s.percent, s.block)
+    found = settle.settled(buckets, found, tried, links, lambda ids: settle.whole_sketches(docs, ids, s.size, unique=unique), lambda pairs: confirmed(pairs, docs, s, unique), s.percent, s.block)
     found = found.select(F.col("node").alias("_node"), "component")
     members = rows.select("doc_id", "n_shingles", "set_key").join(classes.withColumnRenamed("set_key", "_key"), (F.col("set_key") == F.col("_key")) & F.col("doc_id").isNotNull(), "left")
     members = materialized(members.select("doc_id", "n_shingles", "id"), "members")

@@ -205,7 +205,7 @@ def _beside(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     return joined.select("a", "b", *[f"{x}_a" for x in columns], *[f"{x}_b" for x in columns])
 
 
-def screened(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+def screened(pairs: DataFrame, docs: DataFrame, s: Settings, unique: bool = False) -> DataFrame:
     """Pairs (a, b) that the odd sketches of whole sets, folded to 1024 bits at most, can't exclude. `pairs` is a written table."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
@@ -219,40 +219,46 @@ def screened(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
                 good.append(n + m + 2 * (-s.percent * (n + m) // (100 + s.percent)) >= apart)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    marks = materialized(settle.whole_sketches(docs, wanted, s.size, 16), "folded")
+    marks = materialized(settle.whole_sketches(docs, wanted, s.size, 16, unique), "folded")
     return _beside(pairs, marks, ["size", "sketch"]).mapInArrow(near, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, table: bytes, s: Settings) -> DataFrame:
-    """Pairs (a, b) that reach the threshold: first their prefixes must meet under each further order, then full sets are compared. `pairs` is a written table."""
+def verified(pairs: DataFrame, docs: DataFrame, table: bytes, s: Settings, unique: bool = False) -> DataFrame:
+    """Pairs (a, b) that reach the threshold: first their prefixes must meet under each further order, then full sets are compared. `pairs` is a written
+    table; `unique` says that no doc_id repeats."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     shared = docs.sparkSession.sparkContext.broadcast((table, settle.id_bits(wanted)))
-    further = range(1, len(ORDERS))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, bits = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
+        bits = shared.value[1]
         for batch in batches:
             for part in kernel.slices(settle.asked(batch, bits), "text", 4 << 20):
-                sets = settle.sets_of(part.column("text"), s.size)
-                firsts = [pa.array([np.sort(ranked(x, codes, k, prefix_length(len(x), s.percent))).tobytes() for x in sets], pa.binary()) for k in further]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *firsts, pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", *[f"first{k}" for k in further], "members"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in settle.sets_of(part.column("text"), s.size)], pa.binary())], names=["id", "members"])
 
-    names = [f"first{k}" for k in further]
-    sets = materialized(_columns(docs).mapInArrow(make, f"id long, {', '.join(f'{x} binary' for x in names)}, members binary").dropDuplicates(["id"]), "sets")
+    sets = _columns(docs).mapInArrow(make, "id long, members binary")
+    sets = materialized(sets if unique else sets.dropDuplicates(["id"]), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = np.frombuffer(shared.value[0], np.uint8)
+        firsts: dict[tuple[int, int], np.ndarray] = {}
+
+        def first(id_: int, own: np.ndarray, order: int) -> np.ndarray:
+            if (id_, order) not in firsts:
+                if len(firsts) > 2000:
+                    firsts.clear()
+                firsts[id_, order] = np.sort(ranked(own, codes, order, prefix_length(len(own), s.percent)))
+            return firsts[id_, order]
+
         for batch in batches:
             good = []
-            for row in zip(*(batch.column(k) for k in range(2, 4 + 2 * len(names)))):
-                *row, x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in row)
-                met = all(kernel.common(p, q) for p, q in zip(row[:len(names)], row[len(names):]))
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                met = all(kernel.common(first(a, x, k), first(b, y, k)) for k in range(1, len(ORDERS)))
                 both = kernel.common(x, y) if met else 0
                 good.append(met and 100 * both >= s.percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    beside = _beside(pairs, sets, [*names, "members"])
-    ordered = beside.select("a", "b", *[f"{x}_a" for x in names], *[f"{x}_b" for x in names], "members_a", "members_b")
-    return ordered.mapInArrow(compare, "a long, b long")
+    return _beside(pairs, sets, ["members"]).mapInArrow(compare, "a long, b long")
 
 
 def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -273,6 +279,8 @@ def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = scan.filter("part IS NULL").select("doc_id", "n_shingles", "set_key")
     real = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialized(real.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("head")).select("set_key", F.col("head.doc_id").alias("id"), F.col("head.n_shingles").alias("n")), "classes")
+    # Where doc_ids repeat, what is made of their texts is reduced to one row each, which moves it once more.
+    unique = real.groupBy("doc_id").count().filter("count > 1").isEmpty()
     total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * s.percent / 100) + 1)).first()[0] or 0
     index = materialized(indexed(docs, classes.select("id"), table, -(-total // s.part) or 1, s), "ngram-index")
     entries = materialized(live(index, s), "ngram-live")
@@ -280,11 +288,12 @@ def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     fits = (F.least("place", "lead_place") + 1 + F.least(F.col("n") - F.col("place") - 1, F.col("lead_n") - F.col("lead_place") - 1)) >= least
     sizes = 100 * F.least("n", "lead_n") >= s.percent * F.greatest("n", "lead_n")
     tried = materialized(entries.filter((F.col("id") != F.col("lead")) & sizes & fits).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    near = materialized(screened(tried, docs, s), "screened")
-    links = materialized(verified(near, docs, table, s), "links")
+    near = materialized(screened(tried, docs, s, unique), "screened")
+    links = materialized(verified(near, docs, table, s, unique), "links")
     found = components(links)
     buckets = entries.select("key", "id", "lead")
-    found = settle.settled(buckets, found, tried, links, lambda ids: settle.whole_sketches(docs, ids, s.size), lambda pairs: verified(pairs, docs, table, s), s.percent, s.block)
+    found = settle.settled(buckets, found, tried, links, lambda ids: settle.whole_sketches(docs, ids, s.size, unique=unique),
+                           lambda pairs: verified(pairs, docs, table, s, unique), s.percent, s.block)
     named = found.select(F.col("node").alias("_node"), "component")
     members = rows.join(classes.select(F.col("set_key").alias("_key"), "id"), (F.col("set_key") == F.col("_key")) & F.col("doc_id").isNotNull(), "left")
     told = members.select("doc_id", "n_shingles", "id").join(named, F.col("id") == F.col("_node"), "left")

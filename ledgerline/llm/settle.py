@@ -72,8 +72,8 @@ def asked(batch: pa.RecordBatch, bits: bytes) -> pa.RecordBatch:
     return batch.filter(pa.array(hit.astype(bool) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)))
 
 
-def whole_sketches(docs: DataFrame, wanted: DataFrame, size: int, most_words: int = MOST_BITS // 64) -> DataFrame:
-    """id, size and whole sketch, folded to `most_words` 64-bit words, of the documents whose doc_id is in `wanted` (id), and of some others."""
+def whole_sketches(docs: DataFrame, wanted: DataFrame, size: int, most_words: int = MOST_BITS // 64, unique: bool = False) -> DataFrame:
+    """id, size and whole sketch, folded to `most_words` 64-bit words, of the documents whose doc_id is in `wanted` (id), and of some others; one row an id."""
     shared = docs.sparkSession.sparkContext.broadcast(id_bits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,8 @@ def whole_sketches(docs: DataFrame, wanted: DataFrame, size: int, most_words: in
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sketches, pa.binary())], names=["id", "size", "sketch"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(run, "id long, size long, sketch binary").dropDuplicates(["id"])
+    made = texts.mapInArrow(run, "id long, size long, sketch binary")
+    return made if unique else made.dropDuplicates(["id"])
 
 
 def mixed_groups(buckets: DataFrame, found: DataFrame) -> DataFrame:
