@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerline.session import materialized
+
 CRLF = "\r\n"
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -47,7 +49,8 @@ def to_records(pages: DataFrame, least_bytes: int = 0, segment_bytes: int = SEGM
     # Only payloads that occur again: the smaller this is, the less the payloads have to move for it.
     firsts = rows.filter(F.length("payload") >= least_bytes).groupBy("digest").agg(
         F.min(F.struct(F.col("page_id").isNull(), "page_id", "record_id")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    firsts = firsts.select(F.col("digest").alias("_digest"), F.col("first.record_id").alias("first_id"))
+    # Written, so that its size is known before the payloads would be shuffled to meet it.
+    firsts = materialized(firsts.select(F.col("digest").alias("_digest"), F.col("first.record_id").alias("first_id")), "firsts")
     told = rows.join(firsts, F.col("digest") == F.col("_digest"), "left")
     revisit = F.coalesce((F.length("payload") >= least_bytes) & (F.col("first_id") != F.col("record_id")), F.lit(False))
     size = F.length("payload")
