@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.config import LIMITS
 from ledgerline.functions import dates, numbers, text
 from ledgerline.functions.fingerprints import FIVE_COUNTERS
 from ledgerline.operators import checks, diff, imports, normalize, revisions
@@ -52,6 +53,26 @@ def recovered_rows(spark, d):
     return tables.recovered_rows(v.recovered(spark, d), "set-1997").select("set_id", "month", "agent", "total_tokens", "reported_cost_usd")
 
 
+@query("a08_newest_set", ("recovered_sets",), f"""
+  SELECT set_id, total_tokens, accounting_mode, FALSE AS text_shown FROM recovered_sets ORDER BY substr(set_id, 5, 4)::INTEGER % 5 DESC, set_id DESC LIMIT 1""")
+def newest_set(spark, d):
+    """The newest set's header, without the raw text it was recovered from."""
+    sets = v.recovered_sets(v.recovered(spark, d)).withColumns({"created_at": F.substring("set_id", 5, 4).cast("int") % 5, "raw_text": F.lit("as it was found")})
+    newest = tables.newest_recovered_set(sets)
+    return newest.select("set_id", "total_tokens", "accounting_mode").withColumn("text_shown", F.lit("raw_text" in newest.columns))
+
+
+@query("a05_workbook_sizes", sql=f"""
+  SELECT doc_id, CASE WHEN strlen(text) * 512 > {LIMITS.max_workbook_bytes} THEN 'file too large' WHEN strlen(text) = 0 THEN 'empty file' ELSE 'readable' END AS verdict
+  FROM documents WHERE text IS NOT NULL""")
+def workbook_sizes(spark, d):
+    """Documents as workbooks of 512 bytes a byte of text, under the workbooks' bound."""
+    files = v.table(spark, d, "documents").filter("text IS NOT NULL").select(
+        "doc_id", F.col("text").cast("binary").alias("content"), (F.octet_length("text") * F.lit(512).cast("bigint")).alias("file_size_bytes"))
+    good, bad = snapshots.split_readable(files, max_bytes=LIMITS.max_workbook_bytes)
+    return good.select("doc_id", F.lit("readable").alias("verdict")).unionByName(bad.select("doc_id", F.col("reason").alias("verdict")))
+
+
 @query("a11_insert_ignore", ("daily", "incoming_daily"), f"""
   SELECT i.machine_id, i.agent, {day('i.usage_date')}, i.reported_total_tokens FROM incoming_daily i
   ANTI JOIN daily d USING (machine_id, agent, usage_date)""")

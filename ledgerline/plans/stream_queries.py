@@ -47,15 +47,17 @@ def monthly_stream(spark, d):
 
 
 @query("j03_redelivery_stream", ("raw_files",), """
-  SELECT machine_id, raw_sha256 FROM raw_files GROUP BY 1, 2""")
+  SELECT machine_id, raw_sha256, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS created_at FROM raw_files GROUP BY 1, 2""")
 def redelivery_stream(spark, d):
-    """Files by machine and content, with their own times of delivery."""
+    """Files by machine and content, with their own times of delivery; all of them are delivered twice, the second time to a new checkpoint."""
     files = read_table_stream(spark, d, "documents").select(
         F.col("source").alias("machine_id"), F.sha2("text", 256).alias("raw_sha256"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("created_at"))
     folder = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
-    ingest.append_new_files(files, f"{folder}/table", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select("machine_id", "raw_sha256")
+    store = VersionedStore(spark, f"{folder}/store")
+    for delivery in ("first", "again"):
+        ingest.collect_new_contents(files, store, f"{folder}/{delivery}").awaitTermination()
+    return store.read("contents").select("machine_id", "raw_sha256", "created_at")
 
 
 @query("j04_reading_stream", ("readings",), _fold_sql("readings", _COOLDOWN))

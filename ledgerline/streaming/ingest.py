@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerline.operators.imports import insert_ignore
 from ledgerline.sources.sinks import append_facts, append_new
+from ledgerline.sources.versioned import Change, Version, VersionedStore
+from ledgerline.streaming.current import committed
 
 
 def append_new_files(files: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("machine_id", "raw_sha256")) -> StreamingQuery:
@@ -20,6 +23,20 @@ def append_new_files(files: DataFrame, path: str, checkpoint: str, keys: tuple[s
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def collect_new_contents(files: DataFrame, store: VersionedStore, checkpoint: str, table: str = "contents") -> StreamingQuery:
+    """The same rule on a committed table (machine_id, raw_sha256, ...), then stop.
+
+    The table lies in partitions by the first two signs of the content's hash, so a batch meets the stored keys
+    of its own prefixes only. Of equal files in one batch the earliest stays.
+    """
+    def make(batch: DataFrame, base: Version) -> list[Change]:
+        held = VersionedStore(batch.sparkSession, store.path)
+        rows = batch.withColumn("prefix", F.substring("raw_sha256", 1, 2))
+        return [held.append(table, rows, ["prefix"], lambda stored, new: insert_ignore(new, stored, ["machine_id", "raw_sha256"], ["created_at"]), base)]
+
+    return committed(files, store, checkpoint, make)
+
+
 def append_revisions(rows: DataFrame, path: str, checkpoint: str, keys: list[str], date_column: str = "usage_date") -> StreamingQuery:
     """Append every new revision once, then stop: the scheduled collection job.
 
