@@ -97,7 +97,8 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     """Documents with their counts, one verdict per rule, base_failed and kept.
 
     Null and empty texts have no words and fail. Every input row gives one row; other
-    columns pass through, except those named as a count or verdict, which are replaced.
+    columns pass through, except those named as a count or verdict, which are replaced, and
+    those that begin with an underscore, which are left out. An empty table gives no rows.
     """
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_kinds", "n_stop_listed", "n_exclamations", "n_bullet_lines",
             "n_ellipsis_lines", "base_failed", "kept"} | {"ok_" + r.name for r in rules}
