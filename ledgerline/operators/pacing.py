@@ -81,8 +81,8 @@ def checkpoints(contracts: DataFrame, *extra: str) -> DataFrame:
 
 
 def with_actuals(contracts: DataFrame, actuals: DataFrame) -> DataFrame:
-    """Attach recorded actuals(contract_id, date, actual) to the checkpoints; missing days stay blank."""
-    recorded = actuals.filter(F.col("actual").isNotNull()).dropDuplicates(["contract_id", "date"]).groupBy("contract_id").agg(
+    """Attach recorded actuals(contract_id, date, actual) to the checkpoints; missing days stay blank, of several values of a day the highest counts."""
+    recorded = actuals.filter(F.col("actual").isNotNull()).groupBy("contract_id", "date").agg(F.max("actual").alias("actual")).groupBy("contract_id").agg(
         F.map_from_entries(F.collect_list(F.struct("date", "actual"))).alias("_actuals"))
     return contracts.join(recorded, "contract_id", "left").withColumn("checkpoints", F.transform(
         "checkpoints", lambda c: c.withField("actual", F.try_element_at(F.col("_actuals"), c["date"])))).drop("_actuals")
