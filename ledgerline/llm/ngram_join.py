@@ -114,7 +114,7 @@ def indexed(docs: DataFrame, heads: DataFrame, table: bytes, n_parts: int, s: Se
             all_, part = all_[order], part[order]
             leads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             ends = [*leads[1:].tolist(), len(part)]
-            return pa.RecordBatch.from_arrays([pa.array(part[leads], pa.int64()), pa.array([b"".join(all_[f][a:b].tobytes() for f in _ENTRY.names) for a, b in zip(leads.tolist(), ends)], pa.binary()),
+            return pa.RecordBatch.from_arrays([pa.array(part[leads], pa.int64()), pa.array([_packed(all_[a:b]) for a, b in zip(leads.tolist(), ends)], pa.binary()),
                                                pa.array(np.diff([*leads, len(part)]), pa.int64())], names=["part", "entries", "n"])
 
         for batch in batches:
@@ -135,12 +135,27 @@ def indexed(docs: DataFrame, heads: DataFrame, table: bytes, n_parts: int, s: Se
     return _columns(docs).mapInArrow(run, "part long, entries binary, n long")
 
 
+def _packed(rows: np.ndarray) -> bytes:
+    """Entries that go by document: tokens, places of 2 bytes where these are enough, and each document's id, size and number of entries once."""
+    lead = np.flatnonzero(np.concatenate([[True], (rows["id"][1:] != rows["id"][:-1]) | (rows["n"][1:] != rows["n"][:-1])]))
+    wide = bool(rows["place"].max() > 0xFFFF)
+    return b"".join([np.array([wide, len(lead)], "<u4").tobytes(), rows["token"].tobytes(), rows["place"].astype("<u4" if wide else "<u2").tobytes(),
+                     rows["id"][lead].tobytes(), rows["n"][lead].tobytes(), np.diff([*lead.tolist(), len(rows)]).astype("<u4").tobytes()])
+
+
 def _entries(raw: bytes, n: int) -> np.ndarray:
-    out, at = np.empty(n, _ENTRY), 0
-    for name in _ENTRY.names:
-        kind = _ENTRY.fields[name][0]
-        out[name] = np.frombuffer(raw, kind, n, at)
-        at += n * kind.itemsize
+    wide, docs = np.frombuffer(raw, "<u4", 2).tolist()
+    at, out = 8, np.empty(n, _ENTRY)
+
+    def column(kind: str, many: int) -> np.ndarray:
+        nonlocal at
+        values = np.frombuffer(raw, kind, many, at)
+        at += values.nbytes
+        return values
+
+    out["token"], out["place"] = column("<u4", n), column("<u4" if wide else "<u2", n)
+    ids, sizes, many = column("<i8", docs), column("<u4", docs), column("<u4", docs)
+    out["id"], out["n"] = np.repeat(ids, many), np.repeat(sizes, many)
     return out
 
 

@@ -152,6 +152,17 @@ def test_similar_sets_share_a_prefix_token_under_every_order():
                 assert first[0] & first[1]
 
 
+def test_packed_entries_come_back():
+    draw = np.random.default_rng(8)
+    for wide in (False, True):
+        rows = np.zeros(50, ngram_join._ENTRY)
+        rows["token"], rows["place"], rows["id"] = draw.integers(0, 2**32, 50), draw.integers(0, 90_000 if wide else 60_000, 50), np.sort(draw.integers(-3, 9, 50))
+        rows["n"] = rows["id"] % 4 + 1
+        rows["place"][0] = 70_000 if wide else 65_535
+        assert (ngram_join._entries(ngram_join._packed(rows), 50) == rows).all()
+    assert len(ngram_join._entries(ngram_join._packed(rows[:1]), 1)) == 1
+
+
 def test_whole_sketches_bound_the_difference():
     draw = np.random.default_rng(5)
     for _ in range(100):
