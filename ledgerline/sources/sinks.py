@@ -55,13 +55,6 @@ def append_facts(rows: DataFrame, path: str, keys: list[str], date_column: str =
         "usage_month").parquet(path)
 
 
-def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Append rows whose key is not stored, to a table without partitions; of equal keys in one call one row is kept."""
-    stored = _stored(rows, path)
-    fresh = first_per_key(rows, keys) if stored is None else insert_ignore(rows, stored, keys)
-    fresh.write.mode("append").parquet(path)
-
-
 def upserted(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows with changed ones replaced and new ones added; of several changes of a key every run keeps the same one.
 

@@ -6,27 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.operators.imports import insert_ignore
-from ledgerline.sources.sinks import append_facts, append_new
+from ledgerline.sources.sinks import append_facts
 from ledgerline.sources.versioned import Change, Version, VersionedStore
 from ledgerline.streaming.current import committed
 
 
-def append_new_files(files: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("machine_id", "raw_sha256")) -> StreamingQuery:
-    """Append every file whose content its machine never delivered before, however late it comes, then stop.
-
-    Each batch is compared with what is stored, so the rule has no expiry and a
-    backlog file is as welcome as a new one. A repeated batch adds nothing.
-    """
-    def write(batch: DataFrame, _: int) -> None:
-        append_new(batch, path, list(keys))
-
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def collect_new_contents(files: DataFrame, store: VersionedStore, checkpoint: str, table: str = "contents") -> StreamingQuery:
-    """The same rule on a committed table (machine_id, raw_sha256, ...), then stop.
+    """Keep every file whose content its machine never delivered before, however late it comes, then stop.
 
-    The table lies in partitions by the first two signs of the content's hash, so a batch meets the stored keys
+    Each batch is compared with what is stored, so the rule has no expiry and a backlog file is as welcome as a new one. A repeated
+    batch adds nothing. The committed table (machine_id, raw_sha256, created_at, ...) lies in partitions by the first two signs of the content's hash, so a batch meets the stored keys
     of its own prefixes only. Of equal files in one batch the earliest stays.
     """
     def make(batch: DataFrame, base: Version) -> list[Change]:

@@ -1,31 +1,12 @@
-"""Event streams to daily, weekly and monthly observations."""
+"""Day sums of event streams (see current.maintain_sums) to weeks and months."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.functions.dates import month_start, week_start
 
 
-def append_daily_parts(events: DataFrame, path: str, checkpoint: str, keys: list[str], sums: dict[str, str], time: str = "ts") -> StreamingQuery:
-    """Add each batch's day sums per key as parts of their days, then stop. No event is too late, and open days show.
-
-    `sums` maps output names to SQL expressions over the event. A batch owns a folder
-    that it overwrites, so a batch run again after a failure doesn't count twice.
-    """
-    def write(batch: DataFrame, number: int) -> None:
-        day = F.col(time).cast("timestamp").cast("date").alias("usage_date")
-        batch.groupBy(day, *keys).agg(*[F.sum(F.expr(e)).alias(name) for name, e in sums.items()]).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def daily_from_parts(spark: SparkSession, path: str, keys: list[str], sums: list[str]) -> DataFrame:
-    """The days as all parts so far make them."""
-    return spark.read.parquet(path).groupBy("usage_date", *keys).agg(*[F.sum(c).alias(c) for c in sums])
-
-
 def weekly_from_daily(daily: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     return daily.groupBy(week_start(F.col("usage_date")).alias("week"), *keys).agg(*[F.sum(c).alias(c) for c in sums])
 

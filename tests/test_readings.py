@@ -13,7 +13,7 @@ from ledgerline.operators import append, pacing, readings as r
 from ledgerline.operators.skew import with_previous
 from ledgerline.streaming import ingest, rollups as stream_rollups
 from ledgerline.sources.versioned import VersionedStore
-from ledgerline.streaming import readings as live
+from ledgerline.streaming import current, readings as live
 
 T = dt.datetime
 READING = "account string, reading_id bigint, observed_at timestamp, fetched_at timestamp, fraction decimal(9,4), status string, provider_resets_at timestamp"
@@ -265,8 +265,9 @@ def test_daily_stream_equals_the_batch(spark, tmp_path):
     for row in late.collect():
         spark.createDataFrame([row], late.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev"))
-    stream_rollups.append_daily_parts(stream, str(tmp_path / "days"), str(tmp_path / "cp"), ["k"], {"v": "v"}).awaitTermination(120)
-    got = stream_rollups.daily_from_parts(spark, str(tmp_path / "days"), ["k"], ["v"])
+    store = VersionedStore(spark, str(tmp_path / "days"))
+    current.maintain_sums(stream, store, str(tmp_path / "cp"), ["k"], {"v": "v"}).awaitTermination()
+    got = current.day_sums(store)
     both = events.unionByName(late)
     batch = both.groupBy(F.col("ts").cast("date").alias("usage_date"), "k").agg(F.sum("v").alias("v"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
@@ -279,11 +280,11 @@ def test_backlog_file_is_kept_and_redelivery_dropped(spark, tmp_path):
     def deliver(*rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        ingest.append_new_files(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+        ingest.collect_new_contents(stream, VersionedStore(spark, str(tmp_path / "out")), str(tmp_path / "cp")).awaitTermination()
     deliver(("m", "a", T(2026, 1, 10)))
     deliver(("m", "b", T(2026, 1, 20)))
     deliver(("m", "lost-pc", T(2026, 1, 5)), ("m", "a", T(2026, 1, 10)))
-    assert sorted(x.raw_sha256 for x in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "lost-pc"]
+    assert sorted(x.raw_sha256 for x in VersionedStore(spark, str(tmp_path / "out")).read("contents").collect()) == ["a", "b", "lost-pc"]
 
 
 def test_revision_of_a_later_import_is_appended(spark, tmp_path):
