@@ -56,7 +56,7 @@ def redelivery_stream(spark, d):
     folder = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
     store = VersionedStore(spark, f"{folder}/store")
     for delivery in ("first", "again"):
-        ingest.collect_new_contents(files, store, f"{folder}/{delivery}").awaitTermination()
+        ingest.collect_new_contents(files, store, f"{folder}/{delivery}", signs=1).awaitTermination()
     return store.read("contents").select("machine_id", "raw_sha256", "created_at")
 
 
