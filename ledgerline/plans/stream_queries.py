@@ -15,8 +15,9 @@ from ledgerline.streaming import current, ingest, readings as live, rollups
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files. The brackets make the path a pattern: Spark takes a plain one for a folder."""
     schema = v.table(spark, sf_dir, name).schema
-    return prepare(spark).readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return prepare(spark).readStream.schema(schema).parquet(f"{sf_dir}/{name}.[p]arquet")
 
 
 def _daily_table(spark, d):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import append, pacing, readings as r
 from ledgerline.operators.skew import with_previous
+from ledgerline.plans import stream_queries
 from ledgerline.streaming import ingest, rollups as stream_rollups
 from ledgerline.sources.versioned import VersionedStore
 from ledgerline.streaming import current, readings as live
@@ -287,6 +288,18 @@ def test_backlog_file_is_kept_and_redelivery_dropped(spark, tmp_path):
     assert sorted(x.raw_sha256 for x in VersionedStore(spark, str(tmp_path / "out")).read("contents").collect()) == ["a", "b", "lost-pc"]
 
 
+@pytest.mark.parametrize("files", [0, 3])
+def test_a_table_streams_from_one_file_or_a_folder(spark, tmp_path, files):
+    rows = spark.createDataFrame([(n, "s", f"text {n % 4}") for n in range(9)], "doc_id bigint, source string, text string")
+    if files:
+        rows.repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    else:
+        rows.toPandas().to_parquet(tmp_path / "documents.parquet")
+    rows.write.parquet(str(tmp_path / "other.parquet"))
+    got = stream_queries.redelivery_stream(spark, str(tmp_path)).select("created_at").collect()
+    assert sorted(x.created_at for x in got) == [T(2024, 1, 1, 0, n) for n in range(4)]
+
+
 def test_revision_of_a_later_import_is_appended(spark, tmp_path):
     schema = "machine_id string, agent string, usage_date date, import_id string, v int"
     for n, day in enumerate([dt.date(2026, 9, 1), dt.date(2026, 9, 1), None]):
