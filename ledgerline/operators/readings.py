@@ -12,7 +12,7 @@ from ledgerline.config import LIMITS
 from ledgerline.functions.dates import dated_instant
 from ledgerline.functions.text import trimmed
 from ledgerline.operators.pacing import exploded
-from ledgerline.operators.skew import spread_join, with_previous
+from ledgerline.operators.skew import wide_join, with_previous
 from ledgerline.schemas import READING_PAYLOAD
 
 # The texts of the statuses.
@@ -95,10 +95,11 @@ def with_active_state(contracts: DataFrame, now: Column) -> DataFrame:
 def in_contract(readings: DataFrame, contracts: DataFrame, *columns: str) -> DataFrame:
     """Readings observed inside their account's contract: start <= observed < reset.
 
-    Readings are spread over salted keys: one account may hold most of them.
+    An account that holds many readings is spread over several tasks. Contracts with their checkpoints are
+    wide and as many as the accounts, so they are neither broadcast nor repeated for the other accounts.
     """
     wanted = contracts.select("account", "contract_id", "tracking_start", "reset_at", *columns)
-    return spread_join(readings, wanted, ["account"], ["reading_id"], "inner").filter(
+    return wide_join(readings, wanted, ["account"], ["reading_id"]).filter(
         (F.col("observed_at") >= F.col("tracking_start")) & (F.col("observed_at") < F.col("reset_at")))
 
 
@@ -212,7 +213,8 @@ def checkpoint_rows(contracts: DataFrame, readings: DataFrame, now: Column) -> D
         F.map_from_entries(F.collect_list(F.struct("day", F.col("fraction").cast("double")))).alias("_seen"))
     # The newest reading of an account is one value: a partial max, never a window over all readings.
     last = readings.groupBy("account").agg(F.max("observed_at").alias("_last"))
-    joined = compared.join(seen, "contract_id", "left").join(last, "account", "left")
+    # Maps are wider than Spark takes them for, so they are not broadcast.
+    joined = compared.join(seen.hint("merge"), "contract_id", "left").join(last, "account", "left")
     live = (F.col("_last") >= F.col("tracking_start")) & (F.col("_last") < F.col("reset_at"))
     opened = exploded(
         joined.withColumn("_live", F.coalesce(live, F.lit(False))),
@@ -232,10 +234,10 @@ def checkpoint_rows(contracts: DataFrame, readings: DataFrame, now: Column) -> D
 
 
 def chart_points(contracts: DataFrame, rows: DataFrame) -> DataFrame:
-    """The checkpoint series with whatever row exists for its date."""
+    """The checkpoint series with whatever row exists for its date. Both sides are exploded, which Spark's estimate leaves out, so neither is broadcast."""
     series = exploded(contracts, "contract_id").select(
         "contract_id", F.col("_c.date").alias("date"), F.col("_c.ts").alias("ts"), F.col("_c.ceiling").alias("ceiling"))
-    return series.join(rows.select("contract_id", "date", "observation", "status", "headroom"), ["contract_id", "date"], "left").orderBy("contract_id", "ts")
+    return series.join(rows.select("contract_id", "date", "observation", "status", "headroom").hint("merge"), ["contract_id", "date"], "left").orderBy("contract_id", "ts")
 
 
 def default_rows(rows: DataFrame, before: int = 3, after: int = 5, without_current: int = 8) -> DataFrame:

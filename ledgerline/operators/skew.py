@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_KEYS = 1000
 SALTS = 16
+ROWS_PER_PART = 200_000
 
 
 def salt_of(columns: list[str], salts: int) -> Column:
@@ -24,6 +25,22 @@ def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread_by:
     return rows.withColumn("_salt", salt_of(spread_by, salts)).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
+def wide_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread_by: list[str], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Inner join of rows to a lookup with wide rows and as many keys as there are.
+
+    Only keys with more than `rows_per_part` rows are spread, each over as many parts as it
+    has such portions, so the lookup is repeated for these alone; at most one key in
+    `rows_per_part` rows is, so their list is safe to broadcast. The lookup itself is never
+    broadcast: Spark takes an array for one element, so its measured size says too little.
+    """
+    zero = F.lit(0).cast("bigint")
+    large = F.broadcast(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_part).alias("_parts")).filter("_parts > 1"))
+    parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    spread_rows = rows.join(large, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), parts)).drop("_parts")
+    spread_lookup = lookup.join(large, keys, "left").withColumn("_salt", F.explode(F.sequence(zero, parts - 1))).drop("_parts")
+    return spread_rows.join(spread_lookup.hint("merge"), [*keys, "_salt"]).drop("_salt")
+
+
 def hot_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, spread_by: list[str],
                how: str = "left", salts: int = 256, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Join rows to a lookup as large as the rows, salting only its heaviest keys.

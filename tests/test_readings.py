@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import append, pacing, readings as r
-from ledgerline.operators.skew import with_previous
+from ledgerline.operators.skew import wide_join, with_previous
 from ledgerline.plans import stream_queries
 from ledgerline.streaming import ingest, rollups as stream_rollups
 from ledgerline.sources.versioned import VersionedStore
@@ -108,6 +108,21 @@ def test_checkpoint_rows_and_default_window(spark):
     assert (live.status, live.observation) == ("On track", None)  # the newest reading of all lies outside the contract
 
 
+@pytest.mark.parametrize("rows_per_part", [2, 1000])
+def test_wide_join_equals_a_plain_join(spark, rows_per_part):
+    rows = spark.createDataFrame([(k, n) for n in range(20) for k in ("hot", "hot", None, f"k{n}")], "k string, n int")
+    lookup = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("k99", 4), (None, 5)], "k string, v int")
+    got = wide_join(rows, lookup, ["k"], ["n"], rows_per_part).select("k", "n", "v").collect()
+    assert sorted(got) == sorted(rows.join(lookup, "k").select("k", "n", "v").collect()) and len(got) == 81
+
+
+def test_checkpoint_arrays_are_never_broadcast(spark):
+    frame = readings(spark, [(T(2026, 9, 3, 13), 0.1), (T(2026, 9, 5, 12, 9), 0.2)])
+    rows = r.checkpoint_rows(contract(spark), frame, F.lit(NOW))
+    for result, joins in ((r.readings_with_ceiling(frame, contract(spark)), 1), (r.first_in_window(frame, contract(spark)), 1), (r.chart_points(contract(spark), rows), 4)):
+        assert result._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= joins
+
+
 def test_refresh_policy(spark):
     rows = [("a", T(2026, 9, 5, 12, 9, 30), T(2026, 9, 1), T(2026, 9, 11)), ("b", T(2026, 9, 5, 12, 8), T(2026, 9, 1), T(2026, 9, 11)),
             ("c", None, T(2026, 9, 1), T(2026, 9, 11)), ("d", T(2026, 9, 5, 12, 9, 30), T(2026, 9, 6), T(2026, 9, 11)), ("e", T(2026, 9, 5, 12, 9, 30), None, None)]
