@@ -19,18 +19,26 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerline.llm import kernel
+from ledgerline.llm import kernel, settle
 from ledgerline.session import materialized
 
 #: Cells of the rarity table, which has one byte per cell and this size at any input size, in as many parts.
 CELLS, PARTS = 1 << 24, 256
 SLICE = 1 << 20
-#: Keys of up to so many lines are compared many at a time, in batches of at least so many rows.
-SHORT, WAIT = 64, 1 << 17
+#: Keys of up to so many lines are compared many at a time.
+SHORT = 64
+#: Entries that a task deals out together, and that a part of the index should have at most.
+HELD, PART = 1 << 19, 1 << 18
+#: Lines of at most so many distinct words carry parity bitmaps of 32 and 64 bits, others one of 128.
+NARROW, MIDDLE = 16, 48
+#: What spreads lines over bitmaps: a line's number times this is xored with its doc_id.
+SPREAD = 0x5851F42D
 #: A key with more other lines is dealt out in the second round.
 BLOCK = 1000
+#: Up to so many texts asked for are picked out before their lines are; of more, all texts are looked through.
+PICKED = 1 << 17
 #: Pairs of lines that both have so many distinct words are found by the join, all others by the sets of words they share.
 JOINED = 6
 
@@ -128,46 +136,64 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
+def _classes(s: Settings) -> int:
+    """How many classes the common tokens fall into."""
+    return min(8, int(_needed(np.array(max(s.least, JOINED)), s.percent)) - 1)
+
+
+def most_entries(size: np.ndarray, s: Settings) -> int:
+    """About how many index entries lines of these sizes have at most; those of few words have none."""
+    size = size[size >= JOINED]
+    prefix, n = size - _needed(size, s.percent) + 1, max(1, _classes(s))
+    return int((prefix + (prefix + n) * (prefix + n - 1) // (2 * n)).sum())
+
+
+def _rarity_code(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes: 0 for none, 1 for one, then by steps of an eighth of a binary logarithm."""
+    return np.where(counts > 0, np.minimum(1 + np.rint(8 * np.log2(np.maximum(counts, 1))), 255), 0).astype(np.uint8)
+
+
 def scanned(docs: DataFrame, s: Settings) -> DataFrame:
     """First pass: part null: doc_id, line and set_key of every line, and the words of one of few words that may match a different one;
-    else a task's occurrences of the tokens of that part of the rarity table."""
+    else a task's occurrences of the tokens of that part of the rarity table, and in doc_id of part 0 how many index entries its lines have at most."""
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("set_key", pa.binary()), ("words", pa.binary())])
     few = most_few(s.percent)
     alone = [n for n in range(1, few + 1) if 100 * n < s.percent * (n + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.uint16)
+        counts, n_entries = np.zeros(CELLS, np.uint32), 0
         for batch in batches:
             for part in kernel.slices(batch, "text", SLICE):
                 lines = lines_of(part.column("text"), s.least, few)
                 cells, n = np.unique(cell(lines.token[lines.size[lines.owner] >= JOINED]), return_counts=True)
-                counts[cells] = np.minimum(counts[cells].astype(np.int64) + n, 255)
+                counts[cells] += n.astype(np.uint32)
+                n_entries += most_entries(lines.size, s)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(lines.row), pa.int32()), part.column("doc_id").take(pa.array(lines.row)),
                                                   pa.array(lines.number, pa.int32()), pa.array(set_keys(lines), pa.binary()),
                                                   pa.array([w if w and len(w) // 8 not in alone else None for w in map(lines.words.get, range(len(lines.row)))], pa.binary())], schema=schema)
         for k in range(PARTS):
             own = counts[k * CELLS // PARTS:(k + 1) * CELLS // PARTS]
             seen = np.flatnonzero(own)
-            raw = seen.astype("<u2").tobytes() + own[seen].astype("<u1").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(seen)], pa.int32()), pa.array([raw], pa.binary()), pa.nulls(1, pa.binary())], schema=schema)
+            raw = seen.astype("<u2").tobytes() + _rarity_code(own[seen]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0 if k else n_entries], pa.int64()), pa.array([len(seen)], pa.int32()), pa.array([raw], pa.binary()), pa.nulls(1, pa.binary())], schema=schema)
 
     return _columns(docs).mapInArrow(run, "part int, doc_id long, line int, set_key binary, words binary")
 
 
 def rarity(scan: DataFrame) -> bytes:
-    """The rarity table: occurrences of the tokens of each cell, up to 255. Parts are summed as they stream by."""
+    """The rarity table: occurrences of the tokens of each cell, by steps of an eighth of a binary logarithm. Parts are summed as they stream by."""
     schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, None
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(total, 255).astype("<u1").tobytes()])], schema=schema)
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_rarity_code(total).tobytes()])], schema=schema)
         for batch in batches:
             for part, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if part != at:
                     if at is not None:
                         yield done()
-                    at, total = part, np.zeros(CELLS // PARTS, np.int64)
-                total[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, "<u1", n, 2 * n)
+                    at, total = part, np.zeros(CELLS // PARTS)
+                total[np.frombuffer(raw, "<u2", n)] += 2 ** ((np.frombuffer(raw, "<u1", n, 2 * n) - 1.0) / 8)
         if at is not None:
             yield done()
 
@@ -177,90 +203,197 @@ def rarity(scan: DataFrame) -> bytes:
     return b"".join(found.get(k, bytes(CELLS // PARTS)) for k in range(PARTS))
 
 
-def indexed(docs: DataFrame, table: bytes, heavy: dict[bytes, tuple[int, int]], s: Settings) -> DataFrame:
-    """Second pass: an index row for each rare prefix token and each chosen pair of common ones that more than one line may have.
+def _who(doc_id: str = "doc_id", line: str = "line") -> Column:
+    """A number for a line, for bitmaps."""
+    return F.col(doc_id).bitwiseXOR(F.col(line).cast("long") * SPREAD)
+
+
+def packed_index(docs: DataFrame, table: bytes, heavy: dict[bytes, tuple[int, int]], s: Settings, heads: bytes | None = None, n_parts: int = 1) -> DataFrame:
+    """Second pass: an index entry for each rare prefix token and each chosen pair of common ones that more than one line may have.
 
     If the first token that two similar lines share is rare, both index it. Else all tokens they share are common,
     and at least c + 1 of them stand in both prefixes if these are c tokens longer. Tokens fall into c classes by
     hash, so two of them share a class: pairs within a class are enough.
 
-    key, doc_id, line, same (a hash of the set), size, place (of the token in the line's order, else -1) and the parity bitmap of the set.
+    part, entries and their number: those of many lines make one row of each part. An entry has a key, the place of its first token in the
+    line's order, doc_id, line, size and the parity bitmap of the set. `heads` is a bitmap of the first lines of all sets: most others are
+    passed over, as they match those anyway; the rest are treated like any line.
     """
-    least, few = max(s.least, JOINED), most_few(s.percent)
-    n_classes = min(8, int(_needed(np.array(least), s.percent)) - 1)
-    counts_ = docs.sparkSession.sparkContext.broadcast((table, heavy))
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("same", pa.int64()), ("size", pa.int32()), ("place", pa.int32()),
-                        ("even", pa.int64()), ("odd", pa.int64())])
+    least, few, n_classes = max(s.least, JOINED), most_few(s.percent), _classes(s)
+    shared = docs.sparkSession.sparkContext.broadcast((table, heavy, heads))
+    common = _rarity_code(np.array([s.common]))[0]
+
+    def entries_of(lines: Lines, docs_: np.ndarray, shown: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """Key, place and line of each entry."""
+        rank = (counts[cell(lines.token)].astype(np.uint64) << np.uint64(40)) | lines.token
+        if len(lines.row) <= 1 << 16:
+            # The line's number fits above the token's rank: one sort of plain numbers.
+            rank = np.sort((lines.owner.astype(np.uint64) << np.uint64(48)) | rank) & np.uint64((1 << 48) - 1)
+        else:
+            rank = rank[np.lexsort((rank, lines.owner))]
+        token, count = rank & np.uint64((1 << 40) - 1), rank >> np.uint64(40)
+        place = np.arange(len(rank)) - np.repeat(lines.first, lines.size)
+        prefix = lines.size - _needed(lines.size, s.percent) + 1
+        open_ = (count > 1) & shown[lines.owner]
+        frequent = (count >= common) & (n_classes > 0)
+        alone = np.flatnonzero(open_ & ~frequent & (place < prefix[lines.owner]))
+        dense = np.flatnonzero(open_ & frequent & (place < (prefix + n_classes)[lines.owner]))
+        class_ = lines.owner[dense] * max(1, n_classes) + (kernel.mixed(token[dense]) % np.uint64(max(1, n_classes))).astype(np.int64)
+        order = np.argsort(class_, kind="stable")
+        dense, class_ = dense[order], class_[order]
+        n = np.arange(len(dense)) - np.searchsorted(class_, class_)
+        own = np.repeat(np.arange(len(dense)), n)
+        at, other = dense[own], dense[own - 1 - (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))]
+        paired = kernel.mixed(kernel.mixed(np.minimum(token[other], token[at])) + np.maximum(token[other], token[at]))
+        # Of a pair, the token that comes first tells the place: lines that share the pair share it.
+        return [np.concatenate([kernel.mixed(token[alone]), paired]), np.concatenate([place[alone], place[other]]), np.concatenate([lines.owner[alone], lines.owner[at]])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, heavy = counts_.value
+        table, heavy, heads = shared.value
         counts = np.frombuffer(table, np.uint8)
+        held, n_held, n_lines = [], 0, 0
         for batch in batches:
             for part in kernel.slices(batch, "text", SLICE):
                 lines = lines_of(part.column("text"), least, few)
                 if not len(lines.row):
                     continue
                 docs_ = part.column("doc_id").to_numpy(zero_copy_only=False)[lines.row]
-                keys = set_keys(lines)
-                shown = np.ones(len(keys), bool)
+                shown = np.ones(len(docs_), bool) if heads is None else settle.among(docs_ ^ (lines.number.astype(np.int64) * SPREAD), heads)
                 if heavy:
-                    shown = np.array([k not in heavy or heavy[k] == (d, n) for k, d, n in zip(keys, docs_.tolist(), lines.number.tolist())])
+                    shown &= np.array([k not in heavy or heavy[k] == (d, n) for k, d, n in zip(set_keys(lines), docs_.tolist(), lines.number.tolist())])
                 place_bit = lines.token & np.uint64(127)
                 bit = np.uint64(1) << (place_bit & np.uint64(63))
                 half = place_bit >= 64
                 even = np.bitwise_xor.reduceat(np.where(half, np.uint64(0), bit), lines.first)
                 odd = np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), lines.first)
-                rank = (counts[cell(lines.token)].astype(np.uint64) << np.uint64(40)) | lines.token
-                if len(lines.row) <= 1 << 16:
-                    # The line's number fits above the token's rank: one sort of plain numbers.
-                    rank = np.sort((lines.owner.astype(np.uint64) << np.uint64(48)) | rank) & np.uint64((1 << 48) - 1)
-                else:
-                    rank = rank[np.lexsort((rank, lines.owner))]
-                token, count = rank & np.uint64((1 << 40) - 1), rank >> np.uint64(40)
-                place = np.arange(len(rank)) - np.repeat(lines.first, lines.size)
-                prefix = lines.size - _needed(lines.size, s.percent) + 1
-                open_ = (count > 1) & shown[lines.owner]
-                frequent = (count >= s.common) & (n_classes > 0)
-                alone = np.flatnonzero(open_ & ~frequent & (place < prefix[lines.owner]))
-                dense = np.flatnonzero(open_ & frequent & (place < (prefix + n_classes)[lines.owner]))
-                class_ = lines.owner[dense] * max(1, n_classes) + (kernel.mixed(token[dense]) % np.uint64(max(1, n_classes))).astype(np.int64)
-                order = np.argsort(class_, kind="stable")
-                dense, class_ = dense[order], class_[order]
-                n = np.arange(len(dense)) - np.searchsorted(class_, class_)
-                own = np.repeat(np.arange(len(dense)), n)
-                at, other = dense[own], dense[own - 1 - (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))]
-                line = lines.owner[at]
-                paired = kernel.mixed(kernel.mixed(np.minimum(token[other], token[at])) + np.maximum(token[other], token[at]))
-                keys_, owner = np.concatenate([kernel.mixed(token[alone]), paired]), np.concatenate([lines.owner[alone], line])
-                places = np.concatenate([place[alone], np.full(len(line), -1)])
-                same = np.frombuffer(b"".join(keys), np.int64)[::2]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(keys_.view(np.int64)), pa.array(docs_[owner]), pa.array(lines.number[owner], pa.int32()), pa.array(same[owner]),
-                    pa.array(lines.size[owner], pa.int32()), pa.array(places, pa.int32()), pa.array(even[owner].view(np.int64)), pa.array(odd[owner].view(np.int64))], schema=schema)
-
-    return _columns(docs).mapInArrow(run, "key long, doc_id long, line int, same long, size int, place int, even long, odd long")
-
-
-def _may_match(size, place, even, odd, size2, place2, even2, odd2, percent: int):
-    """Lossless bounds for the similarity of one set with many: length, position, parity."""
-    least = -(-percent * (size + size2) // (100 + percent))
-    apart = np.bitwise_count(even ^ even2).astype(np.int64) + np.bitwise_count(odd ^ odd2)
-    good = (100 * np.minimum(size, size2) >= percent * np.maximum(size, size2)) & (size + size2 - 2 * least >= apart)
-    known = (place >= 0) & (place2 >= 0)
-    return good & (~known | (np.minimum(place, place2) + 1 + np.minimum(size - place - 1, size2 - place2 - 1) >= least))
+                even, odd = np.where(lines.size <= MIDDLE, even ^ odd, even), np.where(lines.size <= MIDDLE, np.uint64(0), odd)
+                even = np.where(lines.size <= NARROW, _folded(even, odd), even)
+                key, place, owner = entries_of(lines, docs_, shown, counts)
+                held.append((key, place, owner + n_lines, docs_, lines.number, lines.size, even, odd))
+                n_held, n_lines = n_held + len(key), n_lines + len(docs_)
+                if n_held >= HELD:
+                    yield _dealt([np.concatenate(x) for x in zip(*held)], n_parts)
+                    held, n_held, n_lines = [], 0, 0
+        if n_held:
+            yield _dealt([np.concatenate(x) for x in zip(*held)], n_parts)
+
+    return _columns(docs).mapInArrow(run, "part long, entries binary, n long")
+
+
+def _dealt(held: list[np.ndarray], n_parts: int) -> pa.RecordBatch:
+    """A row of each part for entries (key, place, owner) of lines (doc_id, line, size, even, odd)."""
+    key, place, owner, *lines = held
+    part = (key % np.uint64(n_parts)).astype(np.int64)
+    order = np.argsort(part * len(lines[0]) + owner, kind="stable")
+    key, place, owner, part = key[order] >> np.uint64(32), place[order], owner[order], part[order]
+    leads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    ends = [*leads[1:].tolist(), len(part)]
+    rows = []
+    for a, b in zip(leads.tolist(), ends):
+        own = owner[a:b]
+        lead = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        rows.append(_packed(key[a:b], place[a:b], np.diff([*lead.tolist(), len(own)]), *[x[own[lead]] for x in lines]))
+    return pa.RecordBatch.from_arrays([pa.array(part[leads], pa.int64()), pa.array(rows, pa.binary()), pa.array(np.diff([*leads.tolist(), len(part)]), pa.int64())],
+                                      names=["part", "entries", "n"])
+
+
+_KINDS = ("<u1", "<u2", "<u4", "<u8")
+
+
+def _packed(key: np.ndarray, place: np.ndarray, many: np.ndarray, doc: np.ndarray, line: np.ndarray, size: np.ndarray, even: np.ndarray, odd: np.ndarray) -> bytes:
+    """Entries that go by line, of which each has `many`. Keys are told apart by 32 bits inside a part; a clash only adds a candidate.
+
+    Numbers take as many bytes as the largest needs, doc_ids as steps from one line to the next."""
+    steps = np.diff(doc.astype(np.int64).view(np.uint64), prepend=np.uint64(0))
+    columns, kinds = [], []
+    for x in (place, many, steps, line, size):
+        kind = int(np.searchsorted([1 << 8, 1 << 16, 1 << 32], int(x.max()), side="right"))
+        kinds.append(kind)
+        columns.append(x.astype(_KINDS[kind]).tobytes())
+    small = b"".join(columns)
+    squeezed = pa.compress(small, codec="zstd", asbytes=True)
+    head = np.array([len(key), len(doc), len(small), len(squeezed), *kinds], "<u4").tobytes()
+    return b"".join([head, squeezed, key.astype("<u4").tobytes(), even[size <= NARROW].astype("<u4").tobytes(), even[size > NARROW].astype("<u8").tobytes(),
+                     odd[size > MIDDLE].astype("<u8").tobytes()])
+
+
+def _entries(raw: pa.Buffer) -> list[np.ndarray]:
+    """Key, doc_id, line, size, place, even and odd of each entry."""
+    n, n_lines, n_small, n_squeezed, *kinds = np.frombuffer(raw, "<u4", 9).tolist()
+    small = pa.decompress(raw.slice(36, n_squeezed), n_small, codec="zstd")
+    at, columns = 0, []
+    for kind, many in zip(kinds, (n, n_lines, n_lines, n_lines, n_lines)):
+        columns.append(np.frombuffer(small, _KINDS[kind], many, at).astype(np.int64))
+        at += columns[-1].size * np.dtype(_KINDS[kind]).itemsize
+    place, many, steps, line, size = columns
+    at = 36 + n_squeezed
+    key = np.frombuffer(raw, "<u4", n, at)
+    even, odd = np.zeros(n_lines, np.uint64), np.zeros(n_lines, np.uint64)
+    at += 4 * n
+    for into, some, kind in ((even, size <= NARROW, "<u4"), (even, size > NARROW, "<u8"), (odd, size > MIDDLE, "<u8")):
+        into[some] = np.frombuffer(raw, kind, int(some.sum()), at)
+        at += int(some.sum()) * np.dtype(kind).itemsize
+    doc = np.cumsum(steps.view(np.uint64), dtype=np.uint64).view(np.int64)
+    own = np.repeat(np.arange(n_lines), many)
+    return [key, doc[own], line[own], size[own], place, even[own], odd[own]]
+
+
+def indexed(docs: DataFrame, table: bytes, heavy: dict[bytes, tuple[int, int]], s: Settings) -> DataFrame:
+    """The entries of `packed_index` as rows: key, doc_id, line, size, even, odd."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("size", pa.int32()), ("even", pa.int64()), ("odd", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                key, doc, line, size, _, even, odd = _entries(raw.as_buffer())
+                columns = ((part << 32) + key.astype(np.int64), doc, line, size, even.view(np.int64), odd.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
+
+    return packed_index(docs, table, heavy, s).mapInArrow(run, "key long, doc_id long, line int, size int, even long, odd long")
+
+
+def _folded(even: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Parity bitmaps folded to 32 bits; narrower ones fold to what they are."""
+    both = even ^ odd
+    return (both ^ (both >> np.uint64(32))) & np.uint64(0xFFFFFFFF)
+
+
+def _most_apart(size, size2, percent: int):
+    """In how many members two sets of these sizes that match differ at most; less than none where their sizes rule it out."""
+    both = size + size2
+    return np.where(100 * np.minimum(size, size2) >= percent * np.maximum(size, size2), both - 2 * -(-percent * both // (100 + percent)), -1)
+
+
+def _apart(size, even, odd, size2, even2, odd2):
+    """In how many cells the parity bitmaps of sets differ, at the width of the narrower one."""
+    even, odd = even ^ even2, odd ^ odd2
+    wide = np.bitwise_count(even).astype(np.int64) + np.bitwise_count(odd)
+    least = np.minimum(size, size2)
+    return np.where(least > MIDDLE, wide, np.where(least > NARROW, np.bitwise_count(even ^ odd), np.bitwise_count(_folded(even, odd))))
 
 
 def candidates(index: DataFrame, s: Settings) -> DataFrame:
     """For each line, key by key, the earliest other one that may match it: doc_id, line, doc_id2, line2, and whether there are more.
 
-    The lines of a key stream by in order; equal sets count once.
+    Where there are more for any line of a key, all its lines follow, with key, doc_id, line, size, even and odd: who looks for a line's other
+    matches needs no more of the index. A part of the index is sorted in one task, and the lines of a key are compared in order.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("doc_id2", pa.int64()), ("line2", pa.int32()), ("more", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("doc_id2", pa.int64()), ("line2", pa.int32()), ("more", pa.bool_()),
+                        ("key", pa.int64()), ("size", pa.int32()), ("even", pa.int64()), ("odd", pa.int64())])
 
     def near(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _may_match(*(x[a] for x in rows), *(x[b] for x in rows), s.percent)
-
-    def in_short(rows: list[np.ndarray], at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lossless bounds: length, place and the narrowest parity for all, the wider parities for what is left."""
+        size, place, even, odd, folded = rows
+        most = _most_apart(size[a], size[b], s.percent)
+        good = most >= np.bitwise_count(folded[a] ^ folded[b])
+        some = np.nonzero(good)
+        a, b = (x[some] for x in np.broadcast_arrays(a, b))
+        size, size2, place, place2 = size[a], size[b], place[a], place[b]
+        met = np.minimum(place, place2) + 1 + np.minimum(size - place - 1, size2 - place2 - 1)
+        good[some] = (2 * met >= size + size2 - most[some]) & (most[some] >= _apart(size, even[a], odd[a], size2, even[b], odd[b]))
+        return good
+
+    def in_short(rows: list[np.ndarray], at: np.ndarray, place: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Earliest match and number of matches for rows of many short keys at once: each is compared with the one so many places before it."""
         first, total = np.full(len(at), -1), np.zeros(len(at), np.int64)
         live = np.arange(len(at))
@@ -268,66 +401,70 @@ def candidates(index: DataFrame, s: Settings) -> DataFrame:
             live = live[place[live] >= back]
             if not len(live):
                 break
-            hit = live[near(rows, at[live], at[live] - back)]
+            hit = live[near(rows, at[live], at[live] - back) & (at[live] - back < base[at[live]])]
             first[hit] = at[hit] - back
             total[hit] += 1
         return first, total
 
-    def in_long(rows: list[np.ndarray], start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    def in_long(rows: list[np.ndarray], start: int, end: int, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same for one long key, block by block."""
         first, total = np.full(end - start, -1), np.zeros(end - start, np.int64)
-        for a in range(start, end, 512):
-            own = np.arange(a, min(end, a + 512))
-            for c in range(start, int(own[-1]) + 1, 4096):
-                others = np.arange(c, min(int(own[-1]) + 1, c + 4096))
-                good = near(rows, own[:, None], others[None, :]) & (others[None, :] < own[:, None])
+        for a in range(start, end, 256):
+            own = np.arange(a, min(end, a + 256))
+            for c in range(start, int(own[-1]) + 1, 1024):
+                others = np.arange(c, min(int(own[-1]) + 1, c + 1024))
+                good = near(rows, own[:, None], others[None, :]) & (others[None, :] < base[own][:, None])
                 lead = c + good.argmax(axis=1)
                 seen = first[own - start]
                 first[own - start] = np.where((seen < 0) & good.any(axis=1), lead, seen)
                 total[own - start] += good.sum(axis=1)
         return first, total
 
-    def settled(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, doc, line, same, *rows = [np.concatenate(x) for x in zip(*held)]
-        order = np.lexsort((same, key))
-        again = (key[order][1:] == key[order][:-1]) & (same[order][1:] == same[order][:-1])
-        lead = np.sort(order[np.concatenate([[True], ~again])])
+    def settled(part: int, held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, doc, line, size, place, even, odd = [np.concatenate(x) for x in zip(*held)]
+        order = np.lexsort((line, doc, key))
+        key = key[order]
+        again = key[1:] == key[:-1]
+        some = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+        order, key = order[some], key[some]
+        if not len(key):
+            return
+        doc, line, *rows = (x[order] for x in (doc, line, size, place, even, odd))
+        rows.append(_folded(*rows[2:]))
         # Repeated rows of a doc_id are one document: a line is not its own match.
-        twice = (key[lead][1:] == key[lead][:-1]) & (doc[lead][1:] == doc[lead][:-1]) & (line[lead][1:] == line[lead][:-1])
-        lead = lead[np.concatenate([[True], ~twice])]
-        key, doc, line, rows = key[lead], doc[lead], line[lead], [x[lead] for x in rows]
-        rows[2:] = [x.view(np.uint64) for x in rows[2:]]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])
+        base = np.flatnonzero(new)[np.cumsum(new) - 1]
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         n = np.diff(np.append(cuts, len(key)))
         place = np.arange(len(key)) - np.repeat(cuts, n)
         first, total = np.full(len(key), -1), np.zeros(len(key), np.int64)
         at = np.flatnonzero((place > 0) & (np.repeat(n, n) <= SHORT))
-        first[at], total[at] = in_short(rows, at, place[at])
+        first[at], total[at] = in_short(rows, at, place[at], base)
         for a, k in zip(cuts[n > SHORT].tolist(), n[n > SHORT].tolist()):
-            first[a:a + k], total[a:a + k] = in_long(rows, a, a + k)
+            first[a:a + k], total[a:a + k] = in_long(rows, a, a + k, base)
         hit = np.flatnonzero(first >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((doc[hit], line[hit], doc[first[hit]], line[first[hit]], total[hit] > 1), schema)], schema=schema)
+        told = [doc[hit], line[hit], doc[first[hit]], line[first[hit]], total[hit] > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(told, schema)] + [pa.nulls(len(hit), f.type) for f in list(schema)[5:]], schema=schema)
+        every = np.flatnonzero(np.repeat(np.logical_or.reduceat(total > 1, cuts), n))
+        shown = [(part << 32) + key[every].astype(np.int64), rows[0][every], rows[2][every].view(np.int64), rows[3][every].view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[every]), pa.array(line[every], pa.int32())] + [pa.nulls(len(every), f.type) for f in list(schema)[2:5]]
+                                         + [pa.array(x, f.type) for x, f in zip(shown, list(schema)[5:])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
+        now, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            changes = np.flatnonzero(columns[0][1:] != columns[0][:-1])
-            begins = int(changes[-1]) + 1 if len(changes) else 0
-            if n_held >= WAIT and (begins or held[-1][0][-1] != columns[0][0]):
-                yield from settled(held + [[c[:begins] for c in columns]])
-                held, n_held = [], 0
-                columns = [c[begins:] for c in columns]
-            held.append(columns)
-            n_held += len(columns[0])
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if part != now:
+                    if held:
+                        yield from settled(now, held)
+                    now, held = part, []
+                held.append(_entries(raw.as_buffer()))
         if held:
-            yield from settled(held)
+            yield from settled(now, held)
 
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = index.select("key", "doc_id", "line", "same", "size", "place", "even", "odd").repartition(n, "key").sortWithinPartitions("key", "doc_id", "line")
-    return ordered.mapInArrow(run, "doc_id long, line int, doc_id2 long, line2 int, more boolean")
+    ordered = index.select("part", "entries").repartition(n, "part").sortWithinPartitions("part")
+    return ordered.mapInArrow(run, "doc_id long, line int, doc_id2 long, line2 int, more boolean, key long, size int, even long, odd long")
 
 
 def matched_few(firsts: DataFrame, s: Settings) -> DataFrame:
@@ -358,45 +495,52 @@ def matched_few(firsts: DataFrame, s: Settings) -> DataFrame:
     return keyed.join(earliest, F.col("key") == F.col("_key")).filter(F.exists("others", fits)).select("doc_id", "line").distinct()
 
 
-def members_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """doc_id, line and members (sorted 64-bit word hashes) of the lines `ends` (doc_id, line); written."""
-    wanted = materialized(ends.distinct().groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "wanted-lines")
-    texts = _columns(docs).join(wanted.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc")).dropDuplicates(["doc_id"]).select("doc_id", "text", "lines")
+def lines_at(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """doc_id, line and content of the lines `ends` (doc_id, line), and of some others; written."""
+    shared = docs.sparkSession.sparkContext.broadcast(settle.id_bits(ends.select(_who().alias("who"))))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernel.slices(batch, "text", SLICE):
-                names, rows = part.column("doc_id").to_pylist(), []
-                chosen = part.column("lines").to_pylist()
-                own = [x.split(b"\n") for x in part.column("text").cast(pa.binary()).to_pylist()]
-                for doc, lines, numbers in zip(names, own, chosen):
-                    numbers = [k for k in numbers if k < len(lines)]
-                    data, bounds = kernel.flat(pa.array([lines[k] for k in numbers], pa.binary()))
-                    starts, ends = kernel.word_spans(data, bounds)
-                    hashes, firsts = kernel.word_hashes(data, starts, ends), kernel.rows_of(starts, bounds)
-                    rows += [(doc, n, kernel.distinct(hashes[a:b]).tobytes()) for n, a, b in zip(numbers, firsts[:-1].tolist(), firsts[1:].tolist())]
-                columns = list(zip(*rows)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "line", "members"])
-
-    return materialized(texts.mapInArrow(make, "doc_id long, line int, members binary"), "line-sets")
+                data, bounds = kernel.flat(part.column("text"))
+                breaks = np.flatnonzero(data == 10)
+                # Each row has one line more than breaks; the last one ends where the row does.
+                before = np.searchsorted(breaks, bounds)
+                n = np.diff(before) + 1
+                row = np.repeat(np.arange(len(n)), n)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                edges = np.concatenate([[-1], breaks])
+                start = np.where(number == 0, bounds[row], edges[before[row] + number] + 1)
+                end = np.where(number == n[row] - 1, bounds[row + 1], np.append(breaks, 0)[np.minimum(before[row] + number, len(breaks))])
+                doc = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
+                some = np.flatnonzero(settle.among(doc ^ (number * SPREAD), shared.value))
+                raw = data.tobytes()
+                contents = [raw[a:b] for a, b in zip(start[some].tolist(), end[some].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[some], pa.int64()), pa.array(number[some], pa.int32()), pa.array(contents, pa.binary())], names=["doc_id", "line", "content"])
+
+    texts = _columns(docs)
+    few = materialized(ends.select(F.col("doc_id").alias("_doc")).distinct(), "line-docs")
+    picked = texts.join(few, F.col("doc_id") == F.col("_doc"), "left_semi") if few.count() <= PICKED else texts
+    found = picked.mapInArrow(run, "doc_id long, line int, content binary")
+    repeated = not texts.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return materialized(found.dropDuplicates(["doc_id", "line"]) if repeated else found, "line-contents")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     """Pairs (doc_id, line, doc_id2, line2) whose full sets reach the threshold; `pairs` is a written table."""
-    sets = members_of(docs, pairs.select("doc_id", "line").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("line2").alias("line"))))
+    lines = lines_at(docs, pairs.select("doc_id", "line").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("line2").alias("line"))))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(4), batch.column(5)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for x, y in zip(settle.sets_of(batch.column(4), 1), settle.sets_of(batch.column(5), 1)):
                 both = kernel.common(x, y)
                 good.append(100 * both >= s.percent * (len(x) + len(y) - both))
             yield batch.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
 
-    named = lambda c: sets.select(F.col("doc_id").alias("_d" + c), F.col("line").alias("_l" + c), F.col("members").alias("m" + c))
+    named = lambda c: lines.select(F.col("doc_id").alias("_d" + c), F.col("line").alias("_l" + c), F.col("content").alias("c" + c))
     joined = pairs.join(named("1"), (F.col("doc_id") == F.col("_d1")) & (F.col("line") == F.col("_l1"))).join(named("2"), (F.col("doc_id2") == F.col("_d2")) & (F.col("line2") == F.col("_l2")))
-    return joined.select("doc_id", "line", "doc_id2", "line2", "m1", "m2").mapInArrow(compare, "doc_id long, line int, doc_id2 long, line2 int")
+    return joined.select("doc_id", "line", "doc_id2", "line2", "c1", "c2").mapInArrow(compare, "doc_id long, line int, doc_id2 long, line2 int")
 
 
 def matched_in_place(docs: DataFrame, index: DataFrame, left: DataFrame, s: Settings) -> DataFrame:
@@ -411,28 +555,30 @@ def matched_in_place(docs: DataFrame, index: DataFrame, left: DataFrame, s: Sett
     asked = probes.select(*[F.col(c).alias("p_" + c) for c in ("key", "doc_id", "line", "size", "even", "odd")])
     least = F.ceil(s.percent * (F.col("size") + F.col("p_size")) / (100 + s.percent))
     earlier = (F.col("doc_id") < F.col("p_doc_id")) | ((F.col("doc_id") == F.col("p_doc_id")) & (F.col("line") < F.col("p_line")))
-    near = (100 * F.least("size", "p_size") >= s.percent * F.greatest("size", "p_size")) & (
-        F.col("size") + F.col("p_size") - 2 * least >= F.bit_count(F.col("even").bitwiseXOR(F.col("p_even"))) + F.bit_count(F.col("odd").bitwiseXOR(F.col("p_odd"))))
+    even, odd = F.col("even").bitwiseXOR(F.col("p_even")), F.col("odd").bitwiseXOR(F.col("p_odd"))
+    both, least_size = even.bitwiseXOR(odd), F.least("size", "p_size")
+    narrow = both.bitwiseXOR(F.shiftrightunsigned(both, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+    apart = F.when(least_size > MIDDLE, F.bit_count(even) + F.bit_count(odd)).when(least_size > NARROW, F.bit_count(both)).otherwise(F.bit_count(narrow))
+    near = (100 * F.least("size", "p_size") >= s.percent * F.greatest("size", "p_size")) & (F.col("size") + F.col("p_size") - 2 * least >= apart)
     others = materialized(index.join(asked, (F.col("key") == F.col("p_key")) & earlier & near, "left_semi"), "line-others")
     parts = materialized(others.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "line-parts")
     named = ["key", "part", "doc_id", "line", "size", "even", "odd", "mine"]
     dealt = lambda rows, part, mine: rows.join(parts, F.col("key") == F.col("_key")).withColumn("part", part).withColumn("mine", F.lit(mine)).select(*named)
     rows = dealt(probes, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), True).unionByName(
         dealt(others, F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")).cast("int"), False))
-    sets = members_of(docs, left.unionByName(others.select("doc_id", "line")))
-    sets = sets.select(F.col("doc_id").alias("_doc"), F.col("line").alias("_line"), "members")
-    rows = rows.join(sets, (F.col("doc_id") == F.col("_doc")) & (F.col("line") == F.col("_line"))).select(*named, "members")
+    lines = lines_at(docs, left.unionByName(others.select("doc_id", "line")))
+    lines = lines.select(F.col("doc_id").alias("_doc"), F.col("line").alias("_line"), "content")
+    rows = rows.join(lines, (F.col("doc_id") == F.col("_doc")) & (F.col("line") == F.col("_line"))).select(*named, "content")
     schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32())])
 
     def met(own: list[np.ndarray], open_: np.ndarray, batch: list[np.ndarray]) -> None:
-        doc, line, *rest, members = batch
+        doc, line, size, even, odd, members = batch
         for k in np.flatnonzero(open_):
-            doc_, line_, *rest_, mine = (x[k] for x in own)
-            mine = np.frombuffer(mine, np.uint64)
+            doc_, line_, size_, even_, odd_, mine = (x[k] for x in own)
             before = (doc < doc_) | ((doc == doc_) & (line < line_))
-            some = np.flatnonzero(before & _may_match(rest_[0], -1, *rest_[1:], rest[0], np.int64(-1), *rest[1:], s.percent))
+            some = np.flatnonzero(before & (_most_apart(size_, size, s.percent) >= _apart(size_, even_, odd_, size, even, odd)))
             for at in range(0, len(some), 64):
-                sets = [np.frombuffer(members[i], np.uint64) for i in some[at:at + 64]]
+                sets = [members[i] for i in some[at:at + 64]]
                 n = np.array([len(x) for x in sets])
                 all_ = np.concatenate(sets)
                 spot = np.searchsorted(mine, all_)
@@ -446,7 +592,9 @@ def matched_in_place(docs: DataFrame, index: DataFrame, left: DataFrame, s: Sett
         now, own, open_ = None, None, None
         done = lambda: pa.RecordBatch.from_arrays([pa.array(x[~open_], f.type) for x, f in zip(own, schema)], schema=schema)
         for batch in batches:
-            key, part, doc, line, size, even, odd, mine, members = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key, part, doc, line, size, even, odd, mine = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:8])
+            members = np.empty(len(key), object)
+            members[:] = settle.sets_of(batch.column(8), 1)
             columns = [doc, line, size.astype(np.int64), even.view(np.uint64), odd.view(np.uint64), members]
             cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (mine[1:] != mine[:-1])])) if len(key) else []
             for a, b in zip(cuts, [*cuts[1:], len(key)]):
@@ -485,8 +633,10 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     firsts = materialized(lines.groupBy("set_key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.min("words").alias("words")), "line-classes")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     heavy = {bytes(x["set_key"]): (x["first"]["doc_id"], x["first"]["line"]) for x in firsts.filter((F.col("n") > 1) & (F.col("n") * s.heavy > total)).collect()}
-    index = materialized(indexed(docs, rarity(scan), heavy, s), "line-index")
-    found = materialized(candidates(index, s), "line-candidates")
+    heads = settle.id_bits(firsts.select(_who("first.doc_id", "first.line").alias("who")))
+    n_parts = -(-(scan.filter("part = 0").agg(F.sum("doc_id")).first()[0] or 0) // PART) or 1
+    told = materialized(candidates(packed_index(docs, rarity(scan), heavy, s, heads, n_parts), s), "line-candidates")
+    found, index = told.filter("key IS NULL").select("doc_id", "line", "doc_id2", "line2", "more"), told.filter("key IS NOT NULL").select("key", "doc_id", "line", "size", "even", "odd")
     tried = materialized(found.select("doc_id", "line", "doc_id2", "line2").distinct(), "line-pairs")
     matched = materialized(confirmed(docs, tried, s), "line-matches").select("doc_id", "line").distinct()
     left = found.groupBy("doc_id", "line").agg(F.max("more").alias("more"), F.countDistinct("doc_id2", "line2").alias("k")).filter("more OR k > 1").select("doc_id", "line")

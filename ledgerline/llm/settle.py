@@ -60,16 +60,17 @@ def id_bits(ids: DataFrame) -> bytes:
     return b"".join(held.get(k, bytes(PART_BITS >> 3)) for k in range(1, (1 << BITS) // PART_BITS + 1))
 
 
-def _bit_of(ids: pa.Array) -> np.ndarray:
-    ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    return ((ids ^ (ids >> np.uint64(BITS)) ^ (ids >> np.uint64(2 * BITS))) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+def among(ids: np.ndarray, bits: bytes) -> np.ndarray:
+    """Which of these 64-bit ids may be of the bitmap's."""
+    ids = ids.astype(np.int64).view(np.uint64)
+    at = ((ids ^ (ids >> np.uint64(BITS)) ^ (ids >> np.uint64(2 * BITS))) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    return ((np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def asked(batch: pa.RecordBatch, bits: bytes) -> pa.RecordBatch:
     """The rows of a batch (doc_id, ...) whose id may be one of the bitmap's; null ids never are."""
-    at = _bit_of(batch.column("doc_id"))
-    hit = (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-    return batch.filter(pa.array(hit.astype(bool) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)))
+    ids = batch.column("doc_id")
+    return batch.filter(pa.array(among(ids.fill_null(0).to_numpy(zero_copy_only=False), bits) & ids.is_valid().to_numpy(zero_copy_only=False)))
 
 
 def whole_sketches(docs: DataFrame, wanted: DataFrame, size: int, most_words: int = MOST_BITS // 64, unique: bool = False) -> DataFrame:

@@ -291,6 +291,55 @@ def test_second_round_deals_out_long_keys(spark, monkeypatch):
         assert {r.doc_id for r in line_dedup.matched_in_place(data, index, left, s).collect()} == want
 
 
+def test_packed_entries_come_back(spark):
+    """Places, sizes and doc_ids of any width, ascending or not; parity bitmaps at the width of their line's size."""
+    draw = np.random.default_rng(4)
+    for top in (9, 300, 70_000, 1 << 40):
+        size, many = draw.integers(6, min(top, 100), 50), draw.integers(1, 4, 50)
+        doc, line = draw.integers(-top, top, 50), draw.integers(0, min(top, 1 << 31), 50)
+        even, odd = draw.integers(0, 1 << 63, (2, 50)).astype(np.uint64)
+        odd[size <= line_dedup.MIDDLE] = 0
+        even[size <= line_dedup.NARROW] &= np.uint64(0xFFFFFFFF)
+        key, place = draw.integers(0, 1 << 32, many.sum()).astype(np.uint64), draw.integers(0, min(top, 1 << 31), many.sum())
+        got = line_dedup._entries(pa.py_buffer(line_dedup._packed(key, place, many, doc, line, size, even, odd)))
+        want = [key, *(np.repeat(x, many) for x in (doc, line, size)), place, np.repeat(even, many), np.repeat(odd, many)]
+        assert all((x.astype(np.uint64) == y.astype(np.uint64)).all() for x, y in zip(got, want))
+
+
+def test_rarity_goes_on_beyond_common_tokens(spark):
+    """Tokens of 300 and of 6000 occurrences are told apart, so that the pairs a line is indexed by are of its rarest ones; it takes few bytes an entry."""
+    rows = [(k, " ".join(["always", "often" if k % 2 else "mostly", *(f"{x}{k % 20}" for x in "abcdefgh")])) for k in range(6000)]
+    data, s = spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.Settings()
+    scan = line_dedup.materialized(line_dedup.scanned(data, s))
+    table = np.frombuffer(line_dedup.rarity(scan), np.uint8)
+    told = [int(table[line_dedup.cell(line_dedup.lines_of(pa.array([w]), 1).token)][0]) for w in ("a1", "often", "always", "never")]
+    assert told[3] == 0 < told[0] < told[1] < told[2]
+    index = line_dedup.packed_index(data, table.tobytes(), {}, s)
+    n, size = index.agg(F.sum("n"), F.sum(F.length("entries"))).first()
+    assert n > 6000 and size < 14 * n
+
+
+def test_second_round_finds_its_keys_beside_the_candidates(spark):
+    """The rows that candidates leaves for round two hold every earlier match of its lines, repeated rows of a doc_id among them."""
+    draw = random.Random(9)
+    common = [f"w{k}" for k in range(24)]
+    lines = [" ".join([w for w in common if draw.random() < 0.85] + [f"v{draw.randrange(40)}" for _ in range(draw.randrange(4))]) for _ in range(120)]
+    data = spark.createDataFrame([(k, text) for k, text in enumerate(lines)] + [(0, lines[0])], "doc_id long, text string")
+    s = line_dedup.Settings(common=2)
+    scan = line_dedup.materialized(line_dedup.scanned(data, s))
+    told = line_dedup.materialized(line_dedup.candidates(line_dedup.packed_index(data, line_dedup.rarity(scan), {}, s, None, 7), s))
+    found = told.filter("key IS NULL")
+    assert found.filter("doc_id = doc_id2 AND line = line2").count() == 0
+    left = found.filter("more").select("doc_id", "line").distinct()
+    asked = {r.doc_id for r in left.collect()}
+    sets = [set(x.split()) for x in lines]
+    want = {k for k in asked if any(4 * len(sets[k] & sets[j]) >= 3 * len(sets[k] | sets[j]) for j in range(k))}
+    firsts = {(r.doc_id, r.doc_id2) for r in found.collect()}
+    got = {r.doc_id for r in line_dedup.matched_in_place(data, told.filter("key IS NOT NULL").select("key", "doc_id", "line", "size", "even", "odd"), left, s).collect()}
+    tried = {a for a, b in firsts if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    assert got <= want <= got | tried
+
+
 def test_lines_of_any_length_equal_brute_force(spark):
     """Lines of one word and more take part, as copies and as near matches, across the bound between the two methods too."""
     draw = random.Random(11)
