@@ -257,7 +257,7 @@ def current_models(spark, d):
 def _flagged(spark, d):
     """The current rows are read from both ends of a link, so they are ranked once and written."""
     current = materialized(revisions.current_daily(v.promoted(spark, d)).select("id", "machine_id", "agent", "usage_date"), "current")
-    return revisions.with_mirror_flag(current, v.links(spark, d))
+    return revisions.with_mirror_flag(current, v.current_links(spark, d, current))
 
 
 @query("c03_mirror_flag", ("flagged_daily",), f"""

@@ -86,7 +86,7 @@ def corrected_header(spark, d):
 def canonical_daily(spark, d):
     from ledgerline.operators.revisions import with_mirror_flag
     current = materialized(current_daily(v.observations(spark, d).drop("model"), v.imports(spark, d)), "current")
-    flagged = with_mirror_flag(current, v.links(spark, d))
+    flagged = with_mirror_flag(current, v.current_links(spark, d, current))
     return rollups.canonical_daily(flagged).select("usage_date", "machine_id", "agent", "total_tokens", "reported_cost_usd", "pricing_complete")
 
 

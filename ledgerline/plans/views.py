@@ -91,6 +91,11 @@ def promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _revisions(table(spark, sf_dir, "lineitem"), done).withColumn("processed_at", F.col("created_at")).drop("model")
 
 
+def _line_id() -> Column:
+    return F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"),
+                    F.lpad(F.col("l_partkey").cast("string"), 10, "0"))
+
+
 def _revisions(lines: DataFrame, orders: DataFrame) -> DataFrame:
     owners = orders.select(
         F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("m"), F.col("o_custkey") % 4).alias("machine_id"),
@@ -104,8 +109,7 @@ def _revisions(lines: DataFrame, orders: DataFrame) -> DataFrame:
         "cache_creation_tokens": live(F.round(F.col("l_tax") * 100)),
     }
     rows = lines.join(owners, "l_orderkey").select(
-        F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"),
-                 F.lpad(F.col("l_partkey").cast("string"), 10, "0")).alias("id"),
+        _line_id().alias("id"),
         "machine_id", F.col("l_orderkey").alias("import_id"), F.col("l_returnflag").alias("agent"),
         F.concat(F.lit("model-"), F.col("l_linenumber") % 3).alias("model"),
         F.col("l_shipdate").cast("date").alias("usage_date"), "created_at",
@@ -397,7 +401,21 @@ def recovered_sets(rows: DataFrame) -> DataFrame:
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of line items on m1..m3 to the greatest id of m0 with the same agent and day, current or not."""
     rows = observations(spark, sf_dir)
-    target = rows.filter("machine_id = 'm0'").groupBy("agent", "usage_date").agg(F.max("id").alias("canonical_observation_id"))
+    return _links(rows, rows)
+
+
+def current_links(spark: SparkSession, sf_dir: str, current: DataFrame) -> DataFrame:
+    """The links of the rows in `current`, a written table: lines that aren't current are left out before they meet their orders.
+
+    A key has one current row, so these are few beside all lines.
+    """
+    own = current.select(F.col("id").alias("_id"))
+    lines = table(spark, sf_dir, "lineitem").join(own, _line_id() == F.col("_id"), "left_semi")
+    return _links(_revisions(lines, table(spark, sf_dir, "orders")), observations(spark, sf_dir))
+
+
+def _links(rows: DataFrame, every: DataFrame) -> DataFrame:
+    target = every.filter("machine_id = 'm0'").groupBy("agent", "usage_date").agg(F.max("id").alias("canonical_observation_id"))
     return rows.filter("machine_id <> 'm0' and cache_read_tokens % 2 = 0").select("id", "agent", "usage_date").join(
         target, ["agent", "usage_date"]).select(F.col("id").alias("observation_id"), "canonical_observation_id",
                                                 F.lit("m0").alias("canonical_machine_id"))
