@@ -22,6 +22,8 @@ from ledgerline.session import materialized
 
 #: Cells of the rarity table: one byte each when it is shared, at any input size.
 CELLS = 1 << 20
+#: Up to so many documents of a token are compared with each other, to pass over those that none of the others can match.
+COMPARED = 1 << 10
 #: Bits of rarity that each order drops, and what its ties go by: from fine to coarse.
 ORDERS = ((0, 0x9E3779B97F4A7C15), (3, 0xC2B2AE3D27D4EB4F), (5, 0x165667B19E3779F9))
 
@@ -159,6 +161,32 @@ def _entries(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _met(rows: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries, in order of their tokens, some other document with that token may match, by the sizes of the sets and the places of the token.
+
+    Of a token with more than `COMPARED` entries all are kept."""
+    token, id_, n, place = rows["token"], rows["id"], rows["n"].astype(np.int64), rows["place"].astype(np.int64)
+    met = np.zeros(len(rows), bool)
+    if not len(rows):
+        return met
+    cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    many = np.diff(np.append(cuts, len(rows)))
+    met[np.repeat(many > COMPARED, many)] = True
+    at = np.flatnonzero(~met)
+    spot = (np.arange(len(rows)) - np.repeat(cuts, many))[at]
+    for back in range(1, int(many[many <= COMPARED].max(initial=1))):
+        # Who has met one needs no further ones, but may still be the one that another meets.
+        at, spot = at[spot >= back], spot[spot >= back]
+        a = at[~(met[at] & met[at - back])]
+        b = a - back
+        both = n[a] + n[b]
+        fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        fits &= np.minimum(place[a], place[b]) + 1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1 >= -(-percent * both // (100 + percent))
+        fits &= id_[a] != id_[b]
+        met[a[fits]] = met[b[fits]] = True
+    return met
+
+
 LIVE = "key long, id long, n long, place long, lead long, lead_n long, lead_place long"
 _LIVE = pa.schema([(x.split()[0], pa.int64()) for x in LIVE.split(", ")])
 
@@ -166,6 +194,7 @@ _LIVE = pa.schema([(x.split()[0], pa.int64()) for x in LIVE.split(", ")])
 def live(index: DataFrame, s: Settings) -> DataFrame:
     """Entries whose token other documents have too, with the smallest of these (lead); `index` is a written table.
 
+    Those that none of the others can match by size and place are left out: two similar sets pass this bound at every token that they share.
     A part is sorted in one task. Parts of more than `most` entries, where some token is very
     frequent, become rows that Spark aggregates and joins by token, so that skew is split.
     """
@@ -179,6 +208,7 @@ def live(index: DataFrame, s: Settings) -> DataFrame:
         at[at == len(again)] = 0
         all_ = all_[again[at] == all_["token"]] if len(again) else all_[:0]
         all_ = all_[np.lexsort((all_["id"], all_["token"]))]
+        all_ = all_[_met(all_, s.percent)]
         new = np.concatenate([[True], all_["token"][1:] != all_["token"][:-1]]) if len(all_) else np.zeros(0, bool)
         lead = all_[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(all_) else all_
         columns = [(part << 32) + all_["token"].astype(np.int64), all_["id"], all_["n"], all_["place"], lead["id"], lead["n"], lead["place"]]
@@ -221,7 +251,7 @@ def _beside(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def screened(pairs: DataFrame, docs: DataFrame, s: Settings, unique: bool = False) -> DataFrame:
-    """Pairs (a, b) that the odd sketches of whole sets, folded to 1024 bits at most, can't exclude. `pairs` is a written table."""
+    """Pairs (a, b) that the odd sketches of whole sets, folded to about one cell a member, can't exclude. `pairs` is a written table."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +264,7 @@ def screened(pairs: DataFrame, docs: DataFrame, s: Settings, unique: bool = Fals
                 good.append(n + m + 2 * (-s.percent * (n + m) // (100 + s.percent)) >= apart)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    marks = materialized(settle.whole_sketches(docs, wanted, s.size, 16, unique), "folded")
+    marks = materialized(settle.whole_sketches(docs, wanted, s.size, 4, unique), "folded")
     return _beside(pairs, marks, ["size", "sketch"]).mapInArrow(near, "a long, b long")
 
 

@@ -73,8 +73,8 @@ def asked(batch: pa.RecordBatch, bits: bytes) -> pa.RecordBatch:
     return batch.filter(pa.array(among(ids.fill_null(0).to_numpy(zero_copy_only=False), bits) & ids.is_valid().to_numpy(zero_copy_only=False)))
 
 
-def whole_sketches(docs: DataFrame, wanted: DataFrame, size: int, most_words: int = MOST_BITS // 64, unique: bool = False) -> DataFrame:
-    """id, size and whole sketch, folded to `most_words` 64-bit words, of the documents whose doc_id is in `wanted` (id), and of some others; one row an id."""
+def whole_sketches(docs: DataFrame, wanted: DataFrame, size: int, share: int = 1, unique: bool = False) -> DataFrame:
+    """id, size and whole sketch, folded to one `share`-th of its width, of the documents whose doc_id is in `wanted` (id), and of some others; one row an id."""
     shared = docs.sparkSession.sparkContext.broadcast(id_bits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +82,9 @@ def whole_sketches(docs: DataFrame, wanted: DataFrame, size: int, most_words: in
             batch = asked(batch, shared.value)
             for part in kernel.slices(batch, "text", 4 << 20):
                 sets = sets_of(part.column("text"), size)
-                sketches = [folded_to(np.frombuffer(whole_sketch(x), np.uint64)[None, :], most_words).tobytes() for x in sets]
+                sketches = [whole_sketch(x) for x in sets]
+                if share > 1:
+                    sketches = [folded_to(np.frombuffer(x, np.uint64)[None, :], len(x) // 8 // share).tobytes() for x in sketches]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sketches, pa.binary())], names=["id", "size", "sketch"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -91,16 +93,26 @@ def whole_sketches(docs: DataFrame, wanted: DataFrame, size: int, most_words: in
 
 
 def mixed_groups(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Groups for `across`: the buckets (key, id, lead) that hold several components of `found` (node, component), put together by their smallest member.
+    """Groups for `across`: the buckets (key, id, lead) that hold several components of `found` (node, component), put together by their smallest member; written.
 
     Buckets of one lead mostly have the same members, so they meet once instead of once a bucket.
     """
     named = found.select(F.col("node").alias("_node"), "component")
     labelled = materialized(buckets.join(named, F.col("id") == F.col("_node"), "left").select("key", "id", "lead", F.coalesce("component", "id").alias("component")), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select(F.col("key").alias("_key"))
-    members = materialized(labelled.join(mixed, F.col("key") == F.col("_key")).select(F.col("lead").alias("key"), "id", "component").distinct(), "mixed-members")
-    sizes = members.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n"))
-    return members.join(sizes, F.col("key") == F.col("_key")).drop("_key")
+    return materialized(labelled.join(mixed, F.col("key") == F.col("_key"), "left_semi").select(F.col("lead").alias("key"), "id", "component").distinct(), "mixed-members")
+
+
+def open_groups(members: DataFrame, failed: DataFrame, found: DataFrame) -> DataFrame:
+    """Those groups of `members` (key, id, component) that hold both documents of one of the pairs `failed` (a, b), with the components of `found`; written.
+
+    Pairs that the likeliest one of a group stood for are only open where that one has failed.
+    """
+    side = lambda c: members.select(F.col("key").alias("_key" + c), F.col("id").alias("_" + c))
+    keys = failed.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), (F.col("b") == F.col("_b")) & (F.col("_keya") == F.col("_keyb"))).select("_keya").distinct()
+    named = found.select(F.col("node").alias("_node"), F.col("component").alias("_now"))
+    left = members.join(keys, F.col("key") == F.col("_keya"), "left_semi").join(named, F.col("id") == F.col("_node"), "left")
+    return materialized(left.select("key", "id", F.coalesce("_now", "id").alias("component")), "open-members")
 
 
 def across(members: DataFrame, marks: DataFrame, percent: int, block: int, every: bool) -> DataFrame:
@@ -109,11 +121,12 @@ def across(members: DataFrame, marks: DataFrame, percent: int, block: int, every
     Of the pairs between two components, only the likeliest one of a block pair, or every one if so asked. If that one
     turns out to link, the others say nothing new; if it doesn't and stands for others, these have to be asked for.
 
-    members: key, id, component, n (size of the group). A group of more than `block` members
+    members: key (of the group), id, component. A group of more than `block` members
     is cut into blocks; each pair of blocks is one task's group, so every pair of members
     meets and no task holds more than two blocks of one key.
     """
-    cut = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n"))
+    cut = members.join(sizes, F.col("key") == F.col("_key")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
     marked = dealt.join(marks.select(F.col("id").alias("_id"), "size", "sketch"), F.col("id") == F.col("_id")).drop("_id")
@@ -219,13 +232,11 @@ def settled(buckets: DataFrame, found: DataFrame, tried: DataFrame, links: DataF
 
     buckets: key, id, lead (the bucket's smallest id); links: a, b, of which `found` are the components. `marks_of` makes
     the whole sketches of some ids, `confirm` keeps the pairs of a written table that link. First the likeliest pair between any two
-    components of a group is confirmed; only if one of these fails that stands for others, all pairs that the bound leaves are.
+    components of a group is confirmed; where one of these fails that stands for others, all pairs that the bound leaves are.
     """
-    marks, every = None, False
+    members, every = mixed_groups(buckets, found), False
+    marks = materialized(marks_of(members.select("id").distinct()), "whole-sketches")
     while True:
-        members = mixed_groups(buckets, found)
-        if marks is None:
-            marks = materialized(marks_of(members.select("id").distinct()), "whole-sketches")
         proposed = materialized(across(members, marks, percent, block, every), "across")
         pairs = materialized(proposed.join(tried, ["a", "b"], "left_anti").select("a", "b"), "pairs")
         if not pairs.isEmpty():
@@ -236,6 +247,7 @@ def settled(buckets: DataFrame, found: DataFrame, tried: DataFrame, links: DataF
         if every:
             return found
         # A tried pair that isn't a link may stand for others too.
-        if proposed.filter("more > 0").join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").isEmpty():
+        failed = proposed.filter("more > 0").join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        if failed.isEmpty():
             return found
-        tried, every = tried.unionByName(pairs), True
+        members, tried, every = open_groups(members, failed, found), tried.unionByName(pairs), True

@@ -278,3 +278,22 @@ def test_conversation_repair_equals_brute_force(spark, tmp_path):
     joined = told.join(text.withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c")))
     assert joined.filter("again <> repaired_sha256").count() == 0 and joined.count() > 30
     assert conversations.repair(data.limit(0)).count() == 0
+
+
+def test_entries_that_no_other_document_can_match_are_left_out():
+    """Of each token exactly those entries stay that fit another document by size and place."""
+    draw = np.random.default_rng(5)
+    rows = np.zeros(400, ngram_join._ENTRY)
+    rows["token"], rows["id"], rows["n"] = np.sort(draw.integers(0, 90, 400)), draw.integers(0, 60, 400), draw.integers(5, 60, 400)
+    rows["place"] = draw.integers(0, 5, 400)
+    fits = lambda x, y: (x["token"] == y["token"] and x["id"] != y["id"] and 100 * min(x["n"], y["n"]) >= 80 * max(x["n"], y["n"])
+                         and int(min(x["place"], y["place"])) + int(min(int(x["n"]) - int(x["place"]), int(y["n"]) - int(y["place"]))) >= -(-80 * (int(x["n"]) + int(y["n"])) // 180))
+    assert ngram_join._met(rows, 80).tolist() == [any(fits(x, y) for y in rows) for x in rows]
+    assert len(ngram_join._met(rows[:0], 80)) == 0
+
+
+def test_second_round_opens_only_groups_with_a_failed_pair(spark):
+    """A group whose likeliest pairs all linked is not looked through again; the others get the components of now."""
+    members = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3), (7, 7, 7), (7, 8, 8)], "key long, id long, component long")
+    failed, found = spark.createDataFrame([(1, 2)], "a long, b long"), spark.createDataFrame([(2, 2), (3, 2), (7, 7), (8, 7)], "node long, component long")
+    assert sorted(map(tuple, settle.open_groups(members, failed, found).collect())) == [(1, 1, 1), (1, 2, 2), (1, 3, 2)]
