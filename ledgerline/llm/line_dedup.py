@@ -37,8 +37,8 @@ NARROW, MIDDLE = 16, 48
 SPREAD = 0x5851F42D
 #: A key with more other lines is dealt out in the second round.
 BLOCK = 1000
-#: Up to so many texts asked for are picked out before their lines are; of more, all texts are looked through.
-PICKED = 1 << 17
+#: Most bits of a line's sketch, which has four cells a word.
+WIDEST = 1 << 12
 #: Pairs of lines that both have so many distinct words are found by the join, all others by the sets of words they share.
 JOINED = 6
 
@@ -317,8 +317,8 @@ def _packed(key: np.ndarray, place: np.ndarray, many: np.ndarray, doc: np.ndarra
                      odd[size > MIDDLE].astype("<u8").tobytes()])
 
 
-def _entries(raw: pa.Buffer) -> list[np.ndarray]:
-    """Key, doc_id, line, size, place, even and odd of each entry."""
+def _by_line(raw: pa.Buffer) -> list[np.ndarray]:
+    """Key and place of each entry, and of each line how many entries it has, doc_id, line, size, even and odd."""
     n, n_lines, n_small, n_squeezed, *kinds = np.frombuffer(raw, "<u4", 9).tolist()
     small = pa.decompress(raw.slice(36, n_squeezed), n_small, codec="zstd")
     at, columns = 0, []
@@ -333,9 +333,14 @@ def _entries(raw: pa.Buffer) -> list[np.ndarray]:
     for into, some, kind in ((even, size <= NARROW, "<u4"), (even, size > NARROW, "<u8"), (odd, size > MIDDLE, "<u8")):
         into[some] = np.frombuffer(raw, kind, int(some.sum()), at)
         at += int(some.sum()) * np.dtype(kind).itemsize
-    doc = np.cumsum(steps.view(np.uint64), dtype=np.uint64).view(np.int64)
-    own = np.repeat(np.arange(n_lines), many)
-    return [key, doc[own], line[own], size[own], place, even[own], odd[own]]
+    return [key, place, many, np.cumsum(steps.view(np.uint64), dtype=np.uint64).view(np.int64), line, size, even, odd]
+
+
+def _entries(raw: pa.Buffer) -> list[np.ndarray]:
+    """Key, doc_id, line, size, place, even and odd of each entry."""
+    key, place, many, *lines = _by_line(raw)
+    doc, line, size, even, odd = (np.repeat(x, many) for x in lines)
+    return [key, doc, line, size, place, even, odd]
 
 
 def indexed(docs: DataFrame, table: bytes, heavy: dict[bytes, tuple[int, int]], s: Settings) -> DataFrame:
@@ -375,26 +380,26 @@ def _apart(size, even, odd, size2, even2, odd2):
 def candidates(index: DataFrame, s: Settings) -> DataFrame:
     """For each line, key by key, the earliest other one that may match it: doc_id, line, doc_id2, line2, and whether there are more.
 
-    Where there are more for any line of a key, all its lines follow, with key, doc_id, line, size, even and odd: who looks for a line's other
-    matches needs no more of the index. A part of the index is sorted in one task, and the lines of a key are compared in order.
+    Where there are more for any line of a key, all its lines that may match another follow, with key, doc_id, line, size, even and odd: who looks
+    for a line's other matches needs no more of the index. A part of the index is sorted in one task, and the lines of a key are compared in order.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("doc_id2", pa.int64()), ("line2", pa.int32()), ("more", pa.bool_()),
                         ("key", pa.int64()), ("size", pa.int32()), ("even", pa.int64()), ("odd", pa.int64())])
 
     def near(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lossless bounds: length, place and the narrowest parity for all, the wider parities for what is left."""
-        size, place, even, odd, folded = rows
-        most = _most_apart(size[a], size[b], s.percent)
-        good = most >= np.bitwise_count(folded[a] ^ folded[b])
+        """Lossless bounds: the narrowest parity against what a set of either size allows for all; length, place and the wider parities for what is left."""
+        size, place, even, odd, folded, cap = rows
+        good = np.bitwise_count(folded[a] ^ folded[b]) <= np.minimum(cap[a], cap[b])
         some = np.nonzero(good)
         a, b = (x[some] for x in np.broadcast_arrays(a, b))
         size, size2, place, place2 = size[a], size[b], place[a], place[b]
+        most = _most_apart(size, size2, s.percent)
         met = np.minimum(place, place2) + 1 + np.minimum(size - place - 1, size2 - place2 - 1)
-        good[some] = (2 * met >= size + size2 - most[some]) & (most[some] >= _apart(size, even[a], odd[a], size2, even[b], odd[b]))
+        good[some] = (2 * met >= size + size2 - most) & (most >= _apart(size, even[a], odd[a], size2, even[b], odd[b]))
         return good
 
-    def in_short(rows: list[np.ndarray], at: np.ndarray, place: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Earliest match and number of matches for rows of many short keys at once: each is compared with the one so many places before it."""
+    def in_short(rows: list[np.ndarray], at: np.ndarray, place: np.ndarray, base: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Earliest match and number of matches for rows of many short keys at once: each is compared with the one so many places before it. `met` tells of the matches."""
         first, total = np.full(len(at), -1), np.zeros(len(at), np.int64)
         live = np.arange(len(at))
         for back in range(1, SHORT):
@@ -404,9 +409,10 @@ def candidates(index: DataFrame, s: Settings) -> DataFrame:
             hit = live[near(rows, at[live], at[live] - back) & (at[live] - back < base[at[live]])]
             first[hit] = at[hit] - back
             total[hit] += 1
+            met[at[hit] - back] = True
         return first, total
 
-    def in_long(rows: list[np.ndarray], start: int, end: int, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def in_long(rows: list[np.ndarray], start: int, end: int, base: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same for one long key, block by block."""
         first, total = np.full(end - start, -1), np.zeros(end - start, np.int64)
         for a in range(start, end, 256):
@@ -418,19 +424,30 @@ def candidates(index: DataFrame, s: Settings) -> DataFrame:
                 seen = first[own - start]
                 first[own - start] = np.where((seen < 0) & good.any(axis=1), lead, seen)
                 total[own - start] += good.sum(axis=1)
+                met[others] |= good.any(axis=0)
         return first, total
 
     def settled(part: int, held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, doc, line, size, place, even, odd = [np.concatenate(x) for x in zip(*held)]
-        order = np.lexsort((line, doc, key))
-        key = key[order]
+        key, place, many, doc, line, size, even, odd = [np.concatenate(x) for x in zip(*held)]
+        order = np.lexsort((line, doc))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        own = np.repeat(rank, many)
+        if len(order) <= 1 << 20 and int(place.max()) < 1 << 12:
+            # The line's rank and the place fit beside the key: one sort of plain numbers.
+            all_ = np.sort((key.astype(np.uint64) << np.uint64(32)) | (own.astype(np.uint64) << np.uint64(12)) | place.astype(np.uint64))
+            key, own, place = all_ >> np.uint64(32), ((all_ >> np.uint64(12)) & np.uint64((1 << 20) - 1)).astype(np.int64), (all_ & np.uint64((1 << 12) - 1)).astype(np.int64)
+        else:
+            spot = np.lexsort((own, key))
+            key, own, place = key[spot], own[spot], place[spot]
         again = key[1:] == key[:-1]
         some = np.concatenate([again, [False]]) | np.concatenate([[False], again])
-        order, key = order[some], key[some]
+        key, place, own = key[some], place[some], order[own[some]]
         if not len(key):
             return
-        doc, line, *rows = (x[order] for x in (doc, line, size, place, even, odd))
-        rows.append(_folded(*rows[2:]))
+        doc, line, size, even, odd = (x[own] for x in (doc, line, size, even, odd))
+        # Sets that match differ in no more members than this share of either.
+        rows = [size, place, even, odd, _folded(even, odd), np.minimum((100 - s.percent) * size // s.percent, 255).astype(np.uint8)]
         # Repeated rows of a doc_id are one document: a line is not its own match.
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])
         base = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -439,13 +456,14 @@ def candidates(index: DataFrame, s: Settings) -> DataFrame:
         place = np.arange(len(key)) - np.repeat(cuts, n)
         first, total = np.full(len(key), -1), np.zeros(len(key), np.int64)
         at = np.flatnonzero((place > 0) & (np.repeat(n, n) <= SHORT))
-        first[at], total[at] = in_short(rows, at, place[at], base)
+        met = np.zeros(len(key), bool)
+        first[at], total[at] = in_short(rows, at, place[at], base, met)
         for a, k in zip(cuts[n > SHORT].tolist(), n[n > SHORT].tolist()):
-            first[a:a + k], total[a:a + k] = in_long(rows, a, a + k, base)
+            first[a:a + k], total[a:a + k] = in_long(rows, a, a + k, base, met)
         hit = np.flatnonzero(first >= 0)
         told = [doc[hit], line[hit], doc[first[hit]], line[first[hit]], total[hit] > 1]
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(told, schema)] + [pa.nulls(len(hit), f.type) for f in list(schema)[5:]], schema=schema)
-        every = np.flatnonzero(np.repeat(np.logical_or.reduceat(total > 1, cuts), n))
+        every = np.flatnonzero(np.repeat(np.logical_or.reduceat(total > 1, cuts), n) & ((total > 0) | met[base]))
         shown = [(part << 32) + key[every].astype(np.int64), rows[0][every], rows[2][every].view(np.int64), rows[3][every].view(np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(doc[every]), pa.array(line[every], pa.int32())] + [pa.nulls(len(every), f.type) for f in list(schema)[2:5]]
                                          + [pa.array(x, f.type) for x, f in zip(shown, list(schema)[5:])], schema=schema)
@@ -458,7 +476,7 @@ def candidates(index: DataFrame, s: Settings) -> DataFrame:
                     if held:
                         yield from settled(now, held)
                     now, held = part, []
-                held.append(_entries(raw.as_buffer()))
+                held.append(_by_line(raw.as_buffer()))
         if held:
             yield from settled(now, held)
 
@@ -495,13 +513,39 @@ def matched_few(firsts: DataFrame, s: Settings) -> DataFrame:
     return keyed.join(earliest, F.col("key") == F.col("_key")).filter(F.exists("others", fits)).select("doc_id", "line").distinct()
 
 
+def _sketched(lines: Lines) -> list[bytes]:
+    """The odd sketch of each line's set: the parity of its members in each of about four cells a member. Cells go by the low bits, so that a sketch folds to half its width."""
+    bits = np.minimum(WIDEST, np.maximum(64, 1 << np.ceil(np.log2(4 * lines.size)).astype(np.int64)))
+    begin = np.cumsum(bits) - bits
+    at = begin[lines.owner] + (lines.token.astype(np.int64) & (bits[lines.owner] - 1))
+    raw = np.packbits(np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1).tobytes()
+    return [raw[a:a + n] for a, n in zip((begin >> 3).tolist(), (bits >> 3).tolist())]
+
+
+def _sketches_apart(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """In how many cells the sketches of each row of x and y differ, at the width of the narrower one."""
+    (data, bounds), (data2, bounds2) = kernel.flat(x), kernel.flat(y)
+    data, data2 = (np.frombuffer(d.tobytes(), np.uint64) for d in (data, data2))
+    n, n2, first, first2 = np.diff(bounds) >> 3, np.diff(bounds2) >> 3, bounds[:-1] >> 3, bounds2[:-1] >> 3
+    out = np.zeros(len(n), np.int64)
+    for w, w2 in np.unique(np.stack([n, n2], axis=1), axis=0).tolist() if len(n) else ():
+        rows = np.flatnonzero((n == w) & (n2 == w2))
+        own, other = data[first[rows][:, None] + np.arange(w)], data2[first2[rows][:, None] + np.arange(w2)]
+        out[rows] = np.bitwise_count(settle.folded_to(own, min(w, w2)) ^ settle.folded_to(other, min(w, w2))).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def lines_at(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """doc_id, line and content of the lines `ends` (doc_id, line), and of some others; written."""
-    shared = docs.sparkSession.sparkContext.broadcast(settle.id_bits(ends.select(_who().alias("who"))))
+    """doc_id, line, content, size (of its set) and sketch of the lines `ends` (doc_id, line), and of some others; written.
+
+    Bitmaps of the documents and lines asked for pick them out where the texts are read, so that no text is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast((settle.id_bits(ends.select("doc_id")), settle.id_bits(ends.select(_who().alias("who")))))
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("content", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_docs, of_lines = shared.value
         for batch in batches:
-            for part in kernel.slices(batch, "text", SLICE):
+            for part in kernel.slices(settle.asked(batch, of_docs), "text", SLICE):
                 data, bounds = kernel.flat(part.column("text"))
                 breaks = np.flatnonzero(data == 10)
                 # Each row has one line more than breaks; the last one ends where the row does.
@@ -513,22 +557,54 @@ def lines_at(docs: DataFrame, ends: DataFrame) -> DataFrame:
                 start = np.where(number == 0, bounds[row], edges[before[row] + number] + 1)
                 end = np.where(number == n[row] - 1, bounds[row + 1], np.append(breaks, 0)[np.minimum(before[row] + number, len(breaks))])
                 doc = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
-                some = np.flatnonzero(settle.among(doc ^ (number * SPREAD), shared.value))
+                some = np.flatnonzero(settle.among(doc ^ (number * SPREAD), of_lines))
                 raw = data.tobytes()
-                contents = [raw[a:b] for a, b in zip(start[some].tolist(), end[some].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[some], pa.int64()), pa.array(number[some], pa.int32()), pa.array(contents, pa.binary())], names=["doc_id", "line", "content"])
+                contents = pa.array([raw[a:b] for a, b in zip(start[some].tolist(), end[some].tolist())], pa.binary())
+                # Lines without a word take no part.
+                lines = lines_of(contents, 1)
+                some = some[lines.row]
+                columns = (doc[some], number[some], contents.take(pa.array(lines.row)), lines.size, _sketched(lines))
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
 
     texts = _columns(docs)
-    few = materialized(ends.select(F.col("doc_id").alias("_doc")).distinct(), "line-docs")
-    picked = texts.join(few, F.col("doc_id") == F.col("_doc"), "left_semi") if few.count() <= PICKED else texts
-    found = picked.mapInArrow(run, "doc_id long, line int, content binary")
+    found = texts.mapInArrow(run, "doc_id long, line int, content binary, size int, sketch binary")
     repeated = not texts.groupBy("doc_id").count().filter("count > 1").isEmpty()
     return materialized(found.dropDuplicates(["doc_id", "line"]) if repeated else found, "line-contents")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (doc_id, line, doc_id2, line2) whose full sets reach the threshold; `pairs` is a written table."""
-    lines = lines_at(docs, pairs.select("doc_id", "line").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("line2").alias("line"))))
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("doc_id", "line").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("line2").alias("line")))
+
+
+def _beside(pairs: DataFrame, lines: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (doc_id, line, doc_id2, line2) with the columns of both lines."""
+    named = lambda c: lines.select(F.col("doc_id").alias("_d" + c), F.col("line").alias("_l" + c), *[F.col(x).alias(x + c) for x in columns])
+    joined = pairs.join(named("1"), (F.col("doc_id") == F.col("_d1")) & (F.col("line") == F.col("_l1"))).join(named("2"), (F.col("doc_id2") == F.col("_d2")) & (F.col("line2") == F.col("_l2")))
+    return joined.select("doc_id", "line", "doc_id2", "line2", *[x + "1" for x in columns], *[x + "2" for x in columns])
+
+
+_PAIR = "doc_id long, line int, doc_id2 long, line2 int"
+
+
+def screened(pairs: DataFrame, lines: DataFrame, s: Settings) -> DataFrame:
+    """Those of `pairs` (doc_id, line, doc_id2, line2) that the sketches of `lines_at` can't exclude; their bound is lossless."""
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, size2 = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (4, 6))
+            good = _most_apart(size, size2, s.percent) >= _sketches_apart(batch.column(5), batch.column(7))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
+
+    return _beside(pairs, lines, ["size", "sketch"]).mapInArrow(near, _PAIR)
+
+
+def verified(pairs: DataFrame, lines: DataFrame, s: Settings) -> DataFrame:
+    """Those of `pairs`, a written table, whose full sets reach the threshold; `lines` is one of `lines_at`."""
+    shared = lines.sparkSession.sparkContext.broadcast(settle.id_bits(_ends(pairs).select(_who().alias("who"))))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who = batch.column(0).to_numpy(zero_copy_only=False) ^ (batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) * SPREAD)
+            yield batch.filter(pa.array(settle.among(who, shared.value), pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -538,18 +614,24 @@ def confirmed(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
                 good.append(100 * both >= s.percent * (len(x) + len(y) - both))
             yield batch.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
 
-    named = lambda c: lines.select(F.col("doc_id").alias("_d" + c), F.col("line").alias("_l" + c), F.col("content").alias("c" + c))
-    joined = pairs.join(named("1"), (F.col("doc_id") == F.col("_d1")) & (F.col("line") == F.col("_l1"))).join(named("2"), (F.col("doc_id2") == F.col("_d2")) & (F.col("line2") == F.col("_l2")))
-    return joined.select("doc_id", "line", "doc_id2", "line2", "c1", "c2").mapInArrow(compare, "doc_id long, line int, doc_id2 long, line2 int")
+    picked = lines.select("doc_id", "line", "content").mapInArrow(pick, "doc_id long, line int, content binary")
+    return _beside(pairs, picked, ["content"]).mapInArrow(compare, _PAIR)
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (doc_id, line, doc_id2, line2) whose full sets reach the threshold; `pairs` is a written table. Contents move only for pairs that sketches can't exclude."""
+    lines = lines_at(docs, _ends(pairs))
+    return verified(materialized(screened(pairs, lines, s), "line-near"), lines, s)
 
 
 def matched_in_place(docs: DataFrame, index: DataFrame, left: DataFrame, s: Settings) -> DataFrame:
     """doc_id and line of those of `left` (doc_id, line) that any earlier line matches, by all keys of the index.
 
     A semi-join keeps the index rows that may match some line of `left` at their key, so rows
-    in are rows out at most. Full sets then meet key by key: the lines of `left` are held, the
-    others stream by, and only verdicts leave the task. A key with many others is dealt
-    out in parts of about `BLOCK`, each of which sees all its lines of `left`.
+    in are rows out at most. Then the lines meet key by key: those of `left` are held, the others
+    stream by. A key with many others is dealt out in parts of about `BLOCK`, each of which sees all
+    its lines of `left`. First only sketches meet, and the likeliest pair of each line at each key is verified.
+    Lines that none of these confirms, but that have further pairs, meet by their full sets; only verdicts leave the task then.
     """
     probes = materialized(index.join(left, ["doc_id", "line"], "left_semi"), "line-probes")
     asked = probes.select(*[F.col(c).alias("p_" + c) for c in ("key", "doc_id", "line", "size", "even", "odd")])
@@ -560,15 +642,89 @@ def matched_in_place(docs: DataFrame, index: DataFrame, left: DataFrame, s: Sett
     narrow = both.bitwiseXOR(F.shiftrightunsigned(both, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
     apart = F.when(least_size > MIDDLE, F.bit_count(even) + F.bit_count(odd)).when(least_size > NARROW, F.bit_count(both)).otherwise(F.bit_count(narrow))
     near = (100 * F.least("size", "p_size") >= s.percent * F.greatest("size", "p_size")) & (F.col("size") + F.col("p_size") - 2 * least >= apart)
-    others = materialized(index.join(asked, (F.col("key") == F.col("p_key")) & earlier & near, "left_semi"), "line-others")
+    keys = docs.sparkSession.sparkContext.broadcast(settle.id_bits(probes.select("key")))
+
+    def at_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(settle.among(batch.column(0).to_numpy(zero_copy_only=False), keys.value), pa.bool_()))
+
+    # Most index rows have a key that no line of `left` has: a bitmap leaves them out before the join moves the others.
+    beside = index.select("key", "doc_id", "line", "size", "even", "odd").mapInArrow(at_keys, "key long, doc_id long, line int, size int, even long, odd long")
+    others = materialized(beside.join(asked, (F.col("key") == F.col("p_key")) & earlier & near, "left_semi"), "line-others")
     parts = materialized(others.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "line-parts")
     named = ["key", "part", "doc_id", "line", "size", "even", "odd", "mine"]
     dealt = lambda rows, part, mine: rows.join(parts, F.col("key") == F.col("_key")).withColumn("part", part).withColumn("mine", F.lit(mine)).select(*named)
-    rows = dealt(probes, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), True).unionByName(
-        dealt(others, F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")).cast("int"), False))
-    lines = lines_at(docs, left.unionByName(others.select("doc_id", "line")))
-    lines = lines.select(F.col("doc_id").alias("_doc"), F.col("line").alias("_line"), "content")
-    rows = rows.join(lines, (F.col("doc_id") == F.col("_doc")) & (F.col("line") == F.col("_line"))).select(*named, "content")
+    lines = lines_at(docs, left.select("doc_id", "line").unionByName(others.select("doc_id", "line")))
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def meeting(probes: DataFrame, others: DataFrame, column: str) -> DataFrame:
+        """Key by key, first the lines of `left`, then the others, with a column of their contents."""
+        rows = dealt(probes, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), True).unionByName(
+            dealt(others, F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")).cast("int"), False))
+        beside = lines.select(F.col("doc_id").alias("_doc"), F.col("line").alias("_line"), column)
+        if column == "content":
+            wanted = probes.select("doc_id", "line").unionByName(others.select("doc_id", "line")).distinct().select(F.col("doc_id").alias("_d"), F.col("line").alias("_l"))
+            beside = beside.join(wanted, (F.col("_doc") == F.col("_d")) & (F.col("_line") == F.col("_l")), "left_semi")
+        rows = rows.join(beside, (F.col("doc_id") == F.col("_doc")) & (F.col("line") == F.col("_line"))).select(*named, column)
+        return rows.repartition(n, "key", "part").sortWithinPartitions("key", "part", F.desc("mine"))
+
+    found = materialized(meeting(probes, others, "sketch").mapInArrow(lambda batches: _likeliest(batches, s), _PAIR + ", more boolean"), "line-likeliest")
+    tried = materialized(found.select("doc_id", "line", "doc_id2", "line2").distinct(), "line-pairs")
+    matched = materialized(verified(tried, lines, s).select("doc_id", "line").distinct(), "line-matches")
+    rest = found.groupBy("doc_id", "line").agg(F.max("more").alias("more")).filter("more").select("doc_id", "line")
+    rest = materialized(rest.join(matched, ["doc_id", "line"], "left_anti"), "line-rest")
+    if rest.isEmpty():
+        return matched
+    probes = materialized(probes.join(rest, ["doc_id", "line"], "left_semi"), "line-probes")
+    others = materialized(others.join(probes.select(F.col("key").alias("p_key")).distinct(), F.col("key") == F.col("p_key"), "left_semi"), "line-others")
+    by_sets = meeting(probes, others, "content").mapInArrow(lambda batches: _met(batches, s), "doc_id long, line int")
+    return matched.unionByName(by_sets).distinct()
+
+
+def _likeliest(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Of the pairs that each line of `meeting` has at a key and the sketches can't exclude the likeliest one: doc_id, line, doc_id2, line2, and whether there are more."""
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("doc_id2", pa.int64()), ("line2", pa.int32()), ("more", pa.bool_())])
+    now, own, sketches, best, count = None, [], None, [], None
+
+    def done() -> pa.RecordBatch:
+        hit = np.flatnonzero(count > 0)
+        columns = (own[0][hit], own[1][hit], best[1][hit], best[2][hit], count[hit] > 1)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
+
+    for batch in batches:
+        key, part, doc, line, size, _, _, mine = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:8])
+        size = size.astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (mine[1:] != mine[:-1])])) if len(key) else []
+        for a, b in zip(cuts, [*cuts[1:], len(key)]):
+            if (key[a], part[a]) != now:
+                if now is not None and count.any():
+                    yield done()
+                now, own, sketches = (key[a], part[a]), [x[:0] for x in (doc, line, size)], batch.column(8).slice(0, 0)
+                best, count = [np.zeros(0), doc[:0], line[:0]], np.zeros(0, np.int64)
+            if mine[a]:
+                own, sketches = [np.concatenate(x) for x in zip(own, [doc[a:b], line[a:b], size[a:b]])], pa.concat_arrays([sketches, batch.column(8).slice(a, b - a)])
+                best, count = [np.concatenate([x, np.full(b - a, y, x.dtype)]) for x, y in zip(best, (np.inf, 0, 0))], np.concatenate([count, np.zeros(b - a, np.int64)])
+                continue
+            step = max(1, (1 << 16) // max(1, len(count)))
+            for c in range(a, b, step):
+                doc_, line_, size_ = (x[c:min(b, c + step)] for x in (doc, line, size))
+                before = (doc_ < own[0][:, None]) | ((doc_ == own[0][:, None]) & (line_ < own[1][:, None]))
+                x, y = np.nonzero(before & (_most_apart(own[2][:, None], size_, s.percent) >= 0))
+                far = _sketches_apart(sketches.take(pa.array(x)), batch.column(8).slice(c, len(doc_)).take(pa.array(y)))
+                near = far <= _most_apart(own[2][x], size_[y], s.percent)
+                x, y, share = x[near], y[near], far[near] / (own[2][x[near]] + size_[y[near]])
+                order = np.lexsort((share, x))
+                x, y, share = x[order], y[order], share[order]
+                lead = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else []
+                better = [k for k in lead if share[k] < best[0][x[k]]]
+                best[0][x[better]], best[1][x[better]], best[2][x[better]] = share[better], doc_[y[better]], line_[y[better]]
+                count += np.bincount(x, minlength=len(count))
+    if now is not None and count.any():
+        yield done()
+
+
+def _met(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """doc_id and line of the lines of `meeting` whose full set one of the others matches."""
     schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32())])
 
     def met(own: list[np.ndarray], open_: np.ndarray, batch: list[np.ndarray]) -> None:
@@ -588,31 +744,26 @@ def matched_in_place(docs: DataFrame, index: DataFrame, left: DataFrame, s: Sett
                     open_[k] = False
                     break
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own, open_ = None, None, None
-        done = lambda: pa.RecordBatch.from_arrays([pa.array(x[~open_], f.type) for x, f in zip(own, schema)], schema=schema)
-        for batch in batches:
-            key, part, doc, line, size, even, odd, mine = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:8])
-            members = np.empty(len(key), object)
-            members[:] = settle.sets_of(batch.column(8), 1)
-            columns = [doc, line, size.astype(np.int64), even.view(np.uint64), odd.view(np.uint64), members]
-            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (mine[1:] != mine[:-1])])) if len(key) else []
-            for a, b in zip(cuts, [*cuts[1:], len(key)]):
-                here, own_part = (key[a], part[a]), [x[a:b] for x in columns]
-                if here != now:
-                    if now is not None and not open_.all():
-                        yield done()
-                    now, own, open_ = here, [x[:0] for x in columns], np.zeros(0, bool)
-                if mine[a]:
-                    own, open_ = [np.concatenate(x) for x in zip(own, own_part)], np.concatenate([open_, np.ones(b - a, bool)])
-                else:
-                    met(own, open_, own_part)
-        if now is not None and not open_.all():
-            yield done()
-
-    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(n, "key", "part").sortWithinPartitions("key", "part", F.desc("mine"))
-    return ordered.mapInArrow(run, "doc_id long, line int").distinct()
+    now, own, open_ = None, None, None
+    done = lambda: pa.RecordBatch.from_arrays([pa.array(x[~open_], f.type) for x, f in zip(own, schema)], schema=schema)
+    for batch in batches:
+        key, part, doc, line, size, even, odd, mine = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:8])
+        members = np.empty(len(key), object)
+        members[:] = settle.sets_of(batch.column(8), 1)
+        columns = [doc, line, size.astype(np.int64), even.view(np.uint64), odd.view(np.uint64), members]
+        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (mine[1:] != mine[:-1])])) if len(key) else []
+        for a, b in zip(cuts, [*cuts[1:], len(key)]):
+            here, own_part = (key[a], part[a]), [x[a:b] for x in columns]
+            if here != now:
+                if now is not None and not open_.all():
+                    yield done()
+                now, own, open_ = here, [x[:0] for x in columns], np.zeros(0, bool)
+            if mine[a]:
+                own, open_ = [np.concatenate(x) for x in zip(own, own_part)], np.concatenate([open_, np.ones(b - a, bool)])
+            else:
+                met(own, open_, own_part)
+    if now is not None and not open_.all():
+        yield done()
 
 
 def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

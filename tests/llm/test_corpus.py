@@ -463,3 +463,28 @@ def test_a_rare_language_is_learned_at_any_size(spark):
     assert model.names == ["common", "rare"]
     told = language.predicted(spark.createDataFrame([(1, text("vwxyz")), (2, text("abcde"))], "doc_id long, text string"), model)
     assert {r.doc_id: r.lang_pred for r in told.collect()} == {1: "rare", 2: "common"}
+
+
+def test_line_sketches_never_exclude_a_match():
+    """Sketches differ in no more cells than their sets have members that aren't shared, at any two widths."""
+    draw = random.Random(11)
+    texts = [" ".join(f"w{draw.randrange(60)}" for _ in range(n)) for n in (1, 5, 15, 17, 40, 70, 200) for _ in range(12)]
+    lines = line_dedup.lines_of(pa.array(texts), 1)
+    sketches = pa.array(line_dedup._sketched(lines), pa.binary())
+    x, y = (pa.array([p[k] for p in [(a, b) for a in range(len(texts)) for b in range(len(texts))]]) for k in (0, 1))
+    apart = line_dedup._sketches_apart(sketches.take(x), sketches.take(y)).tolist()
+    sets = [set(t.split()) for t in texts]
+    assert all(d <= len(sets[a] ^ sets[b]) for a, b, d in zip(x.to_pylist(), y.to_pylist(), apart)) and max(apart) > 20
+
+
+def test_lines_are_fetched_without_moving_texts(spark):
+    """The lines asked for are picked out where texts are read; before, up to 2^17 documents were joined, which shuffled every text."""
+    data = spark.createDataFrame([(k, f"a{k} b c\n\nd e{k}") for k in range(50)], "doc_id long, text string")
+    seen, write = [], line_dedup.materialized
+    line_dedup.materialized = lambda rows, name="step": seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(rows, name)
+    try:
+        lines = line_dedup.lines_at(data, spark.createDataFrame([(3, 0), (4, 2)], "doc_id long, line int"))
+    finally:
+        line_dedup.materialized = write
+    got = {(r.doc_id, r.line): (bytes(r.content), r.size) for r in lines.collect()}
+    assert got[3, 0] == (b"a3 b c", 3) and got[4, 2] == (b"d e4", 2) and not any("Join" in x for x in seen)
