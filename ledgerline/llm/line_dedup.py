@@ -27,7 +27,7 @@ from ledgerline.session import materialized
 #: Cells of the rarity table, which has one byte per cell and this size at any input size, in as many parts.
 CELLS, PARTS = 1 << 24, 256
 SLICE = 1 << 20
-#: Keys of up to so many lines are compared many at a time.
+#: Lines meet so many others of their key many keys at a time, further ones key by key.
 SHORT = 64
 #: Entries that a task deals out together, and that a part of the index should have at most.
 HELD, PART = 1 << 19, 1 << 18
@@ -37,6 +37,8 @@ NARROW, MIDDLE = 16, 48
 SPREAD = 0x5851F42D
 #: A key with more other lines is dealt out in the second round.
 BLOCK = 1000
+#: Groups of the second round that are larger meet as they stream by.
+GROUP = 1 << 12
 #: Most bits of a line's sketch, which has four cells a word.
 WIDEST = 1 << 12
 #: Pairs of lines that both have so many distinct words are found by the join, all others by the sets of words they share.
@@ -50,7 +52,7 @@ class Settings(NamedTuple):
 
     percent: int = 75
     least: int = 1
-    common: int = 200
+    common: int = 1000
     heavy: int = 10_000
 
 
@@ -82,8 +84,10 @@ def lines_of(texts: pa.Array, least: int, few: int = 0) -> Lines:
     line = np.searchsorted(breaks, starts)
     row = np.searchsorted(bounds, starts, side="right") - 1
     where = line + row
-    names, own = np.unique(where, return_inverse=True) if len(where) else (where, where)
-    counts = np.bincount(own, minlength=len(names))
+    # Words come line by line, so a line's words stand together.
+    begins = np.concatenate([[True], where[1:] != where[:-1]]) if len(where) else np.zeros(0, bool)
+    own = np.cumsum(begins) - 1
+    counts = np.bincount(own)
     fit = counts >= least
     keep = fit[own] if len(own) else np.zeros(0, bool)
     renumbered = np.cumsum(fit) - 1
@@ -98,7 +102,7 @@ def lines_of(texts: pa.Array, least: int, few: int = 0) -> Lines:
     once = np.concatenate([[True], (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])]) if len(owner) else np.zeros(0, bool)
     owner, token = owner[once], token[once]
     size = np.bincount(owner, minlength=int(fit.sum()))
-    lead = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
+    lead = np.flatnonzero(begins)
     rows, numbers = row[lead][fit], (line[lead] - np.searchsorted(breaks, bounds[row[lead]]))[fit]
     enough = size >= least
     spot = np.cumsum(enough) - 1
@@ -381,7 +385,7 @@ def candidates(index: DataFrame, s: Settings) -> DataFrame:
     """For each line, key by key, the earliest other one that may match it: doc_id, line, doc_id2, line2, and whether there are more.
 
     Where there are more for any line of a key, all its lines that may match another follow, with key, doc_id, line, size, even and odd: who looks
-    for a line's other matches needs no more of the index. A part of the index is sorted in one task, and the lines of a key are compared in order.
+    for a line's other matches needs no more of the index. A part of the index is sorted in one task, and the lines of a key are compared with those of like size only.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("doc_id2", pa.int64()), ("line2", pa.int32()), ("more", pa.bool_()),
                         ("key", pa.int64()), ("size", pa.int32()), ("even", pa.int64()), ("odd", pa.int64())])
@@ -398,38 +402,49 @@ def candidates(index: DataFrame, s: Settings) -> DataFrame:
         good[some] = (2 * met >= size + size2 - most) & (most >= _apart(size, even[a], odd[a], size2, even[b], odd[b]))
         return good
 
-    def in_short(rows: list[np.ndarray], at: np.ndarray, place: np.ndarray, base: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Earliest match and number of matches for rows of many short keys at once: each is compared with the one so many places before it. `met` tells of the matches."""
-        first, total = np.full(len(at), -1), np.zeros(len(at), np.int64)
-        live = np.arange(len(at))
-        for back in range(1, SHORT):
-            live = live[place[live] >= back]
+    def met_by(rows: list[np.ndarray], low: np.ndarray, when: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For rows that go by key and size the earliest match, the number of earlier ones, and whether a later row matches it.
+
+        A row is compared with those before it down to `low`, the first one of its key that is not too small for it."""
+        earliest, total, met = np.full(len(when), len(when) + 1), np.zeros(len(when), np.int64), np.zeros(len(when), bool)
+
+        def told(a: np.ndarray, b: np.ndarray) -> None:
+            # Repeated rows of a doc_id are one document: a line is not its own match.
+            late, soon = (np.concatenate(x) for x in zip(*((y[when[y] > when[z]], z[when[y] > when[z]]) for y, z in ((a, b), (b, a)))))
+            np.minimum.at(earliest, late, when[soon])
+            np.add.at(total, late, 1)
+            met[soon] = True
+
+        reach = np.arange(len(low)) - low
+        live = np.flatnonzero(reach)
+        for back in range(1, SHORT + 1):
+            live = live[reach[live] >= back]
             if not len(live):
                 break
-            hit = live[near(rows, at[live], at[live] - back) & (at[live] - back < base[at[live]])]
-            first[hit] = at[hit] - back
-            total[hit] += 1
-            met[at[hit] - back] = True
-        return first, total
-
-    def in_long(rows: list[np.ndarray], start: int, end: int, base: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for one long key, block by block."""
-        first, total = np.full(end - start, -1), np.zeros(end - start, np.int64)
-        for a in range(start, end, 256):
-            own = np.arange(a, min(end, a + 256))
-            for c in range(start, int(own[-1]) + 1, 1024):
-                others = np.arange(c, min(int(own[-1]) + 1, c + 1024))
-                good = near(rows, own[:, None], others[None, :]) & (others[None, :] < base[own][:, None])
-                lead = c + good.argmax(axis=1)
-                seen = first[own - start]
-                first[own - start] = np.where((seen < 0) & good.any(axis=1), lead, seen)
-                total[own - start] += good.sum(axis=1)
-                met[others] |= good.any(axis=0)
-        return first, total
+            hit = live[near(rows, live, live - back)]
+            told(hit, hit - back)
+        live = live[reach[live] > SHORT]
+        at = 0
+        while at < len(live):
+            own = live[at:at + 256]
+            # Of one key: its first rows reach back to one place, and a place of a later key comes behind all of this one.
+            own = own[low[own] < own[0]]
+            at += len(own)
+            for c in range(int(low[own].min()), int(own[-1]) - SHORT, 1024):
+                others = np.arange(c, min(int(own[-1]) - SHORT, c + 1024))
+                good = near(rows, own[:, None], others[None, :]) & (others[None, :] >= low[own][:, None]) & (others[None, :] < own[:, None] - SHORT)
+                x, y = np.nonzero(good)
+                told(own[x], others[y])
+        return earliest, total, met
 
     def settled(part: int, held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, place, many, doc, line, size, even, odd = [np.concatenate(x) for x in zip(*held)]
-        order = np.lexsort((line, doc))
+        times = np.lexsort((line, doc))
+        new = np.concatenate([[True], (doc[times][1:] != doc[times][:-1]) | (line[times][1:] != line[times][:-1])])
+        when = np.empty(len(times), np.int64)
+        when[times] = np.cumsum(new) - 1
+        times = times[new]
+        order = np.lexsort((when, size))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         own = np.repeat(rank, many)
@@ -445,27 +460,19 @@ def candidates(index: DataFrame, s: Settings) -> DataFrame:
         key, place, own = key[some], place[some], order[own[some]]
         if not len(key):
             return
-        doc, line, size, even, odd = (x[own] for x in (doc, line, size, even, odd))
+        size, even, odd, at = size[own], even[own], odd[own], when[own]
         # Sets that match differ in no more members than this share of either.
-        rows = [size, place, even, odd, _folded(even, odd), np.minimum((100 - s.percent) * size // s.percent, 255).astype(np.uint8)]
-        # Repeated rows of a doc_id are one document: a line is not its own match.
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])
-        base = np.flatnonzero(new)[np.cumsum(new) - 1]
+        rows = [size, place, even, odd, _folded(even, odd).astype(np.uint32), np.minimum((100 - s.percent) * size // s.percent, 255).astype(np.uint8)]
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         n = np.diff(np.append(cuts, len(key)))
-        place = np.arange(len(key)) - np.repeat(cuts, n)
-        first, total = np.full(len(key), -1), np.zeros(len(key), np.int64)
-        at = np.flatnonzero((place > 0) & (np.repeat(n, n) <= SHORT))
-        met = np.zeros(len(key), bool)
-        first[at], total[at] = in_short(rows, at, place[at], base, met)
-        for a, k in zip(cuts[n > SHORT].tolist(), n[n > SHORT].tolist()):
-            first[a:a + k], total[a:a + k] = in_long(rows, a, a + k, base, met)
-        hit = np.flatnonzero(first >= 0)
-        told = [doc[hit], line[hit], doc[first[hit]], line[first[hit]], total[hit] > 1]
+        span = np.repeat(np.arange(len(cuts)), n) * (int(size.max()) + 1)
+        earliest, total, met = met_by(rows, np.searchsorted(span + size, span + _needed(size, s.percent)), at)
+        hit = np.flatnonzero(total)
+        told = [doc[own[hit]], line[own[hit]], doc[times[earliest[hit]]], line[times[earliest[hit]]], total[hit] > 1]
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(told, schema)] + [pa.nulls(len(hit), f.type) for f in list(schema)[5:]], schema=schema)
-        every = np.flatnonzero(np.repeat(np.logical_or.reduceat(total > 1, cuts), n) & ((total > 0) | met[base]))
-        shown = [(part << 32) + key[every].astype(np.int64), rows[0][every], rows[2][every].view(np.int64), rows[3][every].view(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[every]), pa.array(line[every], pa.int32())] + [pa.nulls(len(every), f.type) for f in list(schema)[2:5]]
+        every = np.flatnonzero(np.repeat(np.logical_or.reduceat(total > 1, cuts), n) & ((total > 0) | met))
+        shown = [(part << 32) + key[every].astype(np.int64), size[every], even[every].view(np.int64), odd[every].view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[own[every]]), pa.array(line[own[every]], pa.int32())] + [pa.nulls(len(every), f.type) for f in list(schema)[2:5]]
                                          + [pa.array(x, f.type) for x, f in zip(shown, list(schema)[5:])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -658,7 +665,9 @@ def matched_in_place(docs: DataFrame, index: DataFrame, left: DataFrame, s: Sett
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def meeting(probes: DataFrame, others: DataFrame, column: str) -> DataFrame:
-        """Key by key, first the lines of `left`, then the others, with a column of their contents."""
+        """Key by key, first the lines of `left`, then the others, with a column of their contents. Where sketches meet, no parity bitmaps move."""
+        if column == "sketch":
+            probes, others = (x.withColumns({"even": F.lit(0).cast("long"), "odd": F.lit(0).cast("long")}) for x in (probes, others))
         rows = dealt(probes, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), True).unionByName(
             dealt(others, F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")).cast("int"), False))
         beside = lines.select(F.col("doc_id").alias("_doc"), F.col("line").alias("_line"), column)
@@ -682,45 +691,108 @@ def matched_in_place(docs: DataFrame, index: DataFrame, left: DataFrame, s: Sett
 
 
 def _likeliest(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Of the pairs that each line of `meeting` has at a key and the sketches can't exclude the likeliest one: doc_id, line, doc_id2, line2, and whether there are more."""
+    """Of the pairs that each line of `meeting` has at a key and the sketches can't exclude the likeliest one: doc_id, line, doc_id2, line2, and whether there are more.
+
+    Groups of up to `GROUP` rows meet many at a time, larger ones as they stream by."""
     schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("doc_id2", pa.int64()), ("line2", pa.int32()), ("more", pa.bool_())])
     now, own, sketches, best, count = None, [], None, [], None
 
+    def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        key, part, doc, line, size, _, _, mine = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:8])
+        return [key, part, doc, line, size.astype(np.int64), mine]
+
+    def pairs_near(own: list[np.ndarray], others: list[np.ndarray], x: np.ndarray, y: np.ndarray, sketch: pa.Array, sketch2: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of rows x of `own` and y of `others` (doc_id, line, size each) those that may match, the likeliest of each x first, and their share of difference."""
+        (doc, line, size), (doc2, line2, size2) = own, others
+        some = ((doc2[y] < doc[x]) | ((doc2[y] == doc[x]) & (line2[y] < line[x]))) & (_most_apart(size[x], size2[y], s.percent) >= 0)
+        x, y = x[some], y[some]
+        far = _sketches_apart(sketch.take(pa.array(x)), sketch2.take(pa.array(y)))
+        some = far <= _most_apart(size[x], size2[y], s.percent)
+        x, y, share = x[some], y[some], far[some] / (size[x[some]] + size2[y[some]])
+        order = np.lexsort((share, x))
+        return x[order], y[order], share[order]
+
+    def small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Whole groups."""
+        key, part, doc, line, size, mine = columns_of(batch)
+        group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+        n, n_mine = np.bincount(group), np.bincount(group, mine).astype(np.int64)
+        lead = np.cumsum(n) - n
+        asking = np.flatnonzero(mine & (n > n_mine)[group])
+        others = (n - n_mine)[group[asking]]
+        done = np.cumsum(others)
+        at = 0
+        while at < len(asking):
+            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 13))))
+            many = others[at:to]
+            x = np.repeat(asking[at:to], many)
+            # The lines asked about lead their group.
+            y = np.repeat((lead + n_mine)[group[asking[at:to]]], many) + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+            at = to
+            x, y, _ = pairs_near([doc, line, size], [doc, line, size], x, y, batch.column(8), batch.column(8))
+            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+            columns = (doc[x[first]], line[x[first]], doc[y[first]], line[y[first]], np.diff(np.append(first, len(x))) > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
     def done() -> pa.RecordBatch:
         hit = np.flatnonzero(count > 0)
         columns = (own[0][hit], own[1][hit], best[1][hit], best[2][hit], count[hit] > 1)
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
 
+    def streamed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Rows of one group, or of a part of it."""
+        nonlocal now, own, sketches, best, count
+        key, part, doc, line, size, mine = columns_of(batch)
+        if (key[0], part[0]) != now:
+            yield from closed()
+            now, own, sketches = (key[0], part[0]), [x[:0] for x in (doc, line, size)], batch.column(8).slice(0, 0)
+            best, count = [np.zeros(0), doc[:0], line[:0]], np.zeros(0, np.int64)
+        m = int(mine.sum())
+        if m:
+            own, sketches = [np.concatenate(x) for x in zip(own, [doc[:m], line[:m], size[:m]])], pa.concat_arrays([sketches, batch.column(8).slice(0, m)])
+            best, count = [np.concatenate([x, np.full(m, y, x.dtype)]) for x, y in zip(best, (np.inf, 0, 0))], np.concatenate([count, np.zeros(m, np.int64)])
+        step = max(1, (1 << 16) // max(1, len(count)))
+        for c in range(m, len(doc), step):
+            others = [x[c:c + step] for x in (doc, line, size)]
+            x, y = (z.ravel() for z in np.indices((len(count), len(others[0]))))
+            x, y, share = pairs_near(own, others, x, y, sketches, batch.column(8).slice(c, len(others[0])))
+            lead = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+            better = lead[share[lead] < best[0][x[lead]]]
+            best[0][x[better]], best[1][x[better]], best[2][x[better]] = share[better], others[0][y[better]], others[1][y[better]]
+            count += np.bincount(x, minlength=len(count))
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        nonlocal now
+        if now is not None and count.any():
+            yield done()
+        now = None
+
+    rest = None
     for batch in batches:
-        key, part, doc, line, size, _, _, mine = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:8])
-        size = size.astype(np.int64)
-        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (mine[1:] != mine[:-1])])) if len(key) else []
-        for a, b in zip(cuts, [*cuts[1:], len(key)]):
-            if (key[a], part[a]) != now:
-                if now is not None and count.any():
-                    yield done()
-                now, own, sketches = (key[a], part[a]), [x[:0] for x in (doc, line, size)], batch.column(8).slice(0, 0)
-                best, count = [np.zeros(0), doc[:0], line[:0]], np.zeros(0, np.int64)
-            if mine[a]:
-                own, sketches = [np.concatenate(x) for x in zip(own, [doc[a:b], line[a:b], size[a:b]])], pa.concat_arrays([sketches, batch.column(8).slice(a, b - a)])
-                best, count = [np.concatenate([x, np.full(b - a, y, x.dtype)]) for x, y in zip(best, (np.inf, 0, 0))], np.concatenate([count, np.zeros(b - a, np.int64)])
-                continue
-            step = max(1, (1 << 16) // max(1, len(count)))
-            for c in range(a, b, step):
-                doc_, line_, size_ = (x[c:min(b, c + step)] for x in (doc, line, size))
-                before = (doc_ < own[0][:, None]) | ((doc_ == own[0][:, None]) & (line_ < own[1][:, None]))
-                x, y = np.nonzero(before & (_most_apart(own[2][:, None], size_, s.percent) >= 0))
-                far = _sketches_apart(sketches.take(pa.array(x)), batch.column(8).slice(c, len(doc_)).take(pa.array(y)))
-                near = far <= _most_apart(own[2][x], size_[y], s.percent)
-                x, y, share = x[near], y[near], far[near] / (own[2][x[near]] + size_[y[near]])
-                order = np.lexsort((share, x))
-                x, y, share = x[order], y[order], share[order]
-                lead = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else []
-                better = [k for k in lead if share[k] < best[0][x[k]]]
-                best[0][x[better]], best[1][x[better]], best[2][x[better]] = share[better], doc_[y[better]], line_[y[better]]
-                count += np.bincount(x, minlength=len(count))
-    if now is not None and count.any():
-        yield done()
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            rest = None
+        if not len(batch):
+            continue
+        key, part = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+        ends = np.append(cuts[1:], len(batch))
+        large = ends - cuts > GROUP
+        large[0] |= (key[0], part[0]) == now
+        last = int(cuts[-1])
+        if not large[-1]:
+            rest, cuts, ends, large = batch.slice(last), cuts[:-1], ends[:-1], large[:-1]
+        at = 0
+        for a, b in zip(cuts[large].tolist(), ends[large].tolist()):
+            if a > at:
+                yield from small(batch.slice(at, a - at))
+            yield from streamed(batch.slice(a, b - a))
+            at = b
+        if rest is not None and last > at:
+            yield from small(batch.slice(at, last - at))
+    if rest is not None:
+        yield from small(rest)
+    yield from closed()
 
 
 def _met(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
@@ -788,15 +860,24 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     n_parts = -(-(scan.filter("part = 0").agg(F.sum("doc_id")).first()[0] or 0) // PART) or 1
     told = materialized(candidates(packed_index(docs, rarity(scan), heavy, s, heads, n_parts), s), "line-candidates")
     found, index = told.filter("key IS NULL").select("doc_id", "line", "doc_id2", "line2", "more"), told.filter("key IS NOT NULL").select("key", "doc_id", "line", "size", "even", "odd")
-    tried = materialized(found.select("doc_id", "line", "doc_id2", "line2").distinct(), "line-pairs")
-    matched = materialized(confirmed(docs, tried, s), "line-matches").select("doc_id", "line").distinct()
-    left = found.groupBy("doc_id", "line").agg(F.max("more").alias("more"), F.countDistinct("doc_id2", "line2").alias("k")).filter("more OR k > 1").select("doc_id", "line")
+    tried = materialized(found.groupBy("doc_id", "line", "doc_id2", "line2").agg(F.max("more").alias("more")), "line-pairs")
+    matched = materialized(confirmed(docs, tried.drop("more"), s).select("doc_id", "line").distinct(), "line-matches")
+    left = tried.groupBy("doc_id", "line").agg(F.max("more").alias("more"), F.count("*").alias("k")).filter("more OR k > 1").select("doc_id", "line")
     left = materialized(left.join(matched, ["doc_id", "line"], "left_anti"), "line-rest")
     if not left.isEmpty():
         matched = matched.unionByName(matched_in_place(docs, index, left, s))
     if s.least < JOINED:
         matched = matched.unionByName(matched_few(firsts.select("first.doc_id", "first.line", "words"), s))
-    later = lines.join(firsts.filter("n > 1").select(F.col("set_key").alias("_key"), "first"), F.col("set_key") == F.col("_key")).filter(
+    repeated = firsts.filter("n > 1")
+    keys = docs.sparkSession.sparkContext.broadcast(settle.id_bits(repeated.select(F.xxhash64("set_key").alias("key"))))
+
+    def at_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([0, 1, 2]).filter(pa.array(settle.among(batch.column(3).to_numpy(zero_copy_only=False), keys.value), pa.bool_()))
+
+    # Most lines have no copy: a bitmap leaves them out before the join moves the others.
+    copied = lines.select("doc_id", "line", "set_key", F.xxhash64("set_key").alias("key")).mapInArrow(at_keys, "doc_id long, line int, set_key binary")
+    later = copied.join(repeated.select(F.col("set_key").alias("_key"), "first"), F.col("set_key") == F.col("_key")).filter(
         (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.line") != F.col("line"))).select("doc_id", "line")
     return later.unionByName(matched).distinct()
 

@@ -319,6 +319,56 @@ def test_rarity_goes_on_beyond_common_tokens(spark):
     assert n > 6000 and size < 14 * n
 
 
+def test_index_takes_no_more_entries_where_tokens_are_less_rare(spark):
+    """Tokens of 60 and of 600 occurrences are indexed alone: a line of 10 words has 3 entries at most in either table, so the index grows as its lines do."""
+    s = line_dedup.Settings()
+    for n in (600, 6000):
+        rows = [(k, " ".join([f"{x}{k % 10}" for x in "abcdefgh"] + ["always", "ever"])) for k in range(n)]
+        data = spark.createDataFrame(rows, "doc_id long, text string")
+        index = line_dedup.packed_index(data, line_dedup.rarity(line_dedup.materialized(line_dedup.scanned(data, s))), {}, s)
+        assert 0 < index.agg(F.sum("n")).first()[0] <= 3 * n
+
+
+def test_second_round_meets_small_groups_as_it_meets_large_ones(monkeypatch):
+    """Groups at once, streamed, and cut anywhere into batches give the likeliest pairs that comparing all gives."""
+    draw, s = random.Random(3), line_dedup.Settings()
+    pool = [f"w{k}" for k in range(14)]
+    rows, want = [], {}
+    for key in range(30):
+        n_mine, n_others = draw.randint(0, 4), draw.randint(0, 9)
+        texts = [" ".join(draw.sample(pool, draw.randint(11, 14))) for _ in range(n_mine + n_others)]
+        lines = line_dedup.lines_of(pa.array(texts), 1)
+        own = list(zip([key] * len(texts), [key % 3] * len(texts), draw.sample(range(99), len(texts)), [0] * len(texts), lines.size.tolist(), [0] * len(texts), [0] * len(texts),
+                       [k < n_mine for k in range(len(texts))], line_dedup._sketched(lines) if texts else []))
+        rows += own
+        for a in own[:n_mine]:
+            near = []
+            for b in own[n_mine:]:
+                far = int(line_dedup._sketches_apart(pa.array([a[8]], pa.binary()), pa.array([b[8]], pa.binary()))[0])
+                if b[2] < a[2] and far <= line_dedup._most_apart(np.array(a[4]), np.array(b[4]), s.percent):
+                    near.append(far / (a[4] + b[4]))
+            if near:
+                want[key, a[2]] = (min(near), len(near) > 1)
+    assert len(want) > 20 and {x for _, x in want.values()} == {True, False}
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list("abcdefghi"))
+    at = {(r[0], r[2]): r for r in rows}
+    keys_of = {}
+    for r in rows:
+        keys_of.setdefault(r[2], []).append(r[0])
+    for group in (1 << 12, 6, 0):
+        monkeypatch.setattr(line_dedup, "GROUP", group)
+        for step in (len(rows), 5, 1):
+            got = [x for out in line_dedup._likeliest((batch.slice(k, step) for k in range(0, len(rows), step)), s) for x in out.to_pylist()]
+            assert len(got) == len(want)
+            told = sorted((x["doc_id"], x["more"]) for x in got)
+            assert told == sorted((doc, more) for (_, doc), (_, more) in want.items())
+            for x in got:
+                shares = [int(line_dedup._sketches_apart(pa.array([at[k, x["doc_id"]][8]], pa.binary()), pa.array([at[k, x["doc_id2"]][8]], pa.binary()))[0])
+                          / (at[k, x["doc_id"]][4] + at[k, x["doc_id2"]][4]) for k in keys_of[x["doc_id"]] if (k, x["doc_id2"]) in at]
+                assert any(want.get((k, x["doc_id"]), (None,))[0] in shares for k in keys_of[x["doc_id"]])
+
+
 def test_second_round_finds_its_keys_beside_the_candidates(spark):
     """The rows that candidates leaves for round two hold every earlier match of its lines, repeated rows of a doc_id among them."""
     draw = random.Random(9)
