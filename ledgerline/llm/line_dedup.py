@@ -746,7 +746,7 @@ def _likeliest(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Re
         if (key[0], part[0]) != now:
             yield from closed()
             now, own, sketches = (key[0], part[0]), [x[:0] for x in (doc, line, size)], batch.column(8).slice(0, 0)
-            best, count = [np.zeros(0), doc[:0], line[:0]], np.zeros(0, np.int64)
+            best, count = [np.zeros(0), doc[:0].copy(), line[:0].copy()], np.zeros(0, np.int64)
         m = int(mine.sum())
         if m:
             own, sketches = [np.concatenate(x) for x in zip(own, [doc[:m], line[:m], size[:m]])], pa.concat_arrays([sketches, batch.column(8).slice(0, m)])
